@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.simhash import simhash_components
+from loomgraph.llm.urlfilter import JUDGE_SQL, PAGE_RULES, SPAM_PATTERNS, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, PAGE_RULES, SPAM_PATTERNS).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,8 +37,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+    return {"op1_simhash": op1_simhash, "op4_url_filter": op4_url_filter, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIX_SQL}
+    return {"op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
