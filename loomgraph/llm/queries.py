@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.langid import identify
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
+from loomgraph.llm.quality import QUALITY_SQL, quality
 from loomgraph.llm.simhash import simhash_components
 from loomgraph.llm.urlfilter import JUDGE_SQL, PAGE_RULES, SPAM_PATTERNS, judge_urls
 
@@ -23,11 +25,21 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, PAGE_RULES, SPAM_PATTERNS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,9 +48,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op6_langid, op9_packing, op10_mixing)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op4_url_filter": op4_url_filter, "op9_packing": op9_packing, "op10_mixing": op10_mixing}
+    return {query.__name__: query for query in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
+    return {"op3_quality": QUALITY_SQL, "op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
