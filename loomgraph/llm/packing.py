@@ -16,8 +16,15 @@ from loomgraph.llm.shared import settle, tasks
 
 #: Token that ends each document.
 END = 1
-#: Chunks whose ids a worker keeps; older ones are dropped when it is full.
-CACHE = 400_000
+# ASCII punctuation, and what the vocabulary writes at the end of a word's last token.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+WORD_END = "</w>"
+#: Chunks whose ids a worker keeps in each of two generations.
+KEPT = 400_000
+#: Chunks that are encoded in one call.
+TOGETHER = 2000
+#: Bytes of text that are encoded together.
+STRIDE = 2_000_000
 #: Parts that the pieces of one length are dealt to while they are numbered.
 DEALT = 256
 
@@ -25,32 +32,84 @@ DEALT = 256
 class ChunkEncoder:
     """Token ids of whole texts, with the ids of chunks between ASCII white space kept for the next text.
 
-    For vocabularies that drop white space and never join what it separates: a text's ids are its chunks' ids in a row.
-    A text that holds a special token's string is encoded whole.
+    For vocabularies of lower-case words, which drop white space and never join what it separates or letters with punctuation: a
+    text's ids are its chunks' ids in a row.
+    A text that holds a special token's string is encoded whole. Chunks are kept in two generations: when the
+    younger is full it becomes the older, from which chunks that are met again move back, so rare ones are forgotten first.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(specials)) if specials else None
-        self.kept: dict[bytes, tuple[int, ...]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        if self.special and self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        chunks = text.encode("utf-8").split()  # bytes: splits at ASCII white space only
-        new = [c for c in dict.fromkeys(chunks) if c not in self.kept]
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = list(dict.fromkeys(chunks))
-        for chunk, found in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)):
-            self.kept[chunk] = tuple(found.ids)
-        out: list[int] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    @staticmethod
+    def _stem(chunk: bytes) -> bytes:
+        """The word before closing punctuation, lower case; empty if the chunk isn't just Latin letters and then punctuation.
+
+        The vocabulary's rules split letters from punctuation and fold case, so the ids are the stem's and the punctuation's.
+        """
+        stem = chunk.rstrip(PUNCTUATION)
+        if stem.isalpha():
+            return stem.lower()
+        text = stem.decode("utf-8")
+        return stem if text.isalpha() and max(text) < "\u0130" else b""
+
+    def _bounds(self, ids: np.ndarray, texts: list[str], found, words: bool) -> np.ndarray:
+        """Where each text's ids begin, and the end: single words by the tokens that close words, else by offsets."""
+        if words:
+            return np.r_[0, np.flatnonzero(self.closes[ids]) + 1]
+        starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+        return np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+
+    def _encode_chunks(self, chunks: list[bytes], words: bool) -> None:
+        for at in range(0, len(chunks), TOGETHER):
+            part = chunks[at : at + TOGETHER]
+            texts = [c.decode("utf-8") for c in part]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            bounds = (self._bounds(ids, texts, found, words) * self.kind.itemsize).tolist()
+            packed = ids.tobytes()
+            for chunk, a, b in zip(part, bounds, bounds[1:]):
+                self.young[chunk] = packed[a:b]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        stems: dict[bytes, bytes] = {}
+        unknown = []
         for chunk in chunks:
-            out += self.kept[chunk]
-        return np.array(out, np.uint32)
+            ids = self.old.get(chunk)
+            if ids is not None:
+                self.young[chunk] = ids
+            elif stem := self._stem(chunk):
+                stems[chunk] = stem
+            else:
+                unknown.append(chunk)
+        ends = {chunk[len(stem) :] for chunk, stem in stems.items()} - {b""}
+        self._encode_chunks([e for e in {*ends, *unknown} if e not in self.young], words=False)
+        self._encode_chunks([s for s in set(stems.values()) if s not in self.young], words=True)
+        for chunk, stem in stems.items():
+            self.young[chunk] = self.young[stem] + (self.young[chunk[len(stem) :]] if len(stem) < len(chunk) else b"")
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        split = [None if self.special and self.special.search(t) else t.encode("utf-8").split() for t in texts]
+        wanted = set().union(*(s for s in split if s))
+        if len(self.young) + len(wanted) > KEPT:
+            self.young, self.old = {}, self.young
+        self._learn(wanted.difference(self.young))
+        for text, chunks in zip(texts, split):
+            yield self._whole(text) if chunks is None else np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), self.kind)
 
 
 @functools.cache
@@ -64,14 +123,24 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encoder.ids(text.as_py() or ""), np.uint32(END)).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids_of, texts, held = batch.column(0).to_pylist(), [], 0
+            for value in batch.column(1):
+                texts.append(value.as_py() or "")
+                held += len(texts[-1])
+                if held > STRIDE:
+                    yield cut(ids_of[: len(texts)], encoder.encode(texts))
+                    ids_of, texts, held = ids_of[len(texts) :], [], 0
+            yield cut(ids_of, encoder.encode(texts))
+
+    def cut(docs_ids: list, encoded: Iterator[np.ndarray]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for doc, found in zip(docs_ids, encoded):
+            ids = np.append(found, END).astype("<u4")
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+        columns = list(zip(*rows)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
