@@ -12,6 +12,7 @@ from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import QUALITY_SQL, quality
 from loomgraph.llm.simhash import simhash_components
+from loomgraph.llm.suffixdedup import remove_repeats
 from loomgraph.llm.urlfilter import JUDGE_SQL, PAGE_RULES, SPAM_PATTERNS, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, PAGE_RULES, SPAM_PATTERNS).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op6_langid, op9_packing, op10_mixing)
+_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op9_packing, op10_mixing)
 
 
 def queries() -> dict[str, Query]:
