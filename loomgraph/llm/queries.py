@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loomgraph.llm.ann import search
 from loomgraph.llm.langid import identify
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
@@ -45,6 +46,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -53,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op9_packing, op10_mixing)
+_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op9_packing, op10_mixing)
 
 
 def queries() -> dict[str, Query]:
