@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,9 +13,11 @@ from loomgraph.llm.langid import identify
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import QUALITY_SQL, quality
+from loomgraph.llm.shared import shared_dir
 from loomgraph.llm.simhash import simhash_components
 from loomgraph.llm.suffixdedup import remove_repeats
 from loomgraph.llm.urlfilter import JUDGE_SQL, PAGE_RULES, SPAM_PATTERNS, judge_urls
+from loomgraph.llm.warc import ROUND_TRIP_SQL, archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +30,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return archive_round_trip(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -58,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_simhash, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op9_packing, op10_mixing)
+_QUERIES = (op1_simhash, op2_warc, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op9_packing, op10_mixing)
 
 
 def queries() -> dict[str, Query]:
@@ -66,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": QUALITY_SQL, "op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
+    return {"op2_warc": ROUND_TRIP_SQL, "op3_quality": QUALITY_SQL, "op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
