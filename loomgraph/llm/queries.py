@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.ann import search
+from loomgraph.llm.htmltext import extract
 from loomgraph.llm.langid import identify
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
@@ -58,6 +59,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -66,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_simhash, op2_warc, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op9_packing, op10_mixing)
+_QUERIES = (op1_simhash, op2_warc, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op8_html, op9_packing, op10_mixing)
 
 
 def queries() -> dict[str, Query]:
