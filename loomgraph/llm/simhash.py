@@ -36,9 +36,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.arrow_udf(T.LongType())
-def fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array((fingerprint(t.as_py()) for t in texts), pa.int64())
+def fingerprints(text: Column, shingle: int) -> Column:
+    def signed(texts: pa.Array) -> pa.Array:
+        return pa.array((fingerprint(t.as_py(), shingle) for t in texts), pa.int64())
+
+    return F.arrow_udf(signed, T.LongType())(text)
 
 
 def budgets(distance: int) -> np.ndarray:
@@ -138,14 +140,14 @@ def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     return dealt.mapInArrow(_link_sorted(distance), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and word-less texts have fingerprint zero and link like any other. Repeated rows give repeated
     result rows. A null id never becomes a component's id; a component of null ids only has a null one.
     Other columns of `docs` are ignored; an empty table gives an empty result.
     """
-    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")), "fingerprints")
+    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")), "fingerprints")
     distinct = settle(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(fingerprint_links(distinct.select("fp"), distance))
     members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
