@@ -256,7 +256,8 @@ def _unique_pairs(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.stack([key[new], owner[new]], axis=1)
 
 
-_SEGMENTS = "bucket int, gram long, place int, bytes binary, block int, least long, most long, spots binary"
+#: `place` is where the k-gram is in the bytes, -1 for a window filed under its own hash.
+_SEGMENTS = "bucket int, place int, bytes binary, block int, least long, spread long, spots binary"
 
 
 def _cut_segments(buckets: int):
@@ -271,33 +272,33 @@ def _cut_segments(buckets: int):
             first, count, place, key = runs(data, parts)
             keep = _member(key, wanted)
             first, count, place, key = first[keep], count[keep], place[keep], key[keep]
+            within = place - first
             single = _member(key, hot)
             if single.any():  # a window each, filed under its own bytes
                 each = count[single]
                 own = np.repeat(first[single], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                hashed = (_gram_hashes(data, WINDOW)[own] >> np.uint64(16)).astype(np.int64) | (1 << 48)
+                hashed = (_gram_hashes(data, WINDOW)[own] >> np.uint64(16)).astype(np.int64)
                 first, count = np.r_[first[~single], own], np.r_[count[~single], np.ones(len(own), np.int64)]
-                place, key = np.r_[place[~single], own], np.r_[key[~single], hashed]
+                within, key = np.r_[within[~single], np.full(len(own), -1)], np.r_[key[~single], hashed]
             part = np.searchsorted(parts, first, side="right") - 1
             spot = (text_of[part] << 32) + start_of[part] + first - parts[part]
             raw = data.tobytes()
-            for a, b, gram, at, where in zip(first.tolist(), (first + count + WINDOW - 1).tolist(), key.tolist(), (place - first).tolist(), spot.tolist()):
+            for a, b, to, at, where in zip(first.tolist(), (first + count + WINDOW - 1).tolist(), (key % buckets).tolist(), within.tolist(), spot.tolist()):
                 entry = seen.get(piece := raw[a:b])
                 if entry is None:
-                    seen[piece] = (gram, at, [where])
+                    seen[piece] = (to, at, [where])
                 else:
                     entry[2].append(where)
-        grams = np.array([e[0] for e in seen.values()], np.int64)
         sizes = np.array([len(e[2]) for e in seen.values()], np.int64)
         spots = np.array([s for e in seen.values() for s in e[2]], np.int64)
         begins = np.cumsum(sizes) - sizes
         owners = ids[spots >> 32]
-        block = table["block"][0].as_py()
-        return pa.table({
-            "bucket": pa.array((grams % buckets).astype(np.int32)), "gram": grams, "place": pa.array([e[1] for e in seen.values()], pa.int32()), "bytes": pa.array(list(seen), pa.binary()),
-            "block": pa.array(np.full(len(grams), block, np.int32)), "least": np.minimum.reduceat(owners, begins) if len(grams) else owners, "most": np.maximum.reduceat(owners, begins) if len(grams) else owners,
-            "spots": pa.array([spots[a:b].tobytes() for a, b in zip(begins.tolist(), (begins + sizes).tolist())], pa.binary()),
-        })
+        least = np.minimum.reduceat(owners, begins) if len(begins) else owners
+        spread = (np.maximum.reduceat(owners, begins) if len(begins) else owners) - least
+        block = np.full(len(seen), table["block"][0].as_py(), np.int32)
+        to, at = (pa.array([e[k] for e in seen.values()], pa.int32()) for k in (0, 1))
+        packed = pa.array([spots[a:b].tobytes() for a, b in zip(begins.tolist(), (begins + sizes).tolist())], pa.binary())
+        return pa.table({"bucket": to, "place": at, "bytes": pa.array(list(seen), pa.binary()), "block": block, "least": least, "spread": spread, "spots": packed})
 
     return cut
 
@@ -312,32 +313,56 @@ _FOUND = "block int, spots binary, low int, high int, least long"
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
-    """For each segment the ranges of its windows that a smaller document holds, with that document."""
+    """For each segment the ranges of its windows that a smaller document holds, with that document.
+
+    Equal segments are one, so inside a long passage a k-gram has one segment only and all its windows are settled. The
+    windows of the others are sorted: those of one k-gram that have it at the same distance.
+    """
     table = table.combine_chunks()
-    pieces = table["bytes"].combine_chunks()
-    data = np.frombuffer(pieces.buffers()[2], np.uint8) if len(pieces) else np.zeros(0, np.uint8)
-    bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
-    gram, place = table["gram"].to_numpy(), table["place"].to_numpy().astype(np.int64)
-    least, most = table["least"].to_numpy(), table["most"].to_numpy()
+    coded = table["bytes"].combine_chunks().dictionary_encode()
+    pieces, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64) if len(pieces) else np.zeros(1, np.int64)
+    owner, spread = table["least"].to_numpy(), table["spread"].to_numpy()
+    least = np.full(len(pieces), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, owner)
+    place = np.empty(len(pieces), np.int64)
+    place[code] = table["place"].to_numpy()
     count = np.diff(bounds) - WINDOW + 1
-    # a gram that one segment has is shared within its own block only
-    row = np.repeat(np.arange(len(gram)), count)
-    window = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = bounds[row] + window
-    _, dense = np.unique(gram, return_inverse=True)
-    key = dense[row] * (4 * WINDOW) + place[row] - window + 2 * WINDOW
-    index, same = equal_windows(SuffixOrder(data), at, key)
-    smallest = least[row]
+    begin = np.cumsum(count) - count
+    smallest = np.repeat(least, count)
+
+    filed = np.flatnonzero(place >= 0)
+    grams = [data[bounds[filed] + place[filed] + k] for k in range(GRAM)]
+    _, kind, members = np.unique(np.stack(grams, axis=1).copy().view(f"V{GRAM}").ravel(), return_inverse=True, return_counts=True)
+    several = members[kind] > 1
+    filed, kind = filed[several], kind[several]
+    each = count[filed]
+    window = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    key = np.repeat(kind * (4 * WINDOW) + place[filed] + 2 * WINDOW, each) - window
+    slot = np.repeat(begin[filed], each) + window
+    index, same = equal_windows(SuffixOrder(data), np.repeat(bounds[filed], each) + window, key)
     if len(index):
-        begins = np.flatnonzero(~same)
-        lowest = np.minimum.reduceat(least[row[index]], begins)
-        smallest[index] = np.repeat(lowest, np.diff(np.r_[begins, len(index)]))
-    hit = np.flatnonzero(smallest < most[row])
-    new = np.r_[True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]) | (smallest[hit[1:]] != smallest[hit[:-1]])] if len(hit) else np.zeros(0, bool)
-    first = hit[new]
-    last = hit[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]] if len(hit) else hit
-    rows = pa.array(row[first])
-    return pa.table({"block": table["block"].take(rows), "spots": table["spots"].take(rows), "low": pa.array(window[first].astype(np.int32)), "high": pa.array(window[last].astype(np.int32)), "least": smallest[first]})
+        firsts = np.flatnonzero(~same)
+        lowest = np.minimum.reduceat(smallest[slot[index]], firsts)
+        smallest[slot[index]] = np.repeat(lowest, np.diff(np.r_[firsts, len(index)]))
+
+    # runs of windows of a piece with one smallest document, then a row for each segment that has the piece
+    start = np.ones(len(smallest), bool)
+    start[1:] = smallest[1:] != smallest[:-1]
+    start[begin] = True
+    first = np.flatnonzero(start)
+    piece = np.searchsorted(begin, first, side="right") - 1
+    low, high = first - begin[piece], np.r_[first[1:], len(smallest)] - 1 - begin[piece]
+    runs_of = np.bincount(piece, minlength=len(pieces))
+    run_at = np.cumsum(runs_of) - runs_of
+    row = np.repeat(np.arange(len(code)), runs_of[code])
+    run = np.arange(len(row)) - np.repeat(np.cumsum(runs_of[code]) - runs_of[code], runs_of[code]) + run_at[code[row]]
+    told = smallest[first[run]] < (owner + spread)[row]
+    row, run = row[told], run[told]
+    rows = pa.array(row)
+    columns = {"low": pa.array(low[run].astype(np.int32)), "high": pa.array(high[run].astype(np.int32)), "least": smallest[first[run]]}
+    return pa.table({"block": table["block"].take(rows), "spots": table["spots"].take(rows)} | columns)
 
 
 def _apply_removals(extra: list[str], with_text: bool):
