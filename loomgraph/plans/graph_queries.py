@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.operators import graph
 from loomgraph.plans import params as P
+from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import load
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES, ORACLES, query = registry()
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,16 +47,6 @@ def freq_sql(window: bool = False) -> str:
   UNION ALL SELECT {m}'skillpoint' AS kind, point AS src, '' AS dst, count(*)::DOUBLE AS w FROM (SELECT DISTINCT month, doc, skill, point FROM facts WHERE skill IS NOT NULL) {g})"""
 
 
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
 @query("weighted_presence_freq", f"WITH {freq_sql()} SELECT * FROM freq")
 def weighted_presence_freq(spark, sf_dir):
     return freq(spark, sf_dir)
@@ -138,8 +128,6 @@ def all_edges(spark, sf_dir):
 
 
 _ALL_EDGES = "edges AS (" + " UNION ALL ".join(f"SELECT '{r}' AS relation, * FROM ({_edges_sql(r)})" for r in graph.RELATIONS) + ")"
-# strengths of tasks and skills: the value range of a user group's events stands in for outside evidence
-_STRENGTH = "least(1.0::DOUBLE, 0.2 + 0.01 * (x % 90))"
 
 
 def strengths(spark, sf_dir):
@@ -165,10 +153,7 @@ def gaps(spark, sf_dir):
     return all_gaps(spark, sf_dir).withColumn("gap", F.round("gap", 6))
 
 
-# leave out half of the task-skill edges, so that new ones can be synthesised
-_KEPT = "(relation <> 'task_skill' OR {h} % 2 = 0)"
-
-
+# half of the task-skill edges are left out, so that new ones can be synthesised
 @query("gap_synthesis", f"""WITH {freq_sql()}, {_ALL_EDGES}, {STRENGTHS_SQL},
 kept AS (SELECT * FROM edges WHERE relation <> 'task_skill' OR regexp_extract(dst, '([0-9]+)', 1)::INT % 2 = 0),
 t AS (SELECT id, gap FROM gaps WHERE kind = 'task'), s AS (SELECT id, gap FROM gaps WHERE kind = 'skill'),
