@@ -114,6 +114,8 @@ class SuffixOrder:
 
     def __init__(self, data: np.ndarray, base: int = _BASE):
         self.data = data
+        #: the eight bytes from each place as a number that orders like them
+        self.words = np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
         self.power = np.full(len(data) + 1, base & _M64, np.uint64)
         self.power[0] = 1
         self.power = np.cumprod(self.power, dtype=np.uint64)
@@ -138,11 +140,16 @@ class SuffixOrder:
         return low
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether the suffix at a comes before that at b (or equals it)."""
+        """Whether the suffix at a comes before that at b (or equals it): by the first eight bytes if they differ, else past the
+        common prefix."""
+        one, other = self.words[a], self.words[b]
+        out = one < other
+        alike = np.flatnonzero(one == other)
+        a, b = a[alike], b[alike]
         common = self.common(a, b)
-        differ = common < WINDOW
         at = np.minimum(common, WINDOW - 1)
-        return np.where(differ, self.data[a + at] < self.data[b + at], or_equal)
+        out[alike] = np.where(common < WINDOW, self.data[a + at] < self.data[b + at], or_equal[alike])
+        return out
 
     def merge_sort(self, at: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the suffixes `at` sorted within groups, and which places a hash collision kept from being filled.
@@ -180,10 +187,9 @@ class SuffixOrder:
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """-1, 0 or 1 by the WINDOW bytes themselves, eight at a step: the check on hash collisions."""
-        words = np.ndarray((len(self.data) - 7,), ">u8", self.data, strides=(1,))
         sign = np.zeros(len(a), np.int8)
         for step in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-            one, other = words[a + step], words[b + step]
+            one, other = self.words[a + step], self.words[b + step]
             sign = np.where(sign == 0, (one > other).astype(np.int8) - (one < other), sign)
         return sign
 
