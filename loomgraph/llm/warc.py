@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from loomgraph.llm.shared import settle
+
 VERSION = "WARC/1.1"
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
@@ -149,9 +151,11 @@ def assemble(records: DataFrame, with_payload: bool = True) -> DataFrame:
         F.min(F.when(F.col("type") == "request", F.struct("record_id", "uri", "payload"))).alias("request"),
         F.array_sort(F.collect_set(F.when(F.col("type") == "metadata", F.struct("record_id", "payload")))).alias("metadata"),
     )
-    originals = main.where("type = 'response'").select(F.col("record_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_sha1").alias("o_sha1"))
-    full = main.join(originals, (main.refers_to == originals.o_id) & (main.type == "revisit"), "left")
-    full = full.withColumn("payload_bytes", F.coalesce("o_bytes", "payload_bytes")).withColumn("payload_sha1", F.coalesce("o_sha1", F.when(F.col("type") == "response", F.col("payload_sha1")), F.substring("digest", 6, 40)))
+    responses = main.where("type = 'response'")
+    originals = responses.select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_sha1").alias("o_sha1"))
+    revisits = main.where("type = 'revisit'").join(originals, "refers_to", "left")  # only rows that refer to something are dealt by it
+    revisits = revisits.withColumn("payload_bytes", F.coalesce("o_bytes", "payload_bytes")).withColumn("payload_sha1", F.coalesce("o_sha1", F.substring("digest", 6, 40)))
+    full = responses.unionByName(revisits.select(*responses.columns))
     response = F.struct("type", "refers_to", "payload_bytes", "payload_sha1", *(["payload"] if with_payload else []))
     captures = full.select(F.col("record_id").alias("capture_id"), "uri", "date", response.alias("response"))
     return captures.join(grouped, "capture_id", "left")
@@ -161,14 +165,16 @@ def archive_round_trip(pages: DataFrame, path: str) -> DataFrame:
     """Write `pages` to `path`, read the archives back and report each capture: page_id, payload_bytes, payload_digest,
     record_type, refers_to (page id of the response a revisit refers to)."""
     write_archive(pages, path)
-    captures = assemble(read_archive(pages.sparkSession, path), with_payload=False)
+    records = read_archive(pages.sparkSession, path)
+    slim = settle(records.withColumn("payload", F.when(F.col("type") == "metadata", F.col("payload"))), "records")  # files are parsed once
+    captures = assemble(slim, with_payload=False)
     page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "UTF-8"), r"(?m)^capture: (-?\d+)$", 1)
-    told = captures.select("capture_id", F.when(page != "", page).cast("long").alias("page_id"), "response")
-    of = told.where("response.type = 'response'").select(F.col("capture_id").alias("o_id"), F.col("page_id").alias("o_page"))
-    joined = told.join(of, told.response.refers_to == of.o_id, "left")
-    return joined.select(
-        "page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_sha1").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("o_page").alias("refers_to")
-    )
+    told = settle(captures.select("capture_id", F.when(page != "", page).cast("long").alias("page_id"), "response.*"), "captures")
+    of = told.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page_id").alias("o_page"))
+    first = told.where("type = 'response'").withColumn("o_page", F.lit(None).cast("long"))
+    later = told.where("type = 'revisit'").join(of, "refers_to", "left")
+    joined = first.unionByName(later.select(*first.columns))
+    return joined.select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("o_page").alias("refers_to"))
 
 
 ROUND_TRIP_SQL = """
