@@ -138,11 +138,11 @@ def stratified_sample(spark, sf_dir):
 @query("presample_compose", f"""WITH top AS (SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey::VARCHAR || 'pre'), o_orderkey LIMIT 1000), w0 AS (SELECT CASE WHEN count(*) <= 1000 THEN 1.0::DOUBLE ELSE round_even(count(*)::DOUBLE / 1000, 4) END AS w0 FROM orders),
 r AS (SELECT o_orderkey, o_orderpriority AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || 'post'), o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total FROM orders JOIN top USING (o_orderkey)),
 k AS (SELECT *, CASE WHEN 300.0 / total >= 1 OR n <= 30 THEN n ELSE least(n, greatest(30, round_even(least(1.0::DOUBLE, 300::DOUBLE / total) * n, 0)::BIGINT)) END AS k FROM r)
-SELECT o_orderkey, round_even(round_even(n::DOUBLE / k, 4) * w0, 4) AS weight FROM k, w0 WHERE r <= k""")
+SELECT o_orderkey, round(round_even(n::DOUBLE / k, 4) * w0, 8) AS weight FROM k, w0 WHERE r <= k""")
 def presample_compose(spark, sf_dir):
     top = sampling.hash_top_k(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 1000, "pre")
     kept = sampling.stratified_sample(top, "o_orderkey", "o_orderpriority", 300, P.SAMPLE_FLOOR, "post")
-    return kept.select("o_orderkey", F.bround(F.col("weight") * F.col("w0"), 4).alias("weight"))
+    return kept.select("o_orderkey", F.round(F.col("weight") * F.col("w0"), 8).alias("weight"))
 
 
 @query("largest_remainder", """WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), b AS (SELECT *, least(size, 3) AS base, greatest(0, 200 - sum(least(size, 3)) OVER ()) AS rest FROM s),
