@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ SEED = 42
 SEGMENTS = 8
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 15
+#: Runs of equal keys up to this length give all their links.
+SMALL = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -48,32 +52,55 @@ def budgets(distance: int) -> np.ndarray:
     return np.arange(1, SEGMENTS + 1) * distance // SEGMENTS
 
 
-def _chain_keys(fp: Column, distance: int) -> list[Column]:
-    """Keys on which two fingerprints within `distance` bits meet at least once.
+@dataclass(frozen=True)
+class Chain:
+    """A prefix of the ring's chains: `equal` bytes with budget 0, then `tail` bytes in pieces, all but the tail's budget of which
+    are equal. Two fingerprints within `distance` bits meet under some start and choice of equal pieces."""
 
-    Some start of the ring has all its chain prefixes within budget. The prefix with budget 0 is equal, and
-    of the segments up to the end of budget 1 at most one differs: a key is the start, the segment left out, and the rest.
-    """
-    limit = budgets(distance)
-    equal, near = int((limit == 0).sum()), int((limit <= 1).sum())
-    segment = [F.shiftrightunsigned(fp, 8 * k).bitwiseAND(255) for k in range(SEGMENTS)]
-    keys = []
-    for start in range(SEGMENTS):
-        for left_out in range(equal, near) if near > equal else [None]:
-            key = F.lit(start * SEGMENTS + (left_out or 0)).cast("long")
-            for step in range(near):
-                if step != left_out:
-                    key = F.shiftleft(key, 8).bitwiseOR(segment[(start + step) % SEGMENTS])
-            keys.append(key)
-    return keys
-
-
-def _linked(one: np.uint64, others: np.ndarray, start: int, distance: int) -> np.ndarray:
-    """Which of `others` keep the whole chain from `start` within its budgets and `distance` bits in all."""
-    differ = np.bitwise_count((others ^ one).astype("<u8").view(np.uint8).reshape(-1, SEGMENTS))
-    chain = np.cumsum(np.roll(differ, -start, axis=1), axis=1)
-    candidates = (chain[:, :-1] <= budgets(distance)[:-1]).all(axis=1)
-    return candidates & (chain[:, -1] <= distance)
+    distance: int
+    tail: int
+    piece: int
+
+    @property
+    def equal(self) -> int:
+        return int((budgets(self.distance) == 0).sum())
+
+    def choices(self) -> list[tuple[int, ...]]:
+        pieces = 8 * self.tail // self.piece
+        spare = int(budgets(self.distance)[self.equal + self.tail - 1])
+        return list(itertools.combinations(range(pieces), pieces - spare))
+
+    @property
+    def width(self) -> int:
+        return 8 * self.equal + self.piece * len(self.choices()[0])
+
+    def keys(self, fp: Column) -> list[Column]:
+        cut = lambda at, size: F.shiftrightunsigned(fp, at % 64).bitwiseAND((1 << size) - 1)  # noqa: E731  no piece crosses a byte
+        out = []
+        for start in range(SEGMENTS):
+            for number, chosen in enumerate(self.choices()):
+                key = F.lit(start << 8 | number).cast("long")
+                for step in range(self.equal):
+                    key = F.shiftleft(key, 8).bitwiseOR(cut(8 * (start + step), 8))
+                for k in chosen:
+                    key = F.shiftleft(key, self.piece).bitwiseOR(cut(8 * (start + self.equal) + self.piece * k, self.piece))
+                out.append(key)
+        return out
+
+
+#: Chains by distance: 24 keys of 32 bits for 3 bits apart, 48 of 16 bits for 7.
+CHAINS = {3: Chain(3, 3, 8), 7: Chain(7, 2, 4)}
+
+
+def _linked(differ: np.ndarray, starts: np.ndarray | int, distance: int) -> np.ndarray:
+    """Which XORed pairs keep the whole chain from their start within its budgets and `distance` bits in all."""
+    found = np.bitwise_count(differ) <= distance
+    at = np.flatnonzero(found)
+    bits = np.bitwise_count(differ[at].astype("<u8").view(np.uint8).reshape(-1, SEGMENTS))
+    order = (np.broadcast_to(starts, differ.shape)[at][:, None] + np.arange(SEGMENTS)) % SEGMENTS
+    chain = np.cumsum(np.take_along_axis(bits, order, axis=1), axis=1)
+    found[at] = (chain <= budgets(distance)).all(axis=1)
+    return found
 
 
 def _spanning(run: np.ndarray, start: int, distance: int) -> Iterator[tuple[int, int]]:
@@ -87,7 +114,7 @@ def _spanning(run: np.ndarray, start: int, distance: int) -> Iterator[tuple[int,
         frontier, waiting = [waiting[0]], waiting[1:]
         while frontier and len(waiting):
             one = frontier.pop()
-            hit = _linked(one, waiting, start, distance)
+            hit = _linked(waiting ^ one, start, distance)
             for other in waiting[hit]:
                 yield int(one), int(other)
             frontier.extend(waiting[hit])
@@ -95,17 +122,24 @@ def _spanning(run: np.ndarray, start: int, distance: int) -> Iterator[tuple[int,
 
 
 def _link_sorted(distance: int):
-    limit = budgets(distance)
-    width = 8 * (int((limit <= 1).sum()) - (1 if (limit == 1).any() else 0))
+    width = CHAINS[distance].width
 
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        out: list[tuple[int, int]] = []
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        for at in np.flatnonzero(np.diff(cut) > 1):
-            start = int(keys[cut[at]] >> width) // SEGMENTS
-            out.extend(_spanning(fps[cut[at] : cut[at + 1]], start, distance))
-        pairs = np.array(out, np.uint64).view(np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+        size = np.repeat(np.diff(cut), np.diff(cut))
+        starts = keys >> (width + 8)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in range(1, SMALL):  # members of short runs `step` places apart, of all runs at once
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & (size[step:] <= SMALL))
+            if not len(at):
+                break
+            at = at[_linked(fps[at] ^ fps[at + step], starts[at], distance)]
+            found.append((fps[at], fps[at + step]))
+        for at in np.flatnonzero(np.diff(cut) > SMALL):
+            pairs = list(_spanning(fps[cut[at] : cut[at + 1]], int(starts[cut[at]]), distance))
+            found.append(tuple(np.array(pairs, np.uint64).reshape(-1, 2).T))
+        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows come sorted by key; a run that the batches cut is held back until its end."""
@@ -128,28 +162,68 @@ def _link_sorted(distance: int):
 
 
 def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Spanning edges (u, v) of the links at `distance` or fewer bits between the distinct longs of column `fp`.
+    """Edges (u, v) of the links at `distance` (3 or 7) or fewer bits between the distinct longs of column `fp`: all links within
+    runs of SMALL or fewer, spanning ones within longer runs.
 
-    Every fingerprint is dealt out under 24 keys of 32 bits (for distance 3); distinct fingerprints under one
-    key differ in the other 32 bits only, so a run's length is bounded by the fingerprints that exist
-    around one chain and not by the number of documents; copies have one fingerprint.
+    Every fingerprint is dealt out under the keys of the distance's chain. Distinct fingerprints under one key of
+    32 bits differ in the other 32 only, so a run's length is bounded by the fingerprints that exist around one chain and not by
+    the number of documents; copies have one fingerprint. Keys of 16 bits (distance 7) make runs of a 65,536th of all
+    fingerprints: candidates grow with the square of the corpus beyond some hundred million documents.
     """
     spark = fps.sparkSession
-    keyed = fps.select(F.explode(F.array(*_chain_keys(F.col("fp"), distance))).alias("key"), "fp")
-    dealt = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key")
+    keyed = fps.select(F.explode(F.array(*CHAINS[distance].keys(F.col("fp")))).alias("key"), "fp")
+    dealt = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_link_sorted(distance), "u long, v long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles (signed); none without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)).view(np.int64)
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The links whose first documents' shingle sets have a Jaccard similarity of `similarity` or more.
+
+    `docs` is (doc_id, text), `distinct` (fp, first_id). Only documents that a link names are read for their sets.
+    """
+    pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("first_id").alias("doc_id"))
+
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
+
+    kept = docs.join(named, "doc_id").dropDuplicates(["fp"])
+    hashed = settle(kept.select("fp", F.arrow_udf(sets, T.ArrayType(T.LongType()))(F.col("text")).alias("s")), "sets")
+    both = pairs.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            one, two = x.values.to_numpy(), y.values.to_numpy()
+            shared = len(np.intersect1d(one, two, assume_unique=True))
+            union = len(one) + len(two) - shared
+            out.append(shared / union if union else 1.0)
+        return pa.array(out, pa.float64())
+
+    return both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and word-less texts have fingerprint zero and link like any other. Repeated rows give repeated
     result rows. A null id never becomes a component's id; a component of null ids only has a null one.
-    Other columns of `docs` are ignored; an empty table gives an empty result.
+    Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) links of
+    different fingerprints hold only between texts whose shingles of so many words are that similar (Jaccard).
     """
     signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")), "fingerprints")
     distinct = settle(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = connected_components(fingerprint_links(distinct.select("fp"), distance))
+    links = fingerprint_links(distinct.select("fp"), distance)
+    if verify:
+        links = verified_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), distinct, links, *verify)
+    roots = connected_components(links)
     members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = members.join(least, "root").select("fp", "component_id")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
@@ -61,18 +62,20 @@ def test_components_match_brute_force(spark):
     assert found == brute_components(rows)
 
 
-def test_links_between_random_fingerprints(spark):
+@pytest.mark.parametrize(("distance", "small"), [(3, 64), (3, 2), (7, 64), (7, 2)])
+def test_links_between_random_fingerprints(spark, monkeypatch, distance, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
     rnd = random.Random(2)
     base = [rnd.getrandbits(64) for _ in range(40)]
     fps = set(base)
     for f in base:
         for _ in range(10):
             g = f
-            for b in rnd.sample(range(64), rnd.randint(1, 5)):
+            for b in rnd.sample(range(64), rnd.randint(1, distance + 2)):
                 g ^= 1 << b
             fps.add(g)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance).collect()
     root = {f: f for f in signed}
 
     def find(x):
@@ -81,13 +84,33 @@ def test_links_between_random_fingerprints(spark):
         return x
 
     for u, v in links:
-        assert ((u ^ v) % 2**64).bit_count() <= 3
+        assert ((u ^ v) % 2**64).bit_count() <= distance
         root[find(u)] = find(v)
     for u in signed:
         for v in signed:
-            if ((u ^ v) % 2**64).bit_count() <= 3:
+            if ((u ^ v) % 2**64).bit_count() <= distance:
                 assert find(u) == find(v)
 
 
 def test_empty_table(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_verified_links(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    rows = []
+    for i in range(40):
+        base = rnd.choices(words, k=300)
+        rows.append((2 * i, " ".join(base)))
+        for k in rnd.sample(range(300), rnd.choice([1, 3, 6, 20])):
+            base[k] = rnd.choice(words)
+        rows.append((2 * i + 1, " ".join(base)))
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(296)} for d, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, distance=7, verify=(5, 0.8)).collect()}
+    alike = {d: len(sets[d] & sets[d - 1]) / len(sets[d] | sets[d - 1]) for d in sets if d % 2}
+    assert all(found[d] == d for d in found if d % 2 == 0) and all(found[d] in (d, d - 1) for d in found)
+    assert not any(found[d] == d - 1 for d, j in alike.items() if j < 0.8)
+    close = [d for d, j in alike.items() if j >= 0.8]
+    assert sum(found[d] == d - 1 for d in close) / len(close) > 0.8
