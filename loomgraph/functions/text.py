@@ -79,8 +79,8 @@ def keyword_place(text: Column, word: str) -> Column:
     return F.locate(word, text)
 
 
-def scan(title: Column, body: Column, dictionary: dict[str, list[str]], cap: int = 4, head: int = 4000) -> Column:
-    """Struct (codes, tier): codes found in the title (tier 1), else in the head of the body (tier 2), else none (0); by place, `cap` at most.
+def scan(title: Column, body: Column, dictionary: dict[str, list[str]], cap: int = 4, head: int | None = 4000) -> Column:
+    """Struct (codes, tier): codes found in the title (tier 1), else in the body or its head (tier 2), else none (0); by place, `cap` at most.
 
     The dictionary is a literal: taxonomy-sized, the same for every row.
     """
@@ -93,7 +93,7 @@ def scan(title: Column, body: Column, dictionary: dict[str, list[str]], cap: int
         hit = F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull()))
         return F.slice(F.transform(hit, lambda h: h["code"]), 1, cap)
 
-    in_title, in_body = found(F.coalesce(title, F.lit(""))), found(F.substring(F.coalesce(body, F.lit("")), 1, head))
+    in_title, in_body = found(F.coalesce(title, F.lit(""))), found(F.substring(F.coalesce(body, F.lit("")), 1, head) if head else F.coalesce(body, F.lit("")))
     tier = F.when(F.size(in_title) > 0, 1).when(F.size(in_body) > 0, 2).otherwise(0)
     return F.struct(F.when(F.size(in_title) > 0, in_title).otherwise(in_body).alias("codes"), tier.alias("tier"))
 

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Query vectors that are broadcast.
+ANCHORS = 2000
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -18,12 +22,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def top_k_similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score) of the k nearest by cosine. `queries` is a handful of anchors, checked; rows stay where they are and the
-    group limit cuts to k a query in each task before the shuffle."""
-    if queries.count() > 1000:
-        raise ValueError("queries are anchors, 1000 at most")
+    """(query, key, score) of the k nearest by cosine. Up to ANCHORS queries, counted, are broadcast and the rows stay where they are;
+    more are met in blocks. The group limit cuts to k a query in each task before the shuffle."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    scored = rows.join(F.broadcast(q), F.col("query") != F.col(key)).select("query", key, F.round(cosine(F.col("qv"), F.col(vector)), 6).alias("score"))
+    q = F.broadcast(q) if queries.limit(ANCHORS + 1).count() <= ANCHORS else q
+    scored = rows.join(q, F.col("query") != F.col(key)).select("query", key, F.round(cosine(F.col("qv"), F.col(vector)), 6).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -153,9 +153,9 @@ def gaps(spark, sf_dir):
     return all_gaps(spark, sf_dir).withColumn("gap", F.round("gap", 6))
 
 
-# half of the task-skill edges are left out, so that new ones can be synthesised
+# weak task-skill edges are no base edges, so that new ones can be synthesised
 @query("gap_synthesis", f"""WITH {freq_sql()}, {_ALL_EDGES}, {STRENGTHS_SQL},
-kept AS (SELECT * FROM edges WHERE relation <> 'task_skill' OR regexp_extract(dst, '([0-9]+)', 1)::INT % 2 = 0),
+kept AS (SELECT * FROM edges WHERE relation <> 'task_skill' OR weight >= 0.15::DOUBLE),
 t AS (SELECT id, gap FROM gaps WHERE kind = 'task'), s AS (SELECT id, gap FROM gaps WHERE kind = 'skill'),
 raw AS (
   SELECT relation, src, dst, weight AS base, {P.LAMBDA_J}::DOUBLE * coalesce(t.gap, s.gap, 0) AS delta, 'base' AS origin FROM kept LEFT JOIN t ON dst = t.id AND relation = 'job_task' LEFT JOIN s ON dst = s.id AND relation = 'job_skill' WHERE relation IN ('job_task', 'job_skill')
@@ -165,7 +165,7 @@ raw AS (
     ORDER BY {P.LAMBDA_TS}::DOUBLE * t.gap * s.gap DESC, t.id, s.id LIMIT {P.MAX_NEW_TS}))
 SELECT relation, src, dst, base AS base_weight, round_even(delta, 4) AS delta_weight, round_even(base + delta, 4) AS effective_weight, origin FROM raw""")
 def gap_synthesis(spark, sf_dir):
-    edges = all_edges(spark, sf_dir).where("relation <> 'task_skill' OR int(regexp_extract(dst, '([0-9]+)', 1)) % 2 = 0")
+    edges = all_edges(spark, sf_dir).where("relation <> 'task_skill' OR weight >= 0.15D")
     return graph.synthesize(edges, all_gaps(spark, sf_dir), P.LAMBDA_J, P.LAMBDA_TS, P.LAMBDA_SP, P.MAX_NEW_TS)
 
 

@@ -129,14 +129,14 @@ def must_plus_def(spark, sf_dir):
 
 
 _CANDIDATES = """cand AS (SELECT o_custkey AS candidate, p_brand AS skill, max(CASE WHEN l_quantity <= 5 THEN NULL WHEN l_quantity <= 15 THEN 1 WHEN l_quantity <= 28 THEN 2 WHEN l_quantity <= 42 THEN 3 ELSE 4 END) AS observed, bool_or(l_returnflag <> 'R') AS verified, count(*) > 3 AND max(l_linestatus) = 'O' AS unknown
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey % 40 = 0 GROUP BY ALL)"""
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 _GAPS = f"""{_JOBS}, {_CANDIDATES}, who AS (SELECT DISTINCT candidate, c_mktsegment AS job FROM cand JOIN customer ON candidate = c_custkey),
 gaps AS (SELECT w.candidate, r.job, r.skill, r.requirement, r.median, observed, CASE WHEN c.skill IS NULL THEN 'LEARN' WHEN NOT verified OR unknown THEN 'EVIDENCE_INSUFFICIENT' WHEN median IS NULL THEN 'SATISFIED' WHEN observed IS NULL THEN 'EVIDENCE_INSUFFICIENT' WHEN observed < median THEN 'LEVEL_GAP' ELSE 'SATISFIED' END AS gap
   FROM who w JOIN req r ON w.job = r.job LEFT JOIN cand c ON c.candidate = w.candidate AND c.skill = r.skill)"""
 
 
 def _gaps(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").where("o_custkey % 40 = 0").select("o_orderkey", F.col("o_custkey").alias("candidate"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("candidate"))
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), "l_returnflag", "l_linestatus")
     part = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("skill"))
     held = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -175,33 +175,31 @@ def five_dim_fit(spark, sf_dir):
     return rows.select("candidate", "job", F.round(matching.five_dimension_score(F.col("skill"), F.col("task"), experience, degree, F.lit(1.0)), 6).alias("fit"))
 
 
-# nations need regions, suppliers need their nation and the supplier before them in it
-_EDGES = "e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS needs FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || p FROM (SELECT s_suppkey, lag(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS p FROM supplier) WHERE p IS NOT NULL)"
+# nations need regions; suppliers need their nation and the first supplier of it
+_EDGES = "e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS needs FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || f FROM (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS f FROM supplier) WHERE f <> s_suppkey)"
 
 
 def _dag(spark, sf_dir):
     named = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
-    nation, supplier = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier").where("s_suppkey < 100")
-    before = supplier.withColumn("p", F.lag("s_suppkey").over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("p IS NOT NULL")
+    nation, supplier = load(spark, sf_dir, "nation"), load(spark, sf_dir, "supplier")
+    first = supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("f"))
     edges = nation.select(named("n", "n_nationkey").alias("id"), named("r", "n_regionkey").alias("needs"))
     edges = edges.unionByName(supplier.select(named("s", "s_suppkey").alias("id"), named("n", "s_nationkey").alias("needs")))
-    return edges.unionByName(before.select(named("s", "s_suppkey").alias("id"), named("s", "p").alias("needs")))
+    later = supplier.join(first, "s_nationkey").where("f <> s_suppkey")
+    return edges.unionByName(later.select(named("s", "s_suppkey").alias("id"), named("s", "f").alias("needs")))
 
 
-_EDGES_100 = _EDGES.replace("FROM supplier", "FROM (FROM supplier WHERE s_suppkey < 100)")
-
-
-@query("dag_topo", f"WITH RECURSIVE {_EDGES_100}, l AS (SELECT id, 0 AS level FROM (SELECT needs AS id FROM e EXCEPT SELECT id FROM e) UNION SELECT e.id, l.level + 1 FROM e JOIN l ON e.needs = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
+@query("dag_topo", f"WITH RECURSIVE {_EDGES}, l AS (SELECT id, 0 AS level FROM (SELECT needs AS id FROM e EXCEPT SELECT id FROM e) UNION SELECT e.id, l.level + 1 FROM e JOIN l ON e.needs = l.id) SELECT id, max(level) AS level FROM l GROUP BY id")
 def dag_topo(spark, sf_dir):
     edges = _dag(spark, sf_dir)
     nodes = edges.select(F.explode(F.array("id", "needs")).alias("id")).distinct()
     return matching.levels(nodes, edges)
 
 
-@query("prereq_closure", f"WITH RECURSIVE {_EDGES_100}, c AS (SELECT id AS goal, id FROM (SELECT DISTINCT id FROM e WHERE id LIKE 's_%' AND substr(id, 2)::INT % 10 = 0) UNION SELECT c.goal, e.needs FROM c JOIN e ON e.id = c.id) SELECT goal, id FROM c")
+@query("prereq_closure", f"WITH RECURSIVE {_EDGES}, c AS (SELECT id AS goal, id FROM (SELECT DISTINCT id FROM e) UNION SELECT c.goal, e.needs FROM c JOIN e ON e.id = c.id) SELECT goal, id FROM c")
 def prereq_closure(spark, sf_dir):
     edges = _dag(spark, sf_dir)
-    return matching.prerequisite_closure(edges, edges.where("id LIKE 's%' AND int(substr(id, 2)) % 10 = 0").select("id").distinct())
+    return matching.prerequisite_closure(edges, edges.select("id").distinct())
 
 
 @query("micro_prf", """WITH r AS (SELECT doc_id, list_filter([CASE WHEN quality = 1 THEN 'good' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL) AS gold, list_filter([CASE WHEN n_chars > 400 THEN 'good' END, CASE WHEN contains(text, '!!') THEN 'toxic' END], lambda x: x IS NOT NULL) AS pred FROM labels JOIN documents USING (doc_id)),

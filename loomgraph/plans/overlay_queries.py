@@ -1,4 +1,4 @@
-"""Overlay evidence bound to `events`: a user group is an entity, an event a document, its type the source and tier."""
+"""Overlay evidence bound to `events`: a slice of a user is an entity, an event a document, its type the source and tier."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from loomgraph.sources.tables import load
 QUERIES, ORACLES, query = registry()
 
 _END = "2024-01-25"
-_EVIDENCE = """SELECT concat('E', user_id % 40) AS entity, event_id AS doc_id,
+_EVIDENCE = """SELECT concat('E', user_id, '-', event_id % 16) AS entity, event_id AS doc_id,
   CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS date,
   CASE event_type WHEN 'purchase' THEN 'jd' WHEN 'signup' THEN 'papers' WHEN 'click' THEN 'papers' ELSE 'news' END AS source,
   CASE event_type WHEN 'signup' THEN 'A' WHEN 'click' THEN 'C' ELSE '' END AS tier,
   CASE WHEN value < 10 THEN 'low' WHEN value < 50 THEN 'medium' ELSE 'high' END AS confidence,
-  CASE WHEN event_id % 3 = 0 THEN 'require' ELSE 'scan' END AS grade FROM events WHERE event_id % 97 < 9"""
+  CASE WHEN event_id % 3 = 0 THEN 'require' ELSE 'scan' END AS grade FROM events"""
 
 
 def evidence(spark, sf_dir):
@@ -42,9 +42,9 @@ def evidence_contrib(spark, sf_dir):
     return evidence(spark, sf_dir).select("doc_id", "entity", F.round("contrib", 6).alias("contrib"))
 
 
-@query("noisy_or_strength", f"WITH {_SQL} SELECT entity, source, round(1 - product(1 - contrib), 6) AS strength FROM evidence WHERE doc_id % 2 = 0 GROUP BY ALL")
+@query("noisy_or_strength", f"WITH {_SQL} SELECT entity, source, round(1 - product(1 - contrib), 6) AS strength FROM evidence GROUP BY ALL")
 def noisy_or_strength(spark, sf_dir):
-    rows = evidence(spark, sf_dir).where("doc_id % 2 = 0")
+    rows = evidence(spark, sf_dir)
     return rows.groupBy("entity", "source").agg(F.round(overlay.noisy_or(F.col("contrib")), 6).alias("strength"))
 
 
@@ -75,12 +75,12 @@ def merge_named_sources(spark, sf_dir):
     return overlay.merge_same_name(rows, F.lower(F.regexp_replace("name", r"[\s、，,.;·_（）()-]", "")), ["papers", "jd", "news"])
 
 
-@query("evidence_upsert", """WITH s AS (SELECT event_id, user_id, value, 1 AS seq FROM events WHERE event_id % 2 = 0), b AS (SELECT event_id, user_id, value * 2 AS value, 2 AS seq FROM events WHERE event_id % 3 = 0)
+@query("evidence_upsert", """WITH s AS (SELECT event_id, user_id, value, 1 AS seq FROM events), b AS (SELECT event_id, user_id, value * 2 AS value, 2 AS seq FROM events WHERE value > 20)
 SELECT event_id, max_by(value, seq) AS value, max(seq) AS seq FROM (FROM s UNION ALL FROM b UNION ALL FROM b) GROUP BY event_id""")
 def evidence_upsert(spark, sf_dir):
     events = load(spark, sf_dir, "events").select("event_id", "value")
-    state = events.where("event_id % 2 = 0").withColumn("seq", F.lit(1))
-    batch = events.where("event_id % 3 = 0").withColumn("value", F.col("value") * 2).withColumn("seq", F.lit(2))
+    state = events.withColumn("seq", F.lit(1))
+    batch = events.where("value > 20").withColumn("value", F.col("value") * 2).withColumn("seq", F.lit(2))
     return overlay.upsert(state, batch.unionByName(batch), ["event_id"], "seq")
 
 

@@ -85,9 +85,9 @@ def composite_key_join(spark, sf_dir):
     return lines.join(orders, ["l_orderkey", "y"]).select("l_orderkey", "l_linenumber", "o_orderpriority", "l_quantity")
 
 
-@query("code_name_lookup", "SELECT s_suppkey, coalesce(n_name, s_nationkey::VARCHAR) AS nation, coalesce(r_name, '') AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 5 <> 0 LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("code_name_lookup", "SELECT s_suppkey, coalesce(n_name, s_nationkey::VARCHAR) AS nation, coalesce(r_name, '') AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2 LEFT JOIN region ON n_regionkey = r_regionkey")
 def code_name_lookup(spark, sf_dir):
-    nation = load(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0")
+    nation = load(spark, sf_dir, "nation").where("n_regionkey <> 2")
     rows = load(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return rows.select("s_suppkey", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("nation"), F.coalesce("r_name", F.lit("")).alias("region"))
 
@@ -124,14 +124,14 @@ def hash_topk(spark, sf_dir):
     return sampling.hash_top_k(load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, "presample")
 
 
-_STRATA = """c AS (SELECT o_orderpriority AS s, count(*) AS n, sum(count(*)) OVER () AS total FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0 GROUP BY 1),
+_STRATA = """c AS (SELECT o_orderpriority AS s, count(*) AS n, sum(count(*)) OVER () AS total FROM orders GROUP BY 1),
 k AS (SELECT s, n, CASE WHEN 400.0 / total >= 1 OR n <= 30 THEN n ELSE least(n, greatest(30, round_even(least(1.0::DOUBLE, 400::DOUBLE / total) * n, 0)::BIGINT)) END AS k FROM c),
-r AS (SELECT o_orderkey, o_orderpriority AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || 'strata'), o_orderkey) AS r FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0)"""
+r AS (SELECT o_orderkey, o_orderpriority AS s, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey::VARCHAR || 'strata'), o_orderkey) AS r FROM orders)"""
 
 
 @query("stratified_sample", f"WITH {_STRATA} SELECT o_orderkey, r.s AS o_orderpriority, round_even(n::DOUBLE / k, 4) AS weight FROM r JOIN k ON r.s = k.s WHERE r.r <= k.k")
 def stratified_sample(spark, sf_dir):
-    rows = load(spark, sf_dir, "orders").where("o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' OR o_orderkey % 50 = 0").select("o_orderkey", "o_orderpriority")
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return sampling.stratified_sample(rows, "o_orderkey", "o_orderpriority", 400, P.SAMPLE_FLOOR, "strata")
 
 

@@ -10,15 +10,23 @@ from loomgraph.sources.tables import load
 
 QUERIES, ORACLES, query = registry()
 
-_MONTHLY = """m AS (SELECT c_mktsegment AS job, year(o_orderdate) * 12 + month(o_orderdate) AS idx, count(*)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderkey % 7 < 3 GROUP BY ALL)"""
+_MONTHLY = """m AS (SELECT c_mktsegment AS job, year(o_orderdate) * 12 + month(o_orderdate) AS idx, count(*)::DOUBLE AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
 
 
 def monthly(spark, sf_dir):
-    orders = load(spark, sf_dir, "orders").where("o_orderkey % 7 < 3").selectExpr("o_custkey AS c_custkey", "year(o_orderdate) * 12 + month(o_orderdate) AS idx")
+    orders = load(spark, sf_dir, "orders").selectExpr("o_custkey AS c_custkey", "year(o_orderdate) * 12 + month(o_orderdate) AS idx")
     return orders.join(load(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("job")), "c_custkey").groupBy("job", "idx").agg(F.count("*").cast("double").alias("v"))
 
 
+# purchases of a user by day: days without one are gaps
+_SPARSE = "s AS (SELECT user_id, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, round(sum(value), 4) AS v FROM events WHERE event_type = 'purchase' GROUP BY ALL)"
+
+
+def sparse(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return rows.groupBy("user_id", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01")).alias("day")).agg(F.round(F.sum("value"), 4).alias("v"))
+
+
 @query("window_label", "SELECT strftime(o_orderdate, '%Y-%m') AS window, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS quarter, min(date_trunc('month', o_orderdate))::DATE AS start_date, max(last_day(o_orderdate)) AS end_date, count(*) AS n FROM orders GROUP BY 1, 2")
 def window_label(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d"))
@@ -63,14 +71,14 @@ def layer_peak_norm(spark, sf_dir):
     return rows.join(F.broadcast(rows.agg(F.max("v").alias("peak")))).select("job", "idx", F.round(F.col("v") / F.col("peak"), 6).alias("r"))
 
 
-@query("consecutive_diff", f"WITH {_MONTHLY} SELECT job, idx, CASE WHEN idx - lag(idx) OVER w = 1 THEN v - lag(v) OVER w END AS diff FROM m WHERE idx % 5 <> 0 WINDOW w AS (PARTITION BY job ORDER BY idx)")
+@query("consecutive_diff", f"WITH {_SPARSE} SELECT user_id, day, CASE WHEN day - lag(day) OVER w = 1 THEN round(v - lag(v) OVER w, 4) END AS diff FROM s WINDOW w AS (PARTITION BY user_id ORDER BY day)")
 def consecutive_diff(spark, sf_dir):
-    return monthly(spark, sf_dir).where("idx % 5 <> 0").select("job", "idx", series.difference(["job"], "idx", "v").alias("diff"))
+    return sparse(spark, sf_dir).select("user_id", "day", F.round(series.difference(["user_id"], "day", "v"), 4).alias("diff"))
 
 
-@query("dense_calendar", f"WITH {_MONTHLY}, s AS (FROM m WHERE (idx + length(job)) % 4 <> 0) SELECT a.job, x.idx, s.v FROM (SELECT DISTINCT job FROM s) a CROSS JOIN (SELECT DISTINCT idx FROM s) x LEFT JOIN s ON s.job = a.job AND s.idx = x.idx")
+@query("dense_calendar", f"WITH {_SPARSE} SELECT a.user_id, x.day, s.v FROM (SELECT DISTINCT user_id FROM s) a CROSS JOIN (SELECT DISTINCT day FROM s) x LEFT JOIN s ON s.user_id = a.user_id AND s.day = x.day")
 def dense_calendar(spark, sf_dir):
-    return series.dense(monthly(spark, sf_dir).where("(idx + length(job)) % 4 <> 0"), ["job"], "idx", "v")
+    return series.dense(sparse(spark, sf_dir), ["user_id"], "day", "v")
 
 
 @query("baseline_compare", f"WITH {_MONTHLY}, p AS (SELECT job, max(v) FILTER (idx = 1995 * 12 + 6) AS a, max(v) FILTER (idx = 1996 * 12 + 6) AS b FROM m GROUP BY job) SELECT job, CASE WHEN coalesce(a, 0) = 0 THEN 'new' WHEN coalesce(b, 0) = 0 THEN 'gone' WHEN b / a > 1.04 THEN 'up' WHEN b / a < 0.96 THEN 'down' ELSE 'flat' END AS state FROM p")

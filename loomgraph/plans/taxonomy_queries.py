@@ -40,18 +40,18 @@ def source_inventory(spark, sf_dir):
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("rule_coverage", "WITH d AS (SELECT DISTINCT md5(text) AS k, CASE WHEN text LIKE '%GNU%' THEN 'excluded' WHEN regexp_matches(substr(text, 1, 200), ' (der|les|los|the) ') THEN 'tier1' WHEN regexp_matches(text, ' (und|par|por|and) ') THEN 'tier2' ELSE 'miss' END AS tier FROM documents) SELECT tier, count(*) AS n FROM d GROUP BY tier")
+@query("rule_coverage", "WITH d AS (SELECT DISTINCT md5(text) AS k, CASE WHEN text LIKE '%GNU%' THEN 'excluded' WHEN regexp_matches(text, ' (der|les|los) ') THEN 'tier1' WHEN regexp_matches(text, ' (und|par|por|and) ') THEN 'tier2' ELSE 'miss' END AS tier FROM documents) SELECT tier, count(*) AS n FROM d GROUP BY tier")
 def rule_coverage(spark, sf_dir):
     text = F.col("text")
-    tiers = [("excluded", text.contains("GNU")), ("tier1", F.regexp_like(F.substring(text, 1, 200), F.lit(" (der|les|los|the) "))), ("tier2", F.regexp_like(text, F.lit(" (und|par|por|and) ")))]
+    tiers = [("excluded", text.contains("GNU")), ("tier1", F.regexp_like(text, F.lit(" (der|les|los) "))), ("tier2", F.regexp_like(text, F.lit(" (und|par|por|and) ")))]
     return taxonomy.coverage(load(spark, sf_dir, "documents"), F.md5("text"), tiers)
 
 
-@query("taxonomy_completeness", "WITH n AS (SELECT c_nationkey AS id FROM customer WHERE c_custkey < 60), h AS (SELECT s_nationkey AS id FROM supplier WHERE s_suppkey < 6 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1), r AS (SELECT n_nationkey + 10 AS id FROM nation) SELECT 'duplicate' AS problem, id FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'unhandled', id FROM n WHERE id NOT IN (FROM h) UNION ALL SELECT DISTINCT 'unknown_reference', id FROM r WHERE id NOT IN (FROM n)")
+@query("taxonomy_completeness", "WITH n AS (SELECT c_nationkey AS id FROM customer WHERE c_acctbal > 9600), h AS (SELECT s_nationkey AS id FROM supplier WHERE s_acctbal > 9000 UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 1), r AS (SELECT n_nationkey + 10 AS id FROM nation) SELECT 'duplicate' AS problem, id FROM n GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'unhandled', id FROM n WHERE id NOT IN (FROM h) UNION ALL SELECT DISTINCT 'unknown_reference', id FROM r WHERE id NOT IN (FROM n)")
 def taxonomy_completeness(spark, sf_dir):
     nation = load(spark, sf_dir, "nation")
-    nodes = load(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("id"))
-    handled = [load(spark, sf_dir, "supplier").where("s_suppkey < 6").select(F.col("s_nationkey").alias("id")), nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"))]
+    nodes = load(spark, sf_dir, "customer").where("c_acctbal > 9600").select(F.col("c_nationkey").alias("id"))
+    handled = [load(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("id")), nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("id"))]
     return taxonomy.completeness(nodes, handled, nation.select((F.col("n_nationkey") + 10).alias("id")))
 
 
@@ -67,9 +67,9 @@ def interleave_rankings(spark, sf_dir):
     return taxonomy.interleave(rows, "lang", [F.desc("n_chars"), "doc_id"], 30).select("doc_id", "lang")
 
 
-@query("interval_overlap", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(0, least(a.p_size + 10, b.p_size + 20) - greatest(a.p_size, b.p_size))::DOUBLE / 10, 6) AS ratio FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND b.p_partkey < 400")
+@query("interval_overlap", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(0, least(a.p_size + 10, b.p_size + 20) - greatest(a.p_size, b.p_size))::DOUBLE / 10, 6) AS ratio FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def interval_overlap(spark, sf_dir):
-    part = load(spark, sf_dir, "part").where("p_partkey < 400").select("p_partkey", "p_name", "p_size")
+    part = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_brand").alias("p_name"), "p_size")
     a, b = part.toDF("a", "name", "s1"), part.toDF("b", "name", "s2")
     ratio = taxonomy.overlap_ratio(F.col("s1"), F.col("s1") + 10, F.col("s2"), F.col("s2") + 20)
     return a.join(b, "name").where("a < b").select("a", "b", F.round(ratio, 6).alias("ratio"))
@@ -91,16 +91,16 @@ def best_item_per_group(spark, sf_dir):
     return best.select("p_type", "g", "b.p_name", (-F.col("b.m")).alias("n"))
 
 
-@query("inferred_profile", """WITH p AS (SELECT p_brand AS entity, p_name AS item, count(*)::DOUBLE AS weight FROM part GROUP BY ALL), s AS (FROM p WHERE regexp_extract(entity, '([0-9]+)', 1)::INT <= 5), nb AS (SELECT DISTINCT a.entity, b.entity AS neighbour, 1.0::DOUBLE / (1 + abs(regexp_extract(a.entity, '([0-9]+)', 1)::INT - regexp_extract(b.entity, '([0-9]+)', 1)::INT)) AS similarity FROM s a, p b WHERE regexp_extract(b.entity, '([0-9]+)', 1)::INT BETWEEN 6 AND 8),
+@query("inferred_profile", """WITH p AS (SELECT p_brand AS entity, p_name AS item, count(*)::DOUBLE AS weight FROM part GROUP BY ALL), s AS (FROM p), nb AS (SELECT DISTINCT a.entity, b.entity AS neighbour, 1.0::DOUBLE / (1 + abs(regexp_extract(a.entity, '([0-9]+)', 1)::INT - regexp_extract(b.entity, '([0-9]+)', 1)::INT)) AS similarity FROM s a, p b WHERE a.entity <> b.entity),
 o AS (SELECT entity, item, 0.75::DOUBLE * weight / max(weight) OVER (PARTITION BY entity) AS w FROM s), l0 AS (SELECT nb.entity, item, sum(similarity * weight) AS x FROM nb JOIN p ON p.entity = neighbour GROUP BY ALL), l AS (SELECT entity, item, 0.25::DOUBLE * x / max(x) OVER (PARTITION BY entity) AS w FROM l0),
 m AS (SELECT entity, item, sum(w) AS w FROM (FROM o UNION ALL FROM l) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY round(w, 9) DESC, item) AS r, max(w) OVER (PARTITION BY entity) AS top FROM m), k AS (FROM r WHERE w >= 0.12::DOUBLE * top AND r <= 24)
 SELECT entity, item, round(w / sum(w) OVER (PARTITION BY entity), 4) AS weight FROM k""")
 def inferred_profile(spark, sf_dir):
     profiles = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("entity"), F.col("p_name").alias("item")).agg(F.count("*").cast("double").alias("weight"))
     number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("int")
-    signal = profiles.where(number("entity") <= 5)
-    near = profiles.where(number("entity").between(6, 8)).select(F.col("entity").alias("neighbour")).distinct()
-    neighbours = signal.select("entity").distinct().crossJoin(F.broadcast(near)).withColumn("similarity", 1.0 / (1 + F.abs(number("entity") - number("neighbour"))))
+    signal = profiles
+    near = profiles.select(F.col("entity").alias("neighbour")).distinct()
+    neighbours = signal.select("entity").distinct().join(F.broadcast(near), F.col("entity") != F.col("neighbour")).withColumn("similarity", 1.0 / (1 + F.abs(number("entity") - number("neighbour"))))
     return taxonomy.inferred_profile(signal, neighbours, profiles, "item")
 
 

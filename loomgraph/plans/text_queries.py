@@ -98,9 +98,9 @@ def candidate_pool(spark, sf_dir):
 _SENTENCES = "list_transform(list_filter(list_transform(regexp_extract_all(text, '[^。；;！？!?\\n]*[。；;！？!?]|[^。；;！？!?\\n]+'), lambda s: trim(regexp_replace(s, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), lambda s: length(s) >= 4), lambda s: substr(s, 1, 200))"
 
 
-@query("sentence_split", f"SELECT doc_id, i::INT AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE lang = 'es'), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
+@query("sentence_split", f"SELECT doc_id, i::INT AS pos, s[i] AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)")
 def sentence_split(spark, sf_dir):
-    rows = documents(spark, sf_dir).where("lang = 'es'")
+    rows = documents(spark, sf_dir)
     return rows.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos") + 1)
 
 
@@ -117,12 +117,12 @@ def section_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.length(kept).cast("long").alias("n_kept"))
 
 
-@query("evidence_collect", f"""WITH s AS (SELECT doc_id, i, s[i] AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents WHERE lang = 'en'), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
-t AS (SELECT token AS term FROM (SELECT unnest({_TOKENS}) AS token FROM documents WHERE lang = 'en') GROUP BY token HAVING count(*) BETWEEN 5 AND 20 AND regexp_matches(token, '^[a-z0-9]+$')),
+@query("evidence_collect", f"""WITH s AS (SELECT doc_id, i, s[i] AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
+t AS (SELECT token AS term FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token HAVING count(*) BETWEEN 5 AND 20 AND regexp_matches(token, '^[a-z0-9]+$')),
 w AS (SELECT DISTINCT doc_id, i, sentence, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS term FROM s), h AS (SELECT term, doc_id, arg_min(sentence, i) AS sentence FROM w JOIN t USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS r FROM h) SELECT term, doc_id, sentence FROM r WHERE r <= 3""")
 def evidence_collect(spark, sf_dir):
-    rows = documents(spark, sf_dir).where("lang = 'en'")
+    rows = documents(spark, sf_dir)
     terms = mining.document_frequency(rows, T.english_tokens(F.col("text"))).where("df BETWEEN 5 AND 20 AND token RLIKE '^[a-z0-9]+$'").withColumnRenamed("token", "term")
     return mining.first_sentences(rows, "doc_id", T.sentences(F.col("text")), terms, 3)
 
@@ -135,9 +135,9 @@ def _hit(column: str, words: list[str]) -> str:
 
 
 @query("keyword_scan_tier", "SELECT doc_id, array_to_string(list_sort(codes), ',') AS codes, tier FROM (SELECT doc_id, " + " || ".join(f"CASE WHEN ({_hit('head', w)}) THEN ['{c}'] ELSE [] END" for c, w in _DICTIONARY.items()) + " AS in_title, " + " || ".join(f"CASE WHEN ({_hit('body', w)}) THEN ['{c}'] ELSE [] END" for c, w in _DICTIONARY.items())
-       + " AS in_body, CASE WHEN len(in_title) > 0 THEN in_title ELSE in_body END AS codes, CASE WHEN len(in_title) > 0 THEN 1 WHEN len(in_body) > 0 THEN 2 ELSE 0 END AS tier FROM (SELECT doc_id, substr(text, 1, 12) AS head, substr(text, 1, 4000) AS body FROM documents))")
+       + " AS in_body, CASE WHEN len(in_title) > 0 THEN in_title ELSE in_body END AS codes, CASE WHEN len(in_title) > 0 THEN 1 WHEN len(in_body) > 0 THEN 2 ELSE 0 END AS tier FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head, text AS body FROM documents))")
 def keyword_scan_tier(spark, sf_dir):
-    found = T.scan(F.substring("text", 1, 12), F.col("text"), _DICTIONARY)
+    found = T.scan(F.substring_index("text", "\n", 1), F.col("text"), _DICTIONARY, head=None)
     return documents(spark, sf_dir).select("doc_id", found.alias("f")).select("doc_id", F.array_join(F.array_sort("f.codes"), ",").alias("codes"), F.col("f.tier").alias("tier"))
 
 
@@ -156,13 +156,13 @@ def bigram_jaccard(spark, sf_dir):
     return pairs.select("a", "b", F.round(T.bigram_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-_TF = f"""w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#._-]*'), lambda t: regexp_replace(t, '[._-]+$', '')), lambda t: length(t) >= 2) AS w FROM conversations WHERE role = 'user'),
+_TF = f"""w AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#._-]*'), lambda t: regexp_replace(t, '[._-]+$', '')), lambda t: length(t) >= 2) AS w FROM conversations),
 tf AS (SELECT conv_id * 1000 + turn AS doc, token, count(*) AS tf FROM (SELECT conv_id, turn, unnest(w) AS token FROM w) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 raw AS (SELECT doc, token, (1 + ln(tf)) * ln(((SELECT count(*) FROM w) + 1) / (df + 0.5::DOUBLE)) AS x FROM tf JOIN df USING (token)), v AS (SELECT doc, token, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS weight FROM raw)"""
 
 
 def _tfidf(spark, sf_dir):
-    rows = load(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), "text")
     return mining.tfidf(rows, "doc", T.tfidf_tokens(F.col("text")))
 
 
@@ -172,10 +172,10 @@ def tfidf_top_terms(spark, sf_dir):
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("weight"), "token"))).where(F.col("_r") <= 5).drop("_r")
 
 
-@query("tfidf_cosine_topk", f"WITH {_TF}, s AS (SELECT a.doc AS query, b.doc, sum(a.weight * b.weight) AS score FROM v a JOIN v b ON a.token = b.token AND a.doc <> b.doc WHERE a.doc % 7000 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+@query("tfidf_cosine_topk", f"WITH {_TF}, s AS (SELECT a.doc AS query, b.doc, sum(a.weight * b.weight) AS score FROM v a JOIN v b ON a.token = b.token AND a.doc <> b.doc WHERE a.doc // 1000 % 50 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM s) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def tfidf_cosine_topk(spark, sf_dir):
     vectors = _tfidf(spark, sf_dir)
-    return mining.sparse_cosine_top_k(vectors, "doc", vectors.where("doc % 7000 = 0"), 5).withColumn("score", F.round("score", 6))
+    return mining.sparse_cosine_top_k(vectors, "doc", vectors.where("doc div 1000 % 50 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
 @query("json_props", "SELECT event_type, (props->>'$.k')::INT // 10 AS bucket, count(*) AS n, max((props->>'$.k')::INT) AS most FROM events GROUP BY ALL")
