@@ -86,8 +86,8 @@ def learn_profiles(rows: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     labelled = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = labelled.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    top = counts.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "code", "rank").toPandas()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))  # a group limit: each task cuts its own rows first
+    top = counts.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("rank")).toPandas()
     languages = tuple(sorted(top["lang"].unique()))
     codes = np.unique(top["code"].to_numpy(np.int64))
     ranks = np.full((len(codes), len(languages)), size, np.int64)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.llm.shared import settle, tasks
@@ -20,12 +21,12 @@ END = 1
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WORD_END = "</w>"
 #: Chunks whose ids a worker keeps in each of two generations.
-KEPT = 400_000
+KEPT = 200_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2000
 #: Bytes of text that are encoded together.
-STRIDE = 2_000_000
-#: Parts that the pieces of one length are dealt to while they are numbered.
+STRIDE = 8_000_000
+#: Parts at least that the pieces of one length are dealt to while they are numbered.
 DEALT = 256
 
 
@@ -77,7 +78,11 @@ class ChunkEncoder:
         for at in range(0, len(chunks), TOGETHER):
             part = chunks[at : at + TOGETHER]
             texts = [c.decode("utf-8") for c in part]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            joined = " ".join(texts)
+            if words:  # the fast form keeps no offsets
+                found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+            else:
+                found = self.tokenizer.encode(joined, add_special_tokens=False)
             ids = np.array(found.ids, self.kind)
             bounds = (self._bounds(ids, texts, found, words) * self.kind.itemsize).tolist()
             packed = ids.tobytes()
@@ -87,7 +92,8 @@ class ChunkEncoder:
     def _learn(self, chunks: set[bytes]) -> None:
         stems: dict[bytes, bytes] = {}
         unknown = []
-        for chunk in chunks:
+        self.young[b""] = b""
+        for chunk in chunks - {b""}:
             ids = self.old.get(chunk)
             if ids is not None:
                 self.young[chunk] = ids
@@ -101,15 +107,32 @@ class ChunkEncoder:
         for chunk, stem in stems.items():
             self.young[chunk] = self.young[stem] + (self.young[chunk[len(stem) :]] if len(stem) < len(chunk) else b"")
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text."""
-        split = [None if self.special and self.special.search(t) else t.encode("utf-8").split() for t in texts]
-        wanted = set().union(*(s for s in split if s))
-        if len(self.young) + len(wanted) > KEPT:
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct chunks, learning those that aren't kept."""
+        if len(self.young) + len(chunks) > KEPT:
             self.young, self.old = {}, self.young
-        self._learn(wanted.difference(self.young))
-        for text, chunks in zip(texts, split):
-            yield self._whole(text) if chunks is None else np.frombuffer(b"".join(map(self.young.__getitem__, chunks)), self.kind)
+        self._learn(set(chunks).difference(self.young))
+        return list(map(self.young.__getitem__, chunks))
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text. Arrow splits the texts and numbers their distinct chunks; only those go through the tables."""
+        whole = {i for i, t in enumerate(texts) if self.special and self.special.search(t)}
+        column = pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string())
+        words = pc.ascii_split_whitespace(column)
+        coded = words.values.dictionary_encode()
+        packed = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
+        flat = np.frombuffer(b"".join(packed), self.kind)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        starts = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy()
+        length = sizes[index]
+        ends = np.cumsum(length)
+        # token k of a word is token start + k of its chunk
+        source = np.repeat(starts[index] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids = flat[source]
+        bounds = np.r_[0, ends][words.offsets.to_numpy()]
+        for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+            yield self._whole(texts[i]) if i in whole else ids[a:b]
 
 
 @functools.cache
@@ -233,11 +256,12 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...) of 1..capacity tokens.
 
     The driver sees the histogram of lengths (at most `capacity` rows) and plans runs of equal bins from it. Pieces of one
-    length are numbered in parts, so that a length which a third of all pieces have is no single task: a part's first
-    number is the sum of the parts before it, of which there are capacity * DEALT at most.
+    length are numbered in parts, as many as there are tasks, so that a length which a third of all pieces have is no
+    single task: a part's first number is the sum of the parts of that length before it.
     """
     spark = pieces.sparkSession
-    kept = settle(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(DEALT)).cast("int")), "pieces")
+    parts = max(DEALT, tasks(spark))
+    kept = settle(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")), "pieces")
     by_part = kept.groupBy("length", "part").count()
     counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = Packing(capacity, counts).placed

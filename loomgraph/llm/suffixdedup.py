@@ -441,7 +441,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = by_block.cogroup(copies.groupBy("block")).applyInArrow(_file_grams, "gram long, block int, docs int")
     everywhere = Window.partitionBy("gram")
     shared = grams.withColumn("all", F.sum("docs").over(everywhere)).where("all > 1").select("block", F.col("gram").alias("key"), (F.col("all") > HOT).cast("int").alias("kind"))
-    segments = by_block.cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(_cut_segments(2 * blocks), _SEGMENTS)
+    segments = by_block.cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(_cut_segments(4 * blocks), _SEGMENTS)
     found = segments.groupBy("bucket").applyInArrow(_sort_bucket, _FOUND)
     whole = copies.select("block", F.lit(None).cast("binary").alias("spots"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.col("key").alias("least"))
     extra = [f"c_{c}" for c in carry]
