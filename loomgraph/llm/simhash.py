@@ -103,28 +103,48 @@ def _linked(differ: np.ndarray, starts: np.ndarray | int, distance: int) -> np.n
     return found
 
 
-def _spanning(run: np.ndarray, start: int, distance: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one run of equal keys.
+def _trees(fps: np.ndarray, nodes: np.ndarray, start: int, distance: int) -> Iterator[list[tuple[int, int]]]:
+    """Edges between nodes of each tree of a spanning forest of the links within one run of equal keys.
 
     Breadth first over the members not reached yet: at most one edge a member comes out, never all pairs, and a dense
     run of near copies is used up after a few comparisons.
     """
-    waiting = np.unique(run)
+    waiting = np.arange(len(fps))
     while len(waiting) > 1:
-        frontier, waiting = [waiting[0]], waiting[1:]
+        frontier, waiting, tree = [waiting[0]], waiting[1:], []
         while frontier and len(waiting):
             one = frontier.pop()
-            hit = _linked(waiting ^ one, start, distance)
-            for other in waiting[hit]:
-                yield int(one), int(other)
+            hit = _linked(fps[waiting] ^ fps[one], start, distance)
+            tree.extend((int(nodes[one]), int(other)) for other in nodes[waiting[hit]])
             frontier.extend(waiting[hit])
             waiting = waiting[~hit]
+        if tree:
+            yield tree
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by the first one, cut where its value changes: no run of equal keys is in two pieces."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        keys = columns[0]
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last == 0 and held and held[-1][0][-1] == keys[0]:
+            held.append(columns)
+            continue
+        held.append([c[:last] for c in columns])
+        yield [np.concatenate(part) for part in zip(*held)]
+        held = [[c[last:] for c in columns]]
+    if held:
+        yield [np.concatenate(part) for part in zip(*held)]
 
 
 def _link_sorted(distance: int):
     width = CHAINS[distance].width
 
-    def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def edges(keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray) -> pa.Table:
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         size = np.repeat(np.diff(cut), np.diff(cut))
         starts = keys >> (width + 8)
@@ -134,36 +154,53 @@ def _link_sorted(distance: int):
             if not len(at):
                 break
             at = at[_linked(fps[at] ^ fps[at + step], starts[at], distance)]
-            found.append((fps[at], fps[at + step]))
+            found.append((nodes[at], nodes[at + step]))
+        dense: list[tuple[int, int]] = []
         for at in np.flatnonzero(np.diff(cut) > SMALL):
-            pairs = list(_spanning(fps[cut[at] : cut[at + 1]], int(starts[cut[at]]), distance))
-            found.append(tuple(np.array(pairs, np.uint64).reshape(-1, 2).T))
-        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]).view(np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            run = slice(cut[at], cut[at + 1])
+            trees = list(_trees(fps[run], nodes[run], int(starts[cut[at]]), distance))
+            found.extend(tuple(np.array(tree, np.int64).T) for tree in trees)
+            dense.extend((member, int(keys[cut[at]])) for tree in trees if len(tree) > 1 for member in {*itertools.chain(*tree)})
+        u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        links = pa.table({"u": u, "v": v, "run": pa.nulls(len(u), pa.int64())})
+        members, runs = (pa.array([d[k] for d in dense], pa.int64()) for k in (0, 1))
+        return pa.concat_tables([links, pa.table({"u": members, "v": pa.nulls(len(dense), pa.int64()), "run": runs})]).combine_chunks()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows come sorted by key; a run that the batches cut is held back until its end."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last == 0 and held and held[-1][0][-1] == keys[0]:
-                held.append((keys, fps))
-                continue
-            held.append((keys[:last], fps[:last]))
-            yield edges(*(np.concatenate(part) for part in zip(*held)))
-            held = [(keys[last:], fps[last:])]
-        if held:
-            yield edges(*(np.concatenate(part) for part in zip(*held)))
+        for keys, fps, *nodes in _whole_runs(batches):
+            yield from edges(keys, fps.view(np.uint64), nodes[0] if nodes else fps).to_batches()
+
+    return link
+
+
+def _link_across(distance: int):
+    """All links within a run between members of different components, the rows being (run, fp, node, root) sorted by run."""
+    width = CHAINS[distance].width
+
+    def across(run: int, fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, component, sizes = np.unique(roots, return_inverse=True, return_counts=True)
+        order = np.lexsort((component, sizes[component]))  # the largest component last: it is compared with, never searched
+        fps, nodes, component = fps[order], nodes[order], component[order]
+        ends = np.r_[np.flatnonzero(component[1:] != component[:-1]) + 1, len(component)]
+        for begin, end in zip(np.r_[0, ends], ends[:-1]):
+            for one in range(begin, end):
+                hit = nodes[end:][_linked(fps[end:] ^ fps[one], run >> (width + 8), distance)]
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), nodes[one])), pa.array(hit)], ["u", "v"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, fps, nodes, roots in _whole_runs(batches):
+            cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
+            for a, b in zip(cut, cut[1:]):
+                yield from across(int(runs[a]), fps[a:b].view(np.uint64), nodes[a:b], roots[a:b])
 
     return link
 
 
 def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Edges (u, v) of the links at `distance` (3 or 7) or fewer bits between the distinct longs of column `fp`: all links within
-    runs of SMALL or fewer, spanning ones within longer runs.
+    """Edges (u, v) of the links at `distance` (3 or 7) or fewer bits between the longs of column `fp`, distinct unless a
+    column `node` names what is linked instead of them: all links within runs of SMALL or fewer, spanning ones within longer runs. Rows without v name the members u of a longer run (`run`, its
+    key) that a spanning tree joins with two or more others, and which may have further links.
 
     Every fingerprint is dealt out under the keys of the distance's chain. Distinct fingerprints under one key of
     32 bits differ in the other 32 only, so a run's length is bounded by the fingerprints that exist around one chain and not by
@@ -171,9 +208,9 @@ def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     fingerprints: candidates grow with the square of the corpus beyond some hundred million documents.
     """
     spark = fps.sparkSession
-    keyed = fps.select(F.explode(F.array(*CHAINS[distance].keys(F.col("fp")))).alias("key"), "fp")
+    keyed = fps.select(F.explode(F.array(*CHAINS[distance].keys(F.col("fp")))).alias("key"), "fp", *[c for c in fps.columns if c == "node"])
     dealt = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link_sorted(distance), "u long, v long")
+    return dealt.mapInArrow(_link_sorted(distance), "u long, v long, run long")
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -183,20 +220,24 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)).view(np.int64)
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The links whose first documents' shingle sets have a Jaccard similarity of `similarity` or more.
+def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, distance: int, shingle: int, similarity: float) -> DataFrame:
+    """Those of the links at `distance` bits between texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    `docs` is (doc_id, text), `distinct` (fp, first_id). Only documents that a link names are read for their sets.
+    `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Only texts that a link
+    names are read for their sets. Where a long run gave spanning links only, a second pass takes all links between members that
+    the first one's verified links leave in different components: near copies are one component by then, so
+    their pairs aren't listed, and no verified link that joins two components is missed.
     """
-    pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("first_id").alias("doc_id"))
+    found = settle(links, "found")
+    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
+    pairs = settle(found.where("u <> v").select(*ordered).distinct(), "links")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
 
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_hashes(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
 
-    kept = docs.join(named, "doc_id").dropDuplicates(["fp"])
-    hashed = settle(kept.select("fp", F.arrow_udf(sets, T.ArrayType(T.LongType()))(F.col("text")).alias("s")), "sets")
-    both = pairs.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
+    kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
+    hashed = settle(kept.select("node", F.arrow_udf(sets, T.ArrayType(T.LongType()))(F.col("text")).alias("s")), "sets")
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -207,7 +248,18 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
             out.append(shared / union if union else 1.0)
         return pa.array(out, pa.float64())
 
-    return both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v")
+    def verified(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
+        return both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v")
+
+    dense = found.where("v IS NULL").select("run", F.col("u").alias("node"))
+    if dense.isEmpty():
+        return verified(pairs)
+    first = settle(verified(pairs), "verified")
+    placed = dense.join(distinct, "node").join(connected_components(first), "node", "left").select("run", "fp", "node", F.coalesce("root", "node").alias("root"))
+    dealt = placed.repartition(tasks(docs.sparkSession), "run").sortWithinPartitions("run", "fp")
+    further = dealt.mapInArrow(_link_across(distance), "u long, v long").select(*ordered).distinct()
+    return first.unionByName(verified(further.join(pairs, ["u", "v"], "left_anti")))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
@@ -215,16 +267,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and word-less texts have fingerprint zero and link like any other. Repeated rows give repeated
     result rows. A null id never becomes a component's id; a component of null ids only has a null one.
-    Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) links of
-    different fingerprints hold only between texts whose shingles of so many words are that similar (Jaccard).
+    Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) links,
+    also those of equal fingerprints, hold only between texts whose shingles of so many words are that similar (Jaccard); texts
+    are told apart by 64-bit hashes, and one that has only null ids links with no other.
     """
-    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")), "fingerprints")
-    distinct = settle(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = fingerprint_links(distinct.select("fp"), distance)
+    text = F.col(text_col)
+    signed = docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), *([F.xxhash64(text).alias("node")] if verify else []))
+    signed = settle(signed, "fingerprints")
+    if not verify:
+        signed = signed.withColumn("node", F.col("fp"))
+    distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
     if verify:
-        links = verified_links(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), distinct, links, *verify)
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), distance, *verify)
+    else:
+        links = fingerprint_links(distinct.select("fp"), distance).where("v IS NOT NULL")
     roots = connected_components(links)
-    members = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    members = distinct.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(least, "root").select("fp", "component_id")
-    return signed.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = members.join(least, "root").select("node", "component_id")
+    return signed.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
