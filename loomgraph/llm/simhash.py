@@ -134,8 +134,10 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         if last == 0 and held and held[-1][0][-1] == keys[0]:
             held.append(columns)
             continue
-        held.append([c[:last] for c in columns])
-        yield [np.concatenate(part) for part in zip(*held)]
+        if last:
+            held.append([c[:last] for c in columns])
+        if held:
+            yield [np.concatenate(part) for part in zip(*held)]
         held = [[c[last:] for c in columns]]
     if held:
         yield [np.concatenate(part) for part in zip(*held)]

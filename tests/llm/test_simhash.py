@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -141,3 +142,16 @@ def test_verified_links_in_dense_runs(spark, monkeypatch, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = {r.doc_id: r.component_id for r in simhash.simhash_components(docs, distance=7, verify=(5, 0.8)).collect()}
     assert found == dict(enumerate(least)) and len(alike) < len(near)
+
+
+@given(st.lists(st.lists(st.integers(0, 5), max_size=6), max_size=6))
+def test_whole_runs(batches):
+    """Runs come whole and in order, however the batches cut them; no piece is empty."""
+    keys = sorted(k for b in batches for k in b)
+    at, dealt = 0, []
+    for b in batches:
+        dealt.append(pa.record_batch({"key": pa.array(keys[at : at + len(b)], pa.int64()), "n": pa.array(range(at, at + len(b)), pa.int64())}))
+        at += len(b)
+    pieces = list(simhash._whole_runs(iter(dealt)))
+    assert [k for p in pieces for k in p[0]] == keys and [n for p in pieces for n in p[1]] == list(range(len(keys)))
+    assert all(len(p[0]) for p in pieces) and all(a[0][-1] < b[0][0] for a, b in zip(pieces, pieces[1:]))
