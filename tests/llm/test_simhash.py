@@ -144,6 +144,7 @@ def test_verified_links_in_dense_runs(spark, monkeypatch, small):
     assert found == dict(enumerate(least)) and len(alike) < len(near)
 
 
+@settings(deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=6), max_size=6))
 def test_whole_runs(batches):
     """Runs come whole and in order, however the batches cut them; no piece is empty."""
