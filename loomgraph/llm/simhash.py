@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ SEGMENTS = 8
 BLOCK = 1 << 15
 #: Runs of equal keys up to this length give all their links.
 SMALL = 64
+#: About so many texts are read for the order of prefixes, and so many of their shared shingles make it.
+SAMPLE, COMMON = 8192, 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -222,24 +225,110 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64)).view(np.int64)
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, distance: int, shingle: int, similarity: float) -> DataFrame:
+def _sets(shingle: int):
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
+
+    return F.arrow_udf(sets, T.ArrayType(T.LongType()))
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """How many of a set's first members, in one order for all sets, include a common one with any other set this similar."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of about SAMPLE texts hold, and in how many. No link depends on the sample: it only
+    sets the order in which prefixes are taken."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod("node", F.lit(every)) == 0).select(F.explode(_sets(shingle)(F.col("text"))).alias("s"))
+    counts = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+    found, n = counts["s"].to_numpy(), counts["n"].to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def _prefixes(shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Rows (token, node, root, size, place) for the prefix of each text's set: shingles in few texts of the sample first, then by hash."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingle_hashes(text, shingle)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                n = prefix_length(len(s), similarity)
+                if n:
+                    columns = s[:n], np.full(n, node), np.full(n, root), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "size", "place"])
+
+    return deal
+
+
+def _link_prefixes(similarity: float):
+    """Pairs (u, v) of texts of different roots under one token whose sizes and places of the token allow the similarity. Rows come
+    sorted by token. Of two sets this similar the first common member is in both prefixes, and the other common ones follow it."""
+
+    def allowed(one: np.ndarray | int, others: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        a, b = sizes[one], sizes[others]
+        shared = np.minimum(a - places[one], b - places[others])
+        return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (shared >= similarity / (1 + similarity) * (a + b) - 1e-9)
+
+    def pairs(tokens: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cut = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
+        length = np.repeat(np.diff(cut), np.diff(cut))
+        for step in range(1, SMALL):
+            at = np.flatnonzero((tokens[step:] == tokens[:-step]) & (length[step:] <= SMALL))
+            if not len(at):
+                break
+            at = at[roots[at] != roots[at + step]]
+            at = at[allowed(at, at + step, sizes, places)]
+            yield nodes[at], nodes[at + step]
+        for k in np.flatnonzero(np.diff(cut) > SMALL):
+            run = np.arange(cut[k], cut[k + 1])
+            _, component, many = np.unique(roots[run], return_inverse=True, return_counts=True)
+            order = np.lexsort((component, many[component]))  # the largest component last: it is compared with, never searched
+            run, component = run[order], component[order]
+            ends = np.flatnonzero(component[1:] != component[:-1]) + 1
+            for begin, end in zip(np.r_[0, ends], ends):
+                for one in run[begin:end]:
+                    hit = run[end:][allowed(one, run[end:], sizes, places)]
+                    yield np.full(len(hit), nodes[one]), nodes[hit]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_runs(batches):
+            for u, v in pairs(*columns):
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return link
+
+
+def prefix_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    `texts` is (node, root, text). Each text is filed under the rarest shingles of its set, so many that two sets this similar
+    share one of them (prefix filter); nothing is left to chance.
+    """
+    common = _common_shingles(texts, shingle)
+    filed = texts.select("node", "root", "text").mapInArrow(_prefixes(shingle, similarity, *common), "token long, node long, root long, size int, place int")
+    dealt = filed.repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(_link_prefixes(similarity), "u long, v long").distinct()
+
+
+def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, distance: int, shingle: int, similarity: float, exact: bool = False) -> DataFrame:
     """Those of the links at `distance` bits between texts whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Only texts that a link
     names are read for their sets. Where a long run gave spanning links only, a second pass takes all links between members that
     the first one's verified links leave in different components: near copies are one component by then, so
-    their pairs aren't listed, and no verified link that joins two components is missed.
+    their pairs aren't listed, and no verified link that joins two components is missed. With `exact` all pairs of a
+    prefix filter that are still in different components are verified instead, so none is lost whose fingerprints are further apart.
     """
     found = settle(links, "found")
     ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
     pairs = settle(found.where("u <> v").select(*ordered).distinct(), "links")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
-
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
-
-    kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
-    hashed = settle(kept.select("node", F.arrow_udf(sets, T.ArrayType(T.LongType()))(F.col("text")).alias("s")), "sets")
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -250,21 +339,32 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, dista
             out.append(shared / union if union else 1.0)
         return pa.array(out, pa.float64())
 
-    def verified(candidates: DataFrame) -> DataFrame:
+    def hashes(candidates: DataFrame) -> DataFrame:
+        named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
+        kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
+        return settle(kept.select("node", _sets(shingle)(F.col("text")).alias("s")), "sets")
+
+    def verified(candidates: DataFrame, hashed: DataFrame) -> DataFrame:
         both = candidates.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
         return both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v")
 
+    hashed = hashes(pairs)
+    if exact:
+        first = settle(verified(pairs, hashed), "verified")
+        roots = distinct.join(connected_components(first), "node", "left").select("node", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root"))
+        further = settle(prefix_links(docs.join(roots, ["doc_id", "node"]), shingle, similarity), "further")
+        return settle(first.unionByName(verified(further, hashes(further))), "verified")
     dense = found.where("v IS NULL").select("run", F.col("u").alias("node"))
     if dense.isEmpty():
-        return verified(pairs)
-    first = settle(verified(pairs), "verified")
+        return verified(pairs, hashed)
+    first = settle(verified(pairs, hashed), "verified")
     placed = dense.join(distinct, "node").join(connected_components(first), "node", "left").select("run", "fp", "node", F.coalesce("root", "node").alias("root"))
     dealt = placed.repartition(tasks(docs.sparkSession), "run").sortWithinPartitions("run", "fp")
     further = dealt.mapInArrow(_link_across(distance), "u long, v long").select(*ordered).distinct()
-    return first.unionByName(verified(further.join(pairs, ["u", "v"], "left_anti")))
+    return first.unionByName(verified(further.join(pairs, ["u", "v"], "left_anti"), hashed))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None, exact: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and word-less texts have fingerprint zero and link like any other. Repeated rows give repeated
@@ -272,6 +372,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) links,
     also those of equal fingerprints, hold only between texts whose shingles of so many words are that similar (Jaccard); texts
     are told apart by 64-bit hashes, and one that has only null ids links with no other.
+    With `exact` all texts that similar link, however far apart their fingerprints are.
     """
     text = F.col(text_col)
     signed = docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), *([F.xxhash64(text).alias("node")] if verify else []))
@@ -281,7 +382,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
     if verify:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), distance, *verify)
+        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), distance, *verify, exact)
     else:
         links = fingerprint_links(distinct.select("fp"), distance).where("v IS NOT NULL")
     roots = connected_components(links)

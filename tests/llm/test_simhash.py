@@ -156,3 +156,34 @@ def test_whole_runs(batches):
     pieces = list(simhash._whole_runs(iter(dealt)))
     assert [k for p in pieces for k in p[0]] == keys and [n for p in pieces for n in p[1]] == list(range(len(keys)))
     assert all(len(p[0]) for p in pieces) and all(a[0][-1] < b[0][0] for a, b in zip(pieces, pieces[1:]))
+
+
+def test_verified_links_beyond_the_distance(spark):
+    """Plain Jaccard of 0.8 or more links, also where fingerprints are more than 7 bits apart."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(120):
+        base = rnd.choices(words, k=300)
+        rows.append((len(rows), " ".join(base)))
+        for k in rnd.sample(range(300), rnd.randint(4, 8)):
+            base[k] = rnd.choice(words)
+        rows.append((len(rows), " ".join(base)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(296)} for _, t in rows]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    least = {d: d - 1 if d % 2 and len(sets[d] & sets[d - 1]) >= 0.8 * len(sets[d] | sets[d - 1]) else d for d in range(len(rows))}
+    assert any(((prints[d] ^ prints[r]) % 2**64).bit_count() > 7 for d, r in least.items()) and any(d % 2 and d == r for d, r in least.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.simhash_components(docs, distance=7, verify=(5, 0.8), exact=True).collect()} == least
+
+
+def test_prefix_links_miss_no_pair(spark, monkeypatch):
+    """Short texts of few words, whose shingles nearly all occur often: every pair of 0.8 or more is among the candidates."""
+    for small in (64, 2):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        rnd = random.Random(small)
+        rows = [(i, i // 3, " ".join(rnd.choices("ab", k=rnd.randint(1, 24)))) for i in range(200)]
+        sets = [set(simhash.shingle_hashes(t, 3).tolist()) for _, _, t in rows]
+        alike = {(i, j) for j in range(200) for i in range(j) if i // 3 != j // 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        found = simhash.prefix_links(spark.createDataFrame(rows, "node long, root long, text string"), 3, 0.8).collect()
+        assert alike <= {tuple(r) for r in found} and alike
