@@ -62,26 +62,48 @@ def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMIN
     return both.where(shared / (F.size("ga") + F.size("gb") - shared) >= least).select("later", "earlier")
 
 
-def star_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+#: Links of undecided documents that are settled in one ordered pass.
+ORDERED = 200_000
+
+
+def _in_order(rows: list[tuple]) -> list[tuple]:
+    """(doc, root) of undecided documents from all their links (later, earlier, root of the earlier one if decided)."""
+    links, star = {}, {}
+    for later, earlier, root in rows:
+        links.setdefault(later, []).append(earlier)
+        if root is not None:
+            star[earlier] = root == earlier
+    out = []
+    for doc in sorted(links):
+        root = min((e for e in links[doc] if star[e]), default=doc)
+        star[doc] = root == doc
+        out.append((doc, root))
+    return out
+
+
+def star_clusters(pairs: DataFrame, ordered: int = ORDERED) -> DataFrame:
     """(doc, root): in order of ids, a document joins its earliest link that is a root, or else is a root itself.
 
     Roots only, never members, attract: a chain of near copies is several stars. A document is decided in the round after all its
-    earlier links are; each round writes its table to the checkpoint folder. Where a document is near several roots the earliest
-    is taken.
+    earlier links are; each round writes its table to the checkpoint folder. Rounds go on until at most `ordered` links are open,
+    which one ordered pass settles: a chain costs no round a document. Every round decides the smallest open id at least. Where a
+    document is near several roots the earliest is taken.
     """
     links = settled(pairs.select("later", "earlier"))
     every = links.select(F.explode(F.array("later", "earlier")).alias("doc")).distinct()
     decided = settled(every.join(links.select(F.col("later").alias("doc")), "doc", "left_anti").select("doc", F.col("doc").alias("root")))
-    for _ in range(rounds):
+    while True:
         open_links = links.join(decided.select(F.col("doc").alias("later")), "later", "left_anti")
-        told = open_links.join(decided.select(F.col("doc").alias("earlier"), F.col("root")), "earlier", "left")
+        told = settled(open_links.join(decided.select(F.col("doc").alias("earlier"), F.col("root")), "earlier", "left").select("later", "earlier", "root"))
+        left = told.count()
+        if not left:
+            return decided
+        if left <= ordered:
+            return settled(decided.unionByName(pairs.sparkSession.createDataFrame(_in_order([tuple(r) for r in told.collect()]), decided.schema)))
         state = told.groupBy("later").agg(F.min(F.when(F.col("root") == F.col("earlier"), F.col("earlier"))).alias("star"), F.min(F.when(F.col("root").isNull(), F.col("earlier"))).alias("open"))
         # decided if no earlier link is open, or a root comes before the first open one
-        ready = settled(state.where("open IS NULL OR star < open").select(F.col("later").alias("doc"), F.coalesce("star", "later").alias("root")))
-        if ready.isEmpty():
-            return decided
+        ready = state.where("open IS NULL OR star < open").select(F.col("later").alias("doc"), F.coalesce("star", "later").alias("root"))
         decided = settled(decided.unionByName(ready))
-    raise RuntimeError("stars did not settle")
 
 
 def cluster_stats(stars: DataFrame) -> DataFrame:

@@ -87,3 +87,10 @@ def test_layout_recovers_distances():
     blobs = np.concatenate([np.random.default_rng(k).normal(8 * k, 0.3, size=(10, 3)) for k in range(4)])
     owner = vectors.search_clusters(blobs)
     assert len(set(owner)) == 4 and all(len(set(owner[10 * k : 10 * k + 10])) == 1 for k in range(4))
+
+
+def test_stars_of_a_long_chain(spark):
+    """Each text is near only the one before it: every other one is a root, however long the chain is."""
+    for n, ordered in ((130, dedup.ORDERED), (7, 0)):
+        links = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "later long, earlier long")
+        assert {r.doc: r.root for r in dedup.star_clusters(links, ordered).collect()} == {i: i - i % 2 for i in range(n)}
