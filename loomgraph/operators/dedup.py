@@ -106,6 +106,20 @@ def star_clusters(pairs: DataFrame, ordered: int = ORDERED) -> DataFrame:
         decided = settled(decided.unionByName(ready))
 
 
+def near_members(docs: DataFrame, doc: str, text: Column) -> DataFrame:
+    """(doc, root) of every document: the root of the first copy of its text, or else that copy; short and null texts stand alone.
+
+    Copies meet by a 128-bit hash of the text.
+    """
+    key = F.md5(F.encode(text, "UTF-8"))
+    every = settled(docs.select(F.col(doc).alias("doc"), F.when(F.length(text) >= P.DEDUP_MIN_CHARS, key).alias("key")))
+    firsts = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("first"))
+    stars = star_clusters(near_pairs(docs, doc, text)).toDF("first", "root")
+    placed = firsts.join(stars, "first", "left").select("key", F.coalesce("root", "first").alias("root"))
+    alone = every.where("key IS NULL").select("doc", F.col("doc").alias("root"))
+    return every.join(placed, "key").select("doc", "root").unionByName(alone)
+
+
 def cluster_stats(stars: DataFrame) -> DataFrame:
     """One row: clusters of two or more, members, largest, share of variants."""
     sizes = stars.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")

@@ -32,8 +32,8 @@ def simhash_blocks(spark, sf_dir):
 
 @query("near_dup_star")
 def near_dup_star(spark, sf_dir):
-    """(doc, root) of near copies; tested against a brute-force pass in the order of ids."""
-    return dedup.star_clusters(dedup.near_pairs(load(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    """(doc, root) of every document; tested against a brute-force pass in the order of ids."""
+    return dedup.near_members(load(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 @query("near_dup_stats")

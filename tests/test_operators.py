@@ -94,3 +94,12 @@ def test_stars_of_a_long_chain(spark):
     for n, ordered in ((130, dedup.ORDERED), (7, 0)):
         links = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "later long, earlier long")
         assert {r.doc: r.root for r in dedup.star_clusters(links, ordered).collect()} == {i: i - i % 2 for i in range(n)}
+
+
+def test_near_members_take_all_copies(spark):
+    base = "the quick brown fox jumps over the lazy dog while nobody on the farm is looking at it " * 8
+    only = "something else entirely, " * 20
+    rows = [(1, base + "end"), (2, base + "enx"), (3, only), (4, base + "end"), (5, None), (6, "short"), (7, base + "enx"), (8, only), (9, only), (10, "short")]
+    members = dedup.near_members(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", F.col("t"))
+    assert {r.doc: r.root for r in members.collect()} == {1: 1, 2: 1, 4: 1, 7: 1, 3: 3, 8: 3, 9: 3, 5: 5, 6: 6, 10: 10}
+    assert tuple(dedup.cluster_stats(members).first()) == (2, 7, 4, 5)
