@@ -28,6 +28,11 @@ def _simhashes(texts: pa.Array) -> pa.Array:
     return pa.array([None if t.as_py() is None else simhash64(t.as_py()) for t in texts], pa.int64())
 
 
+def solid(text: Column) -> Column:
+    """Without white space, as Python's \\s has it: copies that are wrapped or indented differently are equal."""
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")
+
+
 def block(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, 8 * k).bitwiseAND(255)
 
@@ -44,10 +49,10 @@ def candidate_keys(fp: Column) -> Column:
 def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMING_MAX, least: float = P.JACCARD_MIN, min_chars: int = P.DEDUP_MIN_CHARS) -> DataFrame:
     """(later, earlier) of distinct texts within `distance` bits and with 3-gram Jaccard similarity of `least` or more.
 
-    Copies of a text are one text here; candidates share two bytes of the fingerprint at the same places, which loses no pair. The
+    White space doesn't count, but for `min_chars`. Copies of a text are one text here; candidates share two bytes of the fingerprint at the same places, which loses no pair. The
     texts' gram sets are joined to the candidates that pass the bit test only.
     """
-    kept = docs.select(F.col(doc).alias("doc"), text.alias("t")).where(F.length("t") >= min_chars)
+    kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM)
     firsts = kept.groupBy("t").agg(F.min("doc").alias("doc"))
     grams = F.array_distinct(char_ngrams(F.col("t"), P.NGRAM))
     marked = settled(firsts.select("doc", grams.alias("g"), F.arrow_udf(_simhashes, T.LongType())(F.col("t")).alias("fp")).withColumn("n", F.size("g")))
@@ -109,9 +114,9 @@ def star_clusters(pairs: DataFrame, ordered: int = ORDERED) -> DataFrame:
 def near_members(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """(doc, root) of every document: the root of the first copy of its text, or else that copy; short and null texts stand alone.
 
-    Copies meet by a 128-bit hash of the text.
+    Copies meet by a 128-bit hash of the text without white space.
     """
-    key = F.md5(F.encode(text, "UTF-8"))
+    key = F.md5(F.encode(solid(text), "UTF-8"))
     every = settled(docs.select(F.col(doc).alias("doc"), F.when(F.length(text) >= P.DEDUP_MIN_CHARS, key).alias("key")))
     firsts = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("first"))
     stars = star_clusters(near_pairs(docs, doc, text)).toDF("first", "root")

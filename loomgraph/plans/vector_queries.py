@@ -25,8 +25,8 @@ def label_centroids(spark, sf_dir):
 
 @query("simhash_blocks")
 def simhash_blocks(spark, sf_dir):
-    """Documents per value of the fingerprint's first byte; BLAKE2b has no SQL twin."""
-    rows = load(spark, sf_dir, "documents").select(F.arrow_udf(dedup._simhashes, "long")(F.col("text")).alias("fp"))
+    """Documents per value of the first byte of the fingerprint of their text without white space; BLAKE2b has no SQL twin."""
+    rows = load(spark, sf_dir, "documents").select(F.arrow_udf(dedup._simhashes, "long")(dedup.solid(F.col("text"))).alias("fp"))
     return rows.groupBy(dedup.block(F.col("fp"), 0).alias("block")).agg(F.count("*").alias("n"))
 
 

@@ -103,3 +103,13 @@ def test_near_members_take_all_copies(spark):
     members = dedup.near_members(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", F.col("t"))
     assert {r.doc: r.root for r in members.collect()} == {1: 1, 2: 1, 4: 1, 7: 1, 3: 3, 8: 3, 9: 3, 5: 5, 6: 6, 10: 10}
     assert tuple(dedup.cluster_stats(members).first()) == (2, 7, 4, 5)
+
+
+def test_wrapped_copies_are_near(spark):
+    rnd = random.Random(5)
+    base = " ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(120))
+    wrapped = "\n\u3000".join(base[k : k + 40] for k in range(0, len(base), 40))
+    edited = wrapped[:-3] + "xyz"
+    docs = spark.createDataFrame([(1, base), (2, wrapped), (3, edited), (4, " \n" * 60), (5, " \t" * 60 + "ab")], "doc_id long, t string")
+    assert {r.doc: r.root for r in dedup.near_members(docs, "doc_id", F.col("t")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert docs.where("doc_id < 3").select(dedup.solid(F.col("t"))).distinct().count() == 1
