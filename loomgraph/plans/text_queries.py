@@ -127,6 +127,15 @@ def evidence_collect(spark, sf_dir):
     return mining.first_sentences(rows, "doc_id", T.sentences(F.col("text")), terms, 3)
 
 
+@query("evidence_pool")
+def evidence_pool(spark, sf_dir):
+    """evidence_collect for all terms in 5 to a twentieth of the documents, a band that grows with the table; tested by brute force."""
+    rows = documents(spark, sf_dir)
+    top = rows.agg(F.floor(0.05 * F.count("*")).alias("top"))
+    terms = mining.document_frequency(rows, T.english_tokens(F.col("text"))).join(F.broadcast(top)).where("df >= 5 AND df <= top AND token RLIKE '^[a-z0-9]+$'")
+    return mining.first_sentences(rows, "doc_id", T.sentences(F.col("text")), terms.drop("top").withColumnRenamed("token", "term"), 3)
+
+
 _DICTIONARY = {"NA": ["the", "and"], "NB": ["der", "und"], "NC": ["les", "par"], "ND": ["token", "gnu general"]}
 
 

@@ -113,3 +113,13 @@ def test_wrapped_copies_are_near(spark):
     docs = spark.createDataFrame([(1, base), (2, wrapped), (3, edited), (4, " \n" * 60), (5, " \t" * 60 + "ab")], "doc_id long, t string")
     assert {r.doc: r.root for r in dedup.near_members(docs, "doc_id", F.col("t")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
     assert docs.where("doc_id < 3").select(dedup.solid(F.col("t"))).distinct().count() == 1
+
+
+def test_evidence_of_terms_in_many_documents(spark, tmp_path):
+    from loomgraph.plans import text_queries
+
+    rows = [(i, f"Opening words number{i}! Then the grapple came! Later grapple again!" if i % 20 == 0 else f"Filler about banana{i % 2}! Nothing else!", "s", "en") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = text_queries.evidence_pool(spark, f"file://{tmp_path}").collect()
+    assert {(r.doc_id, r.sentence) for r in found if r.term == "grapple"} == {(i, "Then the grapple came!") for i in (0, 20, 40)}
+    assert {"grapple", "later"} <= {r.term for r in found} and not {"banana0", "filler"} & {r.term for r in found}
