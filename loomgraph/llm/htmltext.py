@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
 from collections import deque
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loomgraph.llm import labelled_pages
+
 # How HTML elements behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea button".split())
@@ -21,37 +26,46 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"br", "caption", "body", "html", "legend", "option", "optgroup", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: A start tag on the left ends open elements on the right, up to one of the bounds.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-
-# Fixed values of the classifier: log-odds of content.
-ELEMENT_ODDS = {"nav": -14.0, "menu": -14.0, "footer": -14.0, "header": -14.0, "aside": -14.0, "form": -14.0, "dialog": -14.0, "fieldset": -14.0, "address": -2.0, "article": 5.0, "main": 3.0}
-WORD_ODDS = {
-    -14.0: "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert comment comments commentlist discussion disqus reply replies respond sidebar menu menus nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription signup login modal popup overlay pagination pager widget widgets copyright skip search tags toc outbrain taboola complementary contentinfo dialog",
-    3.0: "content article post entry story main body text articlebody",
-}
-WORDS = {word: odds for odds, words in WORD_ODDS.items() for word in words.split()}
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, HEADING = -2.0, 0.9, -5.0, 0.5
-#: Smoothness between neighbours in the page, by how near they are in the element tree.
-SMOOTH, FADE = 1.2, 0.5
-UNIT = 1000
-
-_NAME = r"[a-zA-Z][^\s/>]*"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li td th dt dd".split())
+
+# Elements and words in names (class, id, role) that speak for boilerplate or content. How much they say is learned.
+BOILER_ELEMENTS = frozenset("nav menu footer header aside form dialog fieldset".split())
+CONTENT_ELEMENTS = frozenset("article main".split())
+BOILER_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices alert comment comments commentlist discussion disqus reply replies respond sidebar menu menus nav navbar navigation breadcrumb breadcrumbs "
+    "footer header masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription signup login modal popup overlay pagination pager widget widgets copyright skip search tags toc outbrain taboola complementary contentinfo dialog".split()
+)
+CONTENT_WORDS = frozenset("content article post entry story main body text articlebody".split())
+#: What an element can say about the blocks in it.
+BOILER_ELEMENT, BOILER_NAME, CONTENT_ELEMENT, CONTENT_NAME = range(4)
+BOILER = (BOILER_ELEMENT, BOILER_NAME)
+
+#: Ridge of the logistic fit, share of the measured agreement of neighbours that becomes smoothness, largest distance in the element tree.
+RIDGE, DAMPING, REACH = 0.3, 0.5, 6
+UNIT = 100
+
+_NAME = r"[a-zA-Z][^\s/><]*+"
+# No alternative looks past the next `<` outside quotes, so a page of broken tags is read in one pass.
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^<>]*+)>|<[!?/][^<>]*+>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s]++))?+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ENDS = tuple(".!?:;…。！？\"'”’)»")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
-    odds: float
     depth: int
     hidden: bool
     parent: Element | None
+    #: for each kind of saying the nearest element around and with it that says it
+    voices: dict[int, Element] = field(default_factory=dict)
+    #: nearest element around and with it that starts a block
+    block: Element | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     parent: Element
     parts: list[str] = field(default_factory=list)
@@ -59,173 +73,325 @@ class Block:
     text: str = ""
 
 
-def _odds(name: str, attributes: str, parent: Element | None) -> float:
-    """Log-odds that the element itself adds. A header in an article holds its title. Names that speak for both (`main-with-sidebar`)
-    say nothing around the content and are boilerplate inside it (`post-footer`)."""
-    inside = parent is not None and parent.odds > 0
-    odds = ELEMENT_ODDS.get(name, 0.0)
-    if inside and name == "header":
-        odds = 0.0
-    if "=" in attributes:
-        found = [WORDS[w] for _, value in _ATTRIBUTE.findall(attributes) for w in (x.lower() for x in _WORD.findall(value)) if w in WORDS]
-        if found and name not in ("body", "html"):
-            odds += max(found) if min(found) > 0 or name in ("article", "main") else min(found) if inside or max(found) < 0 else 0.0
-    return odds
+def _attributes(text: str) -> tuple[str, bool]:
+    """What class, id and role say, and whether the attributes hide the element."""
+    names, hidden = [], False
+    for name, value in _ATTRIBUTE.findall(text):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*+:\s*+none", value, re.I):
+            hidden = True
+    return " ".join(names), hidden
+
+
+def _sayings(name: str, names: str, around: dict[int, Element]) -> list[int]:
+    """What an element says. A header in an article holds its title. Names that speak for both (`main-with-sidebar`) say nothing around
+    the content and are boilerplate inside it (`post-footer`)."""
+    inside = bool(around) and not any(k in around for k in BOILER)
+    own = [CONTENT_ELEMENT] if name in CONTENT_ELEMENTS else [BOILER_ELEMENT] if name in BOILER_ELEMENTS and not (name == "header" and inside) else []
+    if names and name not in ("body", "html"):
+        words = {w.lower() for w in _WORD.findall(names)}
+        bad, good = not words.isdisjoint(BOILER_WORDS), not words.isdisjoint(CONTENT_WORDS)
+        if good and (not bad or name in CONTENT_ELEMENTS):
+            own.append(CONTENT_NAME)
+        elif bad and (not good or inside):
+            own.append(BOILER_NAME)
+    return own
+
+
+class _Tree:
+    """The open elements, with a stack for each name: what is open is found without walking up."""
+
+    def __init__(self):
+        root = Element("", 0, False, None)
+        root.block = root
+        self.top = root
+        self.open: dict[str, list[Element]] = {}
+        self.links = 0
+
+    def push(self, name: str, own: list[int], hidden: bool) -> None:
+        """Open an element. Boilerplate inside content unsays the content around it."""
+        voices = self.top.voices
+        element = Element(name, self.top.depth + 1, hidden, self.top, voices)
+        if own:
+            element.voices = {k: e for k, e in voices.items() if k in BOILER or not any(o in BOILER for o in own)} | dict.fromkeys(own, element)
+        element.block = element if name in BLOCK else self.top.block
+        self.open.setdefault(name, []).append(element)
+        self.links += name == "a"
+        self.top = element
+
+    def pop_to(self, element: Element) -> None:
+        """Leave `element` and what is open in it."""
+        while True:
+            top = self.top
+            self.open[top.name].pop()
+            self.links -= top.name == "a"
+            self.top = top.parent
+            if top is element:
+                return
 
+    def innermost(self, names: Iterable[str]) -> Element | None:
+        stacks = [s[-1] for n in names if (s := self.open.get(n))]
+        return max(stacks, key=lambda e: e.depth) if stacks else None
 
-def blocks_of(page: str) -> list[Block]:
-    """Visible blocks of text in page order, each with its element."""
-    root = Element("", 0.0, 0, False, None)
-    top, links, out = root, 0, []
-    current: Block | None = None
+    def close(self, names: Iterable[str], bounds: Iterable[str]) -> None:
+        """End the innermost open element of these names, if no element of the bounds is open in it."""
+        element = self.innermost(names)
+        if element is not None and not ((bound := self.innermost(bounds)) and bound.depth > element.depth):
+            self.pop_to(element)
 
-    def add(text: str) -> None:
-        nonlocal current
-        if top.hidden or not text:
-            return
-        if current is None:
-            if text.isspace():
-                return
-            element = top
-            while element.parent is not None and element.name not in BLOCK:
-                element = element.parent
-            current = Block(element)
-            out.append(current)
-        current.parts.append(text)
-        if links:
-            current.linked += len(text)
-
-    def pop_to(element: Element) -> None:
-        """Leave `element` and what is open in it."""
-        nonlocal top, links
-        while top is not element:
-            links -= top.name == "a"
-            top = top.parent
-        links -= top.name == "a"
-        top = top.parent
-
-    def open_among(names, bounds) -> Element | None:
-        element = top
-        while element is not None and element.name not in bounds:
-            if element.name in names:
-                return element
-            element = element.parent
-        return None
 
+_P_BOUNDS = ("button", "td", "th", "caption", "object", "article", "table")
+_A_BOUNDS = ("td", "th", "table", "article")
+_LIGHT = frozenset("p li a b i span em strong".split())
+_HEAVY_BOUNDS = ("article", "table", "body")
+
+
+def blocks_of(page: str) -> list[Block]:
+    """Visible blocks of text in page order, each with its element. Time grows with the length of the page."""
+    tree, out = _Tree(), []
+    current: Block | None = None
     at, end = 0, len(page)
     while at < end:
         token = _TOKEN.search(page, at)
-        add(page[at : token.start() if token else end])
+        text = page[at : token.start() if token else end]
+        if text and not tree.top.hidden and (current is not None or not text.isspace()):
+            if current is None:
+                current = Block(tree.top.block)
+                out.append(current)
+            current.parts.append(text)
+            if tree.links:
+                current.linked += len(text)
         if token is None:
             break
         at = token.end()
         name = (token[2] or token[5] or "").lower()
         if not name:
             continue
-        closing, attributes = token[1] or token[4], token[3] or token[6] or ""
         if name in BLOCK:
             current = None
-        if closing:
-            element = open_among({name}, {"article", "table", "body"} - {name} if name in ("p", "li", "a", "b", "i", "span", "em", "strong") else {"html"} - {name})
-            if element is not None:
-                pop_to(element)
+        if token[1] or token[4]:
+            tree.close((name,), [b for b in _HEAVY_BOUNDS if b != name] if name in _LIGHT else ("html",) if name != "html" else ())
             continue
-        if name in CLOSES_P and (element := open_among({"p"}, {"button", "td", "th", "caption", "object", "article", "table"})):
-            pop_to(element)
-        if name in SIBLINGS and (element := open_among(*SIBLINGS[name])):
-            pop_to(element)
-        if name == "a" and (element := open_among({"a"}, {"td", "th", "table", "article"})):
-            pop_to(element)
+        attributes = token[3] or token[6] or ""
+        if name in CLOSES_P and tree.open.get("p"):
+            tree.close(("p",), _P_BOUNDS)
+        if name in SIBLINGS:
+            tree.close(*SIBLINGS[name])
+        if name == "a" and tree.open.get("a"):
+            tree.close(("a",), _A_BOUNDS)
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
-        hidden = top.hidden or name in HIDDEN or bool(attributes) and bool(_HIDDEN_ATTRIBUTE.search(attributes))
         if name in RAW:
-            close = re.compile(rf"</{name}\s*(?:/\s*)?>", re.I).search(page, at)
+            close = _closing(name).search(page, at)
             at = close.end() if close else end
             continue
-        top = Element(name, top.odds + _odds(name, attributes, top), top.depth + 1, hidden, top)
-        links += name == "a"
+        names, hidden = _attributes(attributes) if attributes else ("", False)
+        tree.push(name, _sayings(name, names, tree.top.voices), hidden or tree.top.hidden or name in HIDDEN)
     for block in out:
         block.text = " ".join(html.unescape("".join(block.parts)).split())
     return [b for b in out if b.text]
 
 
-def content_odds(block: Block) -> float:
-    """Log-odds that a block is content, from its elements, length and share of linked text."""
-    odds = BIAS + block.parent.odds + PER_LOG_WORD * math.log2(1 + len(block.text.split()))
-    odds += PER_LINK_SHARE * min(1.0, block.linked / max(1, sum(map(len, block.parts))))
-    return odds + (HEADING if len(block.parent.name) == 2 and block.parent.name[0] == "h" and block.parent.name[1].isdigit() else 0.0)
+@functools.cache
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*+(?:/\s*+)?>", re.I)
 
 
-def tree_distance(a: Element, b: Element) -> int:
+def features(block: Block) -> list[float]:
+    """What a block says by itself: words, sentence, share of linked text, kind."""
+    return [
+        1.0,
+        min(math.log2(2 + block.text.count(" ")), 6.0) / 3,
+        float(block.text.endswith(_ENDS)),
+        min(1.0, block.linked / max(1, sum(map(len, block.parts)))),
+        float(block.parent.name in HEADINGS),
+        float(block.parent.name in ITEMS),
+    ]
+
+
+def tree_distance(a: Element, b: Element, most: int = REACH) -> int:
+    """Steps between two elements, `most` if it is that far or further."""
     steps = 0
-    while a is not b:
+    while a is not b and steps < most:
         if a.depth >= b.depth:
             a = a.parent
         else:
             b = b.parent
         steps += 1
-    return steps
+    return steps if a is b else most
+
+
+def neighbours(blocks: list[Block]) -> list[tuple[int, int, int]]:
+    """(i, j, kind) of blocks that follow each other on the page, or in one grandparent. The kind is their distance in the element
+    tree, and beyond REACH the same for two blocks that different elements speak for."""
+    found, last_in = [], {}
+    for j, block in enumerate(blocks):
+        home = id(block.parent.parent or block.parent)
+        for i in {j - 1, last_in.get(home, j - 1)} - {-1}:
+            other = blocks[i]
+            found.append((i, j, tree_distance(block.parent, other.parent) + (REACH + 1) * (block.parent.voices is not other.parent.voices)))
+        last_in[home] = j
+    return found
+
+
+@dataclass(frozen=True)
+class Model:
+    """All as log-odds: weights of a block's features, what each kind of saying weighs, smoothness of each kind of neighbours."""
+
+    weights: tuple[float, ...]
+    voices: tuple[float, ...]
+    smooth: tuple[float, ...]
+
+    @staticmethod
+    def fit(pages: Iterable[str]) -> Model:
+        """From pages whose content blocks open with `§`: a logistic fit with a ridge, and for each kind of neighbours the log-odds that
+        they have one label (at least 0, damped)."""
+        rows, labels, kinds = [], [], []
+        for page in pages:
+            blocks = blocks_of(page)
+            mine = [b.text.startswith("§") for b in blocks]
+            for b in blocks:
+                b.text = b.text.removeprefix("§")
+            rows += [features(b) + [float(k in b.parent.voices) for k in range(4)] for b in blocks]
+            labels += mine
+            kinds += [(k, mine[i] == mine[j]) for i, j, k in neighbours(blocks)]
+        x, y = np.array(rows), np.array(labels, float)
+        weights, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-x @ weights))
+            weights += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ weights)
+        smooth = []
+        for kind in range(2 * (REACH + 1)):
+            same = [s for k, s in kinds if k == kind]
+            smooth.append(max(0.0, DAMPING * math.log((sum(same) + 1) / (len(same) - sum(same) + 1))))
+        found = tuple(weights.tolist())
+        return Model(found[:-4], found[-4:], tuple(smooth))
+
+
+@functools.cache
+def model() -> Model:
+    """The classifier, fitted on the labelled pages: once in a process, the same everywhere."""
+    return Model.fit(labelled_pages.pages())
 
 
 def min_cut(terminals: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes are on the source side of a minimum cut.
+    """Which nodes are on the source side of the minimum cut with the fewest of them there.
 
     terminals[i] > 0 is the capacity from the source to i, < 0 that from i to the sink; edges (i, j, capacity) go both ways.
-    Shortest augmenting paths; a node that no path to the sink leaves from stays with the source.
+    Nodes whose terminal outweighs all their edges are settled first, and their edges become terminals of their neighbours; a
+    maximum flow by shortest augmenting paths, all of one length at a time, settles the others.
     """
     left, near = list(terminals), [[] for _ in terminals]
+    slack = [0] * len(left)
+    for i, j, c in edges:
+        near[i].append((j, c))
+        near[j].append((i, c))
+        slack[i] += c
+        slack[j] += c
+    side: list[bool | None] = [None] * len(left)
+    waiting = deque(range(len(left)))
+    while waiting:
+        i = waiting.popleft()
+        if side[i] is not None or -slack[i] < left[i] <= slack[i]:
+            continue
+        side[i] = left[i] > 0 and left[i] > slack[i]
+        for j, c in near[i]:
+            if side[j] is None:
+                slack[j] -= c
+                left[j] += c if side[i] else -c
+                waiting.append(j)
+    rest = [i for i, s in enumerate(side) if s is None]
+    number = {i: k for k, i in enumerate(rest)}
+    kept = [(number[i], number[j], c) for i, j, c in edges if i in number and j in number]
+    for i, source in zip(rest, _max_flow([left[i] for i in rest], kept)):
+        side[i] = source
+    return side
+
+
+def _max_flow(left: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow (level graphs, blocking flows)."""
+    arcs: list[list[int]] = [[] for _ in left]
+    head: list[int] = []
     capacity: list[int] = []
     for i, j, c in edges:
-        near[i].append((j, len(capacity)))
-        near[j].append((i, len(capacity) + 1))
+        arcs[i].append(len(head))
+        arcs[j].append(len(head) + 1)
+        head += [j, i]
         capacity += [c, c]
     while True:
-        came: dict[int, tuple[int, int]] = {i: (-1, -1) for i, c in enumerate(left) if c > 0}
-        queue = deque(came)
-        goal = -1
-        while queue and goal < 0:
+        level = [0 if c > 0 else -1 for c in left]
+        sources = [i for i, c in enumerate(left) if c > 0]
+        queue, goal = deque(sources), None
+        while queue:
             i = queue.popleft()
-            for j, e in near[i]:
-                if capacity[e] > 0 and j not in came:
-                    came[j] = (i, e)
-                    if left[j] < 0:
-                        goal = j
-                        break
+            if goal is not None and level[i] >= goal:
+                continue
+            for e in arcs[i]:
+                j = head[e]
+                if capacity[e] > 0 and level[j] < 0:
+                    level[j] = level[i] + 1
+                    if left[j] < 0 and goal is None:
+                        goal = level[j]
                     queue.append(j)
-        if goal < 0:
-            return [i in came for i in range(len(left))]
-        path, i = [], goal
-        while came[i][0] >= 0:
-            path.append(came[i][1])
-            i = came[i][0]
-        flow = min(left[i], -left[goal], *(capacity[e] for e in path))
-        left[i] -= flow
-        left[goal] += flow
-        for e in path:
-            capacity[e] -= flow
-            capacity[e ^ 1] += flow
+        if goal is None:
+            return [x >= 0 for x in level]
+        tried = [0] * len(left)
+        for source in sources:
+            path: list[int] = []
+            i = source
+            while left[source] > 0:
+                if left[i] < 0:
+                    flow = min(left[source], -left[i], *(capacity[e] for e in path))
+                    left[source] -= flow
+                    left[i] += flow
+                    for e in path:
+                        capacity[e] -= flow
+                        capacity[e ^ 1] += flow
+                    path, i = [], source
+                    continue
+                while tried[i] < len(arcs[i]):
+                    e = arcs[i][tried[i]]
+                    if capacity[e] > 0 and level[head[e]] == level[i] + 1 <= goal:
+                        break
+                    tried[i] += 1
+                if tried[i] < len(arcs[i]):
+                    path.append(e)
+                    i = head[e]
+                elif path:
+                    i = head[path.pop() ^ 1]
+                    tried[i] += 1
+                else:
+                    break
+
+
+def label(blocks: list[Block], fitted: Model) -> tuple[list[bool], list[bool]]:
+    """Whether each block is content: by the cut, and by the sign of its own odds alone.
+
+    The costs of a block's two labels are -log p of the classifier on the block itself; their difference, the log-odds, is what a cut can
+    save. Elements that speak for what is in them are nodes too, tied to the terminal that they speak for and, by edges, to their
+    blocks; blocks that follow each other are joined the more firmly the nearer they are in the element tree.
+    """
+    units = lambda x: round(UNIT * x)
+    own = [units(sum(w * x for w, x in zip(fitted.weights, features(b)))) for b in blocks]
+    terminals, edges = list(own), [(i, j, c) for i, j, kind in neighbours(blocks) if (c := units(fitted.smooth[kind]))]
+    speakers: dict[tuple[int, int], int] = {}
+    for i, block in enumerate(blocks):
+        for kind, element in block.parent.voices.items():
+            node = speakers.setdefault((id(element), kind), len(terminals))
+            if node == len(terminals):
+                terminals.append(0)
+            weight = units(fitted.voices[kind])
+            terminals[node] += weight + (weight > 0)  # outweighs its edges: an element keeps to what it says
+            edges.append((i, node, abs(weight)))
+    return min_cut(terminals, edges)[: len(blocks)], [t > 0 for t in own]
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by single spaces; empty for null, empty and text-less pages."""
     blocks = blocks_of(page or "")
-    odds = [content_odds(b) for b in blocks]
-    # the costs of the two labels are -log p of a logistic classifier; their difference, the log-odds, is what a cut can save
-    terminals = [round(UNIT * x) for x in odds]
-    edges = []
-    last_in: dict[int, int] = {}
-    for i, block in enumerate(blocks):
-        neighbours = {i - 1} if i else set()
-        home = id(block.parent.parent or block.parent)
-        if home in last_in:
-            neighbours.add(last_in[home])
-        last_in[home] = i
-        for j in neighbours:
-            strength = SMOOTH * FADE ** max(0, tree_distance(block.parent, blocks[j].parent) - 2)
-            if round(UNIT * strength):
-                edges.append((j, i, round(UNIT * strength)))
-    return " ".join(b.text for b, kept in zip(blocks, min_cut(terminals, edges)) if kept)
+    return " ".join(b.text for b, kept in zip(blocks, label(blocks, model())[0]) if kept)
 
 
 def _texts(pages: pa.Array) -> pa.Array:

@@ -1,10 +1,11 @@
 import itertools
 import random
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from loomgraph.llm import htmltext as h
+from loomgraph.llm import htmltext as h, labelled_pages
 
 ARTICLE = "The harbour was quiet when the first boats came back. Nobody on the pier spoke of the storm."
 PAGES = {
@@ -43,6 +44,55 @@ def test_minimum_cut_is_minimal():
         assert cost(h.min_cut(terminals, edges)) == min(map(cost, itertools.product([False, True], repeat=n)))
 
 
+def test_cut_decides_on_pages_left_out_of_the_fit():
+    """Leave one page out: the cut is right on nearly all blocks, the classifier's own sign is not."""
+    pages = labelled_pages.pages()
+    wrong_cut = wrong_sign = blocks = 0
+    for k, page in enumerate(pages):
+        fitted = h.Model.fit(pages[:k] + pages[k + 1 :])
+        found = h.blocks_of(page)
+        wanted = [b.text.startswith("§") for b in found]
+        for b in found:
+            b.text = b.text.removeprefix("§")
+        cut, sign = h.label(found, fitted)
+        blocks += len(found)
+        wrong_cut += sum(map(bool.__ne__, cut, wanted))
+        wrong_sign += sum(map(bool.__ne__, sign, wanted))
+    assert wrong_cut <= 0.03 * blocks and wrong_sign >= 5 * wrong_cut
+
+
+def test_neighbours_decide_where_no_element_speaks():
+    page = f"<div><a>Home</a> <a>News</a></div><div><p>{ARTICLE}<p>Then rain<p>{ARTICLE}</div><div>Imprint</div>"
+    assert h.main_text(page) == f"{ARTICLE} Then rain {ARTICLE}"
+    blocks = h.blocks_of(page)
+    cut, sign = h.label(blocks, h.model())
+    assert cut != sign and cut[2] and not sign[2]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x " * 50_000,
+        '<a "' * 50_000,
+        '<a ">"' * 30_000,
+        "<p>".join(["word " * 30 + ".", "<a>no</a>"] * 25_000),
+        "<b>" * 20_000 + "<div></div>text" * 20_000,
+        "<p>x.<p><a>y</a> zz" * 25_000,
+        "<aside><article>x" * 20_000,
+        "<!" * 50_000,
+        "<aaaa" * 50_000,
+    ],
+    ids=range(9),
+)
+def test_large_and_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    h.main_text(page[: len(page) // 4])
+    quarter = time.process_time() - began
+    began = time.process_time()
+    h.main_text(page)
+    assert time.process_time() - began < 8 * quarter + 1.0  # a quadratic page takes 16 times its quarter
+
+
 def test_table(spark):
     pages = spark.createDataFrame([(1, "u", p, "old", 5) for p in [None, "", "  ", *PAGES]] + [(2, "u", "<p>" + "word " * 200_000, "old", 5)], "page_id long, url string, html string, text string, n_chars int")
     rows = h.extract(pages).collect()
