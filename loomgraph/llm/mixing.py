@@ -41,9 +41,14 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], budget: float,
     )
 
 
-def _uniform(id_col: Column, seed: int) -> Column:
-    """Uniform in (0, 1) from the id alone, the same in every run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+def inclusion_odds(size: Column) -> Column:
+    """A document's own odds of inclusion: they grow with the square root of its words, so fragments are the last to be repeated."""
+    return F.sqrt(1 + size)
+
+
+def _uniform(id_col: Column, content: Column, seed: int) -> Column:
+    """Uniform in (0, 1) from the id and a digest of the text, the same in every run."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")), F.lit(":"), content))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -61,17 +66,20 @@ def mix_sources(
     """(doc_id, size, source, source_size, target, copies, taken), one row per row of `docs`.
 
     A source's rate is target / source_size. The whole part of it is certain: that many copies of every document.
-    The rest is a Pareto sample: documents are ranked by u / (1 - u) divided by the odds of inclusion p / (1 - p), and the
-    smallest are taken up to the document that comes nearest the rest of the target in words. `odds_col` multiplies a
-    document's odds of inclusion (positive; null: 1), for unequal chances within a source too.
+    The rest is a Pareto sample of a fixed size in words: documents are ranked by u / (1 - u) divided by their odds of inclusion,
+    and the smallest ranks are taken up to the document that comes nearest the rest of the target. A document's odds are
+    p / (1 - p) of its source times its own (`inclusion_odds` of its size, or `odds_col`: positive, null: 1).
 
     Ranks are cut exactly without sorting a source: words are summed by source and step of the rank, and only
-    the rows of the step that holds the cut are ordered. Ties go to the smaller id. A null text has size 0; the null source
+    the rows of the step that holds the cut are ordered, by rank, id, size and digest of the text: rows that tie in all of these are
+    equal, so every order of the input gives the same result. A null text has size 0; the null source
     is a source; a source of size 0 has target 0. Repeated rows are documents of their own. Empty table: empty result.
     """
-    odds = F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0)
+    size = word_count(F.col(text_col))
+    odds = F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else inclusion_odds(size)
+    content = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     sized = settle(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), odds.alias("odds"), _uniform(F.col(id_col), seed).alias("u")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), odds.alias("odds"), _uniform(F.col(id_col), content, seed).alias("u"), content.alias("digest")),
         "sizes",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -103,7 +111,7 @@ def mix_sources(
     )
     bounds = settle(_left_by_source(targets, cut), "cuts")
     placed = by_source(sized, bounds).withColumn("rank", rank).withColumn("step", step)
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     at_cut = placed.where("step = cut_step").withColumn("up_to", F.col("before") + F.sum("size").over(order))
     nearest = 2 * F.col("rest") >= 2 * F.col("up_to") - F.col("size")
     at_cut = at_cut.withColumn("extra", (nearest & (F.col("up_to") - F.col("size") < F.col("rest"))).cast("int")).drop("up_to")
@@ -122,7 +130,8 @@ def _left_by_source(targets: DataFrame, cut: DataFrame) -> DataFrame:
 MIX_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    (CAST('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+    md5(coalesce(text, '')) AS digest,
+    (CAST('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
@@ -136,10 +145,11 @@ rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS certain FROM targets),
 rests AS (SELECT *, greatest(target - certain * source_size, 0) AS rest FROM rates),
 ranked AS (
-  SELECT s.doc_id, s.size, r.*, CASE WHEN rest > 0 THEN u / (1 - u) / ((rest / source_size) / (1 - rest / source_size)) END AS rank
+  SELECT s.doc_id, s.size, s.digest, r.*,
+    CASE WHEN rest > 0 THEN u / (1 - u) / (sqrt(1.0::DOUBLE + s.size) * (rest / source_size) / (1 - rest / source_size)) END AS rank
   FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
 summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to FROM ranked)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to FROM ranked)
 SELECT doc_id, size, source_size, target,
   (size * (certain + CASE WHEN rank IS NOT NULL AND up_to - size < rest AND 2 * rest >= 2 * up_to - size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM summed

@@ -1,3 +1,4 @@
+import random
 import re
 
 import duckdb
@@ -40,6 +41,23 @@ def test_odds_raise_the_chance(spark):
     assert sum(r.taken for r in rows) == 2000 and even > 1400
 
 
+def test_rows_of_one_id_come_out_alike_in_any_order(spark):
+    rows = [(d, "w " * n + str(n), "s", 1, 1.0) for d in (1, 2, None) for n in (3, 40, 7, 90, 21, 64)] + [(3, "x y", "s", 1, 1.0)] * 3
+    results = []
+    for seed in range(5):
+        random.Random(seed).shuffle(rows)
+        found = mixing.mix_sources(rows_of(spark, rows), weights=(1,), budget=0.6).select("doc_id", "size", "source_size", "target", "taken").collect()
+        results.append(sorted(map(tuple, found), key=str))
+    assert all(r == results[0] for r in results) and 0 < sum(r[4] for r in results[0]) < results[0][0][2]
+
+
+def test_longer_documents_have_higher_odds(spark):
+    docs = rows_of(spark, [(i, "w " * (4 if i % 2 else 100), "s", 1, 1.0) for i in range(4000)])
+    rows = mixing.mix_sources(docs, budget=0.5).collect()
+    short, long = (sum(r.copies for r in rows if r["size"] == n) / 2000 for n in (4, 100))
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 50 and 0.1 < short < 0.3 and 0.45 < long < 0.6
+
+
 def test_words_and_empty(spark):
     texts = ["a\tb\x0bc\n", "é ü", " ", "", None, "a b"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.word_count(mixing.F.col("t")))
