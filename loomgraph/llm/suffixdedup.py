@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from loomgraph.llm.shared import settle, tasks
@@ -24,7 +25,7 @@ SLICE = 1 << 19
 #: Bytes of text to a block of documents.
 BLOCK = 8 << 20
 #: Documents with one k-gram beyond which its windows are filed singly, under their own hashes.
-HOT = 20_000
+HOT = 8_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
@@ -221,21 +222,25 @@ def equal_windows(order: SuffixOrder, at: np.ndarray, key: np.ndarray) -> tuple[
 
 def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts of a block's documents in the order of (doc_id, rid), with both. Documents without an id come last."""
-    ids = table["doc_id"].to_numpy(zero_copy_only=False)
+    ids = _ids(table)
     known = table["doc_id"].is_valid().to_numpy(zero_copy_only=False)
     rid = table["rid"].to_numpy()
-    order = np.lexsort((rid, np.where(known, ids, 0), ~known))
+    order = np.lexsort((rid, ids, ~known))
     column = table["text"].take(pa.array(order)).cast(pa.binary())
     return [t or b"" for t in column.to_pylist()], order, known[order]
 
 
+def _ids(table: pa.Table) -> np.ndarray:
+    """Ids as integers, 0 for null: by way of floats, large ones would lose their last digits."""
+    return pc.fill_null(table["doc_id"], 0).to_numpy()
+
+
 def _comparable(table: pa.Table, side: pa.Table) -> tuple[list[bytes], np.ndarray]:
     """Texts to compare (empty for copies of another document and documents without an id) and their ids."""
     texts, order, known = _texts(table)
     rid = table["rid"].to_numpy()[order]
     copies = np.isin(rid, side["key"].to_numpy()[side["kind"].to_numpy() == 2])
-    ids = np.where(known, np.nan_to_num(table["doc_id"].to_numpy(zero_copy_only=False)[order]), 0).astype(np.int64) if not known.all() else table["doc_id"].to_numpy()[order]
-    return [t if ok else b"" for t, ok in zip(texts, known & ~copies)], ids
+    return [t if ok else b"" for t, ok in zip(texts, known & ~copies)], _ids(table)[order]
 
 
 def _file_grams(table: pa.Table, side: pa.Table) -> pa.Table:
@@ -378,9 +383,9 @@ def _apply_removals(extra: list[str], with_text: bool):
         rid = table["rid"].to_numpy()[order]
         ids = table["doc_id"].take(pa.array(order)).to_pylist()
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for key in found.filter(found["low"].is_null())["least"].to_pylist():  # copies, by rid
-            for i in np.flatnonzero(rid == key):
-                spans[i].append((0, len(texts[i])))
+        copies = found.filter(found["low"].is_null())["least"].to_numpy()  # by rid
+        for i in np.flatnonzero(np.isin(rid, copies)):
+            spans[i].append((0, len(texts[i])))
         ranges = found.filter(found["low"].is_valid())
         for spots, low, high, least in zip(*(ranges[c].to_pylist() for c in ("spots", "low", "high", "least"))):
             for spot in np.frombuffer(spots, np.int64).tolist():

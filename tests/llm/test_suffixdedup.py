@@ -52,6 +52,21 @@ def test_matches_brute_force(spark, monkeypatch, seed, part, hot):
     assert found == brute(rows)
 
 
+def test_large_ids_beside_null_ids(spark):
+    """Ids beyond 2**53 that differ in their last digit only, in one table with null ids."""
+    passage = "".join(random.Random(4).choices("abcdefg ", k=89))
+    rows = [(2**53 + k, f"{k} before {passage} after {k}") for k in (3, 4, 1, 0)] + [(None, f"x{passage}y{k}") for k in range(40)] + [(2**62 + 1, passage), (2**62, passage), (-(2**62), "n" * 60), (-(2**62) + 1, "n" * 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((tuple(r) for r in sd.remove_repeats(docs).collect()), key=str)
+    assert found == brute(rows) and sum(n for _, _, n, _, _ in found) >= 3 * 89
+
+
+def test_many_short_copies(spark):
+    rows = [(i, "the same few words in each and every one of these documents, no more") for i in range(20_000)]
+    found = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    assert found.count() == 19_999
+
+
 def test_texts_and_columns(spark):
     passage = "0123456789" * 8
     docs = spark.createDataFrame([(1, "é" + passage, "s", 3), (2, "é" + passage + "tail", None, None)], "doc_id long, text string, source string, n long")
