@@ -14,9 +14,8 @@ from loomgraph.llm import langid, mixing, packing, shared, simhash, suffixdedup
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this share of agreement with the best profile a text is taken for no language at all.
 LEAST_SCORE = 0.1
-#: Near-duplicate stage: texts whose five-word shingles are this similar are near copies. Fingerprints of three-word shingles
-#: this many bits apart are the first candidates, a prefix filter finds all others.
-BITS, WORDS, SIMILARITY = 7, 5, 0.8
+#: Near-duplicate stage: texts whose shingles of so many words are this similar are near copies.
+WORDS, SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share that id are one document's; of equal rows one stays. Rows with a null id are kept.
     """
-    groups = simhash.simhash_components(docs, distance=BITS, verify=(WORDS, SIMILARITY), exact=True)
+    groups = simhash.simhash_components(docs, verify=(WORDS, SIMILARITY))
     leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.shared import settle, tasks
@@ -22,8 +22,10 @@ SEGMENTS = 8
 BLOCK = 1 << 15
 #: Runs of equal keys up to this length give all their links.
 SMALL = 64
-#: About so many texts are read for the order of prefixes, and so many of their shared shingles make it.
+#: About so many texts are read to tell which shingles are very common, and at most so many shingles are told.
 SAMPLE, COMMON = 8192, 1 << 19
+#: Texts filed under one shingle beyond which they are dealt to several tasks.
+SPLIT = 4096
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -91,8 +93,8 @@ class Chain:
         return out
 
 
-#: Chains by distance: 24 keys of 32 bits for 3 bits apart, 48 of 16 bits for 7.
-CHAINS = {3: Chain(3, 3, 8), 7: Chain(7, 2, 4)}
+#: Chains by distance: 24 keys of 32 bits for 3 bits apart.
+CHAINS = {3: Chain(3, 3, 8)}
 
 
 def _linked(differ: np.ndarray, starts: np.ndarray | int, distance: int) -> np.ndarray:
@@ -160,16 +162,11 @@ def _link_sorted(distance: int):
                 break
             at = at[_linked(fps[at] ^ fps[at + step], starts[at], distance)]
             found.append((nodes[at], nodes[at + step]))
-        dense: list[tuple[int, int]] = []
         for at in np.flatnonzero(np.diff(cut) > SMALL):
             run = slice(cut[at], cut[at + 1])
-            trees = list(_trees(fps[run], nodes[run], int(starts[cut[at]]), distance))
-            found.extend(tuple(np.array(tree, np.int64).T) for tree in trees)
-            dense.extend((member, int(keys[cut[at]])) for tree in trees if len(tree) > 1 for member in {*itertools.chain(*tree)})
+            found.extend(tuple(np.array(tree, np.int64).T) for tree in _trees(fps[run], nodes[run], int(starts[cut[at]]), distance))
         u, v = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        links = pa.table({"u": u, "v": v, "run": pa.nulls(len(u), pa.int64())})
-        members, runs = (pa.array([d[k] for d in dense], pa.int64()) for k in (0, 1))
-        return pa.concat_tables([links, pa.table({"u": members, "v": pa.nulls(len(dense), pa.int64()), "run": runs})]).combine_chunks()
+        return pa.table({"u": u, "v": v})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, fps, *nodes in _whole_runs(batches):
@@ -178,44 +175,18 @@ def _link_sorted(distance: int):
     return link
 
 
-def _link_across(distance: int):
-    """All links within a run between members of different components, the rows being (run, fp, node, root) sorted by run."""
-    width = CHAINS[distance].width
-
-    def across(run: int, fps: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, component, sizes = np.unique(roots, return_inverse=True, return_counts=True)
-        order = np.lexsort((component, sizes[component]))  # the largest component last: it is compared with, never searched
-        fps, nodes, component = fps[order], nodes[order], component[order]
-        ends = np.r_[np.flatnonzero(component[1:] != component[:-1]) + 1, len(component)]
-        for begin, end in zip(np.r_[0, ends], ends[:-1]):
-            for one in range(begin, end):
-                hit = nodes[end:][_linked(fps[end:] ^ fps[one], run >> (width + 8), distance)]
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), nodes[one])), pa.array(hit)], ["u", "v"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for runs, fps, nodes, roots in _whole_runs(batches):
-            cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True])
-            for a, b in zip(cut, cut[1:]):
-                yield from across(int(runs[a]), fps[a:b].view(np.uint64), nodes[a:b], roots[a:b])
-
-    return link
-
-
 def fingerprint_links(fps: DataFrame, distance: int = 3) -> DataFrame:
-    """Edges (u, v) of the links at `distance` (3 or 7) or fewer bits between the longs of column `fp`, distinct unless a
-    column `node` names what is linked instead of them: all links within runs of SMALL or fewer, spanning ones within longer runs. Rows without v name the members u of a longer run (`run`, its
-    key) that a spanning tree joins with two or more others, and which may have further links.
+    """Edges (u, v) of the links at `distance` or fewer bits between the longs of column `fp`, distinct unless a column `node` names
+    what is linked instead of them: all links within runs of SMALL or fewer, spanning ones within longer runs.
 
     Every fingerprint is dealt out under the keys of the distance's chain. Distinct fingerprints under one key of
     32 bits differ in the other 32 only, so a run's length is bounded by the fingerprints that exist around one chain and not by
-    the number of documents; copies have one fingerprint. Keys of 16 bits (distance 7) make runs of a 65,536th of all
-    fingerprints: candidates grow with the square of the corpus beyond some hundred million documents.
+    the number of documents; copies have one fingerprint.
     """
     spark = fps.sparkSession
     keyed = fps.select(F.explode(F.array(*CHAINS[distance].keys(F.col("fp")))).alias("key"), "fp", *[c for c in fps.columns if c == "node"])
     dealt = keyed.repartition(tasks(spark), "key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link_sorted(distance), "u long, v long, run long")
+    return dealt.mapInArrow(_link_sorted(distance), "u long, v long")
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -237,33 +208,50 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several of about SAMPLE texts hold, and in how many. No link depends on the sample: it only
-    sets the order in which prefixes are taken."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod("node", F.lit(every)) == 0).select(F.explode(_sets(shingle)(F.col("text"))).alias("s"))
+def _common_shingles(texts: DataFrame, number: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of about SAMPLE of the `number` texts hold, and in how many. No link depends on the
+    sample: it only says which shingles come last in the order of prefixes."""
+    some = texts.where(F.pmod("node", F.lit(max(1, number // SAMPLE))) == 0).select(F.explode(_sets(shingle)(F.col("text"))).alias("s"))
     counts = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     found, n = counts["s"].to_numpy(), counts["n"].to_numpy()
     order = np.argsort(found)
     return found[order], n[order]
 
 
-def _prefixes(shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """Rows (token, node, root, size, place) for the prefix of each text's set: shingles in few texts of the sample first, then by hash."""
+class _Prefixes:
+    """Parts of texts' sets: shingles that aren't very common, whose exact counts set their order, and the common ones that follow them."""
+
+    def __init__(self, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+        self.shingle, self.similarity, self.common, self.counts = shingle, similarity, common, counts
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        s = shingle_hashes(text, self.shingle)
+        if not len(self.common):
+            return s, s[:0]
+        at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+        late = self.common[at] == s
+        return s[~late], s[late][np.argsort(self.counts[at[late]], kind="stable")]
+
+    def scarce(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (token, node) of the shingles that aren't very common."""
         for batch in batches:
-            for node, root, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingle_hashes(text, shingle)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
-                n = prefix_length(len(s), similarity)
-                if n:
-                    columns = s[:n], np.full(n, node), np.full(n, root), np.full(n, len(s), np.int32), np.arange(n, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "root", "size", "place"])
+            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s, _ = self.parts(text)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node))], ["token", "node"])
 
-    return deal
+    def sizes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text: the size of its set, how many of it aren't very common, how long its prefix is, and the common
+        shingles that the prefix needs."""
+        for batch in batches:
+            nodes, roots, texts = (c.to_pylist() for c in batch.columns)
+            both = [self.parts(t) for t in texts]
+            size = [len(s) + len(late) for s, late in both]
+            most = [prefix_length(n, self.similarity) for n in size]
+            late = [late[: max(0, m - len(s))] for m, (s, late) in zip(most, both)]
+            columns = [nodes, roots, size, [len(s) for s, _ in both], most]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(late, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "root", "size", "scarce", "most", "late"])
 
 
 def _link_prefixes(similarity: float):
@@ -305,30 +293,52 @@ def _link_prefixes(similarity: float):
     return link
 
 
-def prefix_links(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def prefix_tokens(texts: DataFrame, number: int, shingle: int, similarity: float) -> DataFrame:
+    """(token, node, root, size, place) of the shingles in the texts' prefixes that other texts may hold.
+
+    The order of a set's members is by the number of texts that hold them, counted over all texts, and by hash; the very common ones
+    of _common_shingles come last. A shingle that no other text holds leads to nothing and isn't passed on.
+    """
+    cutter = _Prefixes(shingle, similarity, *_common_shingles(texts, number, shingle))
+    sizes = texts.select("node", "root", "text").mapInArrow(cutter.sizes, "node long, root long, size int, scarce int, most int, late array<long>")
+    scarce = texts.select("node", "text").mapInArrow(cutter.scarce, "token long, node long")
+    shared = scarce.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
+    of_text = Window.partitionBy("node")
+    ranked = shared.withColumn("behind", F.count("*").over(of_text) - F.row_number().over(of_text.orderBy("n", "token")) + 1)
+    early = ranked.join(sizes, "node").withColumn("place", (F.col("scarce") - F.col("behind")).cast("int")).where("place < most")
+    late = sizes.select("node", "root", "size", F.col("scarce").alias("first"), F.posexplode("late").alias("at", "token")).withColumn("place", F.col("first") + F.col("at"))
+    columns = ["token", "node", "root", "size", "place"]
+    return early.select(*columns).unionByName(late.select(*columns))
+
+
+def prefix_links(texts: DataFrame, number: int, shingle: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    `texts` is (node, root, text). Each text is filed under the rarest shingles of its set, so many that two sets this similar
-    share one of them (prefix filter); nothing is left to chance.
+    `texts` is (node, root, text), `number` about their number. Each text is filed under the rarest shingles of its set, so many that
+    two sets this similar share one of them (prefix filter); nothing is left to chance. Texts under a shingle that more than SPLIT
+    are filed under are dealt to parts, and each pair of parts is a group of its own.
     """
-    common = _common_shingles(texts, shingle)
-    filed = texts.select("node", "root", "text").mapInArrow(_prefixes(shingle, similarity, *common), "token long, node long, root long, size int, place int")
+    tokens = settle(prefix_tokens(texts, number, shingle, similarity), "tokens")
+    hot = tokens.groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    split = tokens.join(hot, "token").withColumn("part", part).withColumn("other", other)
+    split = split.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+    whole = tokens.join(hot, "token", "left_anti").withColumn("cell", F.lit(0))
+    columns = [F.xxhash64("token", "cell").alias("token"), "node", "root", "size", "place"]  # cells whose hashes collide only give candidates
+    filed = whole.select(*columns).unionByName(split.select(*columns))
     dealt = filed.repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInArrow(_link_prefixes(similarity), "u long, v long").distinct()
 
 
-def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, distance: int, shingle: int, similarity: float, exact: bool = False) -> DataFrame:
-    """Those of the links at `distance` bits between texts whose shingle sets have a Jaccard similarity of `similarity` or more.
+def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) of texts whose shingle sets have a Jaccard similarity of `similarity` or more: enough to join all that are connected.
 
-    `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Only texts that a link
-    names are read for their sets. Where a long run gave spanning links only, a second pass takes all links between members that
-    the first one's verified links leave in different components: near copies are one component by then, so
-    their pairs aren't listed, and no verified link that joins two components is missed. With `exact` all pairs of a
-    prefix filter that are still in different components are verified instead, so none is lost whose fingerprints are further apart.
+    `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Links between near fingerprints are
+    verified first, which makes most near copies one component; all pairs of a prefix filter that are still in different components
+    are verified then, so none is lost whose fingerprints are far apart. Only texts that a candidate names are read for their sets.
     """
-    found = settle(links, "found")
-    ordered = [F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")]
-    pairs = settle(found.where("u <> v").select(*ordered).distinct(), "links")
+    pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
@@ -339,40 +349,29 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, dista
             out.append(shared / union if union else 1.0)
         return pa.array(out, pa.float64())
 
-    def hashes(candidates: DataFrame) -> DataFrame:
+    def verified(candidates: DataFrame) -> DataFrame:
         named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
         kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
-        return settle(kept.select("node", _sets(shingle)(F.col("text")).alias("s")), "sets")
-
-    def verified(candidates: DataFrame, hashed: DataFrame) -> DataFrame:
+        hashed = settle(kept.select("node", _sets(shingle)(F.col("text")).alias("s")), "sets")
         both = candidates.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
-        return both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v")
-
-    hashed = hashes(pairs)
-    if exact:
-        first = settle(verified(pairs, hashed), "verified")
-        roots = distinct.join(connected_components(first), "node", "left").select("node", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root"))
-        further = settle(prefix_links(docs.join(roots, ["doc_id", "node"]), shingle, similarity), "further")
-        return settle(first.unionByName(verified(further, hashes(further))), "verified")
-    dense = found.where("v IS NULL").select("run", F.col("u").alias("node"))
-    if dense.isEmpty():
-        return verified(pairs, hashed)
-    first = settle(verified(pairs, hashed), "verified")
-    placed = dense.join(distinct, "node").join(connected_components(first), "node", "left").select("run", "fp", "node", F.coalesce("root", "node").alias("root"))
-    dealt = placed.repartition(tasks(docs.sparkSession), "run").sortWithinPartitions("run", "fp")
-    further = dealt.mapInArrow(_link_across(distance), "u long, v long").select(*ordered).distinct()
-    return first.unionByName(verified(further.join(pairs, ["u", "v"], "left_anti"), hashed))
-
-
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None, exact: bool = False) -> DataFrame:
+        return settle(both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v"), "verified")
+
+    first = verified(pairs)
+    roots = distinct.join(connected_components(first), "node", "left").select("node", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root"))
+    roots = settle(roots, "roots")
+    texts = docs.join(roots, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"])
+    further = settle(prefix_links(texts, roots.count(), shingle, similarity), "further")
+    return first.unionByName(verified(further))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and word-less texts have fingerprint zero and link like any other. Repeated rows give repeated
     result rows. A null id never becomes a component's id; a component of null ids only has a null one.
-    Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) links,
-    also those of equal fingerprints, hold only between texts whose shingles of so many words are that similar (Jaccard); texts
-    are told apart by 64-bit hashes, and one that has only null ids links with no other.
-    With `exact` all texts that similar link, however far apart their fingerprints are.
+    Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) those texts link
+    whose sets of shingles of so many words are that similar (Jaccard), all of them and no others: near fingerprints are the
+    first candidates only. Texts are told apart by 64-bit hashes, and one that has only null ids links with no other.
     """
     text = F.col(text_col)
     signed = docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), *([F.xxhash64(text).alias("node")] if verify else []))
@@ -382,9 +381,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
     if verify:
         texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), distance, *verify, exact)
+        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), *verify)
     else:
-        links = fingerprint_links(distinct.select("fp"), distance).where("v IS NOT NULL")
+        links = fingerprint_links(distinct.select("fp"), distance)
     roots = connected_components(links)
     members = distinct.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
