@@ -8,23 +8,23 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from loomgraph.llm.shared import settle
 
 VERSION = "WARC/1.1"
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Records of an archive file, at most: a reader holds one file at a time.
-FILE_RECORDS = 3000
+#: A reader holds one file at a time, so files are bounded in payload bytes (a larger capture has a file for itself) and in captures.
+FILE_BYTES, FILE_CAPTURES = 256 << 20, 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Date of captures that bring none of their own.
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _record_id(kind: str) -> Column:
-    """A urn:uuid from the kind and the row's number."""
-    h = F.md5(F.concat(F.lit(f"{kind}:"), F.col("seq").cast("string")))
+def _record_id(kind: str, name: Column) -> Column:
+    """A urn:uuid from the kind and what names the row."""
+    h = F.md5(F.concat(F.lit(f"{kind}:"), name))
     parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
@@ -37,46 +37,60 @@ def _line(name: str, value: Column | str) -> Column:
 
 def _record(kind: str, content_type: str, body: Column, *lines: Column) -> Column:
     """A record without its two closing line ends, which the writer's line separator adds."""
-    head = [_line("WARC-Type", kind), _line("WARC-Record-ID", _record_id(kind)), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("uri")), *lines, _line("Content-Type", content_type)]
+    head = [_line("WARC-Type", kind), _line("WARC-Record-ID", _record_id(kind, F.col("name"))), _line("WARC-Date", F.col("date")), _line("WARC-Target-URI", F.col("uri")), *lines, _line("Content-Type", content_type)]
     return F.concat(F.lit(f"{VERSION}\r\n"), *head, _line("Content-Length", F.octet_length(body)), F.lit("\r\n"), body)
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None) -> None:
     """Write gzip WARC files below `path`: for each row a request, a response or revisit, and a metadata record.
 
-    Payloads are text and stored as UTF-8; null is the empty payload. Of rows with equal payloads of REVISIT_BYTES or more
-    the one with the largest id (null ids last, ties to the later row) is the response and the others refer to it; equal means
-    equal SHA-1 and length. Request and metadata are concurrent to the response or revisit. Rows are numbered in reading order,
-    so repeated rows are captures of their own; the input must give its rows in the same order when it is read again.
+    Payloads are text and stored as UTF-8; null is the empty payload. Of rows with equal payloads of REVISIT_BYTES or more (equal
+    SHA-256 and length) the one with the largest id (null ids last, ties to the largest hash of the row) is the response and the others
+    refer to it. Request and metadata are concurrent to the response or revisit. The response is told by the row's content,
+    not by its place, so the input may give its rows in another order when it is read again. Repeated rows are captures of their
+    own: one of them is the response.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     date = F.date_format(F.col(date_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_col else F.lit(DATE)
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("seq"), F.col(id_col).cast("string").alias("capture"), F.col(id_col).alias("order_id"), F.col(url_col).alias("uri"), payload.alias("payload"), F.coalesce(date, F.lit(DATE)).alias("date")
-    )
-    rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    large = rows.where(F.col("size") >= REVISIT_BYTES)
-    # the winners need no payload: the scan is read twice, and only one row per digest is shuffled and joined
-    winner = large.groupBy("sha1", "size").agg(F.max(F.struct("order_id", "seq")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    winner = winner.select(F.col("sha1").alias("w_sha1"), F.col("size").alias("w_size"), F.col("last.seq").alias("w_seq"))
-    joined = rows.join(winner, (rows.sha1 == winner.w_sha1) & (rows["size"] == winner.w_size), "left")
-    kinds = joined.withColumn("revisit", F.coalesce(F.col("w_seq") != F.col("seq"), F.lit(False)))
+    rows = pages.select(F.col(id_col).cast("string").alias("capture"), F.col(id_col).alias("order_id"), F.col(url_col).alias("uri"), payload.alias("payload"), F.coalesce(date, F.lit(DATE)).alias("date"))
+    rows = rows.withColumn("sha256", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload")).withColumn("content", F.xxhash64("capture", "uri", "date", "sha256"))
+    # the winners need no payload: the scan is read twice, and only one row per digest is joined
+    largest = rows.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    alike = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("sha256", "size", "order_id", "content").agg(F.count("*").alias("copies"))
+    winner = alike.groupBy("sha256", "size").agg(F.max(F.struct("order_id", "content", "copies")).alias("last"), F.sum("copies").alias("n")).where("n > 1")
+    winner = settle(winner.select(F.col("sha256").alias("w_sha256"), F.col("size").alias("w_size"), F.col("last.content").alias("w_content"), F.col("last.copies").alias("w_copies")), "winners")
+    joined = rows.join(winner, (rows.sha256 == winner.w_sha256) & (rows["size"] == winner.w_size), "left")
+    first = F.col("w_content") == F.col("content")
+    if winner.where("w_copies > 1").isEmpty():
+        kinds = joined.withColumn("revisit", F.coalesce(~first, F.lit(False)))
+    else:
+        several = F.coalesce(first & (F.col("w_copies") > 1), F.lit(False))
+        place = F.row_number().over(Window.partitionBy("sha256", "size", "content").orderBy("content"))
+        kinds = joined.where(~several).withColumn("revisit", F.coalesce(~first, F.lit(False))).unionByName(joined.where(several).withColumn("revisit", place > 1))
+    told = lambda content: F.concat_ws("-", F.lit("first"), "sha256", F.col("size").cast("string"), F.col(content).cast("string"))
+    # a response that others refer to is named by its content, any other row by its place in this one evaluation
+    kinds = kinds.withColumn("name", F.when(F.col("w_content").isNotNull() & ~F.col("revisit"), told("content")).otherwise(F.concat_ws("-", F.col("content").cast("string"), F.monotonically_increasing_id().cast("string"))))
+    kinds = kinds.withColumn("sha1", F.sha1("payload"))
 
     digest = _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))
-    main_id = F.when(F.col("revisit"), _record_id("revisit")).otherwise(_record_id("response"))
+    main_id = F.when(F.col("revisit"), _record_id("revisit", F.col("name"))).otherwise(_record_id("response", F.col("name")))
     target = F.col("uri")
     host = F.regexp_extract(F.coalesce(target, F.lit("")), r"://([^/?#]*)", 1)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
-    referred = kinds.withColumn("own", F.col("seq")).withColumn("seq", F.coalesce("w_seq", "seq")).select("*", _record_id("response").alias("target_id")).drop("seq").withColumnRenamed("own", "seq")
     concurrent = _line("WARC-Concurrent-To", main_id)
     response = _record("response", "application/http; msgtype=response", F.concat(http, F.col("payload")), digest)
-    revisit = _record("revisit", "application/http; msgtype=response", http, digest, _line("WARC-Refers-To", F.col("target_id")), _line("WARC-Profile", PROFILE))
+    revisit = _record("revisit", "application/http; msgtype=response", http, digest, _line("WARC-Refers-To", _record_id("response", told("w_content"))), _line("WARC-Profile", PROFILE))
     request = _record("request", "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce(F.regexp_replace(target, r"\s", "%20"), F.lit("/")), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")), concurrent)
     about = F.concat(F.coalesce(F.concat(F.lit("capture: "), F.col("capture"), F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("size").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", "application/warc-fields", about, concurrent)
     records = F.concat_ws("\r\n\r\n", request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
-    out = referred.select(records.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS // 3)
-    out.text(path)
+    named = kinds.select(records.alias("value"), "size")
+    low, high = -1, FILE_BYTES // FILE_CAPTURES
+    while low < largest:  # classes of payload sizes, 16 times larger from one to the next: files of each hold FILE_BYTES at most
+        last = high >= FILE_BYTES
+        some = named.where((F.col("size") > low) & (F.lit(last) | (F.col("size") <= high))) if low >= 0 or high < largest else named
+        some.select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1 if last else max(1, FILE_BYTES // high)).text(path)
+        low, high = (largest if last else high), high * 16
 
 
 _FIELDS = ["record_id", "type", "uri", "date", "concurrent_to", "refers_to", "digest", "content_type"]
@@ -117,7 +131,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_buffer()
                 raw = pa.BufferReader(data)
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data.to_pybytes()[:2] == b"\x1f\x8b" else io.BytesIO(data.to_pybytes())
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if data.slice(0, 2).to_pybytes() == b"\x1f\x8b" else raw)
                 rows = []
                 for head, body in parse_records(stream):
                     payload = _payload(head["warc-type"], body)

@@ -32,6 +32,27 @@ def test_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0), f"file://{tmp_path}/b").collect() == []
 
 
+def test_files_are_bounded_in_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 16)
+    monkeypatch.setattr(warc, "FILE_CAPTURES", 64)
+    sizes = [10] * 150 + [1024, 1025, 3000, 9000, 16384, 16385, 40_000, 65_536, 100_000, 300_000] * 4
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = warc.archive_round_trip(pages, f"file://{tmp_path}/a").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+    for file in (tmp_path / "a").glob("part-*"):
+        payloads = [len(body.partition(b"\r\n\r\n")[2]) for head, body in warc.parse_records(gzip.open(file)) if head["warc-type"] == "response"]
+        assert sum(payloads) <= 1 << 16 or len(payloads) == 1
+
+
+def test_order_of_the_input_does_not_matter(spark, tmp_path):
+    """An input whose rows come in another order each time that they are read."""
+    rows = ROWS * 3
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").orderBy(F.rand())
+    found = warc.archive_round_trip(pages, f"file://{tmp_path}/a").collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+
+
 def test_records_and_captures(spark, tmp_path):
     pages = spark.createDataFrame(ROWS[:4] + [(None, "http://n", "null id")], "page_id long, url string, html string")
     warc.write_archive(pages, f"file://{tmp_path}/a")
