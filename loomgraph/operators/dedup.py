@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomgraph.functions.text import char_ngrams
 from loomgraph.plans import params as P
-from loomgraph.sources.interim import settled
+from loomgraph.sources.interim import settle
 
 
 def simhash64(text: str, size: int = P.NGRAM) -> int:
@@ -55,7 +55,7 @@ def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMIN
     kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM)
     firsts = kept.groupBy("t").agg(F.min("doc").alias("doc"))
     grams = F.array_distinct(char_ngrams(F.col("t"), P.NGRAM))
-    marked = settled(firsts.select("doc", grams.alias("g"), F.arrow_udf(_simhashes, T.LongType())(F.col("t")).alias("fp")).withColumn("n", F.size("g")))
+    marked = settle(firsts.select("doc", grams.alias("g"), F.arrow_udf(_simhashes, T.LongType())(F.col("t")).alias("fp")).withColumn("n", F.size("g")))
     keyed = marked.select("doc", "fp", "n", F.explode(candidate_keys(F.col("fp"))).alias("key"))
     a, b = keyed.toDF("later", "fa", "na", "key"), keyed.toDF("earlier", "fb", "nb", "key")
     # sets of too different sizes can't be alike enough
@@ -67,7 +67,7 @@ def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMIN
     return both.where(shared / (F.size("ga") + F.size("gb") - shared) >= least).select("later", "earlier")
 
 
-#: Links of undecided documents that are settled in one ordered pass.
+#: Links of undecided documents that are settle in one ordered pass.
 ORDERED = 200_000
 
 
@@ -94,21 +94,21 @@ def star_clusters(pairs: DataFrame, ordered: int = ORDERED) -> DataFrame:
     which one ordered pass settles: a chain costs no round a document. Every round decides the smallest open id at least. Where a
     document is near several roots the earliest is taken.
     """
-    links = settled(pairs.select("later", "earlier"))
+    links = settle(pairs.select("later", "earlier"))
     every = links.select(F.explode(F.array("later", "earlier")).alias("doc")).distinct()
-    decided = settled(every.join(links.select(F.col("later").alias("doc")), "doc", "left_anti").select("doc", F.col("doc").alias("root")))
+    decided = settle(every.join(links.select(F.col("later").alias("doc")), "doc", "left_anti").select("doc", F.col("doc").alias("root")))
     while True:
         open_links = links.join(decided.select(F.col("doc").alias("later")), "later", "left_anti")
-        told = settled(open_links.join(decided.select(F.col("doc").alias("earlier"), F.col("root")), "earlier", "left").select("later", "earlier", "root"))
+        told = settle(open_links.join(decided.select(F.col("doc").alias("earlier"), F.col("root")), "earlier", "left").select("later", "earlier", "root"))
         left = told.count()
         if not left:
             return decided
         if left <= ordered:
-            return settled(decided.unionByName(pairs.sparkSession.createDataFrame(_in_order([tuple(r) for r in told.collect()]), decided.schema)))
+            return settle(decided.unionByName(pairs.sparkSession.createDataFrame(_in_order([tuple(r) for r in told.collect()]), decided.schema)))
         state = told.groupBy("later").agg(F.min(F.when(F.col("root") == F.col("earlier"), F.col("earlier"))).alias("star"), F.min(F.when(F.col("root").isNull(), F.col("earlier"))).alias("open"))
         # decided if no earlier link is open, or a root comes before the first open one
         ready = state.where("open IS NULL OR star < open").select(F.col("later").alias("doc"), F.coalesce("star", "later").alias("root"))
-        decided = settled(decided.unionByName(ready))
+        decided = settle(decided.unionByName(ready))
 
 
 def near_members(docs: DataFrame, doc: str, text: Column) -> DataFrame:
@@ -117,7 +117,7 @@ def near_members(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     Copies meet by a 128-bit hash of the text without white space.
     """
     key = F.md5(F.encode(solid(text), "UTF-8"))
-    every = settled(docs.select(F.col(doc).alias("doc"), F.when(F.length(text) >= P.DEDUP_MIN_CHARS, key).alias("key")))
+    every = settle(docs.select(F.col(doc).alias("doc"), F.when(F.length(text) >= P.DEDUP_MIN_CHARS, key).alias("key")))
     firsts = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("first"))
     stars = star_clusters(near_pairs(docs, doc, text)).toDF("first", "root")
     placed = firsts.join(stars, "first", "left").select("key", F.coalesce("root", "first").alias("root"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.sources.interim import settled
+from loomgraph.sources.interim import settle
 
 
 def lower_median_rank(counts: DataFrame, by: list[str], rank: str, n: str) -> DataFrame:
@@ -65,16 +65,16 @@ def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     Kahn's rounds as joins: each takes all pending nodes none of whose needs is pending, and is written before the next.
     """
-    pending, out = settled(nodes.select("id").distinct()), None
-    edges = settled(edges.select("id", "needs"))
+    pending, out = settle(nodes.select("id").distinct()), None
+    edges = settle(edges.select("id", "needs"))
     for level in range(rounds):
         blocked = edges.join(pending.select(F.col("id").alias("needs")), "needs", "left_semi").select("id")
-        ready = settled(pending.join(blocked, "id", "left_anti"))
+        ready = settle(pending.join(blocked, "id", "left_anti"))
         if ready.isEmpty():
             break
         placed = ready.withColumn("level", F.lit(level))
         out = placed if out is None else out.unionByName(placed)
-        pending = settled(pending.join(ready, "id", "left_anti"))
+        pending = settle(pending.join(ready, "id", "left_anti"))
     if not pending.isEmpty():
         raise ValueError("the development graph has a cycle, or is deeper than the bound")
     return out if out is not None else pending.withColumn("level", F.lit(0))
@@ -82,12 +82,12 @@ def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
 
 def prerequisite_closure(edges: DataFrame, wanted: DataFrame, rounds: int = 32) -> DataFrame:
     """(goal, id): each wanted node with all it needs, directly or not, by joins until nothing new comes."""
-    edges = settled(edges.select("id", "needs"))
-    reached = settled(wanted.select(F.col("id").alias("goal"), "id"))
+    edges = settle(edges.select("id", "needs"))
+    reached = settle(wanted.select(F.col("id").alias("goal"), "id"))
     frontier = reached
     for _ in range(rounds):
         step = frontier.join(edges, "id").select("goal", F.col("needs").alias("id")).distinct()
-        frontier = settled(step.join(reached, ["goal", "id"], "left_anti"))
+        frontier = settle(step.join(reached, ["goal", "id"], "left_anti"))
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)

@@ -1,18 +1,31 @@
-"""Tables between the rounds of an iterative operator."""
+"""Interim tables below the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
 
-def settled(df: DataFrame, name: str = "interim") -> DataFrame:
-    """`df` written below `spark.checkpoint.dir` (a temporary folder where that is unset, as in tests) and read back."""
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names. Where it is unset a local master gets a temporary one; a cluster raises, since
+    its executors don't see the driver's folders."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
+
+
+def settle(df: DataFrame, name: str = "interim") -> DataFrame:
+    """Write `df` below the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Unlike checkpoint() the rows are computed once, since the write itself is the action.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
