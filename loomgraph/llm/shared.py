@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from loomgraph.sources.interim import settle, shared_dir
+
+__all__ = ["WORD_PATTERN", "settle", "shared_dir", "tasks"]
 
 #: A word is a run of anything but the six ASCII white-space characters (space, tab, LF, VT, FF, CR).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: `spark.checkpoint.dir`, or a local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="loomgraph-"))
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` below the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    Unlike checkpoint() the rows are computed once, since the write itself is the action.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def tasks(spark: SparkSession) -> int:
     """Partitions that the session deals shuffles to."""
