@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomgraph.operators.order_stats import values_at
+
 #: Pair kinds and the node kind whose weight divides them.
 RELATIONS = {"job_task": "job", "job_skill": "job", "task_skill": "task", "skill_skillpoint": "skill"}
 
@@ -67,9 +69,7 @@ def decayed_chain(freq: DataFrame, step: Column, last: Column, keys: list[str],
 
 def upper_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Element n // 2 (from 0) of the sorted values of each group."""
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*by, F.col(value).alias("median"))
+    return values_at(rows, value, by, {"median": F.floor(F.col("n") / 2)}).select(*by, "median")
 
 
 def gaps(strengths: DataFrame, exposure: DataFrame) -> DataFrame:

@@ -60,38 +60,45 @@ def five_dimension_score(skill: Column, task: Column, experience: Column, degree
     return 0.34 * skill + 0.26 * task + 0.16 * experience + 0.14 * degree + 0.10 * other
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFrame:
+#: Rounds whose parts are read side by side before they are written as one table.
+KEPT = 32
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) of a DAG: the longest path from a node without prerequisites. `edges` are (id, needs). A cycle raises.
 
-    Kahn's rounds as joins: each takes all pending nodes none of whose needs is pending, and is written before the next.
+    Kahn's rounds as joins: each takes all pending nodes none of whose needs is pending, and is written before the next. There are
+    as many rounds as the graph is deep.
     """
-    pending, out = settle(nodes.select("id").distinct()), None
+    pending, out, level = settle(nodes.select("id").distinct()), None, 0
     edges = settle(edges.select("id", "needs"))
-    for level in range(rounds):
+    while not pending.isEmpty():
         blocked = edges.join(pending.select(F.col("id").alias("needs")), "needs", "left_semi").select("id")
         ready = settle(pending.join(blocked, "id", "left_anti"))
         if ready.isEmpty():
-            break
+            raise ValueError("the development graph has a cycle")
         placed = ready.withColumn("level", F.lit(level))
         out = placed if out is None else out.unionByName(placed)
+        level += 1
+        out = settle(out) if level % KEPT == 0 else out
         pending = settle(pending.join(ready, "id", "left_anti"))
-    if not pending.isEmpty():
-        raise ValueError("the development graph has a cycle, or is deeper than the bound")
     return out if out is not None else pending.withColumn("level", F.lit(0))
 
 
-def prerequisite_closure(edges: DataFrame, wanted: DataFrame, rounds: int = 32) -> DataFrame:
-    """(goal, id): each wanted node with all it needs, directly or not, by joins until nothing new comes."""
+def prerequisite_closure(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(goal, id): each wanted node with all it needs, directly or not, by joins until nothing new comes. A goal that needs itself raises."""
     edges = settle(edges.select("id", "needs"))
     reached = settle(wanted.select(F.col("id").alias("goal"), "id"))
-    frontier = reached
-    for _ in range(rounds):
-        step = frontier.join(edges, "id").select("goal", F.col("needs").alias("id")).distinct()
+    frontier, rounds = reached, 0
+    while True:
+        step = settle(frontier.join(edges, "id").select("goal", F.col("needs").alias("id")).distinct())
+        if not step.where("goal = id").isEmpty():
+            raise ValueError("the prerequisites have a cycle")
         frontier = settle(step.join(reached, ["goal", "id"], "left_anti"))
         if frontier.isEmpty():
             return reached
-        reached = reached.unionByName(frontier)
-    raise ValueError("prerequisites go deeper than the bound, or in a cycle")
+        reached, rounds = reached.unionByName(frontier), rounds + 1
+        reached = settle(reached) if rounds % KEPT == 0 else reached
 
 
 def micro_prf(rows: DataFrame, predicted: str, gold: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-#: Query vectors that are broadcast.
-ANCHORS = 2000
+#: Queries and rows of one block.
+QUERIES, ROWS = 2000, 16_384
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,14 +22,43 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def _best(k: int, names: tuple[str, str]):
+    key, vector = names
+
+    def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        """The k rows of a block nearest to each of its queries; ties to the smaller key."""
+        ids, scores = rows[key].to_numpy(), np.zeros((len(asked), 0))
+        found: list[tuple[int, int, float]] = []
+        if len(asked) and len(rows):
+            a, b = (np.stack(t[vector].to_numpy(zero_copy_only=False)).astype(np.float64) for t in (asked, rows))
+            norms = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))
+            scores = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+        for query, line in zip(asked[key].to_pylist(), scores):
+            line[ids == query] = -np.inf
+            near = np.flatnonzero(line >= np.partition(line, max(len(line) - k, 0))[max(len(line) - k, 0)]) if len(line) else np.zeros(0, int)
+            for i in near[np.lexsort((ids[near], -line[near]))][:k]:
+                if np.isfinite(line[i]):
+                    found.append((query, int(ids[i]), float(line[i])))
+        columns = zip(*found) if found else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query", key, "score"])
+
+    return best
+
+
 def top_k_similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(query, key, score) of the k nearest by cosine. Up to ANCHORS queries, counted, are broadcast and the rows stay where they are;
-    more are met in blocks. The group limit cuts to k a query in each task before the shuffle."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("qv"))
-    q = F.broadcast(q) if queries.limit(ANCHORS + 1).count() <= ANCHORS else q
-    scored = rows.join(q, F.col("query") != F.col(key)).select("query", key, F.round(cosine(F.col("qv"), F.col(vector)), 6).alias("score"))
+    """(query, key, score) of the k nearest by cosine (6 digits; 0 if either norm is 0), for vectors of one length and integer keys.
+
+    Queries come in blocks of QUERIES and rows in blocks of ROWS, and each pair of blocks is one product of matrices that leaves k rows
+    a query; nothing is broadcast. Rows go out once for each block of queries.
+    """
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (rows, ROWS)))
+    number = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(key, vector, number(parts).alias("part"), every(blocks).alias("block"))
+    held = rows.select(key, vector, every(parts).alias("part"), number(blocks).alias("block"))
+    found = asked.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(_best(k, (key, vector)), f"query long, {key} long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 #: Members of a group that the quadratic methods below take.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from loomgraph.operators import graph
 from loomgraph.plans import params as P
 from loomgraph.plans.registry import registry
+from loomgraph.sources.interim import settle
 from loomgraph.sources.tables import load
 
 QUERIES, ORACLES, query = registry()
@@ -32,7 +33,12 @@ def freq(spark: SparkSession, sf_dir: str, window: str | None = None) -> DataFra
     return graph.presence_frequency(docs(spark, sf_dir), window)
 
 
-FACTS = """facts AS (
+def settled_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequencies written once, for queries that read them several times; the facts are joined and counted once."""
+    return settle(freq(spark, sf_dir), "freq")
+
+
+FACTS = """facts AS MATERIALIZED (
   SELECT o_orderkey AS doc, c_mktsegment AS job, o_orderpriority AS task, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS salary, p_brand AS skill, p_name AS point, l_quantity AS quantity
   FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (lineitem JOIN part ON l_partkey = p_partkey) ON o_orderkey = l_orderkey)"""
 
@@ -40,7 +46,7 @@ FACTS = """facts AS (
 def freq_sql(window: bool = False) -> str:
     m, g = ("month, ", "GROUP BY ALL") if window else ("", "GROUP BY ALL")
     one = lambda kind, src, dst, where="": f"SELECT {m}'{kind}' AS kind, {src} AS src, {dst} AS dst, count(DISTINCT doc)::DOUBLE AS w FROM facts {where} {g}"
-    return f"""{FACTS}, freq AS (
+    return f"""{FACTS}, freq AS MATERIALIZED (
   {one("total", "''", "''")} UNION ALL {one("job", "job", "''")} UNION ALL {one("task", "task", "''")} UNION ALL {one("job_task", "job", "task")}
   UNION ALL {one("skill", "skill", "''", "WHERE skill IS NOT NULL")} UNION ALL {one("job_skill", "job", "skill", "WHERE skill IS NOT NULL")}
   UNION ALL {one("task_skill", "task", "skill", "WHERE skill IS NOT NULL")} UNION ALL {one("skill_skillpoint", "skill", "point", "WHERE skill IS NOT NULL")}
@@ -118,8 +124,7 @@ def prof_pivot(spark, sf_dir):
     return wide.select("job", *[F.round(F.col(x) / total, 6).alias(x) for x in _LEVELS])
 
 
-def all_edges(spark, sf_dir):
-    table = freq(spark, sf_dir)
+def all_edges(table):
     out = None
     for relation in graph.RELATIONS:
         part = graph.conditional_edges(table, relation).withColumn("relation", F.lit(relation))
@@ -143,14 +148,14 @@ gaps AS (SELECT s.kind, s.id, greatest(0.0::DOUBLE, strength - coalesce(share, 0
   LEFT JOIN (SELECT kind, src, round_even(w / (SELECT w FROM freq WHERE kind = 'total'), 6) AS share FROM freq) f ON s.kind = f.kind AND s.id = f.src)"""
 
 
-def all_gaps(spark, sf_dir):
-    share = graph.entity_share(freq(spark, sf_dir)).select("kind", F.col("src").alias("id"), F.col("share").alias("exposure"))
+def all_gaps(spark, sf_dir, table):
+    share = graph.entity_share(table).select("kind", F.col("src").alias("id"), F.col("share").alias("exposure"))
     return graph.gaps(strengths(spark, sf_dir), share)
 
 
 @query("gaps", f"WITH {freq_sql()}, {STRENGTHS_SQL} SELECT kind, id, round(gap, 6) AS gap FROM gaps")
 def gaps(spark, sf_dir):
-    return all_gaps(spark, sf_dir).withColumn("gap", F.round("gap", 6))
+    return all_gaps(spark, sf_dir, settled_freq(spark, sf_dir)).withColumn("gap", F.round("gap", 6))
 
 
 # weak task-skill edges are no base edges, so that new ones can be synthesised
@@ -165,14 +170,15 @@ raw AS (
     ORDER BY {P.LAMBDA_TS}::DOUBLE * t.gap * s.gap DESC, t.id, s.id LIMIT {P.MAX_NEW_TS}))
 SELECT relation, src, dst, base AS base_weight, round_even(delta, 4) AS delta_weight, round_even(base + delta, 4) AS effective_weight, origin FROM raw""")
 def gap_synthesis(spark, sf_dir):
-    edges = all_edges(spark, sf_dir).where("relation <> 'task_skill' OR weight >= 0.15D")
-    return graph.synthesize(edges, all_gaps(spark, sf_dir), P.LAMBDA_J, P.LAMBDA_TS, P.LAMBDA_SP, P.MAX_NEW_TS)
+    table = settled_freq(spark, sf_dir)
+    edges = all_edges(table).where("relation <> 'task_skill' OR weight >= 0.15D")
+    return graph.synthesize(edges, all_gaps(spark, sf_dir, table), P.LAMBDA_J, P.LAMBDA_TS, P.LAMBDA_SP, P.MAX_NEW_TS)
 
 
 @query("two_hop_paths", f"""WITH {freq_sql()}, {_ALL_EDGES} SELECT a.src, b.dst, round(sum(a.weight * b.weight), 6) AS weight FROM edges a JOIN edges b ON a.dst = b.src
 WHERE a.relation = 'job_task' AND b.relation = 'task_skill' GROUP BY ALL""")
 def two_hop_paths(spark, sf_dir):
-    table = freq(spark, sf_dir)
+    table = settled_freq(spark, sf_dir)
     paths = graph.two_hop(graph.conditional_edges(table, "job_task"), graph.conditional_edges(table, "task_skill"))
     return paths.withColumn("weight", F.round("weight", 6))
 
@@ -182,7 +188,7 @@ n AS (SELECT src, dst, weight / max(weight) OVER (PARTITION BY src) AS v FROM v)
 x AS (SELECT coalesce(n.src, d.src) AS src, coalesce(n.dst, d.dst) AS dst, 0.3::DOUBLE * coalesce(d, 0) + 0.7::DOUBLE * coalesce(v, 0) AS x FROM n FULL JOIN d ON n.src = d.src AND n.dst = d.dst)
 SELECT src, dst, round(x / max(x) OVER (PARTITION BY src), 6) AS score FROM x""")
 def two_hop_blend(spark, sf_dir):
-    table = freq(spark, sf_dir)
+    table = settled_freq(spark, sf_dir)
     via = graph.two_hop(graph.conditional_edges(table, "job_task"), graph.conditional_edges(table, "task_skill"))
     return graph.blend_two_hop(graph.conditional_edges(table, "job_skill"), via).withColumn("score", F.round("score", 6))
 
@@ -202,11 +208,11 @@ e AS (SELECT src, dst, weight FROM edges WHERE relation IN ('job_skill', 'skill_
 SELECT 'self_loop' AS rule, src, dst FROM e WHERE src = dst UNION ALL SELECT 'unknown_src', src, dst FROM e WHERE src NOT IN (FROM nodes) UNION ALL SELECT 'unknown_dst', src, dst FROM e WHERE dst NOT IN (FROM nodes)
 UNION ALL SELECT 'weight_range', src, dst FROM e WHERE weight <= 0 OR weight > 1 UNION ALL SELECT 'duplicate', src, dst FROM e GROUP BY ALL HAVING count(*) > 1""")
 def validate_graph(spark, sf_dir):
-    table = freq(spark, sf_dir)
+    table = settled_freq(spark, sf_dir)
     edges = graph.conditional_edges(table, "job_skill").unionByName(graph.conditional_edges(table, "skill_skillpoint"))
     return graph.violations(edges, table.where("kind IN ('job', 'task', 'skill')").select(F.col("src").alias("id")))
 
 
 @query("node_degrees", f"WITH {freq_sql()}, {_ALL_EDGES} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id")
 def node_degrees(spark, sf_dir):
-    return graph.degrees(all_edges(spark, sf_dir))
+    return graph.degrees(all_edges(settled_freq(spark, sf_dir)))

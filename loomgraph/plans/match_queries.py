@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from loomgraph.operators import matching, stats
+from loomgraph.operators.order_stats import values_at
 from loomgraph.plans.graph_queries import FACTS, facts
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import load
@@ -33,8 +34,18 @@ def multi_label_share(spark, sf_dir):
 
 @query("stats_grouping_sets", f"WITH {_ORDERS} SELECT c_mktsegment, year, count(*) AS n, floor(quantile_cont(o_totalprice, 0.5))::BIGINT AS median, count(DISTINCT o_custkey) AS customers, grouping_id(c_mktsegment, year) AS g FROM o GROUP BY GROUPING SETS ((c_mktsegment, year), (c_mktsegment), (year), ())")
 def stats_grouping_sets(spark, sf_dir):
-    _orders(spark, sf_dir).createOrReplaceTempView("_stat_orders")
-    return spark.sql("SELECT c_mktsegment, year, count(*) AS n, bigint(floor(percentile(o_totalprice, 0.5))) AS median, count(DISTINCT o_custkey) AS customers, int(grouping_id()) AS g FROM _stat_orders GROUP BY GROUPING SETS ((c_mktsegment, year), (c_mktsegment), (year), ())")
+    rows = _orders(spark, sf_dir).select("c_mktsegment", "year", "o_custkey", "o_totalprice")
+    none = lambda kind: F.lit(None).cast(kind)
+    grouped = [("c_mktsegment", "year", 0), ("c_mktsegment", None, 1), (None, "year", 2), (None, None, 3)]
+    sets = F.array(*[F.struct((F.col(a) if a else none("string")).alias("c_mktsegment"), (F.col(b) if b else none("int")).alias("year"), F.lit(g).alias("g")) for a, b, g in grouped])
+    each = rows.select(F.explode(sets).alias("s"), "o_custkey", "o_totalprice").select("s.*", "o_custkey", "o_totalprice")
+    by = ["c_mktsegment", "year", "g"]
+    middle = values_at(each, "o_totalprice", by, {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    # one row per group and customer first, so that no task counts all customers of a group
+    customers = each.select(*by, "o_custkey").distinct().groupBy(*by).agg(F.count("o_custkey").alias("customers"))
+    same = [middle[c].eqNullSafe(customers[c]) for c in by]
+    median = F.floor(F.col("low") + (F.col("high") - F.col("low")) / 2).cast("long")
+    return middle.join(customers, same).select(middle.c_mktsegment, middle.year, "n", median.alias("median"), "customers", middle.g)
 
 
 @query("rollup_totals", f"WITH {_ORDERS} SELECT c_mktsegment, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o GROUP BY ROLLUP (c_mktsegment, o_orderstatus)")

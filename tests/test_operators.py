@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import dedup, graph, matching, overlay, series, vectors
+from loomgraph.operators.order_stats import values_at
 
 
 def test_edge_weights(spark):
@@ -123,3 +124,39 @@ def test_evidence_of_terms_in_many_documents(spark, tmp_path):
     found = text_queries.evidence_pool(spark, f"file://{tmp_path}").collect()
     assert {(r.doc_id, r.sentence) for r in found if r.term == "grapple"} == {(i, "Then the grapple came!") for i in (0, 20, 40)}
     assert {"grapple", "later"} <= {r.term for r in found} and not {"banana0", "filler"} & {r.term for r in found}
+
+
+def test_deep_graphs_and_cycles(spark, monkeypatch):
+    monkeypatch.setattr(matching, "KEPT", 4)
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 10)], "id int, needs int")
+    nodes = spark.range(10).selectExpr("int(id) AS id")
+    assert {(r.id, r.level) for r in matching.levels(nodes, chain).collect()} == {(i, i) for i in range(10)}
+    assert matching.prerequisite_closure(chain, nodes.where("id = 9")).count() == 10
+    circle = chain.unionByName(spark.createDataFrame([(0, 9)], "id int, needs int"))
+    for run in (lambda: matching.levels(nodes, circle), lambda: matching.prerequisite_closure(circle, nodes.where("id = 3"))):
+        with pytest.raises(ValueError, match="cycle"):
+            run()
+
+
+def test_values_at_ranks(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 1.0, 2.0, rnd.random() * 1e6])) for _ in range(500)] + [("c", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = {r.g: (r.n, r.low, r.high) for r in values_at(df, "v", ["g"], {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)}).collect()}
+    for g in ("a", "b", None, "c"):
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert found[g] == (len(v), v[(len(v) - 1) // 2], v[len(v) // 2])
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "ROWS", 17)
+    rnd = random.Random(4)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(4)]) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    found = {(r.query, r["rank"]): r.id for r in vectors.top_k_similar(df, df.where("id % 10 = 0"), "id", "v", 3).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 6) if norm(a) * norm(b) else 0.0
+    for q in range(0, 100, 10):
+        best = sorted((-cos(rows[q][1], v), i) for i, v in rows if i != q)[:3]
+        assert [found[q, k] for k in (1, 2, 3)] == [i for _, i in best]
