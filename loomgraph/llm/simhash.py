@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.shared import settle, tasks
@@ -218,40 +218,42 @@ def _common_shingles(texts: DataFrame, number: int, shingle: int) -> tuple[np.nd
     return found[order], n[order]
 
 
-class _Prefixes:
-    """Parts of texts' sets: shingles that aren't very common, whose exact counts set their order, and the common ones that follow them."""
-
-    def __init__(self, shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-        self.shingle, self.similarity, self.common, self.counts = shingle, similarity, common, counts
-
-    def parts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        s = shingle_hashes(text, self.shingle)
-        if not len(self.common):
-            return s, s[:0]
-        at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-        late = self.common[at] == s
-        return s[~late], s[late][np.argsort(self.counts[at[late]], kind="stable")]
-
-    def scarce(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (token, node) of the shingles that aren't very common."""
+def _prefixes(shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """Rows (token, node, root, size, place, common) for the prefix of each text's set: shingles that aren't very common first, by hash, then the
+    common ones, the rarest first."""
+
+    def prefix(text: str | None) -> tuple[np.ndarray, int, int]:
+        s = shingle_hashes(text, shingle)
+        scarce = len(s)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+            n = np.where(common[at] == s, counts[at], 0)
+            s, scarce = s[np.argsort(n, kind="stable")], int((n == 0).sum())
+        return s[: prefix_length(len(s), similarity)], len(s), scarce
+
+    def rows(held: list[tuple[np.ndarray, int, int, int, int]]) -> pa.RecordBatch:
+        many = [len(s) for s, *_ in held]
+        spread = lambda k, kind: pa.array(np.repeat(np.array([h[k] for h in held], kind), many))
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+        late = pa.array(places >= np.repeat(np.array([h[4] for h in held]), many))
+        columns = [pa.array(np.concatenate([s for s, *_ in held])), spread(1, np.int64), spread(2, np.int64), spread(3, np.int32), pa.array(places), late]
+        return pa.RecordBatch.from_arrays(columns, ["token", "node", "root", "size", "place", "common"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s, _ = self.parts(text)
-                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), node))], ["token", "node"])
+            for node, root, text in zip(*batch.columns):
+                s, whole, scarce = prefix(text.as_py())
+                if len(s):
+                    held.append((s, node.as_py(), root.as_py(), whole, scarce))
+                    size += len(s)
+                if size >= BLOCK:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
 
-    def sizes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text: the size of its set, how many of it aren't very common, how long its prefix is, and the common
-        shingles that the prefix needs."""
-        for batch in batches:
-            nodes, roots, texts = (c.to_pylist() for c in batch.columns)
-            both = [self.parts(t) for t in texts]
-            size = [len(s) + len(late) for s, late in both]
-            most = [prefix_length(n, self.similarity) for n in size]
-            late = [late[: max(0, m - len(s))] for m, (s, late) in zip(most, both)]
-            columns = [nodes, roots, size, [len(s) for s, _ in both], most]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.array(late, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "root", "size", "scarce", "most", "late"])
+    return deal
 
 
 def _link_prefixes(similarity: float):
@@ -293,33 +295,17 @@ def _link_prefixes(similarity: float):
     return link
 
 
-def prefix_tokens(texts: DataFrame, number: int, shingle: int, similarity: float) -> DataFrame:
-    """(token, node, root, size, place) of the shingles in the texts' prefixes that other texts may hold.
-
-    The order of a set's members is by the number of texts that hold them, counted over all texts, and by hash; the very common ones
-    of _common_shingles come last. A shingle that no other text holds leads to nothing and isn't passed on.
-    """
-    cutter = _Prefixes(shingle, similarity, *_common_shingles(texts, number, shingle))
-    sizes = texts.select("node", "root", "text").mapInArrow(cutter.sizes, "node long, root long, size int, scarce int, most int, late array<long>")
-    scarce = texts.select("node", "text").mapInArrow(cutter.scarce, "token long, node long")
-    shared = scarce.withColumn("n", F.count("*").over(Window.partitionBy("token"))).where("n > 1")
-    of_text = Window.partitionBy("node")
-    ranked = shared.withColumn("behind", F.count("*").over(of_text) - F.row_number().over(of_text.orderBy("n", "token")) + 1)
-    early = ranked.join(sizes, "node").withColumn("place", (F.col("scarce") - F.col("behind")).cast("int")).where("place < most")
-    late = sizes.select("node", "root", "size", F.col("scarce").alias("first"), F.posexplode("late").alias("at", "token")).withColumn("place", F.col("first") + F.col("at"))
-    columns = ["token", "node", "root", "size", "place"]
-    return early.select(*columns).unionByName(late.select(*columns))
-
-
 def prefix_links(texts: DataFrame, number: int, shingle: int, similarity: float) -> DataFrame:
     """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
 
-    `texts` is (node, root, text), `number` about their number. Each text is filed under the rarest shingles of its set, so many that
-    two sets this similar share one of them (prefix filter); nothing is left to chance. Texts under a shingle that more than SPLIT
+    `texts` is (node, root, text), `number` about their number. Each text is filed under some shingles of its set, the very common ones
+    last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Texts under a shingle that more than SPLIT
     are filed under are dealt to parts, and each pair of parts is a group of its own.
     """
-    tokens = settle(prefix_tokens(texts, number, shingle, similarity), "tokens")
-    hot = tokens.groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    deal = _prefixes(shingle, similarity, *_common_shingles(texts, number, shingle))
+    tokens = settle(texts.select("node", "root", "text").mapInArrow(deal, "token long, node long, root long, size int, place int, common boolean"), "tokens")
+    # only very common shingles can be hot; the table is written so that its size is known when the joins are planned
+    hot = settle(tokens.where("common").groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1"), "hot")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     split = tokens.join(hot, "token").withColumn("part", part).withColumn("other", other)
