@@ -24,6 +24,8 @@ BLOCK = 1 << 15
 SMALL = 64
 #: About so many texts are read to tell which shingles are very common, and at most so many shingles are told.
 SAMPLE, COMMON = 8192, 1 << 19
+#: An odd factor that spreads numbers over 64 bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts filed under one shingle beyond which they are dealt to several tasks.
 SPLIT = 4096
 
@@ -197,10 +199,27 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def _sets(shingle: int):
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_hashes(t.as_py(), shingle) for t in texts], pa.list_(pa.int64()))
+    """Rows (node, s) of (node, text), about BLOCK hashes in a batch however many texts come together."""
 
-    return F.arrow_udf(sets, T.ArrayType(T.LongType()))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, found, size = [], [], 0
+            for node, text in zip(*batch.columns):
+                nodes.append(node.as_py())
+                found.append(shingle_hashes(text.as_py(), shingle))
+                size += len(found[-1])
+                if size >= BLOCK:
+                    yield packed(nodes, found)
+                    nodes, found, size = [], [], 0
+            if nodes:
+                yield packed(nodes, found)
+
+    def packed(nodes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), lists], ["node", "s"])
+
+    return lambda texts: texts.select("node", "text").mapInArrow(sets, "node long, s array<long>")
 
 
 def prefix_length(size: int, similarity: float) -> int:
@@ -208,52 +227,67 @@ def prefix_length(size: int, similarity: float) -> int:
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _common_shingles(texts: DataFrame, number: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several of about SAMPLE of the `number` texts hold, and in how many. No link depends on the
-    sample: it only says which shingles come last in the order of prefixes."""
-    some = texts.where(F.pmod("node", F.lit(max(1, number // SAMPLE))) == 0).select(F.explode(_sets(shingle)(F.col("text"))).alias("s"))
-    counts = some.groupBy("s").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
+def _often(tokens: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values of column `s` that occur `least` times or more, the COMMON most frequent at most, and how often."""
+    counts = tokens.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     found, n = counts["s"].to_numpy(), counts["n"].to_numpy()
     order = np.argsort(found)
     return found[order], n[order]
 
 
-def _prefixes(shingle: int, similarity: float, common: np.ndarray, counts: np.ndarray):
-    """Rows (token, node, root, size, place, common) for the prefix of each text's set: shingles that aren't very common first, by hash, then the
-    common ones, the rarest first."""
+def _lookup(values: np.ndarray, numbers: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
+    """The numbers that belong to the wanted ones of the sorted values."""
+    if not len(values):
+        return np.full(len(wanted), default, np.int64)
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    return np.where(values[at] == wanted, numbers[at], default)
+
+
+def _cells(token: np.ndarray, node: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Which rows go out and under what token, about BLOCK at once. A row under a token of p parts is in one of them and goes to the p
+    cells (its part, any part): two rows of the token meet in the cell of their parts. With one part the token stays."""
+    part = (node.view(np.uint64) * MIX >> np.uint64(33)).view(np.int64) % parts
+    ends = np.cumsum(parts)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)) + 1, len(parts)])
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        many = parts[begin:end]
+        row = np.repeat(np.arange(begin, end), many)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        cell = np.minimum(part[row], other) * parts[row] + np.maximum(part[row], other)
+        yield row, (token[row].view(np.uint64) ^ cell.view(np.uint64) * MIX).view(np.int64)  # tokens that collide only give candidates
 
-    def prefix(text: str | None) -> tuple[np.ndarray, int, int]:
+
+def _prefixes(shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray]):
+    """Rows (token, node, root, size, place) for the prefix of each text's set: shingles that aren't very common first, by hash, then the
+    common ones, the rarest first. Hot tokens go to cells."""
+
+    def prefix(text: str | None) -> tuple[np.ndarray, int]:
         s = shingle_hashes(text, shingle)
-        scarce = len(s)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-            n = np.where(common[at] == s, counts[at], 0)
-            s, scarce = s[np.argsort(n, kind="stable")], int((n == 0).sum())
-        return s[: prefix_length(len(s), similarity)], len(s), scarce
-
-    def rows(held: list[tuple[np.ndarray, int, int, int, int]]) -> pa.RecordBatch:
+        s = s[np.argsort(_lookup(*common, s, 0), kind="stable")]
+        return s[: prefix_length(len(s), similarity)], len(s)
+
+    def rows(held: list[tuple[np.ndarray, int, int, int]]) -> Iterator[pa.RecordBatch]:
         many = [len(s) for s, *_ in held]
-        spread = lambda k, kind: pa.array(np.repeat(np.array([h[k] for h in held], kind), many))
-        places = np.concatenate([np.arange(n, dtype=np.int32) for n in many])
-        late = pa.array(places >= np.repeat(np.array([h[4] for h in held]), many))
-        columns = [pa.array(np.concatenate([s for s, *_ in held])), spread(1, np.int64), spread(2, np.int64), spread(3, np.int32), pa.array(places), late]
-        return pa.RecordBatch.from_arrays(columns, ["token", "node", "root", "size", "place", "common"])
+        token, place = np.concatenate([s for s, *_ in held]), np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+        node, root, size = (np.repeat(np.array([h[k] for h in held], kind), many) for k, kind in ((1, np.int64), (2, np.int64), (3, np.int32)))
+        for row, filed in _cells(token, node, _lookup(*hot, token, 1)):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (filed, node[row], root[row], size[row], place[row])], ["token", "node", "root", "size", "place"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for node, root, text in zip(*batch.columns):
-                s, whole, scarce = prefix(text.as_py())
+                s, whole = prefix(text.as_py())
                 if len(s):
-                    held.append((s, node.as_py(), root.as_py(), whole, scarce))
+                    held.append((s, node.as_py(), root.as_py(), whole))
                     size += len(s)
                 if size >= BLOCK:
-                    yield rows(held)
+                    yield from rows(held)
                     held, size = [], 0
         if held:
-            yield rows(held)
+            yield from rows(held)
 
-    return deal
+    return lambda texts: texts.select("node", "root", "text").mapInArrow(deal, "token long, node long, root long, size int, place int")
 
 
 def _link_prefixes(similarity: float):
@@ -299,20 +333,16 @@ def prefix_links(texts: DataFrame, number: int, shingle: int, similarity: float)
     """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
 
     `texts` is (node, root, text), `number` about their number. Each text is filed under some shingles of its set, the very common ones
-    last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Texts under a shingle that more than SPLIT
-    are filed under are dealt to parts, and each pair of parts is a group of its own.
+    last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Rows that are repeated give no
+    more pairs. A sample of about SAMPLE texts tells which shingles are common and which of them about SPLIT texts or more are
+    filed under: those are dealt to parts, and each pair of parts is a group of its own. No pair depends on what the sample tells.
     """
-    deal = _prefixes(shingle, similarity, *_common_shingles(texts, number, shingle))
-    tokens = settle(texts.select("node", "root", "text").mapInArrow(deal, "token long, node long, root long, size int, place int, common boolean"), "tokens")
-    # only very common shingles can be hot; the table is written so that its size is known when the joins are planned
-    hot = settle(tokens.where("common").groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1"), "hot")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = tokens.join(hot, "token").withColumn("part", part).withColumn("other", other)
-    split = split.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    whole = tokens.join(hot, "token", "left_anti").withColumn("cell", F.lit(0))
-    columns = [F.xxhash64("token", "cell").alias("token"), "node", "root", "size", "place"]  # cells whose hashes collide only give candidates
-    filed = whole.select(*columns).unionByName(split.select(*columns))
+    step = max(1, number // SAMPLE)
+    some = settle(texts.where(F.pmod("node", F.lit(step)) == 0).select("node", "root", "text"), "sample")
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    common = _often(_sets(shingle)(some).select(F.explode("s").alias("s")), 2)
+    hot, n = _often(_prefixes(shingle, similarity, common, none)(some).select(F.col("token").alias("s")), max(2, SPLIT // step + 1))
+    filed = _prefixes(shingle, similarity, common, (hot, -(-n * step // SPLIT)))(texts)
     dealt = filed.repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInArrow(_link_prefixes(similarity), "u long, v long").distinct()
 
@@ -326,26 +356,18 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     """
     pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
 
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            one, two = x.values.to_numpy(), y.values.to_numpy()
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            union = len(one) + len(two) - shared
-            out.append(shared / union if union else 1.0)
-        return pa.array(out, pa.float64())
-
     def verified(candidates: DataFrame) -> DataFrame:
         named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
         kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
-        hashed = settle(kept.select("node", _sets(shingle)(F.col("text")).alias("s")), "sets")
+        hashed = settle(_sets(shingle)(kept), "sets")
         both = candidates.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
-        return settle(both.where(F.arrow_udf(alike, T.DoubleType())(F.col("a"), F.col("b")) >= similarity).select("u", "v"), "verified")
+        shared, sizes = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+        return settle(both.where(shared * (1 + similarity) >= sizes * similarity - 1e-9).select("u", "v"), "verified")  # shared / union
 
     first = verified(pairs)
     roots = distinct.join(connected_components(first), "node", "left").select("node", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root"))
     roots = settle(roots, "roots")
-    texts = docs.join(roots, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"])
+    texts = docs.join(roots, ["doc_id", "node"])
     further = settle(prefix_links(texts, roots.count(), shingle, similarity), "further")
     return first.unionByName(verified(further))
 
