@@ -222,6 +222,43 @@ def _sets(shingle: int):
     return lambda texts: texts.select("node", "text").mapInArrow(sets, "node long, s array<long>")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many hashes have each of some low bits, 255 for that or more; a power of two of numbers, one for each hash or two."""
+    width = 1 << max(6, len(hashes).bit_length() - 1)
+    return np.minimum(np.bincount(hashes & (width - 1), minlength=width), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(one: bytes, other: bytes) -> int:
+    """No fewer than the members that two sets with these sketches share."""
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64) for x in (one, other)), key=len)
+    if max(a.max(), b.max()) == 255:
+        return 1 << 62
+    return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
+
+
+def possible_links(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The candidates (u, v) that may be this similar by their sketches, a byte or less for each shingle: none that is goes.
+
+    `texts` is (node, text). What texts share by chance or in a passage only is told apart here, before whole sets are shuffled.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingle_hashes(text.as_py(), shingle) for text in batch.column(1))
+            size, bits = zip(*((len(s), sketch(s)) for s in sets)) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["node", "size", "bits"])
+
+    def bound(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array((most_shared(x.as_py(), y.as_py()) for x, y in zip(a, b)), pa.int64())
+
+    named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    drawn = texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(sketches, "node long, size int, bits binary")
+    drawn = settle(drawn.dropDuplicates(["node"]), "sketches")
+    both = candidates.join(drawn.toDF("u", "m", "a"), "u").join(drawn.toDF("v", "n", "b"), "v")
+    both = both.withColumn("shared", F.arrow_udf(bound, T.LongType())("a", "b"))
+    return settle(both.where(F.col("shared") * (1 + similarity) >= (F.col("m") + F.col("n")) * similarity - 1e-9).select("u", "v"), "possible")
+
+
 def prefix_length(size: int, similarity: float) -> int:
     """How many of a set's first members, in one order for all sets, include a common one with any other set this similar."""
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
@@ -369,7 +406,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     roots = settle(roots, "roots")
     texts = docs.join(roots, ["doc_id", "node"])
     further = settle(prefix_links(texts, roots.count(), shingle, similarity), "further")
-    return first.unionByName(verified(further))
+    return first.unionByName(verified(possible_links(further, texts, shingle, similarity)))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:

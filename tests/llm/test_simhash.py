@@ -194,3 +194,27 @@ def test_prefix_links_miss_no_pair(spark, monkeypatch, small, sample, split):
     alike = {(i, j) for j in range(n) for i in range(j) if i // 3 != j // 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     found = simhash.prefix_links(spark.createDataFrame(rows, "node long, root long, text string"), n, 3, 0.8).collect()
     assert alike <= {tuple(r) for r in found} and len(alike) > 30
+
+
+def test_sketches_never_tell_too_few():
+    """Sets of all sizes, nested, equal or apart, with members that crowd in one place: the bound holds and tells unlike sets apart."""
+    rnd = np.random.default_rng(3)
+    pool = rnd.integers(-(2**63), 2**63, 40_000, np.int64)
+    crowd = np.unique(pool[:400] << 16)
+    for size in (0, 1, 63, 64, 300, 5000):
+        one = np.unique(pool[:size])
+        for other in (one, pool[size : 2 * size], pool[size // 2 : size * 3 // 2], pool[: 2 * size], np.r_[pool[:size], crowd], crowd):
+            other = np.unique(other)
+            shared = len(np.intersect1d(one, other))
+            assert simhash.most_shared(simhash.sketch(one), simhash.sketch(other)) >= shared
+    assert simhash.most_shared(simhash.sketch(pool[:300]), simhash.sketch(pool[300:600])) < 240
+
+
+def test_possible_links_keep_all_alike(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {1: base, 2: [*base[:57], "x"], 3: base[30:] + [f"y{i}" for i in range(30)], 4: [], 5: [f"z{i}" for i in range(3)]}
+    docs = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()] + [(1, " ".join(base))], "node long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "u long, v long")
+    assert (1, 2) in {tuple(r) for r in simhash.possible_links(pairs, docs, 5, 0.8).collect()}
+    assert {tuple(r) for r in simhash.possible_links(pairs, docs, 5, 0.8).collect()} == {(1, 2)}
+    assert simhash.possible_links(pairs.limit(0), docs, 5, 0.8).collect() == []
