@@ -28,6 +28,9 @@ SAMPLE, COMMON = 8192, 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Texts filed under one shingle beyond which they are dealt to several tasks.
 SPLIT = 4096
+#: Most shared shingles of a text, and texts near its fingerprint under each, by which large groups of near copies are joined before
+#: pairs are listed.
+FEW, NEAREST = 8, 24
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -294,18 +297,20 @@ def _cells(token: np.ndarray, node: np.ndarray, parts: np.ndarray) -> Iterator[t
         yield row, (token[row].view(np.uint64) ^ cell.view(np.uint64) * MIX).view(np.int64)  # tokens that collide only give candidates
 
 
-def _prefixes(shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray]):
-    """Rows (token, node, root, size, place) for the prefix of each text's set: shingles that aren't very common first, by hash, then the
-    common ones, the rarest first. Hot tokens go to cells."""
+def _prefixes(shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray], hot: tuple[np.ndarray, np.ndarray], few: int | None = None):
+    """Rows (token, node, root, size, place) for the prefix of each text's set, or the last `few` of it: shingles that aren't very common
+    first, by hash, then the common ones, the rarest first. Hot tokens go to cells."""
 
-    def prefix(text: str | None) -> tuple[np.ndarray, int]:
+    def prefix(text: str | None) -> tuple[np.ndarray, int, int]:
         s = shingle_hashes(text, shingle)
         s = s[np.argsort(_lookup(*common, s, 0), kind="stable")]
-        return s[: prefix_length(len(s), similarity)], len(s)
+        end = prefix_length(len(s), similarity)
+        begin = max(0, end - few) if few else 0
+        return s[begin:end], len(s), begin
 
-    def rows(held: list[tuple[np.ndarray, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    def rows(held: list[tuple[np.ndarray, int, int, int, int]]) -> Iterator[pa.RecordBatch]:
         many = [len(s) for s, *_ in held]
-        token, place = np.concatenate([s for s, *_ in held]), np.concatenate([np.arange(n, dtype=np.int32) for n in many])
+        token, place = np.concatenate([s for s, *_ in held]), np.concatenate([np.arange(h[4], h[4] + len(h[0]), dtype=np.int32) for h in held])
         node, root, size = (np.repeat(np.array([h[k] for h in held], kind), many) for k, kind in ((1, np.int64), (2, np.int64), (3, np.int32)))
         for row, filed in _cells(token, node, _lookup(*hot, token, 1)):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (filed, node[row], root[row], size[row], place[row])], ["token", "node", "root", "size", "place"])
@@ -314,9 +319,9 @@ def _prefixes(shingle: int, similarity: float, common: tuple[np.ndarray, np.ndar
         held, size = [], 0
         for batch in batches:
             for node, root, text in zip(*batch.columns):
-                s, whole = prefix(text.as_py())
+                s, whole, begin = prefix(text.as_py())
                 if len(s):
-                    held.append((s, node.as_py(), root.as_py(), whole))
+                    held.append((s, node.as_py(), root.as_py(), whole, begin))
                     size += len(s)
                 if size >= BLOCK:
                     yield from rows(held)
@@ -366,47 +371,104 @@ def _link_prefixes(similarity: float):
     return link
 
 
-def prefix_links(texts: DataFrame, number: int, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
-
-    `texts` is (node, root, text), `number` about their number. Each text is filed under some shingles of its set, the very common ones
-    last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Rows that are repeated give no
-    more pairs. A sample of about SAMPLE texts tells which shingles are common and which of them about SPLIT texts or more are
-    filed under: those are dealt to parts, and each pair of parts is a group of its own. No pair depends on what the sample tells.
-    """
+def common_shingles(texts: DataFrame, number: int, shingle: int, similarity: float) -> tuple[tuple, tuple]:
+    """The shingles of (node, text) rows that are common, with counts, and those that about SPLIT of the `number` texts or more are filed
+    under, with the parts they are dealt to. A sample of about SAMPLE texts tells them; no pair depends on what it tells."""
     step = max(1, number // SAMPLE)
-    some = settle(texts.where(F.pmod("node", F.lit(step)) == 0).select("node", "root", "text"), "sample")
+    some = texts.where(F.pmod("node", F.lit(step)) == 0).dropDuplicates(["node"]).select("node", F.lit(0).cast("long").alias("root"), "text")
+    some = settle(some, "sample")
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     common = _often(_sets(shingle)(some).select(F.explode("s").alias("s")), 2)
     hot, n = _often(_prefixes(shingle, similarity, common, none)(some).select(F.col("token").alias("s")), max(2, SPLIT // step + 1))
-    filed = _prefixes(shingle, similarity, common, (hot, -(-n * step // SPLIT)))(texts)
-    dealt = filed.repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
+    return common, (hot, -(-n * step // SPLIT))
+
+
+def prefix_links(texts: DataFrame, told: tuple[tuple, tuple], shingle: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
+
+    `texts` is (node, root, text), `told` of common_shingles(). Each text is filed under some shingles of its set, the very common ones
+    last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Rows that are repeated give no
+    more pairs. Shingles that many texts are filed under are dealt to parts, and each pair of parts is a group of its own.
+    """
+    dealt = _prefixes(shingle, similarity, *told)(texts).repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInArrow(_link_prefixes(similarity), "u long, v long").distinct()
 
 
+def filed_under_few(texts: DataFrame, told: tuple[tuple, tuple], shingle: int, similarity: float) -> DataFrame:
+    """Rows (token, node, size) of each text of (node, text) for the last FEW shingles of its prefix, the most shared of them."""
+    rows = _prefixes(shingle, similarity, *told, few=FEW)(texts.select("node", F.lit(0).cast("long").alias("root"), "text"))
+    return settle(rows.select("token", "node", "size").distinct(), "few")
+
+
+def _link_nearest(similarity: float):
+    """Pairs (u, v) of each text in a run of more than FEW, but those of its largest component, and the NEAREST ones by fingerprint that
+    have another root and a similar size."""
+
+    def nearest(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, component, many = np.unique(roots, return_inverse=True, return_counts=True)
+        for one in np.flatnonzero(component != many.argmax()):
+            low, high = np.minimum(sizes[one], sizes), np.maximum(sizes[one], sizes)
+            others = np.flatnonzero((roots != roots[one]) & (low >= similarity * high - 1e-9))
+            differ = np.bitwise_count(fps[others] ^ fps[one])
+            if len(others) > NEAREST:
+                others = others[np.argpartition(differ, NEAREST - 1)[:NEAREST]]
+            yield np.full(len(others), nodes[one]), nodes[others]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, nodes, roots, sizes, fps in _whole_runs(batches):
+            cut = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
+            for k in np.flatnonzero(np.diff(cut) > FEW):
+                run = slice(cut[k], cut[k + 1])
+                found = list(nearest(nodes[run], roots[run], sizes[run], fps[run].view(np.uint64)))
+                if found:
+                    u, v = (np.concatenate(side) for side in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return link
+
+
+def nearest_links(few: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different roots among the texts under one token of filed_under_few(), each with those whose fingerprints are
+    nearest: their number grows with the texts and not with the pairs of a group. `roots` is (node, root, fp)."""
+    rooted = few.join(roots, "node").select("token", "node", "root", "size", "fp")
+    dealt = rooted.repartition(tasks(few.sparkSession), "token").sortWithinPartitions("token")
+    return dealt.mapInArrow(_link_nearest(similarity), "u long, v long").distinct()
+
+
 def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (u, v) of texts whose shingle sets have a Jaccard similarity of `similarity` or more: enough to join all that are connected.
 
     `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Links between near fingerprints are
-    verified first, which makes most near copies one component; all pairs of a prefix filter that are still in different components
-    are verified then, so none is lost whose fingerprints are far apart. Only texts that a candidate names are read for their sets.
+    verified first, which makes most near copies one component, then pairs of texts and the nearest ones under a shared shingle,
+    which join most others of large groups; all pairs of a prefix filter that are still in different components are verified at last, so none is lost whose fingerprints are far
+    apart. Only texts that a candidate names are read for their sets.
     """
     pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
 
-    def verified(candidates: DataFrame) -> DataFrame:
+    def named_texts(candidates: DataFrame) -> DataFrame:
         named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
-        kept = docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
-        hashed = settle(_sets(shingle)(kept), "sets")
+        return docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        hashed = settle(_sets(shingle)(named_texts(candidates)), "sets")
         both = candidates.join(hashed.toDF("u", "a"), "u").join(hashed.toDF("v", "b"), "v")
         shared, sizes = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
         return settle(both.where(shared * (1 + similarity) >= sizes * similarity - 1e-9).select("u", "v"), "verified")  # shared / union
 
-    first = verified(pairs)
-    roots = distinct.join(connected_components(first), "node", "left").select("node", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root"))
-    roots = settle(roots, "roots")
-    texts = docs.join(roots, ["doc_id", "node"])
-    further = settle(prefix_links(texts, roots.count(), shingle, similarity), "further")
-    return first.unionByName(verified(possible_links(further, texts, shingle, similarity)))
+    def bounded(candidates: DataFrame, name: str) -> DataFrame:
+        candidates = settle(candidates, name)
+        return verified(possible_links(candidates, named_texts(candidates), shingle, similarity))
+
+    def rooted(found: DataFrame) -> DataFrame:
+        joined = distinct.join(connected_components(found), "node", "left")
+        return settle(joined.select("node", "fp", F.col("first_id").alias("doc_id"), F.coalesce("root", "node").alias("root")), "roots")
+
+    found = verified(pairs)
+    told = common_shingles(docs, distinct.count(), shingle, similarity)
+    few = filed_under_few(docs, told, shingle, similarity)
+    found = found.unionByName(bounded(nearest_links(few, rooted(found).select("node", "root", "fp"), similarity), "nearest"))
+    texts = docs.join(rooted(found).select("doc_id", "node", "root"), ["doc_id", "node"])
+    return found.unionByName(bounded(prefix_links(texts, told, shingle, similarity), "further"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:

@@ -192,7 +192,9 @@ def test_prefix_links_miss_no_pair(spark, monkeypatch, small, sample, split):
     sets = [set(simhash.shingle_hashes(t, 3).tolist()) for t in texts]
     n = len(rows)
     alike = {(i, j) for j in range(n) for i in range(j) if i // 3 != j // 3 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
-    found = simhash.prefix_links(spark.createDataFrame(rows, "node long, root long, text string"), n, 3, 0.8).collect()
+    docs = spark.createDataFrame(rows, "node long, root long, text string")
+    told = simhash.common_shingles(docs, n, 3, 0.8)
+    found = simhash.prefix_links(docs, told, 3, 0.8).collect()
     assert alike <= {tuple(r) for r in found} and len(alike) > 30
 
 
@@ -218,3 +220,18 @@ def test_possible_links_keep_all_alike(spark):
     assert (1, 2) in {tuple(r) for r in simhash.possible_links(pairs, docs, 5, 0.8).collect()}
     assert {tuple(r) for r in simhash.possible_links(pairs, docs, 5, 0.8).collect()} == {(1, 2)}
     assert simhash.possible_links(pairs.limit(0), docs, 5, 0.8).collect() == []
+
+
+def test_nearest_links_grow_with_the_texts(spark):
+    """A group of texts that all share a passage: a few pairs for each text, none within a root, the nearest fingerprints among them."""
+    rnd = random.Random(5)
+    base = rnd.choices([f"w{i}" for i in range(500)], k=120)
+    texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate(rnd.choices(range(120), k=150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    told = simhash.common_shingles(docs, len(texts), 5, 0.8)
+    few = simhash.filed_under_few(docs, told, 5, 0.8)
+    prints = [simhash.fingerprint(t) for t in texts]
+    roots = spark.createDataFrame([(i, i % 100, prints[i]) for i in range(150)], "node long, root long, fp long")
+    found = {tuple(r) for r in simhash.nearest_links(few, roots, 0.8).collect()}
+    assert 0 < len(found) <= 150 * simhash.FEW * simhash.NEAREST and all(u % 100 != v % 100 for u, v in found)
+    assert simhash.nearest_links(few.limit(0), roots, 0.8).collect() == []
