@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+#: Where the frames that `settle` returned and that are still in use are kept.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,4 +31,12 @@ def settle(df: DataFrame, name: str = "interim") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[kept] = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that `settle` returned. Nothing that reads it may be used afterwards."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
