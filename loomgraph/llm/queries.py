@@ -9,8 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.ann import search
+from loomgraph.llm.bytebpe import encode_documents, read_ranks, token_digests
+from loomgraph.llm.filteraudit import AUDIT_SQL, audit_filters
 from loomgraph.llm.htmltext import extract
 from loomgraph.llm.langid import identify
+from loomgraph.llm.lexical import SEARCH_SQL, search_items
 from loomgraph.llm.mixing import MIX_SQL, mix_sources
 from loomgraph.llm.packing import pack_documents
 from loomgraph.llm.quality import QUALITY_SQL, quality
@@ -71,7 +74,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-_QUERIES = (op1_simhash, op2_warc, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op8_html, op9_packing, op10_mixing)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_digests(encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = (
+    op1_simhash, op2_warc, op3_quality, op4_url_filter, op5_suffix_dedup, op6_langid, op7_ann, op8_html, op9_packing, op10_mixing,
+    op11_filter_audit, op12_byte_bpe, op13_lexical,
+)
 
 
 def queries() -> dict[str, Query]:
@@ -79,4 +98,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": ROUND_TRIP_SQL, "op3_quality": QUALITY_SQL, "op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL}
+    return {"op2_warc": ROUND_TRIP_SQL, "op3_quality": QUALITY_SQL, "op4_url_filter": JUDGE_SQL, "op10_mixing": MIX_SQL, "op11_filter_audit": AUDIT_SQL, "op13_lexical": SEARCH_SQL}
