@@ -10,6 +10,7 @@ fails at most once. Whether two tokens fit is worked out once and kept.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 import uuid
 from array import array
@@ -50,34 +51,56 @@ def same_classes(pattern: str) -> str:
     return pattern
 
 
+def merge(ranks: dict[bytes, int], text: bytes, below: int | None = None) -> list[bytes]:
+    """Merging by rank as defined: the leftmost pair of the lowest rank first, as long as that is under `below`."""
+    below = len(ranks) if below is None else below
+    parts = [text[i : i + 1] for i in range(len(text))]
+    while len(parts) > 1:
+        best, at = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best >= below:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def last_merges(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
+    """The two tokens of lower rank that each token of several bytes is merged from in the end. If merging by growing rank makes
+    every token, as in a trained vocabulary, all are in it; others are left out."""
+    parts = {rank: merge(ranks, token, rank) for token, rank in ranks.items() if len(token) > 1}
+    return {rank: (ranks[p[0]], ranks[p[1]]) for rank, p in parts.items() if len(p) == 2 and max(ranks[p[0]], ranks[p[1]]) < rank}
+
+
 class ByteCoder:
     """Encodes and decodes with one vocabulary. All 256 single bytes must be in it."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, exact: str | None = None):
-        """exact: `same_classes(pattern)`, which is dear to work out; the plain one serves text below U+0100, where both agree."""
+    def __init__(self, ranks: dict[bytes, int], pattern: str, exact: str | None = None, merges: dict[int, tuple[int, int]] | None = None):
+        """exact, merges: `same_classes(pattern)` and `last_merges(ranks)`, which are dear to work out. The plain pattern serves
+        text below U+0100, where both agree."""
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.ranks, self.tokens, self.pattern = ranks, {rank: token for token, rank in ranks.items()}, regex.compile(pattern)
         self.exact = regex.compile(exact or same_classes(pattern), regex.V1)
+        self.merges = last_merges(ranks) if merges is None else merges
+        self.trained = len(self.merges) == sum(len(token) > 1 for token in ranks)
+        self.sizes = {rank: len(token) for token, rank in ranks.items()}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
-            # What merging can't reach from single bytes is never part of a longer piece.
-            if self.merged(token) == [rank]:
+            if len(token) == 1 or rank in self.merges or merge(ranks, token) == [token]:  # what merging can't make is never part of a longer piece
                 self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: tuple[dict[int, tuple], dict[int, tuple]] = ({}, {})
         self.prefixes: dict[int, int] = {}
-        self.pieces: dict[str, array] = {}
-
-    def merged(self, text: bytes) -> list[int]:
-        """Merging by rank as defined: the leftmost pair of the lowest rank first. For the bytes of a token or two."""
-        parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if parts[at] + parts[at + 1] not in self.ranks:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def edge(self, token: int, side: int) -> tuple[int, ...]:
+        """The token, then its last (side 1) or first (side 0) part, that part's part and so on to a byte."""
+        found = self.edges[side].get(token)
+        if found is None:
+            pair = self.merges.get(token)
+            found = self.edges[side][token] = (token, *(self.edge(pair[side], side) if pair else ()))
+        return found
 
     def adjacent(self, left: int, right: int) -> bool:
         """Whether the two stay as they are when their bytes stand together."""
@@ -85,9 +108,29 @@ class ByteCoder:
         if found is None:
             if len(self.fits) >= KEPT:
                 self.fits.clear()
-            found = self.fits[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            found = self.border(left, right) if self.trained else merge(self.ranks, self.tokens[left] + self.tokens[right]) == [self.tokens[left], self.tokens[right]]
+            self.fits[left, right] = found
         return found
 
+    def border(self, left: int, right: int) -> bool:
+        """`adjacent` where merges come by growing rank, so that what stands at the border changes from bytes to whole tokens in the
+        order of ranks. The two don't stay if at some time the pair across it is a token that comes before the next change on
+        either side; of equal ranks the left one comes first.
+        """
+        one, other, none = self.edge(left, 1), self.edge(right, 0), len(self.tokens) + 1
+        i, j = len(one) - 1, len(other) - 1
+        while True:
+            across = self.ranks.get(self.tokens[one[i]] + self.tokens[other[j]], none)
+            next_left, next_right = one[i - 1] if i else none, other[j - 1] if j else none
+            if across < next_left and across <= next_right:
+                return False
+            if not i and not j:
+                return True
+            if next_left <= next_right:
+                i -= 1
+            else:
+                j -= 1
+
     def shorter(self, token: int) -> int:
         """The longest proper prefix of a token that the automaton holds, or -1."""
         found = self.prefixes.get(token)
@@ -103,46 +146,55 @@ class ByteCoder:
             return array("i")
         if text in self.ranks:
             return array("i", [self.ranks[text]])
-        size = len(text)
-        longest = array("i", bytes(4 * size))
-        for end, token in self.automaton.iter(text.decode("latin-1")):
-            longest[end + 1 - len(self.tokens[token])] = token  # matches of one start come by growing end
-        closed = bytearray(size + 1)
-        found, place, token = array("i"), 0, longest[0]
-        while place < size:
+        size, chars = len(text), text.decode("latin-1")
+        sizes, fits, closed = self.sizes, self.fits, bytearray(size + 1)
+        ahead = self.automaton.iter_long(chars)  # the longest token at a place, then the longest behind it
+        found, place, token, longest = array("i"), 0, next(ahead)[1], True
+        while True:
             while token >= 0:
-                end = place + len(self.tokens[token])
-                if not closed[end] and (not found or self.adjacent(found[-1], token)):
+                end = place + sizes[token]
+                if not closed[end] and (not found or fits.get((found[-1], token)) or self.adjacent(found[-1], token)):
                     break
-                token = self.shorter(token)
-            if token >= 0:
-                found.append(token)
-                place = end
-                token = longest[place] if place < size else -1
-            else:  # nothing goes on from here
+                token, longest = self.shorter(token), False
+            if token < 0:  # nothing goes on from here
                 closed[place] = 1
                 token = found.pop()
-                place -= len(self.tokens[token])
-        return found
+                place -= sizes[token]
+                continue
+            found.append(token)
+            place = end
+            if place == size:
+                return found
+            if not longest:
+                ahead, longest = self.automaton.iter_long(chars, place), True
+            token = next(ahead)[1]
 
     def encode(self, text: str) -> array:
-        ids, pieces, pattern = array("i"), self.pieces, self.pattern
         try:
             text.encode("latin-1")
+            pattern = self.pattern
         except UnicodeEncodeError:
             pattern = self.exact
-        for match in pattern.finditer(text):
-            piece = match.group()
-            found = pieces.get(piece)
-            if found is None:
-                found = self.cut(piece.encode())
-                if len(piece) < 64:
-                    if len(pieces) >= KEPT:
-                        pieces.clear()
-                    pieces[piece] = found
-            ids.extend(found)
+        ids, matches = array("i"), iter(pattern.findall(text)) if len(text) < 1 << 20 else (m.group() for m in pattern.finditer(text))
+        while batch := list(itertools.islice(matches, 1 << 16)):
+            found = list(map(self.pieces.get, batch))
+            for i, ids_of in enumerate(found):
+                if ids_of is None:
+                    found[i] = self.kept(batch[i])
+            ids.frombytes(b"".join(found))
         return ids
 
+    def kept(self, piece: str) -> bytes:
+        """The tokens of a piece as 32-bit integers. Short pieces are kept; those used lately stay when the memo is full."""
+        found = self.pieces.get(piece) or self.older.get(piece)
+        if found is None:
+            found = self.cut(piece.encode()).tobytes()
+        if len(piece) < 64:
+            if len(self.pieces) >= KEPT // 2:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[piece] = found
+        return found
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -154,7 +206,7 @@ class SharedCoder:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str):
         self.key = uuid.uuid4().hex
-        self.sent = spark.sparkContext.broadcast((ranks, pattern, same_classes(pattern)))
+        self.sent = spark.sparkContext.broadcast((ranks, pattern, same_classes(pattern), last_merges(ranks)))
 
     def get(self) -> ByteCoder:
         if self.key not in self._built:

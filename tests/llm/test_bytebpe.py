@@ -39,6 +39,16 @@ def toy_ranks(rnd, merges):
     return found
 
 
+def trained_ranks(rnd, merges):
+    """A vocabulary of pairs that stand together in merged text, as training makes it."""
+    found = {bytes([b]): b for b in range(256)}
+    while len(found) < 256 + merges:
+        parts = bytebpe.merge(found, bytes(rnd.choice(b"aaabbc") for _ in range(40)))
+        at = rnd.randrange(max(1, len(parts) - 1))
+        found.setdefault(b"".join(parts[at : at + 2]), len(found))
+    return found
+
+
 @pytest.mark.parametrize("name", [r"\p{L}", r"\p{N}", r"\s", r"[^\s\p{L}\p{N}]"])
 def test_character_classes_are_the_same(name):
     told = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
@@ -75,17 +85,29 @@ def test_any_bytes_of_one_piece(coder, oracle, data):
     assert list(coder.cut(data)) == ([] if not data else oracle._encode_single_piece(data))
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_vocabularies_that_need_backtracking(seed):
+@pytest.mark.parametrize("make", [toy_ranks, trained_ranks])
+@pytest.mark.parametrize("seed", range(25))
+def test_vocabularies_that_need_backtracking(seed, make):
     rnd = random.Random(seed)
-    ranks = toy_ranks(rnd, rnd.randint(3, 60))
-    coder = bytebpe.ByteCoder(ranks, r"[\s\S]+")
+    ranks = make(rnd, rnd.randint(3, 60))
+    coder = bytebpe.ByteCoder(ranks, r"[\s\S]+", r"[\s\S]+")
+    assert coder.trained or make is toy_ranks
     told = tiktoken.Encoding("toy", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
     for _ in range(60):
         text = "".join(rnd.choice("aaabbc") for _ in range(rnd.randint(1, 50)))
         assert list(coder.encode(text)) == told.encode_ordinary(text)
 
 
+def test_borders_are_what_merging_gives(coder):
+    rnd = random.Random(1)
+    assert coder.trained
+    tokens = list(coder.tokens)
+    for _ in range(3000):
+        left, right = rnd.choice(tokens), rnd.choice(tokens)
+        both = [coder.tokens[left], coder.tokens[right]]
+        assert coder.border(left, right) == (bytebpe.merge(coder.ranks, b"".join(both)) == both)
+
+
 def test_long_pieces_are_linear(coder, oracle):
     text = "ab" * 60_000 + "a" * 50_001 + "x-" * 40_000
     assert list(coder.encode(text)) == oracle.encode_ordinary(text)
