@@ -71,44 +71,6 @@ def sentences(text: Column, least: int = 4, most: int = 200) -> Column:
     return F.transform(F.filter(parts, lambda s: F.length(s) >= least), lambda s: F.substring(s, 1, most))
 
 
-def keyword_place(text: Column, word: str) -> Column:
-    """Place (from 1) of a keyword, 0 if absent: ASCII words only where no letter or digit touches them, others as substrings."""
-    if word.isascii():
-        escaped = "".join(c if c.isalnum() or c == " " else "\\" + c for c in word)
-        return F.regexp_instr(text, F.lit(rf"(?i)(?<![a-z0-9]){escaped}(?![a-z0-9])"))
-    return F.locate(word, text)
-
-
-def scan(title: Column, body: Column, dictionary: dict[str, list[str]], cap: int = 4, head: int | None = 4000) -> Column:
-    """Struct (codes, tier): codes found in the title (tier 1), else in the body or its head (tier 2), else none (0); by place, `cap` at most.
-
-    The dictionary is a literal: taxonomy-sized, the same for every row.
-    """
-
-    def found(text: Column) -> Column:
-        hits = []
-        for code, words in dictionary.items():
-            places = F.array(*[F.nullif(keyword_place(text, w), F.lit(0)) for w in words])
-            hits.append(F.struct(F.array_min(places).alias("at"), F.lit(code).alias("code")))
-        hit = F.array_sort(F.filter(F.array(*hits), lambda h: h["at"].isNotNull()))
-        return F.slice(F.transform(hit, lambda h: h["code"]), 1, cap)
-
-    in_title, in_body = found(F.coalesce(title, F.lit(""))), found(F.substring(F.coalesce(body, F.lit("")), 1, head) if head else F.coalesce(body, F.lit("")))
-    tier = F.when(F.size(in_title) > 0, 1).when(F.size(in_body) > 0, 2).otherwise(0)
-    return F.struct(F.when(F.size(in_title) > 0, in_title).otherwise(in_body).alias("codes"), tier.alias("tier"))
-
-
-def longest_mentions(text: Column, names: list[str]) -> Column:
-    """Names mentioned in the text; a mention inside a longer mention doesn't count. ASCII names by word, others as substrings."""
-    spans = []
-    for name in names:
-        at = keyword_place(text, name)
-        spans.append(F.when(at > 0, F.struct(at.alias("s"), (at + len(name)).alias("e"), F.lit(name).alias("name"))))
-    hits = F.array_compact(F.array(*spans))
-    free = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["s"] <= h["s"]) & (o["e"] >= h["e"]) & ((o["e"] - o["s"]) > (h["e"] - h["s"]))))
-    return F.array_sort(F.transform(free, lambda h: h["name"]))
-
-
 def sections(text: Column, heads: dict[str, str], drop: str) -> Column:
     """Text without the lines of sections of kind `drop`. A line that matches a head's pattern opens its section and is left out;
     what comes before the first head is kept. If nothing is left the text stays as it is."""

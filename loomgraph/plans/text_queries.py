@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import mining
+from loomgraph.operators import mentions, mining
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import load
 
@@ -146,15 +146,20 @@ def _hit(column: str, words: list[str]) -> str:
 @query("keyword_scan_tier", "SELECT doc_id, array_to_string(list_sort(codes), ',') AS codes, tier FROM (SELECT doc_id, " + " || ".join(f"CASE WHEN ({_hit('head', w)}) THEN ['{c}'] ELSE [] END" for c, w in _DICTIONARY.items()) + " AS in_title, " + " || ".join(f"CASE WHEN ({_hit('body', w)}) THEN ['{c}'] ELSE [] END" for c, w in _DICTIONARY.items())
        + " AS in_body, CASE WHEN len(in_title) > 0 THEN in_title ELSE in_body END AS codes, CASE WHEN len(in_title) > 0 THEN 1 WHEN len(in_body) > 0 THEN 2 ELSE 0 END AS tier FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head, text AS body FROM documents))")
 def keyword_scan_tier(spark, sf_dir):
-    found = T.scan(F.substring_index("text", "\n", 1), F.col("text"), _DICTIONARY, head=None)
+    found = mentions.scan(F.substring_index("text", "\n", 1), F.col("text"), _DICTIONARY, head=None)
     return documents(spark, sf_dir).select("doc_id", found.alias("f")).select("doc_id", F.array_join(F.array_sort("f.codes"), ",").alias("codes"), F.col("f.tier").alias("tier"))
 
 
-@query("longest_match_suppression")
+_NAMES = ("red", "red widget", "widget", "ring", "small ring", "small", "brand#1")
+
+
+@query("longest_match_suppression", f"""WITH t AS (SELECT p_partkey, concat_ws(' ', p_name, lower(p_type), lower(p_brand)) AS t FROM part), n AS (SELECT unnest({list(_NAMES)}) AS name),
+h AS (SELECT p_partkey, name, unnest([i FOR i IN range(1, length(t) + 1) IF substr(t, i, length(name)) = name AND NOT regexp_matches(substr(' ' || t, i, 1), '[a-z0-9_-]') AND NOT regexp_matches(substr(t, i + length(name), 1), '[a-z_-]')]) AS s FROM t, n)
+SELECT p_partkey, coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (free), '') AS names FROM t LEFT JOIN (SELECT *, NOT EXISTS (SELECT 1 FROM h o WHERE o.p_partkey = h.p_partkey AND o.s <= h.s AND o.s + length(o.name) >= h.s + length(h.name) AND length(o.name) > length(h.name)) AS free FROM h) USING (p_partkey) GROUP BY p_partkey""")
 def longest_match_suppression(spark, sf_dir):
-    """Names found in part descriptions, without those inside a longer one; checked by hand-made cases in the tests."""
+    """Names found in part descriptions, without those inside a longer one."""
     text = F.concat_ws(" ", "p_name", F.lower("p_type"), F.lower("p_brand"))
-    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(T.longest_mentions(text, ["red", "red widget", "widget", "ring", "small ring", "small", "brand#1"]), ",").alias("names"))
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(mentions.longest_mentions(text, list(_NAMES)), ",").alias("names"))
 
 
 @query("bigram_jaccard", """WITH b AS (SELECT item_id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i::INT, 2))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[[:punct:]\\s]', '', 'g') AS t FROM benchmark))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
-from loomgraph.operators import dedup, graph, matching, overlay, series, vectors
+from loomgraph.operators import dedup, graph, matching, mentions, overlay, series, vectors
 from loomgraph.operators.order_stats import values_at
 
 
@@ -55,7 +55,7 @@ def test_labels(spark):
 
 def test_mentions_and_sections(spark):
     df = spark.createDataFrame([("Java and JavaScript, Spark SQL",)], "t string")
-    assert df.select(T.longest_mentions(F.col("t"), ["Java", "JavaScript", "Spark", "Spark SQL", "SQL"]).alias("m")).first().m == ["Java", "JavaScript", "Spark SQL"]
+    assert df.select(mentions.longest_mentions(F.col("t"), ["Java", "JavaScript", "Spark", "Spark SQL", "SQL"]).alias("m")).first().m == ["Java", "JavaScript", "Spark SQL"]
     text = spark.createDataFrame([("intro\nDuties:\nwork\nPerks:\ncake\nmore",), ("Perks:\nonly",)], "t string")
     kept = [r.k for r in text.select(T.sections(F.col("t"), {"resp": "Duties:", "other": "Perks:"}, "other").alias("k")).collect()]
     assert kept == ["intro\nwork\n", "Perks:\nonly"]
