@@ -215,27 +215,26 @@ class SharedCoder:
         return self._built[self.key]
 
 
-def encoded(coder: SharedCoder, text: Column) -> Column:
-    """The ids of a text as array<int>; null gives an empty array."""
+def _ids(own: ByteCoder, texts: pa.Array) -> pa.ListArray:
+    ids, ends = array("i"), [0]
+    for t in texts:
+        ids.extend(own.encode(t.as_py() or ""))
+        ends.append(len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)))
 
-    def encode(texts: pa.Array) -> pa.Array:
-        own, ids, ends = coder.get(), array("i"), [0]
-        for t in texts:
-            ids.extend(own.encode(t.as_py() or ""))
-            ends.append(len(ids))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)))
 
-    return F.arrow_udf(encode, "array<int>")(text)
+def _bytes(own: ByteCoder, lists: pa.ListArray) -> pa.Array:
+    return pa.array([own.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists], pa.binary())
 
 
-def decoded(coder: SharedCoder, ids: Column) -> Column:
-    """The bytes that ids stand for; null gives null. Ids outside the vocabulary raise."""
+def encoded(coder: SharedCoder, text: Column) -> Column:
+    """The ids of a text as array<int>; null gives an empty array."""
+    return F.arrow_udf(lambda texts: _ids(coder.get(), texts), "array<int>")(text)
 
-    def decode(lists: pa.Array) -> pa.Array:
-        own = coder.get()
-        return pa.array([None if x.as_py() is None else own.decode(x.values.to_numpy().tolist()) for x in lists], pa.binary())
 
-    return F.arrow_udf(decode, "binary")(ids)
+def decoded(coder: SharedCoder, ids: Column) -> Column:
+    """The bytes that ids stand for; null gives null. Ids outside the vocabulary raise."""
+    return F.arrow_udf(lambda lists: _bytes(coder.get(), lists), "binary")(ids)
 
 
 def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,8 +246,13 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     size is that of the file, some MB) is what executors get.
     """
     coder = SharedCoder(docs.sparkSession, ranks, pattern)
-    rows = docs.select(F.col(id_col).alias("doc_id"), encoded(coder, F.col(text_col)).alias("ids"))
-    return rows.select("doc_id", "ids", decoded(coder, F.col("ids")).alias("decoded"))
+
+    def both(texts: pa.Array) -> pa.Array:  # one function, else Spark encodes once for the ids and once more to decode them
+        ids = _ids(coder.get(), texts)
+        return pa.StructArray.from_arrays([ids, _bytes(coder.get(), ids)], ["ids", "decoded"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(both, "ids array<int>, decoded binary")(F.col(text_col)).alias("coded"))
+    return rows.select("doc_id", "coded.ids", "coded.decoded")
 
 
 def token_digests(coded: DataFrame) -> DataFrame:

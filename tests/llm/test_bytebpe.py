@@ -128,6 +128,9 @@ def test_documents(spark, ranks, oracle):
         ids = oracle.encode_ordinary(text or "")
         wanted.append((doc, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
     assert found == sorted(wanted, key=repr)
+    coder = bytebpe.SharedCoder(spark, ranks, public_tokenizers.PATTERN)
+    again = docs.select(bytebpe.decoded(coder, bytebpe.encoded(coder, docs.text)).alias("b"), "text").collect()
+    assert all(bytes(r.b) == (r.text or "").encode() for r in again)
     assert [r.ids for r in coded.where("doc_id = 3").collect()] == [[]]
     assert bytebpe.encode_documents(docs.limit(0), ranks, public_tokenizers.PATTERN).collect() == []
 
