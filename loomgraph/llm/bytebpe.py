@@ -14,7 +14,7 @@ import itertools
 import re
 import uuid
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Entries of each memo of a worker; a full memo starts anew. Results don't depend on it.
 KEPT = 400_000
+#: Rows that a task holds as ids and bytes at once.
+ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -247,12 +249,16 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_
     """
     coder = SharedCoder(docs.sparkSession, ranks, pattern)
 
-    def both(texts: pa.Array) -> pa.Array:  # one function, else Spark encodes once for the ids and once more to decode them
-        ids = _ids(coder.get(), texts)
-        return pa.StructArray.from_arrays([ids, _bytes(coder.get(), ids)], ["ids", "decoded"])
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder.get()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                ids = _ids(own, rows.column(1))
+                yield pa.RecordBatch.from_arrays([rows.column(0), ids, _bytes(own, ids)], ["doc_id", "ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.arrow_udf(both, "ids array<int>, decoded binary")(F.col(text_col)).alias("coded"))
-    return rows.select("doc_id", "coded.ids", "coded.decoded")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(both, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
 
 def token_digests(coded: DataFrame) -> DataFrame:
