@@ -14,11 +14,11 @@ def decay(date: Column, as_of: Column, half_life: Column) -> Column:
 
 
 def contribution(source: Column, tier: Column, confidence: Column, date: Column, as_of: Column) -> Column:
-    """Source weight * confidence weight * decay: postings and tiered papers by their own weights, else news."""
+    """Source weight * confidence weight * decay: postings and tiered papers by their own weights (an unknown tier: the least), else news."""
     tier_weight = F.create_map(*[F.lit(x) for pair in P.TIER_WEIGHT.items() for x in pair])
     confidence_weight = F.create_map(*[F.lit(x) for pair in P.CONFIDENCE_WEIGHT.items() for x in pair])
     tiered = tier.isNotNull() & (tier != "")
-    weight = F.when(source == "jd", P.JD_WEIGHT).when(tiered, tier_weight[tier]).otherwise(P.NEWS_WEIGHT)
+    weight = F.when(source == "jd", P.JD_WEIGHT).when(tiered, F.coalesce(tier_weight[tier], F.lit(P.TIER_WEIGHT[""]))).otherwise(P.NEWS_WEIGHT)
     half_life = F.when(source == "jd", P.JD_HALF_LIFE).when(tiered, P.PAPER_HALF_LIFE).otherwise(P.NEWS_HALF_LIFE)
     return weight * F.coalesce(confidence_weight[confidence], F.lit(P.CONFIDENCE_WEIGHT["low"])) * decay(date, as_of, half_life)
 
