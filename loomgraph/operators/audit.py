@@ -67,6 +67,7 @@ def audit(people: DataFrame, points: DataFrame, experiences: DataFrame, lines: D
     score = max(0, 100 - 18 risk - 8 watch). What isn't there (null, no rows) counts as nothing found. Each table is summed by
     person before it is joined.
     """
+    lines, points = settle(lines.select("doc", "text"), "lines"), settle(points, "points")  # read several times below
     flagged = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     of_points = points.groupBy("doc").agg(
         flagged(F.col("listed") & ~F.coalesce("told", F.lit(False))).alias("n_listed_only"),
