@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from loomgraph.llm.components import connected_components
 from loomgraph.llm.shared import settle, tasks
@@ -30,7 +30,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SPLIT = 4096
 #: Most shared shingles of a text, and texts near its fingerprint under each, by which large groups of near copies are joined before
 #: pairs are listed.
-FEW, NEAREST = 8, 24
+FEW, NEAREST = 8, 8
+#: So many pairs between two components, those with most shared shingles, are verified before the others.
+LIKELY = 24
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -341,7 +343,8 @@ def _link_prefixes(similarity: float):
         shared = np.minimum(a - places[one], b - places[others])
         return (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9) & (shared >= similarity / (1 + similarity) * (a + b) - 1e-9)
 
-    def pairs(tokens: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(tokens: np.ndarray, roots: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of both rows of each pair."""
         cut = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True])
         length = np.repeat(np.diff(cut), np.diff(cut))
         for step in range(1, SMALL):
@@ -350,7 +353,7 @@ def _link_prefixes(similarity: float):
                 break
             at = at[roots[at] != roots[at + step]]
             at = at[allowed(at, at + step, sizes, places)]
-            yield nodes[at], nodes[at + step]
+            yield at, at + step
         for k in np.flatnonzero(np.diff(cut) > SMALL):
             run = np.arange(cut[k], cut[k + 1])
             _, component, many = np.unique(roots[run], return_inverse=True, return_counts=True)
@@ -360,13 +363,14 @@ def _link_prefixes(similarity: float):
             for begin, end in zip(np.r_[0, ends], ends):
                 for one in run[begin:end]:
                     hit = run[end:][allowed(one, run[end:], sizes, places)]
-                    yield np.full(len(hit), nodes[one]), nodes[hit]
+                    yield np.full(len(hit), one), hit
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in _whole_runs(batches):
-            for u, v in pairs(*columns):
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        for tokens, nodes, roots, sizes, places in _whole_runs(batches):
+            for i, j in pairs(tokens, roots, sizes, places):
+                if len(i):
+                    u, v = np.where(nodes[i] < nodes[j], i, j), np.where(nodes[i] < nodes[j], j, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (nodes[u], nodes[v], roots[u], roots[v])], ["u", "v", "root_u", "root_v"])
 
     return link
 
@@ -384,14 +388,16 @@ def common_shingles(texts: DataFrame, number: int, shingle: int, similarity: flo
 
 
 def prefix_links(texts: DataFrame, told: tuple[tuple, tuple], shingle: int, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of `similarity` or more.
+    """Pairs (u, v, root_u, root_v, shared) of nodes with different roots, among them all whose shingle sets have a Jaccard similarity of
+    `similarity` or more, with how many shingles brought them together.
 
     `texts` is (node, root, text), `told` of common_shingles(). Each text is filed under some shingles of its set, the very common ones
     last, so many that two sets this similar share one of them (prefix filter); nothing is left to chance. Rows that are repeated give no
     more pairs. Shingles that many texts are filed under are dealt to parts, and each pair of parts is a group of its own.
     """
     dealt = _prefixes(shingle, similarity, *told)(texts).repartition(tasks(texts.sparkSession), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(_link_prefixes(similarity), "u long, v long").distinct()
+    found = dealt.mapInArrow(_link_prefixes(similarity), "u long, v long, root_u long, root_v long")
+    return found.groupBy("u", "v", "root_u", "root_v").agg(F.count("*").alias("shared"))
 
 
 def filed_under_few(texts: DataFrame, told: tuple[tuple, tuple], shingle: int, similarity: float) -> DataFrame:
@@ -441,7 +447,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     `docs` is (doc_id, node, text), `distinct` (node, fp, first_id), `links` of fingerprint_links(). Links between near fingerprints are
     verified first, which makes most near copies one component, then pairs of texts and the nearest ones under a shared shingle,
     which join most others of large groups; all pairs of a prefix filter that are still in different components are verified at last, so none is lost whose fingerprints are far
-    apart. Only texts that a candidate names are read for their sets.
+    apart: of two components the pairs with most shared shingles come first, and if one of them links, the others are spared. Only texts that a candidate names are read for their sets.
     """
     pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
 
@@ -468,7 +474,35 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     few = filed_under_few(docs, told, shingle, similarity)
     found = found.unionByName(bounded(nearest_links(few, rooted(found).select("node", "root", "fp"), similarity), "nearest"))
     texts = docs.join(rooted(found).select("doc_id", "node", "root"), ["doc_id", "node"])
-    return found.unionByName(bounded(prefix_links(texts, told, shingle, similarity), "further"))
+    further = settle(prefix_links(texts, told, shingle, similarity), "further")
+    between = Window.partitionBy(F.least("root_u", "root_v"), F.greatest("root_u", "root_v")).orderBy(F.desc("shared"), "u", "v")
+    likely = settle(further.withColumn("nth", F.row_number().over(between)).where(F.col("nth") <= LIKELY).select("u", "v", "root_u", "root_v"), "likely")
+    first = bounded(likely.select("u", "v"), "first")
+    # of two components that one of their likeliest pairs joins the other pairs are done with
+    joined = connected_components(first.join(likely, ["u", "v"]).select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))).toDF("old", "new")
+    rest = further.join(likely, ["u", "v"], "left_anti")
+    for side in ("root_u", "root_v"):
+        rest = rest.join(joined.toDF(side, f"new_{side}"), side, "left").withColumn(side, F.coalesce(f"new_{side}", side)).drop(f"new_{side}")
+    return found.unionByName(first).unionByName(bounded(rest.where("root_u <> root_v").select("u", "v"), "rest"))
+
+
+def text_nodes(text: Column, clashes: list[int] | None = None) -> Column:
+    """64-bit number of a text. Those whose numbers are `clashes` are told apart by a second hash, so 128 bits tell texts apart."""
+    node = F.xxhash64(text)
+    return F.when(node.isin(clashes), F.xxhash64(node, F.md5(F.coalesce(text, F.lit("")).cast("binary")))).otherwise(node) if clashes else node
+
+
+#: Numbers that several texts of a table may have at most; at 10 ** 12 texts some 30,000 are expected.
+CLASHES = 100_000
+
+
+def _clashing(docs: DataFrame, text: Column) -> list[int]:
+    """Numbers of `text_nodes` that texts with different second hashes have."""
+    seconds = docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("second")).groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b"))
+    found = [r.node for r in seconds.where("a < b").select("node").limit(CLASHES + 1).collect()]
+    if len(found) > CLASHES:
+        raise ValueError("too many texts share a 64-bit hash")
+    return found
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
@@ -478,21 +512,51 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result rows. A null id never becomes a component's id; a component of null ids only has a null one.
     Other columns of `docs` are ignored; an empty table gives an empty result. With `verify` = (words, similarity) those texts link
     whose sets of shingles of so many words are that similar (Jaccard), all of them and no others: near fingerprints are the
-    first candidates only. Texts are told apart by 64-bit hashes, and one that has only null ids links with no other.
+    first candidates only; a column `leads` more tells the rows of one text of each component: that of the component's id, of several with
+    that id the one with the smallest hash. Texts are told apart by 128 bits of hashes, and one that has only null ids links with no other.
     """
+    if verify:
+        return verified_components(docs, _clashing(docs, F.col(text_col)), id_col, text_col, distance, shingle, verify)
+    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")).withColumn("node", F.col("fp")), "fingerprints")
+    distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
+    classes = _classes(distinct, fingerprint_links(distinct.select("fp"), distance))
+    return signed.join(classes, "node").select("doc_id", _hex("fp"), "component_id")
+
+
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0")).alias("fingerprint")
+
+
+def _classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id, leader) from (node, first_id) and links: the smallest id of a component, and of the nodes with it the smallest."""
+    members = distinct.join(connected_components(links), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    least = members.groupBy("root").agg(F.min(F.when(F.col("first_id").isNotNull(), F.struct("first_id", "node"))).alias("least"))
+    return members.join(least, "root").select("node", F.col("least.first_id").alias("component_id"), F.col("least.node").alias("leader"))
+
+
+def verified_components(docs: DataFrame, clashes: list[int], id_col: str, text_col: str, distance: int, shingle: int, verify: tuple[int, float]) -> DataFrame:
+    """(doc_id, fingerprint, component_id, node, leads), see `simhash_components`; `node` is what `text_nodes` gives for the text."""
     text = F.col(text_col)
-    signed = docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), *([F.xxhash64(text).alias("node")] if verify else []))
-    signed = settle(signed, "fingerprints")
-    if not verify:
-        signed = signed.withColumn("node", F.col("fp"))
+    node = text_nodes(text, clashes)
+    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), node.alias("node")), "fingerprints")
     distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
-    if verify:
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-        links = verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), *verify)
-    else:
-        links = fingerprint_links(distinct.select("fp"), distance)
-    roots = connected_components(links)
-    members = distinct.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = members.join(least, "root").select("node", "component_id")
-    return signed.join(classes, "node").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    texts = docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), text.alias("text"))
+    classes = _classes(distinct, verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), *verify))
+    leads = F.coalesce((F.col("node") == F.col("leader")) & (F.col("doc_id") == F.col("component_id")), F.lit(False))
+    return signed.join(classes, "node").select("doc_id", _hex("fp"), "component_id", "node", leads.alias("leads"))
+
+
+def one_of_each(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with one text of each group of near copies: that of the group's smallest id.
+
+    Different texts under one id are told apart: each that is no near copy of another stays. Of rows with one id and text that whose other columns are
+    smallest stays. Rows with a null id all stay.
+    """
+    clashes = _clashing(docs, F.col(text_col))
+    groups = verified_components(docs, clashes, id_col, text_col, 3, 3, (shingle, similarity))
+    leaders = groups.where("leads").select(F.col("doc_id").alias(id_col), F.col("node").alias("_node")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_node", text_nodes(F.col(text_col), clashes))
+    kept = named.join(leaders, [id_col, "_node"], "left_semi")
+    rest = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in (id_col, text_col)])
+    least = kept.groupBy(id_col, "_node").agg(F.min_by(text_col, rest).alias(text_col), F.min(rest).alias("_rest"))
+    return least.select(*[c if c in (id_col, text_col) else F.col(f"_rest.{c}") for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -195,7 +195,8 @@ def test_prefix_links_miss_no_pair(spark, monkeypatch, small, sample, split):
     docs = spark.createDataFrame(rows, "node long, root long, text string")
     told = simhash.common_shingles(docs, n, 3, 0.8)
     found = simhash.prefix_links(docs, told, 3, 0.8).collect()
-    assert alike <= {tuple(r) for r in found} and len(alike) > 30
+    assert alike <= {(r.u, r.v) for r in found} and len(alike) > 30
+    assert all((r.root_u, r.root_v) == (r.u // 3, r.v // 3) and r.shared > 0 for r in found)
 
 
 def test_sketches_never_tell_too_few():
@@ -235,3 +236,23 @@ def test_nearest_links_grow_with_the_texts(spark):
     found = {tuple(r) for r in simhash.nearest_links(few, roots, 0.8).collect()}
     assert 0 < len(found) <= 150 * simhash.FEW * simhash.NEAREST and all(u % 100 != v % 100 for u, v in found)
     assert simhash.nearest_links(few.limit(0), roots, 0.8).collect() == []
+
+
+def test_one_of_each_keeps_every_text_that_is_no_copy(spark, monkeypatch):
+    """Different texts under one id, copies under several, repeated rows, null ids; 64-bit numbers that clash change nothing."""
+    rnd = random.Random(9)
+    base = [" ".join(rnd.choices([f"w{i}" for i in range(500)], k=120)) for _ in range(8)]
+    rows = [(7, t, "s", i) for i, t in enumerate(base)] + [(9, f"{base[2]} more", "s", 0), (3, base[4], "s", 0), (3, base[4], "a", 5), (3, base[4], "a", 5), (None, base[1], "s", 0), (None, base[1], "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(4)
+    wanted = sorted([r for r in rows if r[0] == 7 and r[1] != base[4]] + [(3, base[4], "a", 5)] + [r for r in rows if r[0] is None], key=str)
+    assert sorted((tuple(r) for r in simhash.one_of_each(docs, 5, 0.8).collect()), key=str) == wanted
+    plain = simhash.text_nodes
+    clash = [r.n for r in docs.select(plain(docs.text).alias("n")).distinct().collect()]
+    monkeypatch.setattr(simhash, "_clashing", lambda d, t: clash)
+    assert sorted((tuple(r) for r in simhash.one_of_each(docs, 5, 0.8).collect()), key=str) == wanted
+    assert simhash.one_of_each(docs.limit(0), 5, 0.8).collect() == []
+
+
+def test_no_clashes_among_different_texts(spark):
+    docs = spark.createDataFrame([(str(i % 50),) for i in range(100)] + [(None,), ("",)], "text string")
+    assert simhash._clashing(docs, docs.text) == []
