@@ -29,14 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the group's smallest id.
-
-    Rows that share that id are one document's; of equal rows one stays. Rows with a null id are kept.
-    """
-    groups = simhash.simhash_components(docs, verify=(WORDS, SIMILARITY))
-    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """One text of each group of near copies: that of the group's smallest id. Different texts under one id are told apart; of rows alike in
+    id and text the one whose language, source and size are smallest stays. Rows with a null id are kept."""
+    return simhash.one_of_each(docs.select(*COLUMNS), WORDS, SIMILARITY)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
