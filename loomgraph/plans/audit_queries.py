@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import layout
 from loomgraph.operators import audit, grounding, setsim
+from loomgraph.operators.intervals import overlapping
+from loomgraph.operators.mentions import mentions
 from loomgraph.plans.registry import registry
 from loomgraph.plans.resumes import RESUME_SQL, experiences, resumes
 from loomgraph.sources.tables import load
@@ -124,3 +126,29 @@ def experience_links(spark, sf_dir):
     required = claims.groupBy("job", "skill").agg(F.count_distinct("experience").alias("m")).join(docs, "job").select("job", "skill", (F.col("m") / F.col("n")).alias("required"))
     found = audit.link_experiences(claims, required, most=1000)
     return found.select("doc", "experience", F.round("coverage", 6).alias("coverage"), F.array_join(F.transform("hits", lambda h: h["skill"]), ",").alias("skills"))
+
+
+_SEGMENTS = {"Summary": ("summary", None), "Experience": ("work", 0), "Certificates: plan reading": (None, None)}
+_ORDER_LINE = r"\d{4}\.\d{2}-\d{4}\.\d{2} Order .*"
+#: An experience is a segment; it begins behind those before it and ends with its last task.
+_SEGMENT_SQL = f"""{RESUME_SQL}, ordered AS (SELECT e.candidate, body, points, row_number() OVER w AS number, sum(length(body) + 1) OVER w - length(body) - 1 AS before FROM experiences e WINDOW w AS (PARTITION BY e.candidate ORDER BY started, orderkey)),
+segs AS (SELECT candidate, 'work' AS kind, number::INT AS number, (instr(text, chr(10) || 'Experience' || chr(10)) + 11 + before)::INT AS start, length(body) AS size, body FROM ordered JOIN resumes USING (candidate))"""
+
+
+@query("resume_segments", f"""WITH {_SEGMENT_SQL} SELECT candidate, kind, number, start, (start + size)::INT AS "end" FROM segs
+UNION ALL SELECT candidate, 'summary', 1, 10, instr(text, chr(10) || 'Experience' || chr(10)) - 1 FROM resumes""")
+def resume_segments(spark, sf_dir):
+    texts = resumes(spark, sf_dir)
+    return texts.select("candidate", F.inline(layout.segments(F.col("text"), _SEGMENTS, _ORDER_LINE)))
+
+
+@query("segment_mentions", f"""WITH {_SEGMENT_SQL}, lines AS (SELECT candidate, number, unnest(string_split(body, chr(10))) AS line FROM segs),
+named AS (SELECT candidate, number, regexp_extract(line, '^- Delivered [0-9]+ (.*) as ', 1) AS name FROM lines WHERE line LIKE '- Delivered%')
+SELECT candidate, number, count(*) AS n_mentions, count(DISTINCT name) AS n_names FROM named GROUP BY ALL""")
+def segment_mentions(spark, sf_dir):
+    """Mentions of parts' names within each experience, by the overlap of their spans."""
+    texts = resumes(spark, sf_dir).select("candidate", "text")
+    spans = texts.select("candidate", F.inline(layout.segments(F.col("text"), _SEGMENTS, _ORDER_LINE))).where("kind = 'work'")
+    found = mentions(texts, "candidate", "text", load(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).withColumnRenamed("doc", "candidate")
+    pairs = overlapping(spans, found, ["candidate"])
+    return pairs.groupBy("candidate", F.col("a.number").alias("number")).agg(F.count("*").alias("n_mentions"), F.count_distinct("b.name").alias("n_names"))

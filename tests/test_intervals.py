@@ -1,6 +1,7 @@
 """Overlapping intervals against all pairs; evidence policy and uncovered lines against hand-made texts."""
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -100,3 +101,30 @@ def test_uncovered_lines(spark):
     assert found == [("工作经历", 1, "负责测试数据接口并优化模型", 0.0), ("工作经历", 2, "1. 负责搭建推荐系统和数据库", 0.0), ("简介/优势", 1, "自我介绍，负责算法开发", 0.0)]
     assert policy.uncovered_lines(texts.limit(0), evidence).collect() == []
     assert len(policy.uncovered_lines(texts, evidence.limit(0)).collect()) == 3
+
+
+HEADS = {"工作经历": ("work", 2), "项目经历": ("project", 1), "研究": ("research", None), "技能": (None, None)}
+
+
+def told(text):
+    return [(k, n, text[a:b]) for k, n, a, b in layout.entries(text, HEADS, re.compile(layout.DATE_LINE))]
+
+
+def test_segments_take_the_lines_above_their_dates():
+    """Company and role stand above a date in work, a title in projects; other sections are one segment."""
+    text = "张三\n2020-2021\n工作经历\n\n甲公司\n工程师\n2019.03 - 至今\n负责开发\n\n乙公司\n 测试 \n2017-2019\n负责测试\n项目经历\n前言\n平台\n2018.1~2019.2\n经理\n搭建\n研究\n 论文 \n\n技能\nPython\n2020-2021\n工作经历\n没有日期\n研究\n"
+    assert told(text) == [
+        ("work", 1, "甲公司\n工程师\n2019.03 - 至今\n负责开发"),
+        ("work", 2, "乙公司\n 测试 \n2017-2019\n负责测试"),
+        ("project", 1, "平台\n2018.1~2019.2\n经理\n搭建"),
+        ("research", 1, "论文"),
+        ("work", 3, "没有日期"),
+    ]
+    assert told("工作经历\n2019-2020\n2020-至今\nx") == [("work", 1, "2019-2020"), ("work", 2, "2020-至今\nx")]
+    assert told("") == told("工作经历") == told("no heading\n2019-2020") == []
+
+
+def test_segments_of_rows(spark):
+    docs = spark.createDataFrame([(1, "工作经历\r\n甲\r\n2019-2020\r\nx"), (2, None)], "id long, t string")
+    found = docs.select("id", layout.segments(docs.t, HEADS).alias("s")).orderBy("id").collect()
+    assert [(x.kind, x.number, x.start, x.end) for x in found[0].s] == [("work", 1, 6, 21)] and found[1].s == []
