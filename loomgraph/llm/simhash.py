@@ -486,23 +486,17 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     return found.unionByName(first).unionByName(bounded(rest.where("root_u <> root_v").select("u", "v"), "rest"))
 
 
-def text_nodes(text: Column, clashes: list[int] | None = None) -> Column:
-    """64-bit number of a text. Those whose numbers are `clashes` are told apart by a second hash, so 128 bits tell texts apart."""
-    node = F.xxhash64(text)
-    return F.when(node.isin(clashes), F.xxhash64(node, F.md5(F.coalesce(text, F.lit("")).cast("binary")))).otherwise(node) if clashes else node
+def text_nodes(text: Column, clashes: list[int] = ()) -> Column:
+    """64-bit number of a text. Texts whose numbers are `clashes` are told apart by a second hash, so 128 bits tell texts apart."""
+    return _told_apart(F.xxhash64(text), F.xxhash64(F.lit(1), text), clashes)
 
 
-#: Numbers that several texts of a table may have at most; at 10 ** 12 texts some 30,000 are expected.
-CLASHES = 100_000
+def _told_apart(node: Column, second: Column, clashes: list[int]) -> Column:
+    return F.when(node.isin(clashes), F.xxhash64(node, second)).otherwise(node) if clashes else node
 
 
-def _clashing(docs: DataFrame, text: Column) -> list[int]:
-    """Numbers of `text_nodes` that texts with different second hashes have."""
-    seconds = docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("second")).groupBy("node").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    found = [r.node for r in seconds.where("a < b").select("node").limit(CLASHES + 1).collect()]
-    if len(found) > CLASHES:
-        raise ValueError("too many texts share a 64-bit hash")
-    return found
+#: Numbers that several texts of a table may have at most; at 10 ** 12 texts some 30,000 are expected.
+CLASHES = 100_000
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3, verify: tuple[int, float] | None = None) -> DataFrame:
@@ -516,7 +510,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     that id the one with the smallest hash. Texts are told apart by 128 bits of hashes, and one that has only null ids links with no other.
     """
     if verify:
-        return verified_components(docs, _clashing(docs, F.col(text_col)), id_col, text_col, distance, shingle, verify)
+        return verified_components(docs, id_col, text_col, distance, shingle, verify)[0]
     signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")).withColumn("node", F.col("fp")), "fingerprints")
     distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
     classes = _classes(distinct, fingerprint_links(distinct.select("fp"), distance))
@@ -534,16 +528,28 @@ def _classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(least, "root").select("node", F.col("least.first_id").alias("component_id"), F.col("least.node").alias("leader"))
 
 
-def verified_components(docs: DataFrame, clashes: list[int], id_col: str, text_col: str, distance: int, shingle: int, verify: tuple[int, float]) -> DataFrame:
-    """(doc_id, fingerprint, component_id, node, leads), see `simhash_components`; `node` is what `text_nodes` gives for the text."""
+def verified_components(docs: DataFrame, id_col: str, text_col: str, distance: int, shingle: int, verify: tuple[int, float]) -> tuple[DataFrame, list[int]]:
+    """(doc_id, fingerprint, component_id, node, leads), see `simhash_components`, and the numbers that several texts have: `node` is what
+    `text_nodes` gives for the text and these."""
     text = F.col(text_col)
-    node = text_nodes(text, clashes)
-    signed = settle(docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), node.alias("node")), "fingerprints")
-    distinct = settle(signed.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id")), "distinct")
-    texts = docs.select(F.col(id_col).alias("doc_id"), node.alias("node"), text.alias("text"))
+    signed = docs.select(F.col(id_col).alias("doc_id"), fingerprints(text, shingle).alias("fp"), text_nodes(text).alias("node"), F.xxhash64(F.lit(1), text).alias("second"))
+    signed = settle(signed, "fingerprints")
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return settle(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("second").alias("one"), F.max("second").alias("other")), "distinct")
+
+    distinct = numbered(signed)
+    clashes = [r.node for r in distinct.where("one < other").select("node").limit(CLASHES + 1).collect()]
+    if len(clashes) > CLASHES:
+        raise ValueError("too many texts share a 64-bit hash")
+    if clashes:
+        signed = signed.withColumn("node", _told_apart(F.col("node"), F.col("second"), clashes))
+        distinct = numbered(signed)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_nodes(text, clashes).alias("node"), text.alias("text"))
+    distinct = distinct.select("node", "fp", "first_id")
     classes = _classes(distinct, verified_links(texts, distinct, fingerprint_links(distinct.select("fp", "node"), distance), *verify))
     leads = F.coalesce((F.col("node") == F.col("leader")) & (F.col("doc_id") == F.col("component_id")), F.lit(False))
-    return signed.join(classes, "node").select("doc_id", _hex("fp"), "component_id", "node", leads.alias("leads"))
+    return signed.join(classes, "node").select("doc_id", _hex("fp"), "component_id", "node", leads.alias("leads")), clashes
 
 
 def one_of_each(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -552,8 +558,7 @@ def one_of_each(docs: DataFrame, shingle: int, similarity: float, id_col: str =
     Different texts under one id are told apart: each that is no near copy of another stays. Of rows with one id and text that whose other columns are
     smallest stays. Rows with a null id all stay.
     """
-    clashes = _clashing(docs, F.col(text_col))
-    groups = verified_components(docs, clashes, id_col, text_col, 3, 3, (shingle, similarity))
+    groups, clashes = verified_components(docs, id_col, text_col, 3, 3, (shingle, similarity))
     leaders = groups.where("leads").select(F.col("doc_id").alias(id_col), F.col("node").alias("_node")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).withColumn("_node", text_nodes(F.col(text_col), clashes))
     kept = named.join(leaders, [id_col, "_node"], "left_semi")
