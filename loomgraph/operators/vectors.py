@@ -8,8 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-#: Queries and rows of one block.
-QUERIES, ROWS = 2000, 16_384
+#: Queries and rows of one block, and queries of one product of matrices within it.
+QUERIES, ROWS, TILE = 16_384, 16_384, 1000
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector is there, has components, and all of them are finite numbers."""
+    odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce((F.size(vector) > 0) & ~odd, F.lit(False))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,18 +33,20 @@ def _best(k: int, names: tuple[str, str]):
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         """The k rows of a block nearest to each of its queries; ties to the smaller key."""
-        ids, scores = rows[key].to_numpy(), np.zeros((len(asked), 0))
-        found: list[tuple[int, int, float]] = []
+        ids, found = rows[key].to_numpy(), []
         if len(asked) and len(rows):
             a, b = (np.stack(t[vector].to_numpy(zero_copy_only=False)).astype(np.float64) for t in (asked, rows))
-            norms = np.sqrt((a**2).sum(1))[:, None] * np.sqrt((b**2).sum(1))
-            scores = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
-        for query, line in zip(asked[key].to_pylist(), scores):
-            line[ids == query] = -np.inf
-            near = np.flatnonzero(line >= np.partition(line, max(len(line) - k, 0))[max(len(line) - k, 0)]) if len(line) else np.zeros(0, int)
-            for i in near[np.lexsort((ids[near], -line[near]))][:k]:
-                if np.isfinite(line[i]):
-                    found.append((query, int(ids[i]), float(line[i])))
+            lengths = np.sqrt((b**2).sum(1))
+            for at in range(0, len(a), TILE):
+                part = a[at : at + TILE]
+                norms = np.sqrt((part**2).sum(1))[:, None] * lengths
+                scores = np.round(np.divide(part @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+                for query, line in zip(asked[key].slice(at, TILE).to_pylist(), scores):
+                    line[ids == query] = -np.inf
+                    near = np.flatnonzero(line >= np.partition(line, max(len(line) - k, 0))[max(len(line) - k, 0)])
+                    for i in near[np.lexsort((ids[near], -line[near]))][:k]:
+                        if np.isfinite(line[i]):
+                            found.append((query, int(ids[i]), float(line[i])))
         columns = zip(*found) if found else ([], [], [])
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query", key, "score"])
 
@@ -48,9 +56,11 @@ def _best(k: int, names: tuple[str, str]):
 def top_k_similar(rows: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, score) of the k nearest by cosine (6 digits; 0 if either norm is 0), for vectors of one length and integer keys.
 
-    Queries come in blocks of QUERIES and rows in blocks of ROWS, and each pair of blocks is one product of matrices that leaves k rows
-    a query; nothing is broadcast. Rows go out once for each block of queries.
+    Vectors that are null, empty or have a null or infinite component, and rows without a key, take no part. Queries come in blocks of
+    QUERIES and rows in blocks of ROWS, and each pair of blocks is compared in one task, a product of matrices for each TILE queries, which leaves
+    k rows a query; nothing is broadcast. Rows go out once for each block of queries.
     """
+    rows, queries = (df.where(F.col(key).isNotNull() & usable(F.col(vector))) for df in (rows, queries))
     parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (rows, ROWS)))
     number = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -160,3 +160,22 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     for q in range(0, 100, 10):
         best = sorted((-cos(rows[q][1], v), i) for i, v in rows if i != q)[:3]
         assert [found[q, k] for k in (1, 2, 3)] == [i for _, i in best]
+
+
+def test_ranks_with_heavy_tails_and_signs(spark):
+    rnd = random.Random(5)
+    values = [rnd.choice([rnd.gauss(0, 1), rnd.gauss(0, 1) * 10 ** rnd.randint(-300, 300), 0.0, -0.0, 7.5]) for _ in range(700)] + [1e308, float("inf"), float("-inf")]
+    rows = [("a", v) for v in values] + [("b", 3.0)] * 900 + [(None, -1.0), ("c", None), ("a", None)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    found = {r.k: r for r in values_at(frame, "v", ["k"], {"low": F.floor((F.col("n") - 1) / 2), "last": F.col("n") - 1, "first": F.lit(0)}).collect()}
+    own = sorted(values)
+    assert (found["a"].n, found["a"]["first"], found["a"].low, found["a"].last) == (len(own), own[0], own[(len(own) - 1) // 2], own[-1])
+    assert (found["b"].n, found["b"].low) == (900, 3.0) and (found[None].n, found[None].last) == (1, -1.0) and set(found) == {"a", "b", None}
+
+
+def test_vectors_that_cannot_be_compared_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, []), (7, [0.0, 0.0]), (None, [1.0, 0.0]), (8, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "id long, v array<double>")
+    found = sorted(tuple(r) for r in vectors.top_k_similar(frame, frame.where("id IN (1, 3, 4, 5, 6, 7)"), "id", "v", 2).collect())
+    assert found == [(1, 2, 0.995037, 1), (1, 7, 0.0, 2), (7, 1, 0.0, 1), (7, 2, 0.0, 2)]
+    assert vectors.top_k_similar(frame.limit(0), frame, "id", "v", 2).collect() == []
