@@ -76,7 +76,12 @@ def upsert(state: DataFrame, batch: DataFrame, key: list[str], order: str) -> Da
 
 
 def mint_codes(names: DataFrame, existing: DataFrame, prefix: str) -> DataFrame:
-    """Next sequential codes for new names, in the order of their names: max + 1 on."""
+    """Next sequential codes for new names, in the order of their names: max + 1 on. Names are counted by their first two characters, and each is
+    numbered among those that begin like it."""
     last = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"-(\d+)$", 1).cast("int")), F.lit(0)).alias("last"))
-    number = F.row_number().over(Window.orderBy("name"))
-    return names.withColumn("_n", number).join(F.broadcast(last)).select("name", F.format_string(f"{prefix}-%03d", F.col("last") + F.col("_n")).alias("id"))
+    begun = names.withColumn("_begin", F.substring("name", 1, 2))
+    before = F.sum("_c").over(Window.orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = begun.groupBy("_begin").agg(F.count("*").alias("_c")).select("_begin", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_begin").orderBy("name"))
+    numbered = begun.withColumn("_n", number).join(counts, "_begin").crossJoin(F.broadcast(last))
+    return numbered.select("name", F.format_string(f"{prefix}-%03d", F.col("last") + F.col("_before") + F.col("_n")).alias("id"))

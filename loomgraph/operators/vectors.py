@@ -142,6 +142,7 @@ def affinity_clusters(rows: DataFrame, group: str, key: str, vector: str) -> Dat
         owner = search_clusters(_matrix(part, vector))
         return pd.DataFrame({group: part[group], key: part[key], "exemplar": part[key].to_numpy()[owner]})
 
+    rows = rows.where(usable(F.col(vector)))
     return rows.groupBy(group).applyInPandas(cluster, f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, exemplar {dict(rows.dtypes)[key]}")
 
 
@@ -190,4 +191,5 @@ def layout(rows: DataFrame, group: str, key: str, vector: str) -> DataFrame:
         return pd.DataFrame({group: part[group], key: part[key], "x": points[:, 0], "y": points[:, 1], "stress": stress})
 
     kinds = dict(rows.dtypes)
+    rows = rows.where(usable(F.col(vector)))
     return rows.groupBy(group).applyInPandas(place, f"{group} {kinds[group]}, {key} {kinds[key]}, x double, y double, stress double")

@@ -153,7 +153,12 @@ def all_gaps(spark, sf_dir, table):
     return graph.gaps(strengths(spark, sf_dir), share)
 
 
-@query("gaps", f"WITH {freq_sql()}, {STRENGTHS_SQL} SELECT kind, id, round(gap, 6) AS gap FROM gaps")
+# documents of each task and skill are counted straight from the tables
+_SHARES = """freq AS (SELECT 'total' AS kind, '' AS src, count(DISTINCT o_orderkey)::DOUBLE AS w FROM orders UNION ALL SELECT 'task', o_orderpriority, count(DISTINCT o_orderkey)::DOUBLE FROM orders GROUP BY o_orderpriority
+  UNION ALL SELECT 'skill', p_brand, count(DISTINCT o_orderkey)::DOUBLE FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_brand)"""
+
+
+@query("gaps", f"WITH {_SHARES}, {STRENGTHS_SQL} SELECT kind, id, round(gap, 6) AS gap FROM gaps")
 def gaps(spark, sf_dir):
     return all_gaps(spark, sf_dir, settled_freq(spark, sf_dir)).withColumn("gap", F.round("gap", 6))
 

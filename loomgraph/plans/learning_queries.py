@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from loomgraph.operators import graph, learning
+from loomgraph.operators import graph, learning, matching
 from loomgraph.plans.graph_queries import _edges_sql, facts, freq_sql, full_outer_base_effective, settled_freq
 from loomgraph.plans.match_queries import _GAPS, _gaps
 from loomgraph.plans.registry import registry
@@ -97,6 +97,14 @@ def experience_degree(spark, sf_dir):
     return careers(spark, sf_dir).select("candidate", "job", F.round("experience", 6).alias("experience"), F.round("degree", 6).alias("degree"))
 
 
+@query("five_dim_fit", f"WITH {_GAPS}, {_CAREERS}, s AS (SELECT candidate, job, avg(CASE WHEN median IS NULL THEN 1 ELSE least(1, coalesce(observed, 0)::DOUBLE / median) END) AS skill, avg((gap <> 'LEARN')::INT) AS task FROM gaps GROUP BY ALL) SELECT candidate, job, round(0.34::DOUBLE * skill + 0.26::DOUBLE * task + 0.16::DOUBLE * experience + 0.14::DOUBLE * degree + 0.10::DOUBLE, 6) AS fit FROM s JOIN scored USING (candidate, job)")
+def five_dim_fit(spark, sf_dir):
+    own = matching.attain(F.coalesce("observed", F.lit(0)), F.coalesce("median", F.lit(0)))
+    rows = _gaps(spark, sf_dir).groupBy("candidate", "job").agg(F.avg(own).alias("skill"), F.avg((F.col("gap") != "LEARN").cast("int")).alias("task"))
+    joined = rows.join(careers(spark, sf_dir), ["candidate", "job"])
+    return joined.select("candidate", "job", F.round(matching.five_dimension_score(F.col("skill"), F.col("task"), F.col("experience"), F.col("degree"), F.lit(1.0)), 6).alias("fit"))
+
+
 # a point's stage is the third of the largest size of its parts; points of small weight are foresight, those of another type are less relevant
 _POINTS = f"pts AS (SELECT e.src AS skill, e.dst AS point, e.weight * (CASE WHEN s.type = 'STANDARD' THEN 1.0::DOUBLE ELSE 0.15::DOUBLE END) * (CASE WHEN e.weight < 0.02::DOUBLE THEN 2.2::DOUBLE ELSE 1.0::DOUBLE END) AS score, s.stage FROM {_SP} e JOIN (SELECT p_name, min(p_type) AS type, (CASE WHEN avg(p_size) <= 24 THEN 1 WHEN avg(p_size) <= 27 THEN 2 ELSE 3 END)::INT AS stage FROM part GROUP BY 1) s ON e.dst = s.p_name)"
 
@@ -139,7 +147,7 @@ def subskill_resolve(spark, sf_dir):
     return learning.resolve_terms(asked, part.where("p_size <= 12").groupBy("skill", "term").agg(F.min("p_size").alias("pos")))
 
 
-# a supplier with a negative balance is retired in favour of the next one of its nation
+# a supplier with a balance below 4000 is retired in favour of the next one of its nation
 _RETIRED = "r AS (SELECT id, target FROM (SELECT s_suppkey AS id, s_acctbal, lead(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS target FROM supplier) WHERE s_acctbal < 4000 AND target IS NOT NULL)"
 
 
@@ -234,12 +242,13 @@ def confirmed_at_cursor(spark, sf_dir):
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if((F.col("ts") <= F.lit("2024-01-15 00:00:00").cast(load(spark, sf_dir, "events").schema["ts"].dataType)) & F.col("value").isNotNull()).alias("confirmed"))
 
 
-@query("born_and_noise", """WITH s AS (SELECT p_brand AS skill, strftime(min(o_orderdate), '%Y-%m') AS born, count(*) AS n_evidence, count(*) / 3000.0::DOUBLE AS strength FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1)
-SELECT skill, born FROM s WHERE born <= '1995-06' AND NOT (strength < 0.05::DOUBLE AND n_evidence <= 1)""")
+@query("born_and_noise", """WITH s AS (SELECT p_partkey AS part, c_mktsegment AS job, strftime(min(o_orderdate), '%Y-%m') AS born, count(*) AS n_evidence, count(*) / 3000.0::DOUBLE AS strength FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT part, job, born, n_evidence FROM s WHERE born <= '1997-12' AND NOT (strength < 0.05::DOUBLE AND n_evidence <= 1)""")
 def born_and_noise(spark, sf_dir):
-    """Observations before an item is born are dropped, and items of next to no strength with a single piece of evidence."""
-    rows = facts(spark, sf_dir).where("skill IS NOT NULL").groupBy("skill").agg(F.min("month").alias("born"), F.count("*").alias("n_evidence"))
-    return rows.where("born <= '1995-06' AND NOT (n_evidence / 3000D < 0.05D AND n_evidence <= 1)").select("skill", "born")
+    """Parts as items of each segment: those born after the window are dropped, and those of next to no strength with a single piece of evidence."""
+    sold = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = sold.groupBy(F.col("p_partkey").alias("part"), F.col("c_mktsegment").alias("job")).agg(F.date_format(F.min("o_orderdate"), "yyyy-MM").alias("born"), F.count("*").alias("n_evidence"))
+    return rows.where("born <= '1997-12' AND NOT (n_evidence / 3000D < 0.05D AND n_evidence <= 1)")
 
 
 @query("excluded_titles", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(p_name, 'red|old|big')")
@@ -256,9 +265,10 @@ def no_signal(spark, sf_dir):
 
 @query("kind_recheck", "SELECT p_partkey, p_name, first_value(p_type) OVER (PARTITION BY lower(replace(p_name, ' ', '')) ORDER BY p_partkey) AS kind FROM part")
 def kind_recheck(spark, sf_dir):
-    """Items of one normalised name take the kind of the first of them."""
-    norm = F.lower(F.replace("p_name", F.lit(" "), F.lit("")))
-    return load(spark, sf_dir, "part").select("p_partkey", "p_name", F.first("p_type").over(Window.partitionBy(norm).orderBy("p_partkey")).alias("kind"))
+    """Items of one normalised name take the kind of the first of them, which is found by counting, not by ordering a name's items."""
+    parts = load(spark, sf_dir, "part").withColumn("norm", F.lower(F.replace("p_name", F.lit(" "), F.lit(""))))
+    first = parts.groupBy("norm").agg(F.min_by("p_type", "p_partkey").alias("kind"))
+    return parts.join(first, "norm").select("p_partkey", "p_name", "kind")
 
 
 @query("level_restriction", f"WITH {_GAPS} SELECT candidate, skill, observed FROM gaps WHERE requirement = 'EXPLICIT_LEVEL' AND observed IS NOT NULL")

@@ -178,14 +178,6 @@ def priority_rank(spark, sf_dir):
     return matching.priorities(_gaps(spark, sf_dir), ["candidate", "job"], "requirement", "presence", "skill").select("candidate", "job", "skill", "gap", "priority")
 
 
-@query("five_dim_fit", f"WITH {_GAPS}, s AS (SELECT candidate, job, avg(CASE WHEN median IS NULL THEN 1 ELSE least(1, coalesce(observed, 0)::DOUBLE / median) END) AS skill, avg((gap <> 'LEARN')::INT) AS task, min(length(skill)) AS x FROM gaps GROUP BY ALL) SELECT candidate, job, round(0.34::DOUBLE * skill + 0.26::DOUBLE * task + 0.16::DOUBLE * least(1, (candidate % 7) / 5.0::DOUBLE) + 0.14::DOUBLE * CASE WHEN candidate % 3 = 0 THEN 1 ELSE 0.5 END + 0.10::DOUBLE, 6) AS fit FROM s")
-def five_dim_fit(spark, sf_dir):
-    own = matching.attain(F.coalesce("observed", F.lit(0)), F.coalesce("median", F.lit(0)))
-    rows = _gaps(spark, sf_dir).groupBy("candidate", "job").agg(F.avg(own).alias("skill"), F.avg((F.col("gap") != "LEARN").cast("int")).alias("task"))
-    experience, degree = F.least(F.lit(1.0), F.col("candidate") % 7 / 5.0), F.when(F.col("candidate") % 3 == 0, 1.0).otherwise(0.5)
-    return rows.select("candidate", "job", F.round(matching.five_dimension_score(F.col("skill"), F.col("task"), experience, degree, F.lit(1.0)), 6).alias("fit"))
-
-
 # nations need regions; suppliers need their nation and the first supplier of it
 _EDGES = "e AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS needs FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 's' || s_suppkey, 's' || f FROM (SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS f FROM supplier) WHERE f <> s_suppkey)"
 
