@@ -367,25 +367,15 @@ def _max_flow(left: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
 
 
 def label(blocks: list[Block], fitted: Model) -> tuple[list[bool], list[bool]]:
-    """Whether each block is content: by the cut, and by the sign of its own odds alone.
+    """Whether each block is content: by the cut, and by the sign of the classifier's odds for it alone, elements included.
 
-    The costs of a block's two labels are -log p of the classifier on the block itself; their difference, the log-odds, is what a cut can
-    save. Elements that speak for what is in them are nodes too, tied to the terminal that they speak for and, by edges, to their
-    blocks; blocks that follow each other are joined the more firmly the nearer they are in the element tree.
+    The costs of a block's two labels are -log p of the classifier on its features and on the elements that speak for it; their
+    difference, the log-odds, is what a cut can save. Blocks that follow each other are joined the more firmly the nearer they are in the element tree.
     """
     units = lambda x: round(UNIT * x)
-    own = [units(sum(w * x for w, x in zip(fitted.weights, features(b)))) for b in blocks]
-    terminals, edges = list(own), [(i, j, c) for i, j, kind in neighbours(blocks) if (c := units(fitted.smooth[kind]))]
-    speakers: dict[tuple[int, int], int] = {}
-    for i, block in enumerate(blocks):
-        for kind, element in block.parent.voices.items():
-            node = speakers.setdefault((id(element), kind), len(terminals))
-            if node == len(terminals):
-                terminals.append(0)
-            weight = units(fitted.voices[kind])
-            terminals[node] += weight + (weight > 0)  # outweighs its edges: an element keeps to what it says
-            edges.append((i, node, abs(weight)))
-    return min_cut(terminals, edges)[: len(blocks)], [t > 0 for t in own]
+    own = [units(sum(w * x for w, x in zip(fitted.weights, features(b))) + sum(fitted.voices[k] for k in b.parent.voices)) for b in blocks]
+    edges = [(i, j, c) for i, j, kind in neighbours(blocks) if (c := units(fitted.smooth[kind]))]
+    return min_cut(own, edges), [t > 0 for t in own]
 
 
 def main_text(page: str | None) -> str:
@@ -402,7 +392,8 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     """`pages` with `text_col` (main text) and n_chars (its code points) in place of the HTML; same-named columns are replaced.
 
     Every page is parsed whole and by itself: a cut over its blocks, with edges between page neighbours and between successive
-    blocks of one parent. Null, empty and text-less pages give an empty text; repeated rows give repeated rows.
+    blocks of one parent. Null, empty and text-less pages give an empty text; repeated rows give repeated rows; a very long page is
+    one task's work, in time that grows with its length (100,000 blocks take a few seconds).
     """
     extracted = F.arrow_udf(_texts, "string")(F.col(html_col))
     kept = [c for c in pages.columns if c not in (html_col, text_col, "n_chars")]

@@ -5,6 +5,7 @@ import time
 import pytest
 from hypothesis import given, settings, strategies as st
 
+import varied_pages
 from loomgraph.llm import htmltext as h, labelled_pages
 
 ARTICLE = "The harbour was quiet when the first boats came back. Nobody on the pier spoke of the storm."
@@ -44,21 +45,30 @@ def test_minimum_cut_is_minimal():
         assert cost(h.min_cut(terminals, edges)) == min(map(cost, itertools.product([False, True], repeat=n)))
 
 
-def test_cut_decides_on_pages_left_out_of_the_fit():
-    """Leave one page out: the cut is right on nearly all blocks, the classifier's own sign is not."""
-    pages = labelled_pages.pages()
-    wrong_cut = wrong_sign = blocks = 0
-    for k, page in enumerate(pages):
-        fitted = h.Model.fit(pages[:k] + pages[k + 1 :])
-        found = h.blocks_of(page)
-        wanted = [b.text.startswith("§") for b in found]
-        for b in found:
+def mistakes(fitted, pages):
+    """Blocks, those that the cut labels wrongly, those that the whole classifier does, and those on which the two differ."""
+    found = [0, 0, 0, 0]
+    for page in pages:
+        blocks = h.blocks_of(page)
+        wanted = [b.text.startswith("§") for b in blocks]
+        for b in blocks:
             b.text = b.text.removeprefix("§")
-        cut, sign = h.label(found, fitted)
-        blocks += len(found)
-        wrong_cut += sum(map(bool.__ne__, cut, wanted))
-        wrong_sign += sum(map(bool.__ne__, sign, wanted))
-    assert wrong_cut <= 0.03 * blocks and wrong_sign >= 5 * wrong_cut
+        cut, whole = h.label(blocks, fitted)
+        for k, n in enumerate((len(blocks), sum(map(bool.__ne__, cut, wanted)), sum(map(bool.__ne__, whole, wanted)), sum(map(bool.__ne__, cut, whole)))):
+            found[k] += n
+    return found
+
+
+def test_cut_against_the_whole_classifier_on_pages_left_out_of_the_fit():
+    pages = labelled_pages.pages()
+    blocks, cut, whole, _ = map(sum, zip(*(mistakes(h.Model.fit(pages[:k] + pages[k + 1 :]), [page]) for k, page in enumerate(pages))))
+    assert cut <= 0.03 * blocks and cut < whole
+
+
+def test_cut_against_the_whole_classifier_on_varied_pages():
+    """150 pages of other layouts, half of them without an element or class that speaks: the cut mends most of the classifier's mistakes."""
+    blocks, cut, whole, differ = mistakes(h.model(), [varied_pages.page(seed) for seed in range(150)])
+    assert blocks > 2500 and cut <= 0.02 * blocks and whole >= 3 * cut and differ >= 50
 
 
 def test_neighbours_decide_where_no_element_speaks():
