@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.functions import loose_json
-from loomgraph.operators import tree
+from loomgraph.operators import space, tree
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import load
 
@@ -66,3 +66,55 @@ def tolerant_json(spark, sf_dir):
     first = F.try_variant_get("value", "$[0]", "variant")
     get = lambda path, kind: F.try_variant_get("value", path, kind)
     return rows.select("event_id", "reason", F.size(get("$", "array<variant>")).alias("n"), get("$[0].id", "long").alias("id"), get("$[0].kind", "string").alias("kind"), get("$[0].p.k", "int").alias("k"), F.when(first.isNotNull(), loose_json.field_faults(first, ("id", "kind", "p"))).alias("fault"))
+
+
+_JOB = "concat(c_nationkey, '-', c_mktsegment)"
+_MEASURED = f"SELECT {_JOB} AS job, p_name AS task, count(*) / 10.0D AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_name NOT LIKE 'small%' AND l_quantity > 25 GROUP BY ALL"
+_INFERRED = "SELECT concat('S', s_suppkey) AS job, p_name AS task, sum(l_discount) AS weight FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_suppkey % 5 = 0 AND l_quantity > 40 GROUP BY ALL"
+_VECTORS = f"""measured AS ({_MEASURED.replace('10.0D', '10.0::DOUBLE')}), inferred AS ({_INFERRED}),
+edges AS (SELECT job, task, weight, false AS inferred FROM measured UNION ALL SELECT job, task, weight, true FROM inferred WHERE task IN (SELECT task FROM measured)),
+norms AS (SELECT job, sqrt(sum(weight * weight)) AS norm, bool_or(inferred) AS inferred FROM edges WHERE weight <> 0 GROUP BY job), vectors AS (SELECT job, task, weight / norm AS value, norms.inferred FROM edges JOIN norms USING (job) WHERE weight <> 0)"""
+_NEAREST = f"""{_VECTORS}, pairs AS (SELECT a.job, b.job AS other, round(greatest(0, 1 - sum(a.value * b.value)), 9) AS distance, count(*) AS shared FROM vectors a JOIN vectors b ON a.task = b.task AND a.job <> b.job GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY distance, other)::INT AS rank FROM pairs)"""
+
+
+def _vectors(spark, sf_dir):
+    for name in ("orders", "customer", "lineitem", "part", "supplier"):
+        load(spark, sf_dir, name).createOrReplaceTempView(f"_{name}")
+    told = []
+    for text in (_MEASURED, _INFERRED):
+        for name in ("orders", "customer", "lineitem", "part", "supplier"):
+            text = text.replace(f"FROM {name} ", f"FROM _{name} ").replace(f"JOIN {name} ", f"JOIN _{name} ")
+        told.append(spark.sql(text))
+    jobs = told[0].select("job").unionByName(told[1].select("job"))
+    return space.unit_vectors(jobs, *told)
+
+
+@query("job_space", f"WITH {_NEAREST} SELECT job, rank, other, round(distance, 6) AS distance, shared FROM ranked WHERE rank <= 5")
+def job_space(spark, sf_dir):
+    """Nearest jobs by the tasks that postings have; suppliers are jobs known by inference only."""
+    return space.neighbours(_vectors(spark, sf_dir), 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("job_rings", f"""WITH {_NEAREST}, c AS (SELECT split_part(job, '-', 2) AS cluster, distance FROM ranked WHERE rank <= 20), o AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY distance) AS i, count(*) OVER (PARTITION BY cluster) AS n FROM c)
+SELECT cluster, any_value(n) AS n, """ + ", ".join(f"round(max(distance) FILTER (i = greatest(1, ceil({s}::DOUBLE * n - 1e-9))), 6) AS r{round(100 * s)}" for s in (0.25, 0.5, 0.75, 0.95)) + " FROM o GROUP BY cluster")
+def job_rings(spark, sf_dir):
+    """Within what distance shares of the near jobs of each cluster lie."""
+    near = space.neighbours(_vectors(spark, sf_dir), 20).select(F.split_part("job", F.lit("-"), F.lit(2)).alias("cluster"), "distance")
+    return space.rings(near).withColumns({c: F.round(c, 6) for c in ("r25", "r50", "r75", "r95")})
+
+
+_BAND = "CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice < 200000 THEN 'mid' WHEN o_totalprice < 300000 THEN 'high' ELSE 'top' END"
+_POSTS = f"SELECT {_JOB} AS job, o_orderpriority AS col, {_BAND} AS band FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+@query("post_cells", f"""WITH p AS ({_POSTS}), jobs AS (SELECT job, count(*) AS posts FROM p GROUP BY job),
+cols AS (SELECT job, col, count(*)::DOUBLE / any_value(posts) AS a FROM p JOIN jobs USING (job) GROUP BY job, col HAVING count(*)::DOUBLE / any_value(posts) >= 0.04),
+bands AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY b DESC, band) AS nth FROM (SELECT job, band, count(*)::DOUBLE / any_value(posts) AS b FROM p JOIN jobs USING (job) GROUP BY job, band)),
+cells AS (SELECT job, col AS "column", band, round(posts * a * b, 6) AS posts FROM cols JOIN bands USING (job) JOIN jobs USING (job) WHERE nth <= 2)
+SELECT "column", band, rank, job, posts FROM (SELECT *, row_number() OVER (PARTITION BY "column", band ORDER BY posts DESC, job)::INT AS rank FROM cells) WHERE rank <= 5""")
+def post_cells(spark, sf_dir):
+    rows = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr(f"{_JOB} AS job", "o_orderpriority AS col", f"{_BAND} AS band")
+    jobs = rows.groupBy("job").agg(F.count("*").alias("posts"))
+    share = lambda kind, value: rows.groupBy("job", F.col(value).alias("value")).agg(F.count("*").alias("n")).join(jobs, "job").select("job", F.lit(kind).alias("kind"), "value", (F.col("n") / F.col("posts")).alias("share"))
+    return space.post_cells(share("column", "col").unionByName(share("band", "band")), jobs)
