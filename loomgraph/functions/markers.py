@@ -28,7 +28,7 @@ def year_hints(text: Column, patterns: tuple[str, ...] = YEARS) -> Column:
 def most_years(hints: Column, most: int = MOST_YEARS) -> Column:
     """The largest number in the hints, at most `most`; null without any."""
     numbers = F.transform(F.flatten(F.transform(hints, lambda h: F.regexp_extract_all(h, F.lit(r"\d{1,2}"), F.lit(0)))), lambda n: n.cast("int"))
-    return F.least(F.array_max(numbers), F.lit(most))
+    return F.when(F.size(numbers) > 0, F.least(F.array_max(numbers), F.lit(most)))
 
 
 def gated(code: Column, found: Column, all_gated: bool = False, soft: str = "F-") -> Column:

@@ -64,7 +64,7 @@ _WORDS, _YEARS = ("STANDARD", "PROMO", "baseline"), (r"[0-9]{4}[.][0-9]{2}-[0-9]
 
 @query("proficiency_markers", f"""WITH {RESUME_SQL}, lines AS (SELECT candidate, list_filter(string_split(text, chr(10)), lambda l: contains(l, 'Order') OR starts_with(l, '- Delivered')) AS s FROM resumes),
 r AS (SELECT candidate, array_to_string([substr(x, 1, 300) FOR x IN s[1:6]], ' ') AS t FROM lines), y AS (SELECT candidate, t, regexp_extract_all(t, '{_YEARS[0]}') || regexp_extract_all(t, '{_YEARS[1]}') AS h FROM r)
-SELECT candidate, array_to_string([w FOR w IN {list(_WORDS)} IF contains(t, w)], ',') AS markers, len(list_distinct(h)) AS n_hints, least(15, list_max([n::INT FOR n IN flatten([regexp_extract_all(x, '[0-9]{{1,2}}') FOR x IN h])])) AS years, len([w FOR w IN {list(_WORDS)} IF contains(t, w)]) = 0 AS gated FROM y""")
+SELECT candidate, array_to_string([w FOR w IN {list(_WORDS)} IF contains(t, w)], ',') AS markers, len(list_distinct(h)) AS n_hints, CASE WHEN len(h) > 0 THEN least(15, list_max([n::INT FOR n IN flatten([regexp_extract_all(x, '[0-9]{{1,2}}') FOR x IN h])])) END AS years, len([w FOR w IN {list(_WORDS)} IF contains(t, w)]) = 0 AS gated FROM y""")
 def proficiency_markers(spark, sf_dir):
     """Markers, year hints and the gate over the first six lines that tell of an order."""
     rows = resumes(spark, sf_dir).select("candidate", F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("Order")) | F.startswith(x, F.lit("- Delivered"))).alias("s"))
