@@ -6,6 +6,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows the stage before ke
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -53,12 +55,23 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _bounded(stage):
+    """The stage with batches of texts that its Python workers hold bounded in bytes."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("repeated_passages", repeated_passages),
-    ("mixture", mixture),
-    ("sequences", sequences),
+    ("language", _bounded(language)),
+    ("near_duplicates", _bounded(near_duplicates)),
+    ("repeated_passages", _bounded(repeated_passages)),
+    ("mixture", _bounded(mixture)),
+    ("sequences", _bounded(sequences)),
 ]
 
 #: SQL can't express the stages on fingerprints, suffix order and tokens; tests hold run() against brute force.
