@@ -32,6 +32,19 @@ def test_tumbling_matches_batch(spark, table, tmp_path):
     assert sorted(found) == sorted(ev.tumbling_counts(spark.read.parquet(table)).collect())
 
 
+def test_sliding_matches_batch(spark, table, tmp_path):
+    found = drain(ev.sliding_counts(source(spark, table), late="10 days"), tmp_path, "complete", "sliding").collect()
+    assert sorted(found) == sorted(ev.sliding_counts(spark.read.parquet(table)).collect())
+    assert sum(r.n for r in found) == 300 * 4  # each event is in as many windows as slides fit in one
+
+
+def test_sessions_match_batch(spark, table, tmp_path):
+    """Gaps of over 40 minutes end a session; sessions that a later file joins are one."""
+    found = drain(ev.sessions(source(spark, table), gap="40 minutes", late="10 days"), tmp_path, "complete", "sessions").collect()
+    assert sorted(found) == sorted(ev.sessions(spark.read.parquet(table), gap="40 minutes").collect())
+    assert sum(r.n for r in found) == 300 and len(found) > 5
+
+
 def test_deduplication(spark, table, tmp_path):
     twice = source(spark, table).unionByName(source(spark, table))
     assert drain(ev.first_deliveries(twice, late="10 days"), tmp_path, name="firsts").count() == 300
