@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loomgraph.functions.text import char_ngrams
 from loomgraph.operators.matching import attain
 from loomgraph.sources.interim import settle
 
@@ -120,11 +121,19 @@ def common_substring(a: Column, b: Column) -> Column:
 def near_names(names: DataFrame, top: int = 2) -> DataFrame:
     """(name, near, score, rank): names with at least half of their characters in common, or a common substring of 4 or more.
 
-    Only names that share a character meet; taxonomies are small, and each pair is scored once."""
-    chars = names.select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("c"))
-    pairs = chars.join(chars.toDF("near", "c"), "c").where("name <> near").groupBy("name", "near").agg(F.count("*").alias("both"))
-    size = lambda c: F.size(F.array_distinct(F.split(c, "")))
-    scored = pairs.withColumn("share", F.col("both") / F.greatest(size("name"), size("near"))).withColumn("lcs", common_substring(F.col("name"), F.col("near")))
+    Names meet that share one of their rarest characters, so many that half of them in common includes one (a name of n characters is
+    filed under n - ceil(n / 2) + 1), or four characters in a row; each pair is scored once. Names are taken once each, null ones go."""
+    kept = names.select("name").where("name IS NOT NULL").distinct()
+    chars = kept.select("name", F.array_distinct(F.split("name", "")).alias("cs"))
+    held = chars.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("held"))
+    ordered = chars.select("name", F.explode("cs").alias("c")).join(held, "c").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("held", "c"))).alias("o"))
+    rare = ordered.select("name", F.explode(F.slice("o", F.lit(1), (F.size("o") - F.ceil(F.size("o") / 2) + 1).cast("int"))).alias("x")).select("name", F.concat(F.lit("c"), "x.c").alias("key"))
+    runs = kept.select("name", F.explode(F.array_distinct(char_ngrams(F.col("name"), 4))).alias("g")).select("name", F.concat(F.lit("g"), "g").alias("key"))
+    filed = rare.unionByName(runs)
+    pairs = filed.join(filed.toDF("near", "key"), "key").where("name <> near").select("name", "near").distinct()
+    sets = lambda c: F.array_distinct(F.split(c, ""))
+    both = F.size(F.array_intersect(sets("name"), sets("near")))
+    scored = pairs.withColumn("share", both / F.greatest(F.size(sets("name")), F.size(sets("near")))).withColumn("lcs", common_substring(F.col("name"), F.col("near")))
     scored = scored.where("share >= 0.5 OR lcs >= 4").withColumn("score", F.round(F.greatest("share", F.col("lcs") / 8), 3))
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "near"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select("name", "near", "score", "rank")

@@ -165,6 +165,16 @@ def near_names(spark, sf_dir):
     return learning.near_names(load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct())
 
 
+@query("soft_prf")
+def soft_prf(spark, sf_dir):
+    """Hits and misses of the parts named in an order's small lines against those of all its lines, a name within another counting; matching is
+    one to one in order, which SQL has no form for, so it is tested by hand-made lists."""
+    lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    said = F.when(F.col("l_quantity") < 30, F.when(F.col("p_size") % 3 == 0, F.substring_index("p_name", " ", -1)).otherwise(F.upper("p_name")))
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(said)).alias("predicted"), F.array_sort(F.collect_set("p_name")).alias("gold"))
+    return learning.soft_prf(rows, "predicted", "gold")
+
+
 @query("sentence_lookup", """WITH s AS (SELECT conv_id, turn, text, strpos(text, ' the ') AS pos, string_split(text, '.') AS parts FROM conversations)
 SELECT conv_id, turn, pos, CASE WHEN pos > 0 THEN len(list_filter(range(1, len(parts) + 1), lambda i: coalesce(list_sum(list_transform(parts[1:i - 1], lambda p: length(p) + 1)), 0) + 1 <= pos)) END AS sentence FROM s""")
 def sentence_lookup(spark, sf_dir):

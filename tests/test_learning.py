@@ -55,3 +55,22 @@ def test_staged_path_takes_first_distinct_points(spark):
 def test_band(spark):
     rows = spark.createDataFrame([(0.0,), (0.3,), (0.95,), (1.0,)], "u double")
     assert values(rows, L.band(F.col("u"), [F.lit(0.25), F.lit(0.25), F.lit(0.4)])) == [(0,), (1,), (2,), (2,)]
+
+
+def test_near_names_are_those_of_all_pairs(spark):
+    """Names filed under rare characters and runs of four find what comparing all pairs finds."""
+    import random
+
+    rnd = random.Random(3)
+    names = sorted({"".join(rnd.choice("abcdefgh é") for _ in range(rnd.randint(1, 9))) for _ in range(60)} | {"", "spark sql", "spark", "sql spark"})
+    lcs = lambda a, b: max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+    wanted = set()
+    for a in names:
+        scored = []
+        for b in names:
+            share = len(set(a) & set(b)) / max(len(set(a)), len(set(b)), 1)
+            if a != b and a and b and (share >= 0.5 or lcs(a, b) >= 4):
+                scored.append((-round(max(share, lcs(a, b) / 8), 3), b))
+        wanted |= {(a, b, -s, r + 1) for r, (s, b) in enumerate(sorted(scored)[:3])}
+    frame = spark.createDataFrame([(n,) for n in [*names, names[3], None] if n != ""], "name string")
+    assert {(r.name, r.near, r.score, r["rank"]) for r in L.near_names(frame, 3).collect()} == wanted
