@@ -185,9 +185,9 @@ def _rows_needed(index: MultiIndex, held: np.ndarray, trials: np.ndarray, neares
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query row, by Euclidean distance.
 
-    Codebooks are fitted on SAMPLE rows (least hash of the id), the number of cells grows with the table, and every row is indexed. TRIALS
-    of the sample's rows are compared with all rows, which tells how many rows a query must visit for a recall of RECALL
-    in this very table; each query visits cells until they hold that many. Null and unusable vectors, rows with a null id and
+    Codebooks are fitted on SAMPLE rows (by hash of the id), the number of cells grows with the table, and every row is indexed. TRIALS
+    other rows, which no codebook has seen (unless the table has hardly more), are compared with all rows, which tells how many rows a query must
+    visit for a recall of RECALL in this very table; each query visits cells until they hold that many. Null and unusable vectors, rows with a null id and
     vectors whose length isn't the sample's most frequent one take no part. Of equal vectors the k + 1 smallest ids are kept, which
     is all a query can return; repeated rows count once. Fewer than k others: all of them.
 
@@ -197,7 +197,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     spark = vectors.sparkSession
     chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     good = chosen.where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "vector").toArrow()
+    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + TRIALS).select("vec_id", "vector").toArrow()
     lengths = np.diff(sample["vector"].combine_chunks().offsets.to_numpy()) if len(sample) else np.zeros(0, int)
     if not len(lengths):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -207,7 +207,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     fitting = good.where(F.size("vector") == width)
     kept = fitting.dropDuplicates(["vec_id", "vector"]).withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1)
     kept = settle(kept.select("vec_id", "vector"), "vectors")
-    index = MultiIndex.fit(_matrix(sample["vector"]), kept.count())
+    fitted = sample[TRIALS:] if len(sample) > 2 * TRIALS else sample
+    index = MultiIndex.fit(_matrix(fitted["vector"]), kept.count())
     trial_ids, trials = sample["vec_id"][:TRIALS].to_numpy(), _matrix(sample["vector"][:TRIALS])
     shared = spark.sparkContext.broadcast(index)
     cell_of = F.arrow_udf(lambda v: pa.array(shared.value.cells(_matrix(v)), pa.int32()), "int")

@@ -87,3 +87,18 @@ def test_edge_cases(spark):
     assert sorted(map(tuple, found)) == [(0, 1, 5, 0.0), (0, 2, 7, 2.0), (5, 1, 0, 0.0), (5, 2, 7, 2.0), (7, 1, 0, 2.0), (7, 2, 5, 2.0)]
     assert ann.search(spark.createDataFrame([], schema), F.lit(True)).collect() == []
     assert ann.search(spark.createDataFrame(rows[:1], schema), F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("sample", [1000, 16_384])
+def test_recall_on_nearly_uniform_vectors(spark, monkeypatch, sample):
+    """64 dimensions without clusters, as the given tables have them; codebooks see a sixth of the rows or all but the trials."""
+    monkeypatch.setattr(ann, "SAMPLE", sample)
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(6000, 64))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    docs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    mine = {}
+    for r in ann.search(docs, F.col("vec_id") % 100 == 0).collect():
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    truth = brute(range(6000), rows, range(0, 6000, 100), 10)
+    assert np.mean([len(mine[q] & {i for _, i in t}) / 10 for q, t in truth.items()]) >= 0.9
