@@ -49,11 +49,13 @@ def candidate_keys(fp: Column) -> Column:
 def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMING_MAX, least: float = P.JACCARD_MIN, min_chars: int = P.DEDUP_MIN_CHARS) -> DataFrame:
     """(later, earlier) of distinct texts within `distance` bits and with 3-gram Jaccard similarity of `least` or more.
 
-    White space doesn't count, but for `min_chars`. Copies of a text are one text here; candidates share two bytes of the fingerprint at the same places, which loses no pair. The
-    texts' gram sets are joined to the candidates that pass the bit test only.
+    White space doesn't count, but for `min_chars`. Copies of a text meet by its 128-bit hash and are one text here, so a text that very many documents
+    hold is a few small rows; candidates share two bytes of the fingerprint at the same places, which loses no pair. The texts' gram sets are joined to
+    the candidates that pass the bit test only.
     """
-    kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM)
-    firsts = kept.groupBy("t").agg(F.min("doc").alias("doc"))
+    kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM).withColumn("key", F.md5(F.encode(F.col("t"), "UTF-8")))
+    earliest = kept.groupBy("key").agg(F.min("doc").alias("doc"))
+    firsts = kept.join(earliest, ["key", "doc"], "left_semi").dropDuplicates(["key", "doc"])
     grams = F.array_distinct(char_ngrams(F.col("t"), P.NGRAM))
     marked = settle(firsts.select("doc", grams.alias("g"), F.arrow_udf(_simhashes, T.LongType())(F.col("t")).alias("fp")).withColumn("n", F.size("g")))
     keyed = marked.select("doc", "fp", "n", F.explode(candidate_keys(F.col("fp"))).alias("key"))
