@@ -25,8 +25,9 @@ def similar_sets(a: DataFrame, b: DataFrame | None = None, least: float = 0.8) -
     """(a, b, similarity): pairs of sets (set_id, items) whose Jaccard similarity is `least` or more; without `b` of two sets of `a`, a < b.
 
     Items are ordered by how many sets hold them, over all sets of both sides. A set of n items that is similar enough shares one of its
-    first n - ceil(least n) + 1 with the other, so only these are filed. A pair is looked at if the sizes allow it and
-    what is left behind the shared item on both sides is enough. Every pair is found; none is decided without its sets.
+    first p = n - ceil(least n) + 1 with the other, so only these are filed. What two sets share is at most what their first items
+    share and what is left behind the first items of one of them, n - p; a pair whose count of shared first items can't make up the
+    rest isn't looked at, nor one of too different sizes. Every pair is found; none is decided without its sets.
     """
     same = b is None
     sides = [a] if same else [a, b]
@@ -36,14 +37,16 @@ def similar_sets(a: DataFrame, b: DataFrame | None = None, least: float = 0.8) -
     for side in sides:
         placed = side.select("set_id", F.size("items").alias("n"), F.explode("items").alias("item")).join(held, "item")
         ordered = placed.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("order"))
-        first = ordered.select("set_id", "n", F.posexplode(F.slice("order", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))).alias("place", "x"))
-        filed.append(settle(first.select("set_id", "n", "place", F.col("x.item").alias("item")), "prefixes"))
-    left = filed[0].toDF("a", "n_a", "place_a", "item")
-    right = filed[-1].toDF("b", "n_b", "place_b", "item")
+        length = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+        first = ordered.select("set_id", "n", length.alias("p"), F.explode(F.slice("order", F.lit(1), length)).alias("x"))
+        filed.append(settle(first.select("set_id", "n", "p", F.col("x.item").alias("item")), "prefixes"))
+    left = filed[0].toDF("a", "n_a", "p_a", "item")
+    right = filed[-1].toDF("b", "n_b", "p_b", "item")
     sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    met = left.join(right, "item").where(sizes & (F.col("a") < F.col("b") if same else F.lit(True)))
+    counted = met.groupBy("a", "b", "n_a", "p_a", "n_b", "p_b").agg(F.count("*").alias("c"))
     needed = F.ceil(least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    possible = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed
-    pairs = left.join(right, "item").where(sizes & possible & (F.col("a") < F.col("b") if same else F.lit(True))).select("a", "b").distinct()
+    pairs = counted.where(F.col("c") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed).select("a", "b")
     both = pairs.join(a.toDF("a", "items_a"), "a").join(sides[-1].toDF("b", "items_b"), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     similarity = shared / (F.size("items_a") + F.size("items_b") - shared)
