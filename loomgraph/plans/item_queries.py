@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from loomgraph.functions import markers
+from loomgraph.functions import markers, points
 from loomgraph.operators import canonical, intake
 from loomgraph.plans.registry import registry
 from loomgraph.plans.resumes import RESUME_SQL, resumes
@@ -128,3 +128,19 @@ def forecast_ingest(spark, sf_dir):
     rows.write.option("header", True).csv(path)
     read = spark.read.option("header", True).csv(path)
     return intake.forecasts(read, region.where("r_name <> 'ASIA'").selectExpr("r_name AS name", "concat('J', r_regionkey) AS code"), nation.selectExpr("n_name AS name", "concat('S', n_nationkey) AS code"))
+
+
+_RULES = points.PointRules(brands=("old bolt", "Brand#5"), devices=("red widget",), general=("PROMO",), endings=("anvil",), makers=("small ", "large "), products=("ring", "plate"), shortest=5, longest=12)
+_MESSY = """SELECT l_orderkey, l_linenumber * 1000 + p_partkey % 1000 AS spot, CASE p_partkey % 5 WHEN 0 THEN concat('；', p_name, ' ,') WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '   ') WHEN 3 THEN p_brand ELSE p_type END AS point FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query("cleaned_points", f"""WITH m AS ({_MESSY}), f AS (SELECT l_orderkey, spot, point, trim(regexp_replace(point, '\\s+', ' ', 'g'), ' ，,、；;·') AS p FROM m),
+n AS (SELECT l_orderkey, spot, point, CASE WHEN p IN ('small ring', 'small plate', 'large ring', 'large plate') THEN substr(p, 7) ELSE p END AS p FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, lower(p) ORDER BY spot, point) AS nth FROM n WHERE length(p) BETWEEN 5 AND 12 AND p NOT IN ('old bolt', 'Brand#5', 'red widget', 'PROMO') AND NOT ends_with(p, 'anvil')),
+o AS (SELECT l_orderkey, string_agg(p, '|' ORDER BY spot, point) AS points FROM k WHERE nth = 1 GROUP BY l_orderkey) SELECT l_orderkey, coalesce(points, '') AS points FROM (SELECT DISTINCT l_orderkey FROM m) LEFT JOIN o USING (l_orderkey)""")
+def cleaned_points(spark, sf_dir):
+    for name in ("lineitem", "part"):
+        load(spark, sf_dir, name).createOrReplaceTempView(f"_{name}")
+    rows = spark.sql(_MESSY.replace("FROM lineitem", "FROM _lineitem").replace("JOIN part", "JOIN _part"))
+    listed = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot", "point"))), lambda x: x["point"]).alias("p"))
+    return listed.select("l_orderkey", F.array_join(points.cleaned(F.col("p"), _RULES), "|").alias("points"))

@@ -50,3 +50,11 @@ def test_markers_and_years(spark):
     found = text.select(markers.markers(F.col("t")).alias("m"), markers.year_hints(F.col("t")).alias("h"), markers.most_years(markers.year_hints(F.col("t"))).alias("y"), markers.gated(F.col("code"), markers.markers(F.col("t"))).alias("g"), markers.gated(F.col("code"), markers.markers(F.col("t")), True).alias("a")).collect()
     assert [tuple(r) for r in found[:4]] == [(["熟悉", "精通"], ["3-5年", "5年"], 5, False, False), (["了解"], [], None, False, False), ([], [], None, True, True), ([], [], None, False, True)]
     assert (found[5].h, found[5].y) == (["20 年以上", "3年"], 15)
+
+
+def test_points_are_cleaned(spark):
+    from loomgraph.functions import points
+
+    rows = [["Ｐｙｔｈｏｎ", " python、", "PYTHON"], ["西门子PLC", "三菱 PLC", "PLC", "西门子"], ["示波器", "C", "x" * 31, "x" * 30, "瑞昱芯片", "平台", None, "；·  "], None, [], ["Spring   Boot", "spring boot", "Spring"]]
+    df = spark.createDataFrame([(r,) for r in rows], "p array<string>")
+    assert [r.c for r in df.select(points.cleaned(F.col("p")).alias("c")).collect()] == [["Python"], ["PLC", "三菱 PLC"], ["x" * 30], [], [], ["Spring Boot", "Spring"]]
