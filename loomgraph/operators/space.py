@@ -59,3 +59,34 @@ def post_cells(posts: DataFrame, jobs: DataFrame, per_column: int = 2, per_cell:
     cells = columns.join(bands, "job").join(jobs.where("posts > 0").select("job", F.col("posts").alias("all")), "job").withColumn("posts", F.round(F.col("all") * F.col("a") * F.col("b"), 6))
     order = F.row_number().over(Window.partitionBy("column", "band").orderBy(F.desc("posts"), "job"))
     return cells.withColumn("rank", order).where(F.col("rank") <= per_cell).select("column", "band", "rank", "job", "posts")
+
+
+# Fixed value: bins of a cluster's distribution along a dimension.
+RADIAL_BINS = 14
+
+
+def cluster_model(jobs: DataFrame, most: float, bins: int = RADIAL_BINS) -> DataFrame:
+    """(cluster, place, posts, dim, centre, spread) for each cluster and dimension: place by posts (most first, ties by name), the mean of the
+    vectors weighted by posts, and how many posts lie in each of `bins` equal steps from 0 to `most` (values beyond are in the outer ones).
+
+    jobs (job, cluster, posts, vector): rows with a null cluster or vector, or without posts, are left out; null components count for nothing.
+    Components are summed by cluster, dimension and step where they are; no cluster's vectors are gathered.
+    """
+    kept = jobs.where("cluster IS NOT NULL AND vector IS NOT NULL AND posts > 0")
+    totals = kept.groupBy("cluster").agg(F.sum("posts").alias("posts"))
+    ordered = totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("posts"), "cluster")))  # a row for each cluster
+    parts = kept.select("cluster", F.col("posts").alias("w"), F.posexplode("vector").alias("dim", "v")).where("v IS NOT NULL").withColumn("v", F.col("v").cast("double"))
+    step = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("v") / most * (bins - 1) + 0.5))).cast("int")
+    stepped = parts.groupBy("cluster", "dim", step.alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("v") * F.col("w")).alias("vw"))
+    told = stepped.groupBy("cluster", "dim").agg((F.sum("vw") / F.sum("w")).alias("centre"), F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("m"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("m")[b], F.lit(0)).cast("long"))
+    return told.join(ordered, "cluster").select("cluster", "place", "posts", "dim", "centre", spread.alias("spread"))
+
+
+def scoped_stacks(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, stack, jobs, posts, rank): what stacks the jobs of a scope have, by how many jobs, then posts, then name.
+
+    rows (scope columns, job, stack, posts): a job counts once for a stack, its posts add up; null stacks go.
+    """
+    counted = rows.where("stack IS NOT NULL").groupBy(*scope, "stack", "job").agg(F.sum("posts").alias("posts")).groupBy(*scope, "stack").agg(F.count("*").alias("jobs"), F.coalesce(F.sum("posts"), F.lit(0)).alias("posts"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("jobs"), F.desc("posts"), "stack")))

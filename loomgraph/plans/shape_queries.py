@@ -118,3 +118,20 @@ def post_cells(spark, sf_dir):
     jobs = rows.groupBy("job").agg(F.count("*").alias("posts"))
     share = lambda kind, value: rows.groupBy("job", F.col(value).alias("value")).agg(F.count("*").alias("n")).join(jobs, "job").select("job", F.lit(kind).alias("kind"), "value", (F.col("n") / F.col("posts")).alias("share"))
     return space.post_cells(share("column", "col").unionByName(share("band", "band")), jobs)
+
+
+@query("cluster_model", """WITH v AS (SELECT label AS cluster, vec_id % 7 + 1 AS w, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS dim FROM embeddings WHERE label IS NOT NULL),
+t AS (SELECT cluster, sum(w) AS posts, row_number() OVER (ORDER BY sum(w) DESC, cluster)::INT AS place FROM (SELECT label AS cluster, vec_id % 7 + 1 AS w FROM embeddings WHERE label IS NOT NULL) GROUP BY cluster),
+s AS (SELECT cluster, dim, w, v, least(13, greatest(0, floor(v / 0.5::DOUBLE * 13 + 0.5::DOUBLE)))::INT AS bin FROM v)
+SELECT cluster, place, any_value(posts)::BIGINT AS posts, dim::INT AS dim, round(sum(v * w) / sum(w), 6) AS centre, array_to_string([coalesce(m, 0) FOR m IN [""" + ", ".join(f"sum(w) FILTER (bin = {b})" for b in range(14)) + """]], ',') AS spread FROM s JOIN t USING (cluster) GROUP BY cluster, place, dim""")
+def cluster_model(spark, sf_dir):
+    jobs = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("job"), F.col("label").alias("cluster"), (F.col("vec_id") % 7 + 1).alias("posts"), F.col("embedding").alias("vector"))
+    return space.cluster_model(jobs, 0.5).select("cluster", "place", "posts", "dim", F.round("centre", 6).alias("centre"), F.array_join(F.col("spread").cast("array<string>"), ",").alias("spread"))
+
+
+@query("scoped_stacks", f"""WITH j AS (SELECT r_name AS scope, {_JOB} AS job, p_type AS stack, count(*) AS posts FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY ALL)
+SELECT scope, stack, count(*) AS jobs, sum(posts)::BIGINT AS posts, row_number() OVER (PARTITION BY scope ORDER BY count(*) DESC, sum(posts) DESC, stack)::INT AS rank FROM j GROUP BY scope, stack""")
+def scoped_stacks(spark, sf_dir):
+    sold = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = sold.join(load(spark, sf_dir, "lineitem").where("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey")).join(load(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return space.scoped_stacks(lines.selectExpr("r_name AS scope", f"{_JOB} AS job", "p_type AS stack", "1 AS posts"), ["scope"])

@@ -31,3 +31,17 @@ def test_cells(spark):
     found = sorted((r["column"], r.band, r["rank"], r.job, r.posts) for r in space.post_cells(posts, jobs).collect())
     assert found == [("BA", "1", 1, "a", 10.0), ("BA", "3", 1, "a", 30.0), ("BA", "3", 2, "b", 30.0), ("PhD", "1", 1, "a", 9.4), ("PhD", "3", 1, "a", 28.2)]
     assert len(space.post_cells(posts, jobs, per_cell=1).collect()) == 4 and math.isclose(sum(x[4] for x in found), 107.6)
+
+
+def test_cluster_model(spark):
+    rows = [("a", "x", 3, [0.0, 1.0]), ("b", "x", 1, [1.0, None]), ("c", "y", 4, [2.0, -1.0]), ("d", None, 9, [1.0, 1.0]), ("e", "x", 0, [5.0, 5.0]), ("f", "x", 2, None)]
+    jobs = spark.createDataFrame(rows, "job string, cluster string, posts long, vector array<double>")
+    found = {(r.cluster, r.dim): (r.place, r.posts, r.centre, r.spread) for r in space.cluster_model(jobs, 1.0, 3).collect()}
+    assert found == {("x", 0): (1, 4, 0.25, [3, 0, 1]), ("x", 1): (1, 4, 1.0, [0, 0, 3]), ("y", 0): (2, 4, 2.0, [0, 0, 4]), ("y", 1): (2, 4, -1.0, [4, 0, 0])}
+    assert space.cluster_model(jobs.limit(0), 1.0).collect() == []
+
+
+def test_scoped_stacks(spark):
+    rows = [("s", "a", "web", 5), ("s", "a", "web", 1), ("s", "b", "web", None), ("s", "c", "db", 9), ("s", "d", "db", 9), ("s", "e", None, 3), ("t", "a", "ai", 1)]
+    found = sorted(tuple(r) for r in space.scoped_stacks(spark.createDataFrame(rows, "scope string, job string, stack string, posts long"), ["scope"]).collect())
+    assert found == [("s", "db", 2, 18, 1), ("s", "web", 2, 6, 2), ("t", "ai", 1, 1, 1)]
