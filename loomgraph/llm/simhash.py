@@ -241,6 +241,11 @@ def most_shared(one: bytes, other: bytes) -> int:
     return int(np.minimum(a, b.reshape(-1, len(a)).sum(axis=0)).sum())
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes that pairs (u, v) name, each once: each side's are made distinct where they are."""
+    return pairs.select(F.col("u").alias("node")).distinct().unionByName(pairs.select(F.col("v").alias("node")).distinct()).distinct()
+
+
 def possible_links(candidates: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The candidates (u, v) that may be this similar by their sketches, a byte or less for each shingle: none that is goes.
 
@@ -256,7 +261,7 @@ def possible_links(candidates: DataFrame, texts: DataFrame, shingle: int, simila
     def bound(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array((most_shared(x.as_py(), y.as_py()) for x, y in zip(a, b)), pa.int64())
 
-    named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = _ends(candidates)
     drawn = texts.join(named, "node", "left_semi").select("node", "text").mapInArrow(sketches, "node long, size int, bits binary")
     drawn = settle(drawn.dropDuplicates(["node"]), "sketches")
     both = candidates.join(drawn.toDF("u", "m", "a"), "u").join(drawn.toDF("v", "n", "b"), "v")
@@ -452,7 +457,7 @@ def verified_links(docs: DataFrame, distinct: DataFrame, links: DataFrame, shing
     pairs = settle(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
 
     def named_texts(candidates: DataFrame) -> DataFrame:
-        named = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
+        named = _ends(candidates).join(distinct, "node").select("node", F.col("first_id").alias("doc_id"))
         return docs.join(named, ["doc_id", "node"]).dropDuplicates(["node"])
 
     def verified(candidates: DataFrame) -> DataFrame:
