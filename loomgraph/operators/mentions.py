@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.automaton import Dictionary, marked_again
 from loomgraph.sources.interim import settle
@@ -156,3 +156,36 @@ def without_context(name: Column, before: Sequence[str] = CONTEXT_BEFORE, after:
             value = rest[: len(rest) - end]
 
     return F.arrow_udf(lambda names: pa.array([None if n.as_py() is None else strip(n.as_py()) for n in names], pa.string()), "string")(name)
+
+
+# How a sentence states its signals, and how many units of a paper a mention keeps.
+SIGNAL = r"(技能|任务|技术栈)\s*[:：]\s*([^；;]+)"
+STACK = "技术栈"
+MOST_UNITS = 5
+
+
+def signals(rows: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
+    """(doc, kind, name, place) of the names that sentences state as `技能：a、b；任务：c`, in their order, as often as they are stated.
+
+    names (kind, name): only what is there counts; stacks are codes and are left out. Null texts and names give no rows.
+    """
+    fields = F.arrays_zip(F.regexp_extract_all(text, F.lit(SIGNAL), F.lit(1)).alias("kind"), F.regexp_extract_all(text, F.lit(SIGNAL), F.lit(2)).alias("list"))
+    told = rows.select(F.col(doc).alias("doc"), F.posexplode(fields).alias("_field", "x")).where(F.col("x.kind") != STACK)
+    split = told.select("doc", "_field", F.col("x.kind").alias("kind"), F.posexplode(F.split("x.list", "[、,，]")).alias("_at", "raw")).withColumn("name", F.trim("raw"))
+    known = names.select("kind", "name").distinct()
+    return split.join(known, ["kind", "name"]).select("doc", "kind", "name", (F.col("_field") * 1000 + F.col("_at")).alias("place"))
+
+
+def mention_evidence(units: DataFrame, names: DataFrame, most: int = MOST_UNITS, rule: str = "word") -> DataFrame:
+    """(doc, code, units, confidence): the first `most` units of each document that mention each code, as evidence of medium confidence.
+
+    units (doc, place, unit), names (code, name). A unit counts once for a code however many of its names it holds; equal units
+    of a document count once, at the first place. Units are cut to the first ones before they are gathered.
+    """
+    placed = units.where("unit IS NOT NULL").groupBy("doc", "unit").agg(F.min("place").alias("place"))
+    hit = with_hits(placed, "unit", names, rule=rule).select("doc", "place", "unit", F.explode(F.array_distinct(F.transform("hits", lambda h: h["name"]))).alias("name"))
+    coded = hit.join(names.select("code", "name").where("code IS NOT NULL").distinct(), "name").groupBy("doc", "code", "place", "unit").agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("doc", "code").orderBy("place", "unit"))
+    kept = coded.withColumn("nth", nth).where(F.col("nth") <= most)
+    listed = kept.groupBy("doc", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "unit"))), lambda x: x["unit"]).alias("units"))
+    return listed.withColumn("confidence", F.lit("medium"))

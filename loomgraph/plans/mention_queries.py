@@ -72,3 +72,27 @@ def first_points(spark, sf_dir):
 def trimmed_names(spark, sf_dir):
     name = F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"))
     return load(spark, sf_dir, "part").select("p_partkey", M.without_context(name, ("small ", "large ", "red ", "hot "), (" standard", " promo", " economy")).alias("name"))
+
+
+_SIGNALS = "concat('技能：', p_name, '、', p_type, ', ', p_name, ' ；任务: ', p_brand, '，', p_name, ';技术栈：', p_type)"
+
+
+@query("stated_signals", f"""WITH s AS (SELECT p_partkey, p_name, p_type, p_brand FROM part), x AS (SELECT p_partkey, '技能' AS kind, p_name AS name, 0 AS place FROM s UNION ALL SELECT p_partkey, '技能', p_type, 1 FROM s UNION ALL SELECT p_partkey, '技能', p_name, 2 FROM s UNION ALL SELECT p_partkey, '任务', p_brand, 1000 FROM s UNION ALL SELECT p_partkey, '任务', p_name, 1001 FROM s)
+SELECT * FROM x WHERE kind = '技能' AND name IN (SELECT p_name FROM part WHERE p_size > 25) OR kind = '任务' AND name IN (SELECT p_brand FROM part WHERE p_size > 48)""")
+def stated_signals(spark, sf_dir):
+    parts = load(spark, sf_dir, "part")
+    names = parts.where("p_size > 25").selectExpr("'技能' AS kind", "p_name AS name").unionByName(parts.where("p_size > 48").selectExpr("'任务' AS kind", "p_brand AS name"))
+    return M.signals(parts.selectExpr("p_partkey", f"{_SIGNALS} AS t"), "p_partkey", "t", names).withColumnRenamed("doc", "p_partkey")
+
+
+@query("mention_evidence", """WITH u AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS place, unnest(string_split(text, chr(10))) AS unit FROM documents),
+p AS (SELECT doc_id, unit, min(place) AS place FROM u GROUP BY ALL), n AS (SELECT unnest(['der', 'und', 'les', 'par', 'token', 'que']) AS name, unnest(['G', 'G', 'F', 'F', 'T', 'F']) AS code),
+h AS (SELECT DISTINCT doc_id, place, unit, code FROM p JOIN n ON regexp_matches(lower(unit), '(^|[^a-z0-9])' || name || '([^a-z0-9]|$)')),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY place, unit) AS nth FROM h)
+SELECT doc_id, code, count(*) AS n, md5(string_agg(unit, chr(10) ORDER BY nth)) AS digest, 'medium' AS confidence FROM k WHERE nth <= 5 GROUP BY doc_id, code""")
+def mention_evidence(spark, sf_dir):
+    """The first five lines of each document that mention each code."""
+    units = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "unit"))
+    names = spark.createDataFrame([("der", "G"), ("und", "G"), ("les", "F"), ("par", "F"), ("token", "T"), ("que", "F")], "name string, code string")
+    found = M.mention_evidence(units, names)
+    return found.select(F.col("doc").alias("doc_id"), "code", F.size("units").cast("long").alias("n"), F.md5(F.array_join("units", "\n").cast("binary")).alias("digest"), "confidence")

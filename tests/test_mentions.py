@@ -98,3 +98,19 @@ def test_context_words_go_until_none_is_left(spark):
     names = ["熟悉掌握提示词工程能力", "有经验的", "Python", None, "", "工作经验"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.t for r in df.select(M.without_context(F.col("n")).alias("t")).collect()] == ["提示词工程", "", "Python", None, "", ""]
+
+
+def test_signals(spark):
+    rows = [(1, "技能：Python、 Go ,Python；任务: 部署，Go;技术栈：Python"), (1, "技能：Go"), (2, None), (3, "技能：;任务"), (None, "任务：部署")]
+    names = spark.createDataFrame([("技能", "Python"), ("技能", "Go"), ("技能", "Go"), ("任务", "部署"), ("任务", None), (None, "Go")], "kind string, name string")
+    found = sorted((tuple(r) for r in M.signals(spark.createDataFrame(rows, "id long, t string"), "id", "t", names).collect()), key=str)
+    assert found == sorted([(1, "技能", "Python", 0), (1, "技能", "Go", 1), (1, "技能", "Python", 2), (1, "任务", "部署", 1000), (1, "技能", "Go", 0), (None, "任务", "部署", 0)], key=str)
+
+
+def test_mention_evidence_keeps_the_first_units(spark):
+    units = [("d", 3, "go and java"), ("d", 1, "java only"), ("d", 0, "java only"), ("d", 2, "GO go"), ("d", 4, None), ("e", 0, "nothing"), ("e", 1, "gopher")]
+    names = spark.createDataFrame([("L", "go"), ("L", "java"), ("J", "java"), (None, "go"), ("X", None)], "code string, name string")
+    frame = spark.createDataFrame(units, "doc string, place int, unit string")
+    found = {(r.doc, r.code): (r.units, r.confidence) for r in M.mention_evidence(frame, names, most=2).collect()}
+    assert found == {("d", "L"): (["java only", "GO go"], "medium"), ("d", "J"): (["java only", "go and java"], "medium")}
+    assert M.mention_evidence(frame.limit(0), names).collect() == []
