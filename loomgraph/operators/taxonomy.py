@@ -71,3 +71,38 @@ def inferred_profile(signal: DataFrame, neighbours: DataFrame, profiles: DataFra
     mixed = own.unionByName(lent).groupBy("entity", item).agg(F.sum("w").alias("w"))
     ranked = mixed.withColumn("_r", F.row_number().over(of.orderBy(F.desc(F.round("w", 9)), item))).withColumn("_top", F.max("w").over(of))
     return ranked.where((F.col("w") >= keep * F.col("_top")) & (F.col("_r") <= top)).select("entity", item, F.round(F.col("w") / F.sum("w").over(of), 4).alias("weight"))
+
+
+def finalised(jobs: DataFrame, definitions: DataFrame, old: DataFrame, parts: DataFrame, samples: DataFrame) -> DataFrame:
+    """(code, category, name, name_en, definition, source_names, parts, hits, n_samples, complete), one row for each job of a new taxonomy.
+
+    jobs (code, name, sources array), definitions (code, definition, name_en), old (code, name, name_en): the taxonomy the sources are of,
+    parts (source, part, n): function parts of the old codes and how many postings have them, samples (code). A job's parts are those of its sources, each
+    once; hits sums their postings; sources that the old taxonomy lacks have no name; the English name is the definition's, else the first source's. A job
+    without a definition is there and not `complete`. Of several definitions of a code the smallest counts; a null code is no job.
+    """
+    own = jobs.where("code IS NOT NULL").groupBy("code").agg(F.min(F.struct("name", "sources")).alias("j")).select("code", "j.*")
+    told = definitions.groupBy("code").agg(F.min(F.when(F.coalesce("definition", F.lit("")) != "", F.struct("definition", "name_en"))).alias("d"))
+    listed = own.select("code", F.posexplode("sources").alias("at", "source")).groupBy("code", "source").agg(F.min("at").alias("at"))
+    names = old.groupBy(F.col("code").alias("source")).agg(F.min(F.struct("name", "name_en")).alias("o"))
+    named = listed.join(names, "source").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("at", "o.name", "o.name_en"))).alias("n"))
+    counted = parts.where("part IS NOT NULL").groupBy("source", "part").agg(F.max("n").alias("n"))
+    held = listed.join(counted, "source").groupBy("code", "part").agg(F.max("n").alias("n")).groupBy("code").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("n").alias("hits"))
+    sampled = samples.groupBy("code").agg(F.count("*").alias("n_samples"))
+    out = own
+    for side in (told, named, held, sampled):
+        out = out.join(side, "code", "left")
+    none = F.array().cast("array<string>")
+    first = F.when(F.col("n")[0]["at"] == 0, F.col("n")[0]["name_en"])
+    return out.select(
+        "code",
+        F.substring_index("code", "-", 1).alias("category"),
+        "name",
+        F.coalesce(F.nullif(F.col("d.name_en"), F.lit("")), first, F.lit("")).alias("name_en"),
+        F.col("d.definition").alias("definition"),
+        F.coalesce(F.transform("n", lambda x: x["name"]), none).alias("source_names"),
+        F.coalesce("parts", none).alias("parts"),
+        F.coalesce("hits", F.lit(0)).alias("hits"),
+        F.coalesce("n_samples", F.lit(0)).alias("n_samples"),
+        F.col("d").isNotNull().alias("complete"),
+    )

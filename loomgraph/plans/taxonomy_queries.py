@@ -109,3 +109,21 @@ def facet_aggregation(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     counts = rows.groupBy(F.col("c_mktsegment").alias("job"), F.col("n_name").alias("city")).agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("companies"))
     return counts.withColumn("r", F.row_number().over(Window.partitionBy("job").orderBy(F.desc("n"), "city"))).where("r <= 3").drop("r")
+
+
+@query("taxonomy_final", """WITH jobs AS (SELECT 'J-' || n_nationkey AS code, n_name AS name, [n_regionkey, (n_nationkey * 7) % 5, 9] AS sources FROM nation), l AS (SELECT code, unnest(sources) AS source, unnest(range(3)) AS spot FROM jobs), f AS (SELECT code, source, min(spot) AS spot FROM l GROUP BY ALL),
+n AS (SELECT f.code, string_agg(r_name, '|' ORDER BY spot) AS names, max(CASE WHEN spot = 0 THEN lower(r_name) END) AS en FROM f JOIN region ON source = r_regionkey GROUP BY f.code),
+p AS (SELECT n_regionkey AS source, c_mktsegment AS part, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > n_regionkey * 2000 + 1500 GROUP BY ALL), h AS (SELECT code, string_agg(part, '|' ORDER BY part) AS parts, sum(n)::BIGINT AS hits FROM (SELECT code, part, max(n) AS n FROM f JOIN p USING (source) GROUP BY ALL) GROUP BY code),
+s AS (SELECT 'J-' || s_nationkey AS code, count(*) AS n FROM supplier GROUP BY 1)
+SELECT code, 'J' AS category, name, CASE WHEN substr(code, 3)::INT % 3 = 0 THEN 'own ' || code ELSE en END AS name_en, coalesce(names, '') AS source_names, coalesce(parts, '') AS parts, coalesce(hits, 0) AS hits, coalesce(s.n, 0) AS n_samples, substr(code, 3)::INT % 4 > 0 AS complete
+FROM (SELECT code, name FROM jobs) LEFT JOIN n USING (code) LEFT JOIN h USING (code) LEFT JOIN s USING (code) WHERE substr(code, 3)::INT % 12 > 0""")
+def taxonomy_final(spark, sf_dir):
+    """Nations as jobs made of regions: names, parts with their customers, samples; a quarter has no definition yet."""
+    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    jobs = nation.where("n_nationkey % 12 > 0").selectExpr("concat('J-', n_nationkey) AS code", "n_name AS name", "array(n_regionkey, n_nationkey * 7 % 5, 9) AS sources")
+    told = nation.selectExpr("concat('J-', n_nationkey) AS code", "CASE WHEN n_nationkey % 4 > 0 THEN 'what it is' END AS definition", "CASE WHEN n_nationkey % 3 = 0 THEN concat('own J-', n_nationkey) ELSE '' END AS name_en")
+    old = region.selectExpr("r_regionkey AS code", "r_name AS name", "lower(r_name) AS name_en")
+    sold = load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("c_acctbal > n_regionkey * 2000 + 1500")
+    parts = sold.groupBy(F.col("n_regionkey").alias("source"), F.col("c_mktsegment").alias("part")).agg(F.count("*").alias("n"))
+    found = taxonomy.finalised(jobs, told, old, parts, load(spark, sf_dir, "supplier").selectExpr("concat('J-', s_nationkey) AS code"))
+    return found.select("code", "category", "name", "name_en", F.array_join("source_names", "|").alias("source_names"), F.array_join("parts", "|").alias("parts"), "hits", "n_samples", "complete")
