@@ -1,31 +1,61 @@
-"""Near-duplicate postings: 64-bit SimHash of character 3-grams, block candidates, star clusters around the earliest."""
+"""Near-duplicate postings: 64-bit SimHash of character 3-grams, candidates by equal parts of gram sets, star clusters around the earliest."""
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
-import itertools
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loomgraph.functions.text import char_ngrams
 from loomgraph.plans import params as P
 from loomgraph.sources.interim import settle
 
 
+#: Texts whose grams are hashed together: a gram that several of them hold is hashed once.
+TOGETHER = 256
+
+
+def _gram_codes(text: str) -> np.ndarray:
+    """The text's 3-grams, each packed into 64 bits as it is (21 bits a character), in order and with repeats."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+
+
+def _signs(grams: list[str]) -> np.ndarray:
+    """+1 or -1 for each bit of each gram's hash (BLAKE2b, 8 bytes)."""
+    hashes = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), ">u8").astype("<u8")
+    return 2.0 * np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") - 1.0
+
+
+def _fingerprint(votes: np.ndarray) -> int:
+    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+
+
 def simhash64(text: str, size: int = P.NGRAM) -> int:
     """Bit is 1 where the votes of all n-grams (BLAKE2b, 8 bytes, repeats included) are positive; signed."""
     grams = Counter(text[i : i + size] for i in range(max(1, len(text) - size + 1)))
-    hashes = np.frombuffer(b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams), ">u8").astype("<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64)
-    votes = ((2 * bits - 1) * np.fromiter(grams.values(), np.int64)[:, None]).sum(axis=0)
-    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+    return _fingerprint(np.fromiter(grams.values(), np.float64) @ _signs(list(grams)))
+
+
+def _marked(texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """Fingerprint and distinct packed grams of each text of 3 characters or more."""
+    for at in range(0, len(texts), TOGETHER):
+        counted = [np.unique(_gram_codes(t), return_counts=True) for t in texts[at : at + TOGETHER]]
+        every = np.unique(np.concatenate([g for g, _ in counted]))
+        signs = _signs(["".join(chr(int(g) >> shift & 0x1FFFFF) for shift in (42, 21, 0)) for g in every])
+        for grams, counts in counted:
+            yield _fingerprint(counts.astype(np.float64) @ signs[np.searchsorted(every, grams)]), grams
 
 
 def _simhashes(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t.as_py() is None else simhash64(t.as_py()) for t in texts], pa.int64())
+    own = texts.to_pylist()
+    long = iter(_marked([t for t in own if t is not None and len(t) >= 3]))
+    return pa.array([None if t is None else next(long)[0] if len(t) >= 3 else simhash64(t) for t in own], pa.int64())
 
 
 def solid(text: Column) -> Column:
@@ -41,32 +71,80 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def candidate_keys(fp: Column) -> Column:
-    """With at most 6 of 64 bits apart at least two of eight bytes are equal: a key for each pair of bytes."""
-    return F.array(*[F.lit((i * 8 + j) << 16).bitwiseOR(F.shiftleft(block(fp, i), 8)).bitwiseOR(block(fp, j)) for i, j in itertools.combinations(range(8), 2)])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of whole numbers (the finalizer of SplitMix64)."""
+    x = x.astype(np.uint64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@functools.cache
+def _size_bounds(least: float, most: int = 1 << 40) -> tuple[int, ...]:
+    """Where classes of sizes begin: sets with a Jaccard similarity of `least` or more are in one class or in two neighbouring ones."""
+    bounds = [1, 2]
+    while bounds[-1] < most:
+        bounds.append(max(bounds[-1] + 1, int((bounds[-1] - 1) / least + 1e-6) + 1))
+    return tuple(bounds)
+
+
+def similarity_keys(items: np.ndarray, least: float) -> np.ndarray:
+    """Keys of a set of whole numbers, of which any two sets with a Jaccard similarity of `least` or more share one.
+
+    Two such sets of at most m items differ in 2 m (1 - least) / (1 + least) items at most. Their items are dealt to one part more than
+    that by their hash, so in one part at least they don't differ; a key is the hash of what a part holds. m is the end of the
+    larger set's class of sizes: each set is filed for its own class and for the next.
+    """
+    bounds, hashes = _size_bounds(least), _mixed(items)
+    dealt, own = _mixed(hashes), bisect.bisect_right(bounds, len(items)) - 1
+    keys = []
+    for size in (own, own + 1):
+        parts = int(2 * (bounds[size + 1] - 1) * (1 - least) / (1 + least) + 1e-6) + 1
+        held = np.zeros(parts, np.uint64)
+        np.add.at(held, (dealt % np.uint64(parts)).astype(np.int64), hashes)
+        keys.append(_mixed(held + _mixed(np.arange(parts, dtype=np.uint64) + np.uint64(size << 32))))
+    return np.concatenate(keys).view(np.int64)
+
+
+def _marks(least: float):
+    def marks(texts: pa.Array) -> pa.Array:
+        found = [(fp, len(grams), similarity_keys(grams, least)) for fp, grams in _marked(texts.to_pylist())]
+        columns = zip(*found) if found else ([], [], [])
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["fp", "n", "keys"])
+
+    return F.arrow_udf(marks, "fp long, n int, keys array<long>")
+
+
+def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Jaccard similarity of the 3-gram sets of two texts."""
+    out = []
+    for x, y in zip(a, b):
+        x, y = np.unique(_gram_codes(x.as_py())), np.unique(_gram_codes(y.as_py()))
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(shared / (len(x) + len(y) - shared))
+    return pa.array(out, pa.float64())
 
 
 def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMING_MAX, least: float = P.JACCARD_MIN, min_chars: int = P.DEDUP_MIN_CHARS) -> DataFrame:
     """(later, earlier) of distinct texts within `distance` bits and with 3-gram Jaccard similarity of `least` or more.
 
     White space doesn't count, but for `min_chars`. Copies of a text meet by its 128-bit hash and are one text here, so a text that very many documents
-    hold is a few small rows; candidates share two bytes of the fingerprint at the same places, which loses no pair. The texts' gram sets are joined to
-    the candidates that pass the bit test only.
+    hold is a few small rows. Candidates share a key of their gram sets, see `similarity_keys`, which loses no pair and which texts that are
+    only of one language don't share; fingerprints of one language are alike, so they are tested, but nothing is looked up by them.
+    The texts are joined to the candidates that pass the bit test only.
     """
     kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM).withColumn("key", F.md5(F.encode(F.col("t"), "UTF-8")))
     earliest = kept.groupBy("key").agg(F.min("doc").alias("doc"))
     firsts = kept.join(earliest, ["key", "doc"], "left_semi").dropDuplicates(["key", "doc"])
-    grams = F.array_distinct(char_ngrams(F.col("t"), P.NGRAM))
-    marked = settle(firsts.select("doc", grams.alias("g"), F.arrow_udf(_simhashes, T.LongType())(F.col("t")).alias("fp")).withColumn("n", F.size("g")))
-    keyed = marked.select("doc", "fp", "n", F.explode(candidate_keys(F.col("fp"))).alias("key"))
+    marked = settle(firsts.select("doc", "t", _marks(least)("t").alias("m")).select("doc", "t", "m.*"))
+    keyed = marked.select("doc", "fp", "n", F.explode("keys").alias("key"))
     a, b = keyed.toDF("later", "fa", "na", "key"), keyed.toDF("earlier", "fb", "nb", "key")
     # sets of too different sizes can't be alike enough
     sizes = F.least("na", "nb") >= least * F.greatest("na", "nb")
     near = a.join(b, "key").where((F.col("earlier") < F.col("later")) & sizes & (hamming(F.col("fa"), F.col("fb")) <= distance)).select("later", "earlier").distinct()
-    sets = marked.select("doc", "g")
-    both = near.join(sets.toDF("later", "ga"), "later").join(sets.toDF("earlier", "gb"), "earlier")
-    shared = F.size(F.array_intersect("ga", "gb"))
-    return both.where(shared / (F.size("ga") + F.size("gb") - shared) >= least).select("later", "earlier")
+    texts = marked.select("doc", "t")
+    both = near.join(texts.toDF("later", "ta"), "later").join(texts.toDF("earlier", "tb"), "earlier")
+    return both.where(F.arrow_udf(_similarities, T.DoubleType())("ta", "tb") >= least).select("later", "earlier")
 
 
 #: Links of undecided documents that are settle in one ordered pass.

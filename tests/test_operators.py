@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,37 @@ def test_vectors_that_cannot_be_compared_take_no_part(spark):
     found = sorted(tuple(r) for r in vectors.top_k_similar(frame, frame.where("id IN (1, 3, 4, 5, 6, 7)"), "id", "v", 2).collect())
     assert found == [(1, 2, 0.995037, 1), (1, 7, 0.0, 2), (7, 1, 0.0, 1), (7, 2, 0.0, 2)]
     assert vectors.top_k_similar(frame.limit(0), frame, "id", "v", 2).collect() == []
+
+
+def test_similar_sets_share_a_key_and_others_do_not():
+    """Any two sets of 0.95 or more share a key, whatever their sizes; sets that only have most of their items in common don't."""
+    rnd = np.random.default_rng(7)
+    for n in [1, 2, 3, 19, 20, 21, 39, 40, 41, 60, 100, 333, 1000]:
+        for _ in range(40):
+            a = np.unique(rnd.integers(0, 1 << 62, n))
+            gone = rnd.integers(0, len(a) // 20 + 1)
+            b = np.unique(np.r_[a[gone:], rnd.integers(0, 1 << 62, rnd.integers(0, len(a) // 20 + 1))])
+            if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.95:
+                assert np.intersect1d(dedup.similarity_keys(a, 0.95), dedup.similarity_keys(b, 0.95)).size
+    keys = [dedup.similarity_keys(np.unique(rnd.integers(0, 2000, 2000)), 0.95) for _ in range(200)]
+    assert len(np.unique(np.concatenate(keys))) > 0.99 * sum(map(len, keys))
+
+
+def test_near_pairs_are_those_of_all_pairs(spark):
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rnd.choices("abcdeé漢", k=rnd.randint(3, 9))) for _ in range(rnd.choice((20, 60, 200)))]
+        for edits in (0, 1, 2, 4, 9):
+            own = list(words)
+            for k in rnd.sample(range(len(own)), edits):
+                own[k] = own[k][::-1]
+            texts.append(" ".join(own))
+    texts = list(dict.fromkeys(t for t in texts if len(t) >= 80))
+    pairs = {tuple(p) for p in dedup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "d long, t string"), "d", F.col("t")).collect()}
+    solid = [t.replace(" ", "") for t in texts]
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in solid]
+    bits = [dedup.simhash64(t) for t in solid]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if solid[i] != solid[j] and len(sets[i] & sets[j]) >= 0.95 * len(sets[i] | sets[j]) and ((bits[i] ^ bits[j]) & (2**64 - 1)).bit_count() <= 6}
+    assert pairs == near and len(near) > 5
+    assert dedup._simhashes(pa.array([*solid, None, "ab", ""])).to_pylist() == [*bits, None, dedup.simhash64("ab"), dedup.simhash64("")]
