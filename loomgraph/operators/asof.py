@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.operators import overlay
+from loomgraph.sources.interim import settle
 
 #: Window ends are distinct days; so many are a century and more.
 MOST_ENDS = 40_000
+#: Rows of evidence of one task, which become as many times more as there are window ends.
+PART = 50_000
+
+
+def parts_of(evidence: DataFrame) -> int:
+    """Parts to which evidence is dealt by entity: as many as its rows ask for, so that no task's table of entities and ends grows with the input."""
+    return max(1, -(-evidence.count() // PART))
 
 
 def window_ends(windows: DataFrame, end: str = "end_date") -> list:
@@ -18,22 +26,25 @@ def window_ends(windows: DataFrame, end: str = "end_date") -> list:
     return sorted(days)
 
 
-def strengths_at(evidence: DataFrame, windows: DataFrame, by: list[str], digits: int | None = 4, end: str = "end_date") -> DataFrame:
+def strengths_at(evidence: DataFrame, windows: DataFrame, by: list[str], digits: int | None = 4, end: str = "end_date", parts: int | None = None) -> DataFrame:
     """(by, end_date, n, strength, max_contrib, first_seen, last_seen) of each entity at each window end that knows of it.
 
     `evidence` has date, source, tier and confidence beside `by`, a row each; a row counts at the ends from its date on, an undated
     one at all, at the weight of an unknown age. Strength is 1 - product(1 - contribution), each contribution decayed to that end.
 
-    Rows alike in entity, day and kind are counted first: a hot entity is as many rows as it has days and kinds. Each goes to the
-    ends that it counts at, found by its place among them, and their logarithms are summed where they are made, so the shuffle
-    carries a row for each entity, end and task. Nothing is joined or recomputed window by window. Repeated rows count again; a null
-    entity is an entity; no evidence or no windows give no rows.
+    Rows alike in entity, day and kind are counted first: a hot entity is as many rows as it has days and kinds. These are dealt by the
+    entity, the first of `by`, and go to the ends that they count at where they are: the shuffle carries a row for each entity, day and
+    kind, never one for each end, and whatever groups the result by that entity as well needs none. Nothing is joined or recomputed window by window.
+    Repeated rows count again; a null entity is an entity; no evidence or no windows give no rows.
     """
     days = window_ends(windows, end)
     kinds = evidence.groupBy(*by, "date", "source", "tier", "confidence").agg(F.count("*").alias("n"))
+    if parts is None:
+        kinds = settle(kinds, "kinds")
+        parts = parts_of(kinds)
+    kinds = kinds.repartition(parts, by[0])
     ends = F.array(*[F.lit(d) for d in days]) if days else F.array().cast("array<date>")
-    known = F.filter(ends, lambda e: F.col("date").isNull() | (e >= F.col("date")))
-    rows = kinds.withColumn("end_date", F.explode(known))
+    rows = kinds.withColumn("end_date", F.explode(ends)).where("date IS NULL OR end_date >= date")
     contrib = overlay.contribution(F.col("source"), F.col("tier"), F.col("confidence"), F.col("date"), F.col("end_date"))
     summed = rows.withColumn("c", contrib).groupBy(*by, "end_date").agg(
         F.sum("n").alias("n"),
@@ -47,7 +58,7 @@ def strengths_at(evidence: DataFrame, windows: DataFrame, by: list[str], digits:
     return summed.select(*by, "end_date", "n", rounded(strength).alias("strength"), rounded(F.col("most")).alias("max_contrib"), "first_seen", "last_seen")
 
 
-def signal_series(strengths: DataFrame, demand: DataFrame, entity: str = "entity", layer: str = "layer") -> DataFrame:
+def signal_series(strengths: DataFrame, demand: DataFrame, entity: str = "entity", layer: str = "layer", parts: int | None = None) -> DataFrame:
     """(entity, layer, end_date, paper, news, jd, gap) of every entity at every end at which any of the three is known.
 
     `strengths` (entity, layer, end_date, source, strength): of several rows of one source the strongest counts. `demand` (entity,
@@ -60,8 +71,11 @@ def signal_series(strengths: DataFrame, demand: DataFrame, entity: str = "entity
     peaks = demand.groupBy(layer).agg(F.max("value").alias("peak"))
     value = demand.groupBy(*keys).agg(F.max("value").alias("value"))
     share = F.when(F.col("peak") > 0, F.col("value") / F.col("peak")).otherwise(F.col("value"))
-    posted = value.join(peaks, layer).select(*keys, share.alias("jd"))
-    joined = ahead.join(posted, keys, "full").select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("paper", "news", "jd")])
+    # layers are few; dealt as the strengths are, rows of one entity are together: no shuffle of a row for each entity and end
+    posted = value.join(F.broadcast(peaks), layer).select(*keys, F.lit(None).cast("double").alias("paper"), F.lit(None).cast("double").alias("news"), share.alias("jd"))
+    posted = posted.repartition(parts, entity) if parts else posted
+    both = ahead.select(*keys, "paper", "news", F.lit(None).cast("double").alias("jd")).unionByName(posted)
+    joined = both.groupBy(*keys).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("paper", "news", "jd")])
     return joined.withColumn("gap", F.greatest(F.lit(0.0), 0.7 * F.col("paper") + 0.3 * F.col("news") - F.col("jd")))
 
 

@@ -9,6 +9,7 @@ from loomgraph.operators import asof, intervals, policy
 from loomgraph.operators.mentions import mentions
 from loomgraph.plans.registry import registry
 from loomgraph.plans.resumes import RESUME_SQL, experiences, resumes
+from loomgraph.sources.interim import settle
 from loomgraph.sources.tables import load
 
 QUERIES, ORACLES, query = registry()
@@ -54,11 +55,12 @@ series AS (SELECT entity, layer, end_date, coalesce(max(strength) FILTER (source
 
 
 def _series(spark, sf_dir):
-    rows = evidence(spark, sf_dir)
-    counted = rows.where("source = 'jd' AND date IS NOT NULL").groupBy("entity", "layer", F.last_day("date").alias("end_date")).agg(F.count("*").alias("n"))
+    rows = settle(evidence(spark, sf_dir), "evidence")
+    parts = asof.parts_of(rows)
+    counted = settle(rows.where("source = 'jd' AND date IS NOT NULL").groupBy("entity", "layer", F.last_day("date").alias("end_date")).agg(F.count("*").alias("n")), "counted")
     totals = counted.groupBy("layer", "end_date").agg(F.sum("n").alias("total"))
-    demand = counted.join(totals, ["layer", "end_date"]).select("entity", "layer", "end_date", (F.col("n") / F.col("total")).alias("value"))
-    return asof.signal_series(asof.strengths_at(rows, windows(spark, sf_dir), ["entity", "layer", "source"], digits=None), demand)
+    demand = counted.join(F.broadcast(totals), ["layer", "end_date"]).select("entity", "layer", "end_date", (F.col("n") / F.col("total")).alias("value"))
+    return asof.signal_series(asof.strengths_at(rows, windows(spark, sf_dir), ["entity", "layer", "source"], digits=None, parts=parts), demand, parts=parts)
 
 
 @query("signal_series", f"{_SERIES} SELECT entity, layer, end_date, round(paper + 1e-9::DOUBLE, 5) AS paper, round(news + 1e-9::DOUBLE, 5) AS news, round(jd + 1e-9::DOUBLE, 5) AS jd, round(greatest(0, 0.7::DOUBLE * paper + 0.3::DOUBLE * news - jd) + 1e-9::DOUBLE, 5) AS gap FROM series")

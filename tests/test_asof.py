@@ -78,3 +78,16 @@ def test_latest_window(spark):
     assert asof.latest_window(rows(DAY(2024, 5, 1), None), rows(DAY(2025, 1, 1))).first().window == "2024-05"
     assert asof.latest_window(rows(), rows(DAY(2025, 1, 1))).first().window == "2025-01"
     assert asof.latest_window(rows(), rows(), today=today).first().window == "2026-02"
+
+
+def test_no_row_for_each_entity_and_end_is_shuffled(spark):
+    """Above the rows made for the ends nothing is dealt anew, neither for the strengths nor for the series."""
+    evidence = spark.createDataFrame([("a", "L", DAY(2024, 1, 3), "papers", "B", "high"), ("b", "L", None, "news", "", "low")] * 3, "entity string, layer string, date date, source string, tier string, confidence string")
+    windows = spark.createDataFrame([(DAY(2024, 1, 31),), (DAY(2024, 2, 29),)], "end_date date")
+    demand = spark.createDataFrame([("a", "L", DAY(2024, 1, 31), 0.1)], "entity string, layer string, end_date date, value double")
+    strengths = asof.strengths_at(evidence, windows, ["entity", "layer", "source"], parts=3)
+    series = asof.signal_series(strengths, demand, parts=3)
+    for rows in (asof.strengths_at(evidence, windows, ["entity"]), asof.freshness(series)):
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Generate explode")
+        assert len(plan) == 2 and "Exchange" not in plan[0]
+    assert {(r.entity, r.end_date.month): r.n for r in strengths.collect()} == {("a", 1): 3, ("a", 2): 3, ("b", 1): 3, ("b", 2): 3}
