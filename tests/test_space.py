@@ -1,6 +1,7 @@
 """Job vectors, rings and cells by hand."""
 
 import math
+import random
 
 from loomgraph.operators import space
 
@@ -45,3 +46,21 @@ def test_scoped_stacks(spark):
     rows = [("s", "a", "web", 5), ("s", "a", "web", 1), ("s", "b", "web", None), ("s", "c", "db", 9), ("s", "d", "db", 9), ("s", "e", None, 3), ("t", "a", "ai", 1)]
     found = sorted(tuple(r) for r in space.scoped_stacks(spark.createDataFrame(rows, "scope string, job string, stack string, posts long"), ["scope"]).collect())
     assert found == [("s", "db", 2, 18, 1), ("s", "web", 2, 6, 2), ("t", "ai", 1, 1, 1)]
+
+
+def test_neighbours_are_those_of_all_pairs_without_a_join(spark):
+    """Blocks of few jobs, copies that tie by name, jobs that share nothing: as brute force has it, and no pair is a row of a join."""
+    rnd = random.Random(2)
+    jobs = {f"j{i:02}": {f"t{rnd.randrange(9)}": rnd.choice((1.0, 2.0, -1.0)) for _ in range(rnd.randint(1, 5))} for i in range(23)}
+    jobs |= {"copy1": jobs["j03"], "copy2": jobs["j03"], "alone": {"x": 1.0}}
+    unit = {j: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()} for j, v in jobs.items()}
+    rows = spark.createDataFrame([(j, t, w) for j, v in unit.items() for t, w in v.items()], "job string, task string, value double")
+    wanted = set()
+    for j, v in unit.items():
+        near = sorted((round(max(0.0, 1 - sum(w * u[t] for t, w in v.items() if t in u)), 9), o, len(v.keys() & u.keys())) for o, u in unit.items() if o != j and v.keys() & u.keys())
+        wanted |= {(j, r, o, d, n) for r, (d, o, n) in enumerate(near[:3], 1)}
+    for blocks in ((4096, 16384), (7, 5)):
+        found = space.neighbours(rows, 3, 9, *blocks)
+        assert {(r.job, r["rank"], r.other, r.distance, r.shared) for r in found.collect()} == wanted
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert space.neighbours(rows.limit(0), 3).collect() == []
