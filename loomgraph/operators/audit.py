@@ -107,11 +107,13 @@ def link_experiences(claims: DataFrame, required: DataFrame, most: int = 6, leas
 
     claims (doc, experience, job, skill, owned), required (job, skill, required). Skills required at `least` or more count, a skill by the
     share of it that is owned; coverage is their sum over all that the job requires, 1 at most. hits lists the `most` required first.
-    An experience without such a skill has coverage 0 and no hits.
+    An experience without such a skill has coverage 0 and no hits. What jobs require is of the taxonomy and goes to every executor: a join by
+    job and skill would deal all claims by a few keys.
     """
     total = required.groupBy("job").agg(F.sum("required").alias("total"))
     owned = claims.groupBy("doc", "experience", "job", "skill").agg(F.max("owned").alias("owned"))
-    met = owned.join(required.where(F.col("required") >= least), ["job", "skill"]).join(total, "job")
+    asked = required.where(F.col("required") >= least).join(total, "job")
+    met = owned.join(F.broadcast(asked), ["job", "skill"])
     part = F.col("required") * F.least(F.lit(1.0), F.col("owned") / F.greatest(F.col("required"), F.lit(0.05)))
     hit = F.struct((-F.col("required")).alias("order"), "skill", F.round("required", 3).alias("required"), F.round("owned", 3).alias("owned"))
     found = met.groupBy("doc", "experience").agg(F.least(F.lit(1.0), F.sum(part) / F.max("total")).alias("coverage"), F.slice(F.array_sort(F.collect_list(hit)), 1, most).alias("hits"))
