@@ -8,6 +8,7 @@ from loomgraph.operators import matching, stats
 from loomgraph.operators.order_stats import values_at
 from loomgraph.plans.graph_queries import FACTS, facts
 from loomgraph.plans.registry import registry
+from loomgraph.sources.interim import dealt
 from loomgraph.sources.tables import load
 
 QUERIES, ORACLES, query = registry()
@@ -151,11 +152,13 @@ def _gaps(spark, sf_dir):
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").alias("quantity"), "l_returnflag", "l_linestatus")
     part = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("skill"))
     held = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    skills = held.groupBy("candidate", "skill").agg(F.max(F.expr(_RANK)).alias("observed"), F.bool_or(F.col("l_returnflag") != "R").alias("verified"), ((F.count("*") > 3) & (F.max("l_linestatus") == "O")).alias("unknown"))
+    skills = dealt(held.select("candidate", "skill", "quantity", "l_returnflag", "l_linestatus"), "candidate").groupBy("candidate", "skill").agg(F.max(F.expr(_RANK)).alias("observed"), F.bool_or(F.col("l_returnflag") != "R").alias("verified"), ((F.count("*") > 3) & (F.max("l_linestatus") == "O")).alias("unknown"))
     jobs = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("candidate"), F.col("c_mktsegment").alias("job"))
-    who = skills.select("candidate").distinct().join(jobs, "candidate")
-    asked = who.join(_requirements(spark, sf_dir), "job")
-    joined = asked.join(skills.withColumn("held", F.lit(True)), ["candidate", "skill"], "left")
+    # a candidate's skills are one row, as many as the taxonomy has at most: what is asked of all candidates is looked up in it, not joined
+    found = F.struct("skill", F.struct("observed", "verified", "unknown").alias("had"))
+    who = skills.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.when(F.col("skill").isNotNull(), found))).alias("skills")).join(jobs, "candidate")
+    asked = who.join(F.broadcast(_requirements(spark, sf_dir)), "job").withColumn("had", F.col("skills")[F.col("skill")])
+    joined = asked.select("*", "had.*", F.when(F.col("had").isNotNull(), True).alias("held")).drop("skills", "had")
     gap = matching.gap_type(F.col("observed"), F.col("verified"), F.col("unknown"), F.col("held"), F.col("median"))
     return joined.withColumn("gap", gap)
 
