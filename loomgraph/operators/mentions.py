@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions.automaton import Dictionary, marked_again
-from loomgraph.sources.interim import dealt, settle
+from loomgraph.sources.interim import at_hand, dealt, settle
 
 #: Bytes of names that one automaton takes; a larger dictionary is searched in several passes.
 NAMES_BYTES = 32 << 20
@@ -43,12 +43,6 @@ def dictionaries(names: DataFrame, name: str = "name", rule: str = "word", limit
         yield Dictionary([r.name for r in part.collect()], rule), block == blocks - 1
 
 
-def _at_hand(names: DataFrame, limit: int = NAMES_BYTES) -> DataFrame:
-    """A table of names for a join: sent to every executor if it is of a dictionary's size, so that a few very frequent names don't deal all rows."""
-    total = names.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]
-    return F.broadcast(names) if total <= limit else names
-
-
 def with_hits(docs: DataFrame, text: str, names: DataFrame, name: str = "name", rule: str = "word", limit: int = NAMES_BYTES) -> DataFrame:
     """The rows with `hits`: every occurrence of every name in the text, overlapping ones too, in one pass over it.
 
@@ -104,7 +98,7 @@ def first_points(docs: DataFrame, doc: str, text: str, points: DataFrame) -> Dat
     """
     named = points.where("length(name) >= 2 AND skill IS NOT NULL").select("skill", "name").distinct()
     found = mentions(docs, doc, text, named, rule="any").groupBy("doc", "name").agg(F.min("start").alias("start"))
-    return dealt(found, "doc").join(_at_hand(named), "name").groupBy("doc", "skill").agg(F.min("start").alias("start"), F.count("*").alias("points"))
+    return dealt(found, "doc").join(at_hand(named, "name", NAMES_BYTES), "name").groupBy("doc", "skill").agg(F.min("start").alias("start"), F.count("*").alias("points"))
 
 
 def mention_kind(item: Column) -> Column:
@@ -179,7 +173,7 @@ def signals(rows: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame
     told = rows.select(F.col(doc).alias("doc"), F.posexplode(fields).alias("_field", "x")).where(F.col("x.kind") != STACK)
     split = told.select("doc", "_field", F.col("x.kind").alias("kind"), F.posexplode(F.split("x.list", "[、,，]")).alias("_at", "raw")).withColumn("name", F.trim("raw"))
     known = names.select("kind", "name").distinct()
-    return split.join(_at_hand(known), ["kind", "name"]).select("doc", "kind", "name", (F.col("_field") * 1000 + F.col("_at")).alias("place"))
+    return split.join(at_hand(known, "name", NAMES_BYTES), ["kind", "name"]).select("doc", "kind", "name", (F.col("_field") * 1000 + F.col("_at")).alias("place"))
 
 
 def mention_evidence(units: DataFrame, names: DataFrame, most: int = MOST_UNITS, rule: str = "word") -> DataFrame:

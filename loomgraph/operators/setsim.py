@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.sources.interim import settle
+from loomgraph.sources.interim import at_hand, dealt, settle
 
 
 def word_set(text: Column) -> Column:
@@ -28,25 +28,34 @@ def similar_sets(a: DataFrame, b: DataFrame | None = None, least: float = 0.8) -
     first p = n - ceil(least n) + 1 with the other, so only these are filed. What two sets share is at most what their first items
     share and what is left behind the first items of one of them, n - p; a pair whose count of shared first items can't make up the
     rest isn't looked at, nor one of too different sizes. Every pair is found; none is decided without its sets.
+
+    Of two sides only items that `b` holds can be shared, so the others aren't filed: of a set of n items with m of them
+    the first m - ceil(least n) + 1 are, none if that is not positive. A set stays in its task until its pairs are counted, if what `b` holds is
+    small enough to be sent to every executor.
     """
     same = b is None
     sides = [a] if same else [a, b]
     every = a if same else a.unionByName(b)
     held = every.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("held"))
+    if not same:
+        known = settle(b.select(F.explode("items").alias("item")).distinct(), "known")
+        held = at_hand(settle(held.join(at_hand(known, "item"), "item", "left_semi"), "held"), "item")
     filed = []
     for side in sides:
-        placed = side.select("set_id", F.size("items").alias("n"), F.explode("items").alias("item")).join(held, "item")
+        placed = dealt(side, "set_id").select("set_id", F.size("items").alias("n"), F.explode("items").alias("item")).join(held, "item")
         ordered = placed.groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "item"))).alias("order"))
-        length = (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
-        first = ordered.select("set_id", "n", length.alias("p"), F.explode(F.slice("order", F.lit(1), length)).alias("x"))
-        filed.append(settle(first.select("set_id", "n", "p", F.col("x.item").alias("item")), "prefixes"))
-    left = filed[0].toDF("a", "n_a", "p_a", "item")
-    right = filed[-1].toDF("b", "n_b", "p_b", "item")
+        length = (F.size("order") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+        placed = ordered.withColumn("p", length).where("p > 0")
+        first = placed.select("set_id", "n", (F.size("order") - F.col("p")).alias("rest"), F.explode(F.slice("order", F.lit(1), F.col("p"))).alias("x"))
+        filed.append(first.select("set_id", "n", "rest", F.col("x.item").alias("item")))
+    right = settle(filed[-1], "prefixes")
+    left = (right if same else filed[0]).toDF("a", "n_a", "rest_a", "item")
+    right = (right if same else at_hand(right, "set_id")).toDF("b", "n_b", "rest_b", "item")
     sizes = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
     met = left.join(right, "item").where(sizes & (F.col("a") < F.col("b") if same else F.lit(True)))
-    counted = met.groupBy("a", "b", "n_a", "p_a", "n_b", "p_b").agg(F.count("*").alias("c"))
+    counted = met.groupBy("a", "b", "n_a", "rest_a", "n_b", "rest_b").agg(F.count("*").alias("c"))
     needed = F.ceil(least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    pairs = counted.where(F.col("c") + F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= needed).select("a", "b")
+    pairs = counted.where(F.col("c") + F.greatest("rest_a", "rest_b") >= needed).select("a", "b")
     both = pairs.join(a.toDF("a", "items_a"), "a").join(sides[-1].toDF("b", "items_b"), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     similarity = shared / (F.size("items_a") + F.size("items_b") - shared)

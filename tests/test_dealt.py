@@ -69,3 +69,26 @@ def test_claims_are_not_dealt_by_job(unaided):
 def test_gaps_and_plans_stay_with_their_candidate(unaided):
     assert not [k for k in exchanged(catalog.queries()["path_plan"](unaided, DATA)) if "candidate" in k and len(k) > 1]
     assert ["job"] not in [k for k in exchanged(catalog.queries()["five_dim_fit"](unaided, DATA)) if len(k) > 1] and not [k for k in exchanged(catalog.queries()["gap_typing"](unaided, DATA)) if k == ["candidate", "skill"]]
+
+
+def test_ngrams_make_their_text_once(spark):
+    """A cleaned text was cleaned again for each of its n-grams, so time grew with the square of a line's length."""
+    import time
+
+    from loomgraph.operators.audit import character_pairs
+
+    rows = spark.range(1).selectExpr("repeat('Delivered 12 small gizmos; ', 2000) AS text")
+    began = time.monotonic()
+    found = rows.select(character_pairs(rows.text).alias("g")).first().g
+    assert len(found) == 2000 * 23 - 1 and found[:2] == ["De", "el"]
+    assert time.monotonic() - began < 8
+
+
+def test_similar_sets_file_only_items_of_both_sides(unaided):
+    from loomgraph.operators.setsim import similar_sets
+
+    a = unaided.createDataFrame([("x", ["a", "b", "c", "d", "1"]), ("y", ["a", "1", "2", "3", "4"]), ("z", ["a", "b", "c", "d", "e"])], "set_id string, items array<string>")
+    b = unaided.createDataFrame([("q", ["a", "b", "c", "d", "e"]), ("r", ["d", "e"])], "set_id string, items array<string>")
+    found = similar_sets(a, b, 0.4)
+    assert ["item"] not in exchanged(found)
+    assert sorted((r.a, r.b, round(r.similarity, 6)) for r in found.collect()) == [("x", "q", 0.666667), ("z", "q", 1.0), ("z", "r", 0.4)]
