@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.operators import audit, learning, mentions
+from loomgraph.operators import audit, learning, mentions, mining
 from loomgraph.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -92,3 +93,10 @@ def test_similar_sets_file_only_items_of_both_sides(unaided):
     found = similar_sets(a, b, 0.4)
     assert ["item"] not in exchanged(found)
     assert sorted((r.a, r.b, round(r.similarity, 6)) for r in found.collect()) == [("x", "q", 0.666667), ("z", "q", 1.0), ("z", "r", 0.4)]
+
+
+def test_ngrams_are_counted_before_they_are_dealt(unaided):
+    rows = unaided.createDataFrame([(1, "a b c a b"), (2, "a b c"), (3, "x b c")], "doc long, t string")
+    found = mining.frequent_ngrams(rows, "doc", F.split("t", " "), 2, 3)
+    assert not [k for k in exchanged(found) if k in (["a"], ["b"])]  # no row is dealt by a part of its gram
+    assert {(r.gram, r["size"], r.df) for r in found.collect()} == {("a", 1, 2), ("b", 1, 3), ("c", 1, 3), ("a b", 2, 2), ("b c", 2, 3), ("a b c", 3, 2)}
