@@ -100,3 +100,11 @@ def test_ngrams_are_counted_before_they_are_dealt(unaided):
     found = mining.frequent_ngrams(rows, "doc", F.split("t", " "), 2, 3)
     assert not [k for k in exchanged(found) if k in (["a"], ["b"])]  # no row is dealt by a part of its gram
     assert {(r.gram, r["size"], r.df) for r in found.collect()} == {("a", 1, 2), ("b", 1, 3), ("c", 1, 3), ("a b", 2, 2), ("b c", 2, 3), ("a b c", 3, 2)}
+
+
+def test_sentences_are_not_dealt_with_their_words(unaided):
+    docs = unaided.createDataFrame([(1, ["Old bolt", "a BOLT, red"]), (1, ["red bolt"]), (2, ["red"]), (3, ["bolt", "red"]), (4, None)], "id long, s array<string>")
+    found = mining.first_sentences(docs, "id", F.col("s").cast("array<string>"), unaided.createDataFrame([("bolt",), ("red",)], "term string"), 2)
+    assert ["term"] not in exchanged(found)
+    assert {(r.term, r.id): r.sentence for r in found.where("id > 1").collect()} == {("bolt", 3): "bolt", ("red", 2): "red"}
+    assert {(r.term, r.id) for r in found.collect()} == {("bolt", 1), ("bolt", 3), ("red", 1), ("red", 2)}
