@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 #: Queries and rows of one block, and queries of one product of matrices within it.
-QUERIES, ROWS, TILE = 16_384, 16_384, 1000
+QUERIES, ROWS, TILE = 16_384, 16_384, 128
 
 
 def usable(vector: Column) -> Column:
@@ -28,26 +28,35 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, 0.0).otherwise(dot(a, b) / norms)
 
 
+def _stacked(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix, made of their components as they lie."""
+    flat = pa.chunked_array([chunk.flatten() for chunk in vectors.chunks]).to_numpy().astype(np.float64)
+    return flat.reshape(len(vectors), -1)
+
+
 def _best(k: int, names: tuple[str, str]):
     key, vector = names
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         """The k rows of a block nearest to each of its queries; ties to the smaller key."""
-        ids, found = rows[key].to_numpy(), []
+        ids, found = rows[key].to_numpy(), [[], [], []]
         if len(asked) and len(rows):
-            a, b = (np.stack(t[vector].to_numpy(zero_copy_only=False)).astype(np.float64) for t in (asked, rows))
-            lengths = np.sqrt((b**2).sum(1))
+            a, b = _stacked(asked[vector]), _stacked(rows[vector])
+            lengths, own = np.sqrt((b**2).sum(1)), asked[key].to_numpy()
             for at in range(0, len(a), TILE):
                 part = a[at : at + TILE]
-                norms = np.sqrt((part**2).sum(1))[:, None] * lengths
-                scores = np.round(np.divide(part @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
-                for query, line in zip(asked[key].slice(at, TILE).to_pylist(), scores):
+                scores, norms = part @ b.T, np.sqrt((part**2).sum(1))[:, None] * lengths
+                scores[norms <= 0] = 0.0
+                norms[norms <= 0] = 1.0
+                np.round(np.divide(scores, norms, out=scores), 6, out=scores)
+                for query, line in zip(own[at : at + TILE], scores):
                     line[ids == query] = -np.inf
                     near = np.flatnonzero(line >= np.partition(line, max(len(line) - k, 0))[max(len(line) - k, 0)])
-                    for i in near[np.lexsort((ids[near], -line[near]))][:k]:
-                        if np.isfinite(line[i]):
-                            found.append((query, int(ids[i]), float(line[i])))
-        columns = zip(*found) if found else ([], [], [])
+                    near = near[np.lexsort((ids[near], -line[near]))][:k]
+                    near = near[np.isfinite(line[near])]
+                    for column, values in zip(found, (np.full(len(near), query), ids[near], line[near])):
+                        column.append(values)
+        columns = [np.concatenate(c) if c else [] for c in found]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query", key, "score"])
 
     return best

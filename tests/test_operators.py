@@ -1,6 +1,7 @@
 """Hand-computed values of single operators."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -214,3 +215,14 @@ def test_near_pairs_are_those_of_all_pairs(spark):
     near = {(i, j) for i in range(len(texts)) for j in range(i) if solid[i] != solid[j] and len(sets[i] & sets[j]) >= 0.95 * len(sets[i] | sets[j]) and ((bits[i] ^ bits[j]) & (2**64 - 1)).bit_count() <= 6}
     assert pairs == near and len(near) > 5
     assert dedup._simhashes(pa.array([*solid, None, "ab", ""])).to_pylist() == [*bits, None, dedup.simhash64("ab"), dedup.simhash64("")]
+
+
+def test_blocks_of_vectors_take_little_memory():
+    rnd = np.random.default_rng(1)
+    table = lambda n: pa.table({"id": pa.array(range(n)), "v": pa.array(list(rnd.normal(size=(n, 8))), pa.list_(pa.float64()))})
+    asked, rows = table(1000), table(4096)
+    tracemalloc.start()
+    found = vectors._best(2, ("id", "v"))(asked, rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and peak < 30e6  # one matrix of all queries and rows is 33 MB
