@@ -1,5 +1,6 @@
 """Large tables are not dealt by the few keys of a taxonomy, nor shuffled again by a key they are already dealt by."""
 
+import random
 import re
 
 import pytest
@@ -108,3 +109,18 @@ def test_sentences_are_not_dealt_with_their_words(unaided):
     assert ["term"] not in exchanged(found)
     assert {(r.term, r.id): r.sentence for r in found.where("id > 1").collect()} == {("bolt", 3): "bolt", ("red", 2): "red"}
     assert {(r.term, r.id) for r in found.collect()} == {("bolt", 1), ("bolt", 3), ("red", 1), ("red", 2)}
+
+
+def test_sparse_vectors_meet_in_blocks(unaided, monkeypatch):
+    monkeypatch.setattr(mining, "QUERIES", 4)
+    monkeypatch.setattr(mining, "ROWS", 7)
+    rnd = random.Random(3)
+    held = {d: {f"t{rnd.randint(0, 25)}": rnd.randint(1, 3) / 4 for _ in range(rnd.randint(1, 5))} for d in range(40)}
+    frame = unaided.createDataFrame([(d, t, w) for d, v in held.items() for t, w in v.items()], "doc long, token string, weight double")
+    found = mining.sparse_cosine_top_k(frame, "doc", frame.where("doc % 4 = 0"), 3)
+    assert not [k for k in exchanged(found) if "token" in k or len(k) > 2 or k == ["query", "doc"]]  # no row for each pair
+    expected = set()
+    for q in range(0, 40, 4):
+        scores = sorted((-sum(w * held[q][t] for t, w in v.items() if t in held[q]), d) for d, v in held.items() if d != q and held[q].keys() & v.keys())
+        expected |= {(q, d, round(-s, 9), n) for n, (s, d) in enumerate(scores[:3], 1)}
+    assert {(r.query, r.doc, round(r.score, 9), r["rank"]) for r in found.collect()} == expected
