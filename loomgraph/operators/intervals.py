@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
@@ -34,3 +35,29 @@ def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str] = (), start: str
     one, other = (rows.select(*keys, "at", "size", "cell", *[F.col(c).alias(f"{c}_{n}") for c in ("row", "s", "e")]) for rows, n in zip(filed, "ab"))
     pairs = one.join(other, [*keys, "at", "size", "cell"]).where("s_a < e_b AND s_b < e_a AND shiftright(greatest(s_a, s_b), size) = cell")
     return pairs.select(*keys, F.col("row_a").alias("a"), F.col("row_b").alias("b"), F.expr("least(e_a, e_b) - greatest(s_a, s_b)").alias("overlap"))
+
+
+def _pairs(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, overlap) of overlapping half-open intervals, in one pass in the order of starts."""
+    order = sorted((start, end, side, i) for side, own in enumerate((a, b)) for i, (start, end) in enumerate(own) if start is not None and end is not None and end > start)
+    open_, out = ([], []), []
+    for start, end, side, i in order:
+        other = open_[1 - side]
+        other[:] = [x for x in other if x[0] > start]
+        out += [(*((i, j) if side == 0 else (j, i)), min(end, till) - start) for till, j in other]
+        open_[side].append((end, i))
+    return out
+
+
+def within(a: Column, b: Column) -> Column:
+    """Overlapping pairs of two arrays of a row, of structs with a start and an end: structs of the places in both (from 0) and the length they share.
+
+    For what one text holds: nothing is shuffled. Null arrays hold nothing; intervals without length or with a null end pair with nothing.
+    """
+
+    def each(ones: pa.Array, others: pa.Array) -> pa.Array:
+        out = [[dict(zip(("a", "b", "overlap"), x)) for x in _pairs(*([(s["start"], s["end"]) for s in own.as_py() or ()] for own in both))] for both in zip(ones, others)]
+        return pa.array(out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("overlap", pa.int64())])))
+
+    spans = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.arrow_udf(each, "array<struct<a: int, b: int, overlap: bigint>>")(spans(a), spans(b))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import layout
 from loomgraph.operators import audit, grounding, setsim
-from loomgraph.operators.intervals import overlapping
-from loomgraph.operators.mentions import mentions
+from loomgraph.operators.intervals import within
+from loomgraph.operators.mentions import with_hits
 from loomgraph.plans.registry import registry
 from loomgraph.plans.resumes import RESUME_SQL, experiences, resumes
 from loomgraph.sources.tables import load
@@ -146,9 +146,11 @@ def resume_segments(spark, sf_dir):
 named AS (SELECT candidate, number, regexp_extract(line, '^- Delivered [0-9]+ (.*) as ', 1) AS name FROM lines WHERE line LIKE '- Delivered%')
 SELECT candidate, number, count(*) AS n_mentions, count(DISTINCT name) AS n_names FROM named GROUP BY ALL""")
 def segment_mentions(spark, sf_dir):
-    """Mentions of parts' names within each experience, by the overlap of their spans."""
+    """Mentions of parts' names within each experience, by the overlap of their spans in the text."""
     texts = resumes(spark, sf_dir).select("candidate", "text")
-    spans = texts.select("candidate", F.inline(layout.segments(F.col("text"), _SEGMENTS, _ORDER_LINE))).where("kind = 'work'")
-    found = mentions(texts, "candidate", "text", load(spark, sf_dir, "part").select(F.col("p_name").alias("name"))).withColumnRenamed("doc", "candidate")
-    pairs = overlapping(spans, found, ["candidate"])
-    return pairs.groupBy("candidate", F.col("a.number").alias("number")).agg(F.count("*").alias("n_mentions"), F.count_distinct("b.name").alias("n_names"))
+    rows = with_hits(texts, "text", load(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+    spans = F.filter(layout.segments(F.col("text"), _SEGMENTS, _ORDER_LINE), lambda x: x["kind"] == "work")
+    rows = rows.select("candidate", spans.alias("spans"), "hits").withColumn("pairs", within(F.col("spans"), F.col("hits")))
+    named = F.transform("pairs", lambda p: F.struct(F.get("spans", p["a"])["number"].alias("number"), F.get("hits", p["b"])["name"].alias("name")))
+    pairs = rows.select("candidate", F.inline(named))
+    return pairs.groupBy("candidate", "number").agg(F.count("*").alias("n_mentions"), F.count_distinct("name").alias("n_names"))
