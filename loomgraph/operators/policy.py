@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions import layout
-from loomgraph.operators.intervals import overlapping
+from loomgraph.operators.intervals import within
 
 
 @dataclass(frozen=True)
@@ -38,11 +38,11 @@ def evidence_sections(texts: DataFrame, evidence: DataFrame, policy: EvidencePol
 
     A start outside every range is `未知`; evidence without a place has a null section. Only places are joined, not texts.
     """
-    ranges = texts.select("doc", F.inline(layout.sections(F.col("text"), policy.headings, policy.opening))).select("doc", "start", "end", "section")
+    # a document's sections stay in its row, so a place is found without a row for each section
+    ranges = texts.where("doc IS NOT NULL").groupBy("doc").agg(F.flatten(F.collect_list(layout.sections(F.col("text"), policy.headings, policy.opening))).alias("_ranges"))
     placed = evidence.where("start IS NOT NULL AND end IS NOT NULL AND doc IS NOT NULL")
-    points = placed.select("doc", "start").distinct().withColumn("end", F.col("start") + 1)
-    found = overlapping(points, ranges, ["doc"]).select("doc", F.col("a.start").alias("start"), F.col("b.section").alias("section"))
-    rows = placed.join(found, ["doc", "start"], "left").withColumn("section", F.coalesce("section", F.lit("未知"))).select(*evidence.columns, "section")
+    held = F.transform(F.filter("_ranges", lambda x: (x["start"] <= F.col("start")) & (F.col("start") < x["end"])), lambda x: x["section"])
+    rows = placed.join(ranges, "doc", "left").withColumn("section", F.explode_outer(held)).withColumn("section", F.coalesce("section", F.lit("未知"))).select(*evidence.columns, "section")
     return rows.unionByName(evidence.where("start IS NULL OR end IS NULL OR doc IS NULL").withColumn("section", F.lit(None).cast("string")))
 
 
@@ -58,10 +58,9 @@ def direct_evidence(texts: DataFrame, evidence: DataFrame, policy: EvidencePolic
     results = F.col("section").isin(*policy.result_only) | F.regexp_like(text, F.lit(f"(?i){policy.result_text}"))
     administration = (F.col("section") == policy.campus) & F.regexp_like(text, F.lit(policy.campus_admin)) & ~F.regexp_like(text, F.lit(policy.campus_technical))
     told = rows.withColumn("kept", F.col("section").isNull() | ~(results | administration))
-    left = told.groupBy("doc", "ability").agg((F.count_if(F.col("section").isNotNull()) > 0).alias("placed"), F.count_if(F.col("section").isNotNull() & F.col("kept")).alias("left"))
-    verdicts = left.select(F.col("doc").alias("_doc"), F.col("ability").alias("_ability"), (F.col("placed") & (F.col("left") == 0)).alias("dropped"))
-    joined = told.join(verdicts, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("ability").eqNullSafe(F.col("_ability")))
-    return joined.select(*told.columns, "dropped")
+    of = Window.partitionBy("doc", "ability")
+    placed, left = F.count_if(F.col("section").isNotNull()).over(of), F.count_if(F.col("section").isNotNull() & F.col("kept")).over(of)
+    return told.withColumn("dropped", (placed > 0) & (left == 0))
 
 
 def _count(text: Column, markers: Sequence[str]) -> Column:
@@ -79,10 +78,15 @@ def uncovered_lines(texts: DataFrame, evidence: DataFrame, policy: EvidencePolic
     text = F.col("text")
     rows = rows.where(F.col("section").isin(*policy.eligible) & F.length(text).between(policy.shortest, policy.longest) & ~F.regexp_like(text, F.lit(f"(?i){policy.result_text}")))
     rows = rows.withColumns({"actions": _count(text, policy.actions), "technical": _count(text, policy.technical)}).where("actions > 0 AND technical > 0")
-    spans = evidence.where("start IS NOT NULL AND end IS NOT NULL").select("doc", "start", "end").distinct()
-    best = overlapping(rows.select("doc", "start", "end"), spans, ["doc"]).groupBy("doc", F.col("a.start").alias("start")).agg(F.max("overlap").alias("most"))
+    spans = evidence.where("start IS NOT NULL AND end IS NOT NULL").select("doc", "start", "end")
+    names = [c for c in rows.columns if c != "doc"]
+    by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("_lines"))
+    spans = spans.where("doc IS NOT NULL").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    met = by_doc.join(spans, "doc", "left").withColumn("_met", within(F.col("_lines"), F.col("_spans")))
+    most = F.array_max(F.transform(F.filter("_met", lambda m: m["a"] == F.col("_at")), lambda m: m["overlap"]))
+    rows = met.select("doc", "_met", F.posexplode("_lines").alias("_at", "_line")).select("doc", "_line.*", most.alias("most"))
     covered = F.coalesce("most", F.lit(0)) / (F.col("end") - F.col("start"))
-    rows = rows.join(best, ["doc", "start"], "left").withColumn("covered", covered).where(F.col("covered") < policy.covered)
+    rows = rows.withColumn("covered", covered).where(F.col("covered") < policy.covered)
     alike = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), "^[•\\-·0123456789.、]+", "")
     first = F.row_number().over(Window.partitionBy("doc", "alike").orderBy("start"))
     rows = rows.withColumn("alike", alike).where("alike <> ''").withColumn("nth", first).where("nth = 1")

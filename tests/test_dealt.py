@@ -124,3 +124,9 @@ def test_sparse_vectors_meet_in_blocks(unaided, monkeypatch):
         scores = sorted((-sum(w * held[q][t] for t, w in v.items() if t in held[q]), d) for d, v in held.items() if d != q and held[q].keys() & v.keys())
         expected |= {(q, d, round(-s, 9), n) for n, (s, d) in enumerate(scores[:3], 1)}
     assert {(r.query, r.doc, round(r.score, 9), r["rank"]) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["segment_mentions", "direct_evidence", "uncovered_lines"])
+def test_spans_of_a_text_stay_in_its_row(unaided, name):
+    keys = exchanged(catalog.queries()[name](unaided, DATA))
+    assert not [k for k in keys if {"cell", "size", "start"} & set(k)]
