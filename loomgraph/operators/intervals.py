@@ -61,3 +61,20 @@ def within(a: Column, b: Column) -> Column:
 
     spans = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.arrow_udf(each, "array<struct<a: int, b: int, overlap: bigint>>")(spans(a), spans(b))
+
+
+def longest(a: Column, b: Column) -> Column:
+    """For each struct of the first array the longest overlap with one of the second, 0 if there is none; see `within`."""
+
+    def each(ones: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for both in zip(ones, others):
+            one, other = ([(s["start"], s["end"]) for s in own.as_py() or ()] for own in both)
+            most = [0] * len(one)
+            for i, _, shared in _pairs(one, other):
+                most[i] = max(most[i], shared)
+            out.append(most)
+        return pa.array(out, pa.list_(pa.int64()))
+
+    spans = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.arrow_udf(each, "array<bigint>")(spans(a), spans(b))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.functions import layout
-from loomgraph.operators.intervals import within
+from loomgraph.operators.intervals import longest
 
 
 @dataclass(frozen=True)
@@ -82,9 +82,8 @@ def uncovered_lines(texts: DataFrame, evidence: DataFrame, policy: EvidencePolic
     names = [c for c in rows.columns if c != "doc"]
     by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct(*names)).alias("_lines"))
     spans = spans.where("doc IS NOT NULL").groupBy("doc").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    met = by_doc.join(spans, "doc", "left").withColumn("_met", within(F.col("_lines"), F.col("_spans")))
-    most = F.array_max(F.transform(F.filter("_met", lambda m: m["a"] == F.col("_at")), lambda m: m["overlap"]))
-    rows = met.select("doc", "_met", F.posexplode("_lines").alias("_at", "_line")).select("doc", "_line.*", most.alias("most"))
+    met = by_doc.join(spans, "doc", "left").withColumn("_most", longest(F.col("_lines"), F.col("_spans")))
+    rows = met.select("doc", F.explode(F.arrays_zip("_lines", "_most")).alias("_x")).select("doc", "_x._lines.*", F.col("_x._most").alias("most"))
     covered = F.coalesce("most", F.lit(0)) / (F.col("end") - F.col("start"))
     rows = rows.withColumn("covered", covered).where(F.col("covered") < policy.covered)
     alike = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", ""), "^[•\\-·0123456789.、]+", "")
