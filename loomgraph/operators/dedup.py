@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loomgraph.plans import params as P
-from loomgraph.sources.interim import settle
+from loomgraph.sources.interim import dealt, settle
 
 
 #: Texts whose grams are hashed together: a gram that several of them hold is hashed once.
@@ -106,45 +106,87 @@ def similarity_keys(items: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate(keys).view(np.int64)
 
 
-def _marks(least: float):
+#: Longs of a sketch.
+SKETCH = 32
+
+
+def sketch(items: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits: whether the number of items that a bit is dealt is odd. Two sets differ in as many items at least as their sketches do in bits."""
+    dealt_to = (_mixed(items ^ np.int64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits(np.bincount(dealt_to, minlength=64 * SKETCH) & 1, bitorder="little").view(np.int64)
+
+
+def _marks(least: float, min_chars: int):
+    """Key of the text without white space, and fingerprint, size, keys and sketch of its gram set; null for texts under `min_chars`. Copies in a batch are read once."""
+
     def marks(texts: pa.Array) -> pa.Array:
-        found = [(fp, len(grams), similarity_keys(grams, least)) for fp, grams in _marked(texts.to_pylist())]
-        columns = zip(*found) if found else ([], [], [])
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["fp", "n", "keys"])
+        own = ["".join(t.split()) if t is not None and len(t) >= min_chars else None for t in texts.to_pylist()]
+        distinct = list(dict.fromkeys(t for t in own if t is not None))
+        long = [t for t in distinct if len(t) >= P.NGRAM]
+        found = dict(zip(long, ((fp, len(grams), similarity_keys(grams, least), sketch(grams)) for fp, grams in _marked(long))))
+        of = {t: (hashlib.md5(t.encode()).hexdigest(), *found.get(t, (None, 0, None, None))) for t in distinct} | {None: (None,) * 5}
+        columns = zip(*[of[t] for t in own]) if own else ([],) * 5
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["key", "fp", "n", "keys", "sketch"])
+
+    return F.arrow_udf(marks, "key string, fp long, n int, keys array<long>, sketch array<long>")
 
-    return F.arrow_udf(marks, "fp long, n int, keys array<long>")
+
+def _marked_docs(docs: DataFrame, doc: str, text: Column, least: float = P.JACCARD_MIN, min_chars: int = P.DEDUP_MIN_CHARS) -> DataFrame:
+    """(doc, key, fp, n, keys, sketch) of every row, written once: texts are read and marked where they lie, and not shuffled."""
+    return settle(docs.select(F.col(doc).alias("doc"), _marks(least, min_chars)(text).alias("m")).select("doc", "m.*"), "marked")
+
+
+def _solid_key(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else hashlib.md5("".join(t.split()).encode()).hexdigest() for t in texts.to_pylist()], pa.string())
+
+
+def _gram_set(text: str) -> np.ndarray:
+    return np.unique(_gram_codes("".join(text.split())))
 
 
 def _similarities(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Jaccard similarity of the 3-gram sets of two texts."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.unique(_gram_codes(x.as_py())), np.unique(_gram_codes(y.as_py()))
+    """Jaccard similarity of the 3-gram sets of two texts without white space; a text's set is made once for all its pairs of a batch."""
+    sets, out = {}, []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        for t in (x, y):
+            if t not in sets:
+                sets[t] = _gram_set(t)
+        x, y = sets[x], sets[y]
         shared = len(np.intersect1d(x, y, assume_unique=True))
         out.append(shared / (len(x) + len(y) - shared))
     return pa.array(out, pa.float64())
 
 
+def _near_pairs(docs: DataFrame, doc: str, text: Column, marked: DataFrame, distance: int, least: float) -> DataFrame:
+    kept = marked.where("key IS NOT NULL AND n > 0")
+    earliest = kept.groupBy("key").agg(F.min("doc").alias("doc"))
+    firsts = kept.join(earliest, ["key", "doc"], "left_semi").dropDuplicates(["key", "doc"])
+    keyed = dealt(firsts.select("doc", "fp", "n", F.explode("keys").alias("key")), "key")
+    a, b = keyed.toDF("later", "fa", "na", "key"), keyed.toDF("earlier", "fb", "nb", "key")
+    # sets of too different sizes can't be alike enough
+    sizes = F.least("na", "nb") >= least * F.greatest("na", "nb")
+    alike = a.join(b, "key").where((F.col("earlier") < F.col("later")) & sizes & (hamming(F.col("fa"), F.col("fb")) <= distance)).select("later", "earlier").distinct()
+    sketches = firsts.select("doc", "n", "sketch")
+    bounded = alike.join(sketches.toDF("later", "na", "sa"), "later").join(sketches.toDF("earlier", "nb", "sb"), "earlier")
+    differ = functools.reduce(Column.__add__, (hamming(F.col("sa")[i], F.col("sb")[i]) for i in range(SKETCH)))
+    near = settle(bounded.where(differ <= (1 - least) / (1 + least) * (F.col("na") + F.col("nb")) + 1e-6).select("later", "earlier").distinct(), "near")
+    touched = near.select(F.explode(F.array("later", "earlier")).alias("doc")).distinct()
+    # an id may stand for several texts: those that are the first of their copies count
+    named = firsts.select("doc", "key").join(touched, "doc", "left_semi")
+    texts = settle(docs.select(F.col(doc).alias("doc"), text.alias("t")).join(named, "doc").where(F.arrow_udf(_solid_key, T.StringType())("t") == F.col("key")).select("doc", "t"), "texts")
+    both = dealt(dealt(near, "later").join(texts.toDF("later", "ta"), "later"), "earlier").join(texts.toDF("earlier", "tb"), "earlier")
+    return both.where(F.arrow_udf(_similarities, T.DoubleType())("ta", "tb") >= least).select("later", "earlier").distinct()
+
+
 def near_pairs(docs: DataFrame, doc: str, text: Column, distance: int = P.HAMMING_MAX, least: float = P.JACCARD_MIN, min_chars: int = P.DEDUP_MIN_CHARS) -> DataFrame:
     """(later, earlier) of distinct texts within `distance` bits and with 3-gram Jaccard similarity of `least` or more.
 
     White space doesn't count, but for `min_chars`. Copies of a text meet by its 128-bit hash and are one text here, so a text that very many documents
     hold is a few small rows. Candidates share a key of their gram sets, see `similarity_keys`, which loses no pair and which texts that are
     only of one language don't share; fingerprints of one language are alike, so they are tested, but nothing is looked up by them.
-    The texts are joined to the candidates that pass the bit test only.
+    Candidates that pass the bit test are bounded by sketches of their gram sets, which lose none; the texts are joined to what is left only.
     """
-    kept = docs.where(F.length(text) >= min_chars).select(F.col(doc).alias("doc"), solid(text).alias("t")).where(F.length("t") >= P.NGRAM).withColumn("key", F.md5(F.encode(F.col("t"), "UTF-8")))
-    earliest = kept.groupBy("key").agg(F.min("doc").alias("doc"))
-    firsts = kept.join(earliest, ["key", "doc"], "left_semi").dropDuplicates(["key", "doc"])
-    marked = settle(firsts.select("doc", "t", _marks(least)("t").alias("m")).select("doc", "t", "m.*"))
-    keyed = marked.select("doc", "fp", "n", F.explode("keys").alias("key"))
-    a, b = keyed.toDF("later", "fa", "na", "key"), keyed.toDF("earlier", "fb", "nb", "key")
-    # sets of too different sizes can't be alike enough
-    sizes = F.least("na", "nb") >= least * F.greatest("na", "nb")
-    near = a.join(b, "key").where((F.col("earlier") < F.col("later")) & sizes & (hamming(F.col("fa"), F.col("fb")) <= distance)).select("later", "earlier").distinct()
-    texts = marked.select("doc", "t")
-    both = near.join(texts.toDF("later", "ta"), "later").join(texts.toDF("earlier", "tb"), "earlier")
-    return both.where(F.arrow_udf(_similarities, T.DoubleType())("ta", "tb") >= least).select("later", "earlier")
+    return _near_pairs(docs, doc, text, _marked_docs(docs, doc, text, least, min_chars), distance, least)
 
 
 #: Links of undecided documents that are settle in one ordered pass.
@@ -196,10 +238,9 @@ def near_members(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 
     Copies meet by a 128-bit hash of the text without white space.
     """
-    key = F.md5(F.encode(solid(text), "UTF-8"))
-    every = settle(docs.select(F.col(doc).alias("doc"), F.when(F.length(text) >= P.DEDUP_MIN_CHARS, key).alias("key")))
+    every = _marked_docs(docs, doc, text)
     firsts = every.where("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("first"))
-    stars = star_clusters(near_pairs(docs, doc, text)).toDF("first", "root")
+    stars = star_clusters(_near_pairs(docs, doc, text, every, P.HAMMING_MAX, P.JACCARD_MIN)).toDF("first", "root")
     placed = firsts.join(stars, "first", "left").select("key", F.coalesce("root", "first").alias("root"))
     alone = every.where("key IS NULL").select("doc", F.col("doc").alias("root"))
     return every.join(placed, "key").select("doc", "root").unionByName(alone)

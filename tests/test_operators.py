@@ -217,6 +217,42 @@ def test_near_pairs_are_those_of_all_pairs(spark):
     assert dedup._simhashes(pa.array([*solid, None, "ab", ""])).to_pylist() == [*bits, None, dedup.simhash64("ab"), dedup.simhash64("")]
 
 
+def test_sketches_bound_what_is_verified(spark, monkeypatch):
+    """Texts of a family that are somewhat alike share keys and bits, but few of their pairs are verified on the texts; no near pair is lost."""
+    rnd = random.Random(2)
+    base = ["".join(rnd.choices("abcdefghijklmnopqrst", k=6)) for _ in range(220)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for k in rnd.sample(range(len(own)), rnd.choice((1, 4, 6))):
+            own[k] = own[k][::-1]
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys(texts))
+    sets = [np.unique(dedup._gram_codes(t.replace(" ", ""))) for t in texts]
+    keys = [set(dedup.similarity_keys(g, 0.95).tolist()) for g in sets]
+    bits = [dedup.simhash64(t.replace(" ", "")) for t in texts]
+    met = {(i, j) for i in range(len(texts)) for j in range(i) if keys[i] & keys[j] and ((bits[i] ^ bits[j]) & (2**64 - 1)).bit_count() <= 6}
+    similar = {(i, j) for i, j in met if len(np.intersect1d(sets[i], sets[j])) >= 0.95 * len(np.union1d(sets[i], sets[j]))}
+    for i, j in met:
+        differ = np.bitwise_count((dedup.sketch(sets[i]) ^ dedup.sketch(sets[j])).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(sets[i], sets[j]))
+    written, settle = {}, dedup.settle
+    monkeypatch.setattr(dedup, "settle", lambda df, name="interim": written.setdefault(name, settle(df, name)))
+    pairs = {tuple(p) for p in dedup.near_pairs(spark.createDataFrame(list(enumerate(texts)), "d long, t string"), "d", F.col("t")).collect()}
+    verified = written["near"].count()
+    assert pairs == similar and len(similar) > 20
+    assert len(similar) <= verified < len(similar) + (len(met) - len(similar)) / 4
+
+
+def test_texts_of_one_id_are_their_own(spark):
+    """Of two texts under one id, only the one that is the first of its copies is near anything."""
+    rnd = random.Random(4)
+    one, two = (" ".join("".join(rnd.choices("abcdefghij", k=5)) for _ in range(120)) for _ in range(2))
+    rows = [(3, one), (5, one), (5, two), (7, two[:-3] + "xyz"), (9, one[:-3] + "xyz"), (9, one[:-3] + "xyz")]
+    pairs = dedup.near_pairs(spark.createDataFrame(rows, "d long, t string"), "d", F.col("t")).collect()
+    assert sorted(map(tuple, pairs)) == [(7, 5), (9, 3)]
+
+
 def test_blocks_of_vectors_take_little_memory():
     rnd = np.random.default_rng(1)
     table = lambda n: pa.table({"id": pa.array(range(n)), "v": pa.array(list(rnd.normal(size=(n, 8))), pa.list_(pa.float64()))})
