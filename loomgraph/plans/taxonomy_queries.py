@@ -69,10 +69,8 @@ def interleave_rankings(spark, sf_dir):
 
 @query("interval_overlap", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(greatest(0, least(a.p_size + 10, b.p_size + 20) - greatest(a.p_size, b.p_size))::DOUBLE / 10, 6) AS ratio FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
 def interval_overlap(spark, sf_dir):
-    part = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", "p_name", "p_brand").alias("p_name"), "p_size")
-    a, b = part.toDF("a", "name", "s1"), part.toDF("b", "name", "s2")
-    ratio = taxonomy.overlap_ratio(F.col("s1"), F.col("s1") + 10, F.col("s2"), F.col("s2") + 20)
-    return a.join(b, "name").where("a < b").select("a", "b", F.round(ratio, 6).alias("ratio"))
+    """All pairs of parts of one name and brand, as many as its SQL has. The ratios are tenths, so that nothing is left to round."""
+    return taxonomy.overlapping_pairs(load(spark, sf_dir, "part"), ["p_name", "p_brand"], "p_partkey", "p_size", 10, 20)
 
 
 @query("level_tilt", "WITH w AS (SELECT p_type AS job, p_brand AS grp, count(*)::DOUBLE AS weight FROM part GROUP BY ALL), x AS (SELECT job, grp, weight * CASE WHEN regexp_extract(grp, '([0-9]+)', 1)::INT % 2 = 0 THEN 0.5::DOUBLE + regexp_extract(grp, '([0-9]+)', 1)::INT / 50.0::DOUBLE ELSE 1 END AS w FROM w) SELECT job, grp, round(w / max(w) OVER (PARTITION BY job), 6) AS weight FROM x")
