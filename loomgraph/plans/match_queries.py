@@ -109,8 +109,12 @@ req AS (SELECT pres.job, pres.skill, round(n::DOUBLE / total, 6) AS presence, co
   FROM pres JOIN docs USING (job) LEFT JOIN g USING (job, skill) LEFT JOIN med USING (job, skill) WHERE n::DOUBLE / total >= 0.1)"""
 
 
+#: Lines of a task that tells the documents of a skill apart: some 150 MB.
+LINES = 1 << 19
+
+
 def _requirements(spark, sf_dir):
-    rows = facts(spark, sf_dir)
+    rows = facts(spark, sf_dir, LINES)
     total = rows.groupBy("job").agg(F.countDistinct("doc").alias("total"))
     named = rows.where("skill IS NOT NULL")
     presence = named.groupBy("job", "skill").agg(F.countDistinct("doc").alias("n")).join(total, "job").withColumn("presence", F.col("n") / F.col("total"))

@@ -130,3 +130,18 @@ def test_sparse_vectors_meet_in_blocks(unaided, monkeypatch):
 def test_spans_of_a_text_stay_in_its_row(unaided, name):
     keys = exchanged(catalog.queries()[name](unaided, DATA))
     assert not [k for k in keys if {"cell", "size", "start"} & set(k)]
+
+
+def test_facts_of_a_task_are_bounded(spark, monkeypatch):
+    """Partitions merged by bytes held very many lines; dealt facts are the same rows, about as many in a part as asked for."""
+    from loomgraph.plans import match_queries
+    from loomgraph.plans.graph_queries import facts
+
+    dealt_facts = facts(spark, DATA, 400)
+    held = [r["count"] for r in dealt_facts.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(held) < 800 and dealt_facts.exceptAll(facts(spark, DATA)).isEmpty() and sum(held) == facts(spark, DATA).count()
+    usual = sorted(map(tuple, match_queries.must_plus_def(spark, DATA).collect()))
+    monkeypatch.setattr(match_queries, "LINES", 400)
+    few = match_queries.must_plus_def(spark, DATA)
+    assert sorted(map(tuple, few.collect())) == usual and usual
+    assert "REPARTITION_BY_NUM" in few._jdf.queryExecution().executedPlan().toString()
