@@ -17,11 +17,13 @@ from loomgraph.llm.shared import settle, tasks
 
 #: Token that ends each document.
 END = 1
-# ASCII punctuation, and what the vocabulary writes at the end of a word's last token.
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# ASCII punctuation and Latin letters as classes of a pattern, and what the vocabulary writes at the end of a word's last token.
+PUNCTUATION = r"!-/:-@\[-`{-~"
+#: Letters up to U+012F: below the first one whose lower case is two characters.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-\u012f"
 WORD_END = "</w>"
-#: Chunks whose ids a worker keeps in each of two generations.
-KEPT = 200_000
+#: Words, marks and odd chunks whose ids a worker keeps.
+KEPT = 1_000_000
 #: Chunks that are encoded in one call.
 TOGETHER = 2000
 #: Bytes of text that are encoded together.
@@ -30,43 +32,44 @@ STRIDE = 8_000_000
 DEALT = 256
 
 
+def _strings(values) -> pa.Array:
+    return pa.array(values, pa.string())
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each start and size, in a row."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class ChunkEncoder:
     """Token ids of whole texts, with the ids of chunks between ASCII white space kept for the next text.
 
     For vocabularies of lower-case words, which drop white space and never join what it separates or letters with punctuation: a
-    text's ids are its chunks' ids in a row.
-    A text that holds a special token's string is encoded whole. Chunks are kept in two generations: when the
-    younger is full it becomes the older, from which chunks that are met again move back, so rare ones are forgotten first.
+    text's ids are its chunks' ids in a row, and those of a word and the punctuation behind it are the lower-case word's and the
+    punctuation's. These parts are kept, in a table that Arrow searches: a loop over chunks would take longer than their encoding.
+    A text that holds a special token's string is encoded whole. When the table is full, only the parts of the present texts stay.
     """
 
+    WORD = f"^(?P<stem>[{LETTERS}]+)(?P<end>[{PUNCTUATION}]*)$"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of_words = Tokenizer.from_file(path)  # of words as they are kept: there's nothing to normalize
+        self.of_words.normalizer = None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(specials)) if specials else None
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known, self.flat, self.sizes = _strings([""]), np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    @staticmethod
-    def _stem(chunk: bytes) -> bytes:
-        """The word before closing punctuation, lower case; empty if the chunk isn't just Latin letters and then punctuation.
-
-        The vocabulary's rules split letters from punctuation and fold case, so the ids are the stem's and the punctuation's.
-        """
-        stem = chunk.rstrip(PUNCTUATION)
-        if stem.isalpha():
-            return stem.lower()
-        text = stem.decode("utf-8")
-        return stem if text.isalpha() and max(text) < "\u0130" else b""
-
     def _bounds(self, ids: np.ndarray, texts: list[str], found, words: bool) -> np.ndarray:
         """Where each text's ids begin, and the end: single words by the tokens that close words, else by offsets."""
         if words:
@@ -74,63 +77,62 @@ class ChunkEncoder:
         starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
         return np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
-    def _encode_chunks(self, chunks: list[bytes], words: bool) -> None:
-        for at in range(0, len(chunks), TOGETHER):
-            part = chunks[at : at + TOGETHER]
-            texts = [c.decode("utf-8") for c in part]
+    def _encode_parts(self, parts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts in a row, and how many each has."""
+        flat, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for at in range(0, len(parts), TOGETHER):
+            texts = parts[at : at + TOGETHER].to_pylist()
             joined = " ".join(texts)
             if words:  # the fast form keeps no offsets
-                found = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+                found = self.of_words.encode_batch_fast([joined], add_special_tokens=False)[0]
             else:
                 found = self.tokenizer.encode(joined, add_special_tokens=False)
-            ids = np.array(found.ids, self.kind)
-            bounds = (self._bounds(ids, texts, found, words) * self.kind.itemsize).tolist()
-            packed = ids.tobytes()
-            for chunk, a, b in zip(part, bounds, bounds[1:]):
-                self.young[chunk] = packed[a:b]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        stems: dict[bytes, bytes] = {}
-        unknown = []
-        self.young[b""] = b""
-        for chunk in chunks - {b""}:
-            ids = self.old.get(chunk)
-            if ids is not None:
-                self.young[chunk] = ids
-            elif stem := self._stem(chunk):
-                stems[chunk] = stem
-            else:
-                unknown.append(chunk)
-        ends = {chunk[len(stem) :] for chunk, stem in stems.items()} - {b""}
-        self._encode_chunks([e for e in {*ends, *unknown} if e not in self.young], words=False)
-        self._encode_chunks([s for s in set(stems.values()) if s not in self.young], words=True)
-        for chunk, stem in stems.items():
-            self.young[chunk] = self.young[stem] + (self.young[chunk[len(stem) :]] if len(stem) < len(chunk) else b"")
-
-    def _known(self, chunks: list[bytes]) -> list[bytes]:
-        """Packed ids of distinct chunks, learning those that aren't kept."""
-        if len(self.young) + len(chunks) > KEPT:
-            self.young, self.old = {}, self.young
-        self._learn(set(chunks).difference(self.young))
-        return list(map(self.young.__getitem__, chunks))
+            flat.append(np.array(found.ids, self.kind))
+            sizes.append(np.diff(self._bounds(flat[-1], texts, found, words)))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """Where distinct parts are in the table; those that aren't yet are encoded."""
+        place = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(place.is_null())
+        if not len(new):
+            return place.to_numpy()
+        if len(self.known) + len(new) > KEPT:
+            old = pa.concat_arrays([_strings([""]), parts.filter(pc.and_(place.is_valid(), pc.not_equal(parts, "")))])
+            at = pc.index_in(old, value_set=self.known).to_numpy()
+            self.flat = _gathered(self.flat, (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at])
+            self.known, self.sizes = old, self.sizes[at]
+            place = pc.index_in(parts, value_set=self.known)
+        word = pc.match_substring_regex(new, f"^[{LETTERS}]+$")
+        place, lacking = pc.fill_null(place, 0).to_numpy().astype(np.int64), np.flatnonzero(place.is_null())
+        for some, words in ((word, True), (pc.invert(word), False)):
+            flat, sizes = self._encode_parts(new.filter(some), words)
+            place[lacking[some.to_numpy(zero_copy_only=False)]] = len(self.known) + np.arange(len(sizes))
+            self.known = pa.concat_arrays([self.known, new.filter(some)])
+            self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        return place
+
+    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks in a row, and how many each has: those of the word, or the whole chunk, and of what is behind it."""
+        found = pc.extract_regex(chunks, self.WORD)
+        stems = pc.if_else(found.is_valid(), pc.utf8_lower(pc.struct_field(found, "stem")), chunks)
+        ends = pc.fill_null(pc.struct_field(found, "end"), "")
+        coded = pa.concat_arrays([stems, ends]).dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()].reshape(2, -1).T.ravel()
+        sizes = self.sizes[place]
+        return _gathered(self.flat, (np.cumsum(self.sizes) - self.sizes)[place], sizes), sizes.reshape(-1, 2).sum(axis=1)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text. Arrow splits the texts and numbers their distinct chunks; only those go through the tables."""
+        """Ids of each text. Arrow splits the texts and numbers their distinct chunks; only those go through the table."""
         whole = {i for i, t in enumerate(texts) if self.special and self.special.search(t)}
-        column = pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.string())
+        column = _strings(["" if i in whole else t for i, t in enumerate(texts)])
         words = pc.ascii_split_whitespace(column)
         coded = words.values.dictionary_encode()
-        packed = self._known(coded.dictionary.cast(pa.binary()).to_pylist())
-        flat = np.frombuffer(b"".join(packed), self.kind)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
-        starts = np.cumsum(sizes) - sizes
+        flat, sizes = self._known(coded.dictionary)
         index = coded.indices.to_numpy()
         length = sizes[index]
-        ends = np.cumsum(length)
-        # token k of a word is token start + k of its chunk
-        source = np.repeat(starts[index] - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = flat[source]
-        bounds = np.r_[0, ends][words.offsets.to_numpy()]
+        ids = _gathered(flat, (np.cumsum(sizes) - sizes)[index], length)
+        bounds = np.r_[0, np.cumsum(length)][words.offsets.to_numpy()]
         for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
             yield self._whole(texts[i]) if i in whole else ids[a:b]
 

@@ -77,3 +77,35 @@ def test_empty_table(spark):
 def test_one_length_only(spark, length):
     pieces = spark.range(1000).selectExpr("id AS doc_id", "0 AS piece", f"{length}L AS length", "id AS ids_crc32")
     assert check_bins(packing.pack(pieces, 4096).collect(), 4096) == (1000 if length == 4096 else 1)
+
+
+def test_words_met_before_are_not_encoded_again(monkeypatch):
+    """Three blocks of 100,000 words each, then the same in other cases and with marks: the table holds all of them."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters][:300_000]
+    blocks = [" ".join(words[at : at + 100_000]) for at in (0, 100_000, 200_000)]
+    encoder = packing.ChunkEncoder(PATH)
+    first = [next(encoder.encode([b])) for b in blocks]
+    encoder.encode_calls = 0
+
+    class Counted:
+        def __getattr__(self, name):
+            encoder.encode_calls += name.startswith("encode")
+            return getattr(TOKENIZER, name)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    monkeypatch.setattr(encoder, "of_words", Counted(), raising=False)
+    for block, ids in zip(blocks, first):
+        assert np.array_equal(next(encoder.encode([block.upper()])), ids)
+    assert encoder.encode_calls == 0
+
+
+def test_ids_stay_right_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 40)
+    rnd = random.Random(5)
+    encoder = packing.ChunkEncoder(PATH)
+    for _ in range(60):
+        texts = [" ".join(rnd.choices(["Straße", "x'll", "a,b", "12.", "...", "ÉTÉ", "Įx"], k=3) + ["".join(rnd.choices("abÀö", k=3)) + rnd.choice(["", ",", ")."]) for _ in range(9)]) for _ in range(3)]
+        assert [ids.tolist() for ids in encoder.encode(texts)] == [TOKENIZER.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) == len(encoder.sizes) == len(set(encoder.known.to_pylist()))
+        assert len(encoder.flat) == encoder.sizes.sum()
