@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from loomgraph.llm.shared import settle, tasks
 
@@ -24,6 +24,8 @@ GRAM = 16
 SLICE = 1 << 19
 #: Bytes of text to a block of documents.
 BLOCK = 8 << 20
+#: Blocks whose k-grams, if dealt to parts, fill one.
+PARTS = 4
 #: Documents with one k-gram beyond which its windows are filed singly, under their own hashes.
 HOT = 8_000
 
@@ -93,21 +95,23 @@ def runs(data: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     hashes = _gram_hashes(data, GRAM)
     bits = np.uint64(max(int(len(hashes)).bit_length(), 1))
     ranked = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-    place = (_sliding_min(ranked, WINDOW - GRAM + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    inside = np.ones(len(place), bool)
-    ends = parts[1:]
-    spoiled = np.zeros(len(place) + 1, np.int64)
-    np.add.at(spoiled, np.minimum(np.maximum(ends - WINDOW + 1, 0), len(place)), 1)
-    np.add.at(spoiled, np.minimum(ends, len(place)), -1)
-    inside = np.cumsum(spoiled)[:-1] == 0
-    at = np.flatnonzero(inside)
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    new = np.r_[True, (at[1:] != at[:-1] + 1) | (place[at[1:]] != place[at[:-1]])]
-    first = at[new]
-    count = np.diff(np.r_[np.flatnonzero(new), len(at)])
-    return first, count, place[first], (hashes[place[first]] >> np.uint64(16)).astype(np.int64)
+    least = _sliding_min(ranked, WINDOW - GRAM + 1)
+    ends = np.r_[parts[1:], len(data)]
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    for at in (parts, np.maximum(ends - WINDOW + 1, 0)):  # where a part begins, and where its windows would reach beyond it
+        new[at[at < len(new)]] = True
+    first = np.flatnonzero(new)
+    count = np.diff(np.r_[first, len(least)])
+    inside = first <= ends[np.searchsorted(parts, first, side="right") - 1] - WINDOW
+    first, count = first[inside], count[inside]
+    place = (least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return first, count, place, (hashes[place] >> np.uint64(16)).astype(np.int64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that orders like them."""
+    return np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
 
 
 class SuffixOrder:
@@ -115,8 +119,7 @@ class SuffixOrder:
 
     def __init__(self, data: np.ndarray, base: int = _BASE):
         self.data = data
-        #: the eight bytes from each place as a number that orders like them
-        self.words = np.ndarray((max(len(data) - 7, 0),), ">u8", data, strides=(1,))
+        self.words = _words(data)
         self.power = np.full(len(data) + 1, base & _M64, np.uint64)
         self.power[0] = 1
         self.power = np.cumprod(self.power, dtype=np.uint64)
@@ -239,46 +242,102 @@ def _comparable(table: pa.Table, side: pa.Table) -> tuple[list[bytes], np.ndarra
     """Texts to compare (empty for copies of another document and documents without an id) and their ids."""
     texts, order, known = _texts(table)
     rid = table["rid"].to_numpy()[order]
-    copies = np.isin(rid, side["key"].to_numpy()[side["kind"].to_numpy() == 2])
+    copies = np.isin(rid, side.filter(pc.equal(side["kind"], 2))["key"].to_numpy())
     return [t if ok else b"" for t, ok in zip(texts, known & ~copies)], _ids(table)[order]
 
 
-def _file_grams(table: pa.Table, side: pa.Table) -> pa.Table:
-    """The k-grams that a block's windows are filed under, once each, with the number of its documents that have it."""
-    texts, ids = _comparable(table, side)
-    found = [np.zeros((0, 2), np.int64)]
-    for data, parts, text_of, _ in slices(texts):
-        first, _, _, key = runs(data, parts)
-        owner = ids[text_of[np.searchsorted(parts, first, side="right") - 1]]
-        found.append(np.unique(np.stack([key, owner], axis=1), axis=0) if len(key) < 1000 else _unique_pairs(key, owner))
-    pairs = np.concatenate(found)
-    pairs = _unique_pairs(pairs[:, 0], pairs[:, 1])
-    start = np.r_[True, pairs[1:, 0] != pairs[:-1, 0]] if len(pairs) else np.zeros(0, bool)
-    keys = pairs[start, 0]
-    docs = np.diff(np.r_[np.flatnonzero(start), len(pairs)])
-    block = table["block"][0].as_py()
-    return pa.table({"gram": keys, "block": pa.array(np.full(len(keys), block, np.int32)), "docs": pa.array(docs.astype(np.int32))})
+#: `grams` are 64-bit numbers in a row; `docs`, as 32-bit ones, how many of the block's documents have each.
+_GRAMS = "part int, block int, grams binary, docs binary"
+
+
+def _sorted_distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def _spans(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each run of equal labels."""
+    first = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(labels) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(labels)])
+
+
+def _cells(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values[a:b] of each two bounds in a row, as bytes: a row for each number would cost more than what is done with it."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(cells: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers of all cells in a row."""
+    return np.frombuffer(b"".join(cells.to_pylist()), kind)
 
 
-def _unique_pairs(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])] if len(key) else np.zeros(0, bool)
-    return np.stack([key[new], owner[new]], axis=1)
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)]
 
 
-#: `place` is where the k-gram is in the bytes, -1 for a window filed under its own hash.
-_SEGMENTS = "bucket int, place int, bytes binary, block int, least long, spread long, spots binary"
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = _ends(sizes)
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+
+
+def _file_grams(parts_of_grams: int):
+    def file_grams(table: pa.Table, side: pa.Table) -> pa.Table:
+        """The k-grams that a block's windows are filed under, once each, with the number of its documents that have it, a row per part of all k-grams.
+
+        A document that goes on in the next slice may be counted in both: its k-grams are then followed up for nothing.
+        """
+        texts, ids = _comparable(table, side)
+        found = [np.zeros(0, np.uint64)]
+        for data, parts, text_of, _ in slices(texts):
+            first, _, _, key = runs(data, parts)
+            owners = np.unique(ids[text_of], return_inverse=True)[1].astype(np.uint64)  # of a slice's texts: fewer than 2 ** 16
+            owner = owners[np.searchsorted(parts, first, side="right") - 1]
+            found.append(_sorted_distinct(key.astype(np.uint64) << np.uint64(16) | owner) >> np.uint64(16))
+        every = np.sort(np.concatenate(found)).astype(np.int64)
+        first, docs = _spans(every)
+        keys = every[first]
+        part = keys % parts_of_grams
+        order = np.argsort(part, kind="stable")
+        keys, docs, part = keys[order], docs[order].astype(np.int32), part[order]
+        first, _ = _spans(part)
+        bounds = np.r_[first, len(part)]
+        block = np.full(len(first), table["block"][0].as_py(), np.int32)
+        return pa.table({"part": part[first].astype(np.int32), "block": block, "grams": _cells(keys, bounds), "docs": _cells(docs, bounds)})
+
+    return file_grams
+
+
+def _shared_grams(hot: int):
+    def shared(table: pa.Table) -> pa.Table:
+        """The k-grams of a part that several documents have, for each block that has them; of kind 1 those in more than `hot` documents."""
+        grams, docs = _values(table["grams"], np.int64), _values(table["docs"], np.int32)
+        block = np.repeat(table["block"].to_numpy(), pc.binary_length(table["grams"]).to_numpy() // 8)
+        order = np.argsort(grams)
+        first, size = _spans(grams[order])
+        total = np.repeat(np.add.reduceat(docs[order].astype(np.int64), first) if len(first) else first, size)
+        order, total = order[total > 1], total[total > 1]
+        label = block[order].astype(np.int64) * 2 + (total > hot)
+        by = np.argsort(label, kind="stable")
+        keys, label = grams[order[by]], label[by]
+        first, _ = _spans(label)
+        packed = _cells(keys, np.r_[first, len(label)])
+        return pa.table({"block": (label[first] // 2).astype(np.int32), "kind": (label[first] % 2).astype(np.int32), "grams": packed})
+
+    return shared
+
+
+#: A row per block and bucket, with numbers of its segments in a row: `places` is where the k-gram is in the bytes, -1 for a window filed
+#: under its own hash; `sizes` how many bytes a segment has, `counts` how many spots.
+_SEGMENTS = "bucket int, block int, places binary, sizes binary, bytes binary, least binary, spread binary, counts binary, spots binary"
 
 
 def _cut_segments(buckets: int):
     def cut(table: pa.Table, side: pa.Table) -> pa.Table:
         """The bytes of runs under shared k-grams, once for equal bytes in the block, with all spots (text, start) they are at."""
         texts, ids = _comparable(table, side)
-        kind = side["kind"].to_numpy()
-        wanted = np.sort(side["key"].to_numpy()[kind < 2])
-        hot = np.sort(side["key"].to_numpy()[kind == 1])
-        seen: dict[bytes, tuple[int, int, list[int]]] = {}
+        wanted, hot = (np.sort(_values(side.filter(kind)["grams"], np.int64)) for kind in (pc.less(side["kind"], 2), pc.equal(side["kind"], 1)))
+        distinct, columns, held = [pa.array([], pa.binary())], [np.zeros((4, 0), np.int64)], 0
         for data, parts, text_of, start_of in slices(texts):
             first, count, place, key = runs(data, parts)
             keep = _member(key, wanted)
@@ -294,22 +353,30 @@ def _cut_segments(buckets: int):
             part = np.searchsorted(parts, first, side="right") - 1
             spot = (text_of[part] << 32) + start_of[part] + first - parts[part]
             raw = data.tobytes()
-            for a, b, to, at, where in zip(first.tolist(), (first + count + WINDOW - 1).tolist(), (key % buckets).tolist(), within.tolist(), spot.tolist()):
-                entry = seen.get(piece := raw[a:b])
-                if entry is None:
-                    seen[piece] = (to, at, [where])
-                else:
-                    entry[2].append(where)
-        sizes = np.array([len(e[2]) for e in seen.values()], np.int64)
-        spots = np.array([s for e in seen.values() for s in e[2]], np.int64)
-        begins = np.cumsum(sizes) - sizes
+            coded = pa.array([raw[a:b] for a, b in zip(first.tolist(), (first + count + WINDOW - 1).tolist())], pa.binary()).dictionary_encode()
+            columns.append(np.stack([coded.indices.to_numpy() + held, key % buckets, within, spot]))
+            distinct.append(coded.dictionary)
+            held += len(coded.dictionary)
+        coded = pa.concat_arrays(distinct).dictionary_encode()
+        code, to, at, spots = np.concatenate(columns, axis=1)
+        code = coded.indices.to_numpy()[code]
+        order = np.argsort(code, kind="stable")
+        spots = np.ascontiguousarray(spots[order])
+        begins, counts = _spans(code[order])  # equal bytes have one bucket and one place
+        to, at = to[order[begins]].astype(np.int32), at[order[begins]].astype(np.int32)
         owners = ids[spots >> 32]
         least = np.minimum.reduceat(owners, begins) if len(begins) else owners
         spread = (np.maximum.reduceat(owners, begins) if len(begins) else owners) - least
-        block = np.full(len(seen), table["block"][0].as_py(), np.int32)
-        to, at = (pa.array([e[k] for e in seen.values()], pa.int32()) for k in (0, 1))
-        packed = pa.array([spots[a:b].tobytes() for a, b in zip(begins.tolist(), (begins + sizes).tolist())], pa.binary())
-        return pa.table({"bucket": to, "place": at, "bytes": pa.array(list(seen), pa.binary()), "block": block, "least": least, "spread": spread, "spots": packed})
+        by = np.argsort(to, kind="stable")
+        pieces = coded.dictionary.take(pa.array(by))
+        sizes = pc.binary_length(pieces).to_numpy().astype(np.int32)
+        data = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+        first, _ = _spans(to[by])
+        bounds = np.r_[first, len(by)]
+        block = np.full(len(first), table["block"][0].as_py(), np.int32)
+        columns = {"places": (at[by], bounds), "sizes": (sizes, bounds), "bytes": (data, _ends(sizes)[bounds]), "least": (least[by], bounds), "spread": (spread[by], bounds)}
+        columns |= {"counts": (counts[by].astype(np.int32), bounds), "spots": (_gathered(spots, begins[by], counts[by]), _ends(counts[by])[bounds])}
+        return pa.table({"bucket": to[by][first], "block": block} | {name: _cells(*cells) for name, cells in columns.items()})
 
     return cut
 
@@ -320,7 +387,21 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-_FOUND = "block int, spots binary, low int, high int, least long"
+#: A row per bucket and block, with numbers of its ranges in a row; or the rid of a text that is a copy.
+_FOUND = "block int, low binary, high binary, least binary, counts binary, spots binary, copy long"
+
+
+def _hashed_alike(data: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which windows have the key and the hash of another one. Equal windows of one key always do, so the others needn't be sorted."""
+    if not len(at):
+        return np.zeros(0, bool)
+    tag = _gram_hashes(data, WINDOW)[at] + key.astype(np.uint64) * np.uint64(_BASE)
+    by = np.argsort(tag)
+    same = tag[by[1:]] == tag[by[:-1]]
+    alike = np.zeros(len(at), bool)
+    alike[by[1:][same]] = True
+    alike[by[:-1][same]] = True
+    return alike
 
 
 def _sort_bucket(table: pa.Table) -> pa.Table:
@@ -329,30 +410,37 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     Equal segments are one, so inside a long passage a k-gram has one segment only and all its windows are settled. The
     windows of the others are sorted: those of one k-gram that have it at the same distance.
     """
-    table = table.combine_chunks()
-    coded = table["bytes"].combine_chunks().dictionary_encode()
+    sizes, counts = _values(table["sizes"], np.int32), _values(table["counts"], np.int32)
+    spots, block = _values(table["spots"], np.int64), np.repeat(table["block"].to_numpy(), pc.binary_length(table["sizes"]).to_numpy() // 4)
+    coded = _cells(_values(table["bytes"], np.uint8), _ends(sizes)).dictionary_encode()
     pieces, code = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
     bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64) if len(pieces) else np.zeros(1, np.int64)
-    owner, spread = table["least"].to_numpy(), table["spread"].to_numpy()
+    owner, spread = _values(table["least"], np.int64), _values(table["spread"], np.int64)
     least = np.full(len(pieces), np.iinfo(np.int64).max)
     np.minimum.at(least, code, owner)
     place = np.empty(len(pieces), np.int64)
-    place[code] = table["place"].to_numpy()
+    place[code] = _values(table["places"], np.int32)
     count = np.diff(bounds) - WINDOW + 1
     begin = np.cumsum(count) - count
     smallest = np.repeat(least, count)
 
     filed = np.flatnonzero(place >= 0)
-    grams = [data[bounds[filed] + place[filed] + k] for k in range(GRAM)]
-    _, kind, members = np.unique(np.stack(grams, axis=1).copy().view(f"V{GRAM}").ravel(), return_inverse=True, return_counts=True)
-    several = members[kind] > 1
+    halves = [_words(data)[bounds[filed] + place[filed] + k] for k in (0, GRAM - 8)]
+    by = np.lexsort(halves)
+    new = np.r_[True, (halves[0][by[1:]] != halves[0][by[:-1]]) | (halves[1][by[1:]] != halves[1][by[:-1]])] if len(by) else np.zeros(0, bool)
+    kind = np.empty(len(by), np.int64)
+    kind[by] = np.cumsum(new) - 1
+    several = np.bincount(kind, minlength=1)[kind] > 1
     filed, kind = filed[several], kind[several]
     each = count[filed]
     window = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
     key = np.repeat(kind * (4 * WINDOW) + place[filed] + 2 * WINDOW, each) - window
     slot = np.repeat(begin[filed], each) + window
-    index, same = equal_windows(SuffixOrder(data), np.repeat(bounds[filed], each) + window, key)
+    at = np.repeat(bounds[filed], each) + window
+    alike = _hashed_alike(data, at, key)
+    at, key, slot = at[alike], key[alike], slot[alike]
+    index, same = equal_windows(SuffixOrder(data), at, key)
     if len(index):
         firsts = np.flatnonzero(~same)
         lowest = np.minimum.reduceat(smallest[slot[index]], firsts)
@@ -362,18 +450,21 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     start = np.ones(len(smallest), bool)
     start[1:] = smallest[1:] != smallest[:-1]
     start[begin] = True
-    first = np.flatnonzero(start)
-    piece = np.searchsorted(begin, first, side="right") - 1
-    low, high = first - begin[piece], np.r_[first[1:], len(smallest)] - 1 - begin[piece]
+    first_of = np.flatnonzero(start)
+    piece = np.searchsorted(begin, first_of, side="right") - 1
+    low, high = first_of - begin[piece], np.r_[first_of[1:], len(smallest)] - 1 - begin[piece]
     runs_of = np.bincount(piece, minlength=len(pieces))
     run_at = np.cumsum(runs_of) - runs_of
     row = np.repeat(np.arange(len(code)), runs_of[code])
     run = np.arange(len(row)) - np.repeat(np.cumsum(runs_of[code]) - runs_of[code], runs_of[code]) + run_at[code[row]]
-    told = smallest[first[run]] < (owner + spread)[row]
+    told = smallest[first_of[run]] < (owner + spread)[row]
     row, run = row[told], run[told]
-    rows = pa.array(row)
-    columns = {"low": pa.array(low[run].astype(np.int32)), "high": pa.array(high[run].astype(np.int32)), "least": smallest[first[run]]}
-    return pa.table({"block": table["block"].take(rows), "spots": table["spots"].take(rows)} | columns)
+    first, _ = _spans(block[row])
+    cells, each = np.r_[first, len(row)], counts[row]
+    columns = {"low": low[run].astype(np.int32), "high": high[run].astype(np.int32), "least": smallest[first_of[run]], "counts": each}
+    found = {name: _cells(numbers, cells) for name, numbers in columns.items()}
+    found["spots"] = _cells(_gathered(spots, _ends(counts)[row], each), _ends(each)[cells])
+    return pa.table({"block": block[row[first]]} | found | {"copy": pa.nulls(len(first), pa.int64())})
 
 
 def _apply_removals(extra: list[str], with_text: bool):
@@ -381,19 +472,17 @@ def _apply_removals(extra: list[str], with_text: bool):
         """Cut the found ranges out of a block's texts."""
         texts, order, known = _texts(table)
         rid = table["rid"].to_numpy()[order]
-        ids = table["doc_id"].take(pa.array(order)).to_pylist()
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        copies = found.filter(found["low"].is_null())["least"].to_numpy()  # by rid
-        for i in np.flatnonzero(np.isin(rid, copies)):
-            spans[i].append((0, len(texts[i])))
-        ranges = found.filter(found["low"].is_valid())
-        for spots, low, high, least in zip(*(ranges[c].to_pylist() for c in ("spots", "low", "high", "least"))):
-            for spot in np.frombuffer(spots, np.int64).tolist():
-                i, start = spot >> 32, spot & 0xFFFFFFFF
-                if ids[i] > least:
-                    spans[i].append((start + low, start + high + WINDOW))
-        rows = [_without(text, cuts) for text, cuts in zip(texts, spans)]
-        columns = {"doc_id": table["doc_id"].take(pa.array(order)), "n_bytes": pa.array([len(t) for t in texts], pa.int64())}
+        ids = _ids(table)[order]
+        length = np.array([len(t) for t in texts], np.int64)
+        copies = np.flatnonzero(np.isin(rid, found.filter(found["copy"].is_valid())["copy"].to_numpy()))
+        low, high, least, counts = (_values(found[c].drop_null(), kind) for c, kind in (("low", np.int32), ("high", np.int32), ("least", np.int64), ("counts", np.int32)))
+        spots, each = _values(found["spots"].drop_null(), np.int64), np.repeat(np.arange(len(counts)), counts)
+        cut = ids[spots >> 32] > least[each]
+        spots, each = spots[cut], each[cut]
+        begin = (spots & 0xFFFFFFFF) + low[each]
+        cuts = _united(np.r_[spots >> 32, copies], np.r_[begin, np.zeros(len(copies), np.int64)], np.r_[begin - low[each] + high[each] + WINDOW, length[copies]], len(texts))
+        rows = [_without(text, some) for text, some in zip(texts, cuts)]
+        columns = {"doc_id": table["doc_id"].take(pa.array(order)), "n_bytes": length}
         columns |= {name: pa.array([r[k] for r in rows], pa.int64()) for k, name in ((1, "n_removed"), (2, "n_spans"))}
         columns["kept_sha256"] = pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())
         if with_text:
@@ -403,21 +492,27 @@ def _apply_removals(extra: list[str], with_text: bool):
     return remove
 
 
+def _united(text: np.ndarray, begin: np.ndarray, end: np.ndarray, texts: int) -> Iterator[list[tuple[int, int]]]:
+    """The union of each text's ranges: those that overlap or touch are one."""
+    order = np.lexsort((begin, text))
+    text, begin, end = text[order], begin[order], end[order]
+    apart = text * (int(end.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(end + apart)
+    first = np.flatnonzero(np.r_[True, (begin + apart)[1:] > reach[:-1]]) if len(text) else np.zeros(0, np.int64)
+    last = np.r_[first[1:], len(text)][: len(first)] - 1
+    ranges = list(zip(begin[first].tolist(), (reach[last] - apart[last]).tolist()))
+    bounds = np.searchsorted(text[first], np.arange(texts + 1)).tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        yield ranges[a:b]
+
+
 def _without(text: bytes, cuts: list[tuple[int, int]]) -> tuple[bytes, int, int]:
-    """The text without the union of the cuts, the number of bytes in it and of its runs."""
+    """The text without the cuts, the number of bytes in them and of cuts."""
     if not cuts:
         return text, 0, 0
-    kept, at, spans = [], 0, 0
-    end = -1
-    for a, b in sorted(cuts):
-        if a > end:
-            spans += 1
-            kept.append(text[at:a])
-        end = max(end, b)
-        at = end
-    kept.append(text[at:])
-    out = b"".join(kept)
-    return out, len(text) - len(out), spans
+    at = [0, *(place for cut in cuts for place in cut), len(text)]
+    out = b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
+    return out, len(text) - len(out), len(cuts)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -428,8 +523,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their SHA-256 and cut without being sorted. In kept_text, bytes of a character that a cut split are left out.
 
     Documents are dealt to blocks of about BLOCK bytes by a hash of their id, so neither a hot source nor a group of copies
-    lands in one task; within a block, equal k-grams and equal segments go out once. What a bucket gets for a passage is a row
-    per block, not per document. A k-gram in more than HOT documents is filed window by window, under the windows' own
+    lands in one task; within a block, equal k-grams and equal segments go out once. What a bucket gets for a passage is a segment
+    per block, not per document. K-grams, segments and ranges are shuffled as numbers in a row, one row per block and part or bucket. A k-gram in more than HOT documents is filed window by window, under the windows' own
     hashes, so its different contexts spread over all buckets. The shuffled texts are used by all three passes.
     """
     spark = docs.sparkSession
@@ -438,17 +533,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = settle(named.select("doc_id", rid.alias("rid"), F.sha2("text", 256).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "digests")
     total = marks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     blocks = max(2 * tasks(spark), -(-total // BLOCK))
+    buckets = max(tasks(spark), 2 * -(-total // BLOCK))
     block = F.pmod(F.xxhash64("doc_id", "rid"), F.lit(blocks)).cast("int").alias("block")
     firsts = marks.where(f"n_bytes >= {WINDOW} AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
     copies = settle(marks.join(firsts, "digest").where("doc_id > first_id").select(block, F.col("rid").alias("key"), F.lit(2).alias("kind")).distinct(), "copies")
     by_block = named.withColumn("rid", rid).select(block, "rid", "doc_id", "text", *[f"c_{c}" for c in carry]).groupBy("block")
 
-    grams = by_block.cogroup(copies.groupBy("block")).applyInArrow(_file_grams, "gram long, block int, docs int")
-    everywhere = Window.partitionBy("gram")
-    shared = grams.withColumn("all", F.sum("docs").over(everywhere)).where("all > 1").select("block", F.col("gram").alias("key"), (F.col("all") > HOT).cast("int").alias("kind"))
-    segments = by_block.cogroup(shared.unionByName(copies).groupBy("block")).applyInArrow(_cut_segments(4 * blocks), _SEGMENTS)
+    grams = by_block.cogroup(copies.groupBy("block")).applyInArrow(_file_grams(max(2 * tasks(spark), blocks // PARTS)), _GRAMS)
+    shared = grams.groupBy("part").applyInArrow(_shared_grams(HOT), "block int, kind int, grams binary")
+    side = copies.withColumn("grams", F.lit(None).cast("binary")).unionByName(shared.withColumn("key", F.lit(None).cast("long")))
+    segments = by_block.cogroup(side.groupBy("block")).applyInArrow(_cut_segments(buckets), _SEGMENTS)
     found = segments.groupBy("bucket").applyInArrow(_sort_bucket, _FOUND)
-    whole = copies.select("block", F.lit(None).cast("binary").alias("spots"), F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"), F.col("key").alias("least"))
+    whole = copies.select("block", *[F.lit(None).cast("binary").alias(c) for c in ("low", "high", "least", "counts", "spots")], F.col("key").alias("copy"))
     extra = [f"c_{c}" for c in carry]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", c_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -91,3 +93,38 @@ def test_sort_even_when_hashes_collide(texts, base):
         assert sorted(index) == list(range(len(starts)))
         assert all(len(g) == 1 for g in by_class.values()) and len(by_class) == len(set(windows))
         assert [windows[i] for i in index] == sorted(windows)
+
+
+def test_windows_that_share_only_a_gram_are_not_sorted(monkeypatch):
+    """Rows are packed: one per part, bucket or block, not per k-gram or segment; and only windows whose hashes agree are sorted."""
+    rnd = random.Random(8)
+    letters = lambda n: "".join(rnd.choices("abcdefgh", k=n))
+    gram, passage = letters(sd.GRAM + 12), letters(90)
+    texts = [letters(60) + gram + letters(60) for _ in range(40)] + [letters(30) + passage + letters(30) for _ in range(2)]
+    none = pa.table({"key": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "block": pa.array([], pa.int32())})
+    blocks = [pa.table({"block": pa.array([b] * 21, pa.int32()), "rid": list(range(21)), "doc_id": [2 * k + b for k in range(21)], "text": texts[b::2]}) for b in (0, 1)]
+    filed = [sd._file_grams(3)(block, none) for block in blocks]
+    assert all(len(f) <= 3 for f in filed)
+    filed = pa.concat_tables(filed)
+    shared = pa.concat_tables([sd._shared_grams(sd.HOT)(filed.filter(pc.equal(filed["part"], part))) for part in range(3)])
+    shared = shared.append_column("key", pa.nulls(len(shared), pa.int64())).select(none.column_names)
+    cut = pa.concat_tables([sd._cut_segments(5)(block, shared.filter(pc.equal(shared["block"], b))) for b, block in enumerate(blocks)])
+    assert len(cut) <= 10
+    plain, sorted_windows = sd.equal_windows, []
+    monkeypatch.setattr(sd, "equal_windows", lambda order, at, key: sorted_windows.append(len(at)) or plain(order, at, key))
+    found = pa.concat_tables([sd._sort_bucket(cut.filter(pc.equal(cut["bucket"], bucket))) for bucket in range(5) if bucket in cut["bucket"].to_pylist()])
+    assert 0 < sum(sorted_windows) <= 2 * (90 - sd.WINDOW + 1)  # those of segments alike are settled before
+    assert set(sd._values(found["least"], np.int64).tolist()) == {40}
+    assert found["block"].unique().to_pylist() == [1]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_ranges_that_overlap_or_touch_are_one(seed):
+    rnd = random.Random(seed)
+    ranges = [(rnd.randrange(6), a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(40) for _ in range(rnd.randrange(25)))]
+    wanted = []
+    for text in range(6):
+        covered = {k for t, a, b in ranges if t == text for k in range(a, b)}
+        wanted.append([(a, min(k for k in range(a, 60) if k not in covered)) for a in sorted(covered) if a - 1 not in covered])
+    columns = [np.array(c, np.int64) for c in zip(*ranges)] or [np.zeros(0, np.int64)] * 3
+    assert list(sd._united(*columns, 6)) == wanted
