@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loomgraph.functions.text import char_ngrams
-from loomgraph.operators.setsim import classes, similar_sets
-from loomgraph.sources.interim import settle
+from loomgraph.operators.setsim import classes, in_reach, similar_sets
+from loomgraph.sources.interim import at_hand, dealt, settle
 
 # Fixed values.
 BASIS = "测试集|评测集|验证集|基准|基线|同一批|对比组|口径|A/B|人工评测|个查询|条样本"
@@ -27,14 +27,19 @@ def echoes(lines: DataFrame, snippets: DataFrame, people: DataFrame, least: floa
     """(doc, echo, n_lines): the greatest similarity of a person's lines (doc, text) to snippets (job, text) of their job (people: doc, job),
     if it is `least` or more, and how many line and snippet pairs are.
 
-    Lines and snippets alike in their sets are compared once; the join lists similar sets only, see `similar_sets`.
+    Sets are made of texts that differ, and only of those that can be similar to a snippet; lines and snippets alike in their sets are
+    compared once, the join lists similar sets only, see `similar_sets`. Lines meet the texts found where they lie: few texts are
+    like a snippet, but some are in every person's lines.
     """
-    line_sets, line_of = classes(lines, "doc", grams(F.col("text")))
     snippet_sets, snippet_of = classes(snippets, "job", grams(F.col("text")))
-    pairs = settle(similar_sets(settle(line_sets, "sets"), settle(snippet_sets, "sets"), least), "echoes")
+    snippet_sets = settle(snippet_sets, "sets")
+    texts = in_reach(dealt(lines.select("text").distinct(), "text"), grams(F.col("text")), snippet_sets, least)
+    line_sets, text_of = classes(settle(texts, "texts"), "text", grams(F.col("text")))
+    pairs = settle(similar_sets(settle(line_sets, "sets"), snippet_sets, least), "echoes")
     asked = snippet_of.distinct().select(F.col("doc").alias("job"), F.col("set_id").alias("b"))
     by_job = pairs.join(asked, "b").groupBy("a", "job").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n"))
-    own = line_of.groupBy("doc", F.col("set_id").alias("a")).agg(F.count("*").alias("copies")).join(people.select("doc", "job"), "doc")
+    alike = settle(text_of.toDF("text", "a").join(pairs.select("a").distinct(), "a"), "alike")
+    own = lines.join(at_hand(alike, "text"), "text").groupBy("doc", "a").agg(F.count("*").alias("copies")).join(people.select("doc", "job"), "doc")
     found = own.join(by_job, ["a", "job"])
     return found.groupBy("doc").agg(F.max("similarity").alias("echo"), F.sum(F.col("copies") * F.col("n")).alias("n_lines"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loomgraph.sources.interim import at_hand, dealt, settle
+from loomgraph.sources.interim import at_hand, dealt, fits, settle
 
 
 def word_set(text: Column) -> Column:
@@ -21,6 +21,27 @@ def classes(rows: DataFrame, doc: str, items: Column) -> tuple[DataFrame, DataFr
     return keyed.groupBy("set_id").agg(F.any_value("items").alias("items")), keyed.select("doc", "set_id")
 
 
+def in_reach(rows: DataFrame, items: Column, b: DataFrame, least: float, known_bytes: int = 16 << 10) -> DataFrame:
+    """Rows whose set of `items` can be similar to one of the sets of `b`: `least` of its items or more are held there, and its size isn't
+    beyond those of all.
+
+    It is decided within the row, before sets are sorted, hashed or shuffled. If what `b` holds is more than `known_bytes`, all rows stay.
+    """
+    known = settle(b.select(F.explode("items").alias("item")).distinct(), "known")
+    if not fits(known, "item", known_bytes):
+        return rows
+    bounds = b.agg(F.min(F.size("items")).alias("_low"), F.max(F.size("items")).alias("_high"))
+    held = F.broadcast(known.agg(F.collect_list("item").alias("_known")).crossJoin(bounds))
+
+    def reaches(n: Column, x: Column) -> Column:
+        sizes = (n >= least * F.col("_low") - 1e-9) & (F.col("_high") >= least * n - 1e-9)
+        return sizes & (F.size(F.array_intersect(x, F.col("_known"))) >= F.ceil(least * n - 1e-9))
+
+    # the items are made once, not again for each time they are named
+    near = F.transform(F.array(F.array_distinct(items)), lambda x: reaches(F.size(x), x))[0]
+    return rows.crossJoin(held).where(near).select(*rows.columns)
+
+
 def similar_sets(a: DataFrame, b: DataFrame | None = None, least: float = 0.8) -> DataFrame:
     """(a, b, similarity): pairs of sets (set_id, items) whose Jaccard similarity is `least` or more; without `b` of two sets of `a`, a < b.
 

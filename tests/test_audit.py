@@ -114,3 +114,32 @@ def test_experience_links(spark):
     required = spark.createDataFrame([("J", "s1", 0.8), ("J", "s2", 0.1), ("J", "s3", 0.05), ("J", "s4", 0.05)], "job string, skill string, required double")
     found = {r.experience: (round(r.coverage, 9), [(h.skill, h.required, h.owned) for h in r.hits]) for r in audit.link_experiences(claims, required).collect()}
     assert found == {"x": (0.6, [("s1", 0.8, 0.5), ("s2", 0.1, 1.0)]), "y": (0.0, []), "z": (0.0, [])}
+
+
+@pytest.mark.parametrize("known_bytes", [16 << 10, 0])
+def test_only_texts_in_reach_of_a_snippet_become_sets(spark, monkeypatch, known_bytes):
+    """A text in every person's lines, texts of which too little is known, too short and too long ones; with and without the filter the same result."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdef", k=5)) for _ in range(12)]
+    said = [" ".join(rnd.choices(words, k=rnd.randint(1, 9))) for _ in range(60)] + [f"{k} 19{k}.0{k % 7} Order {k * 7919}" for k in range(40)] + ["everywhere", "a", "", None]
+    lines = [(doc, text) for doc in range(20) for text in rnd.choices(said, k=12) + ["everywhere"]] + [(1, None), (None, words[0])]
+    snippets = [(job, " ".join(rnd.choices(words, k=4))) for job in "xyz" for _ in range(15)] + [("x", ""), ("y", None)]
+    people = [(doc, "xyzw"[doc % 4]) for doc in range(20)] + [(90, None)]
+    grams = lambda t: {t.replace(" ", "")[i : i + 2] for i in range(len(t.replace(" ", "")) - 1)} if t else set()
+    wanted = {}
+    for doc, job in people:
+        mine = [grams(t) for d, t in lines if d == doc]
+        theirs = {frozenset(grams(t)) for j, t in snippets if j == job} - {frozenset()}
+        near = [len(a & b) / len(a | b) for a in mine if a for b in theirs if len(a & b) / len(a | b) >= 0.5]
+        if near:
+            wanted[doc] = (round(max(near), 9), len(near))
+    plain, sizes, reach = audit.similar_sets, [], audit.in_reach
+    monkeypatch.setattr(audit, "similar_sets", lambda a, b, least: sizes.append(a.count()) or plain(a, b, least))
+    monkeypatch.setattr(audit, "in_reach", lambda *args: reach(*args, known_bytes))
+    found = audit.echoes(spark.createDataFrame(lines, "doc long, text string"), spark.createDataFrame(snippets, "job string, text string"), spark.createDataFrame(people, "doc long, job string"), 0.5)
+    assert {r.doc: (round(r.echo, 9), r.n_lines) for r in found.collect()} == wanted and wanted
+    every = {frozenset(grams(t)) for _, t in lines} - {frozenset()}
+    asked = {frozenset(grams(t)) for _, t in snippets} - {frozenset()}
+    known, low, high = set().union(*asked), min(map(len, asked)), max(map(len, asked))
+    near = [x for x in every if 2 * len(x) >= low and 2 * high >= len(x) and 2 * len(x & known) >= len(x)]
+    assert sizes == [len(near) if known_bytes else len(every)] and len(near) < len(every) - 20
